@@ -1,6 +1,8 @@
-"""Rounded metrics over aggregates.
+"""Sums and rounded metrics.
 
-All of them divide exact decimals and round once, half away from zero; a zero denominator gives NULL.
+Money is summed as whole cents in a BIGINT: exact like a decimal sum, at half its cost per row, and an
+overflow raises an error. Ratios divide exact decimals and round once, half away from zero; a zero
+denominator gives NULL.
 """
 
 from __future__ import annotations
@@ -23,9 +25,19 @@ def pct(part: Column, whole: Column) -> Column:
     return ratio(part.cast(_COUNT), whole.cast(_COUNT), 100)
 
 
-def per_100(part: Column, whole: Column) -> Column:
+def per_100(part_cents: Column, whole_cents: Column) -> Column:
     """Amount per 100 of another amount: a ratio of sums, not a mean of ratios."""
-    return ratio(part, whole, 100)
+    return pct(part_cents, whole_cents)
+
+
+def cents(value: Column) -> Column:
+    """Money with two decimals as whole cents."""
+    return (value * 100).cast("bigint")
+
+
+def amount(total_cents: Column) -> Column:
+    """A sum of cents as money."""
+    return (total_cents.cast(_COUNT) / 100).cast(_RESULT)
 
 
 def mean_of(total: Column, n: Column) -> Column:
@@ -33,6 +45,11 @@ def mean_of(total: Column, n: Column) -> Column:
     return ratio(total.cast("decimal(28,4)"), n.cast(_COUNT))
 
 
+def mean_amount(total_cents: Column, n: Column) -> Column:
+    """Mean money from a sum of cents and a count."""
+    return ratio(total_cents.cast(_COUNT), n.cast(_COUNT) * 100)
+
+
 def mean(value: Column) -> Column:
     """Mean of the non-NULL values of a whole-number or decimal column with at most 4 decimals."""
     return mean_of(F.sum(value), F.count(value))
@@ -49,10 +66,5 @@ def total_where(condition: Column) -> Column:
 
 
 def sum_where(condition: Column, value: Column) -> Column:
-    """Sum over the rows where the condition holds; other rows add 0."""
-    return F.sum(F.when(condition, value).otherwise(F.lit(0).cast("decimal(12,2)")))
-
-
-def mean_where(condition: Column, value: Column) -> Column:
-    """Mean over the rows where the condition holds; NULL if there are none."""
-    return mean(F.when(condition, value))
+    """Sum of a whole number over the rows where the condition holds; other rows add 0."""
+    return F.sum(F.when(condition, value).otherwise(F.lit(0)))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import DataFrame
 
 
-@dataclass(frozen=True)
-class Marketplace:
-    """One DataFrame per table.
+class Marketplace(Protocol):
+    """Anything with one DataFrame per table.
 
     Grain and keys the jobs rely on: ``orders`` has one row per ``order_id``, ``customers`` one row per
     ``customer_id`` (a new one for every order; the person is ``customer_unique_id``), ``sellers`` one per
@@ -26,4 +25,4 @@ class Marketplace:
     sellers: DataFrame
     products: DataFrame
     category_translation: DataFrame
-    geolocation: DataFrame | None = None
+    geolocation: DataFrame | None

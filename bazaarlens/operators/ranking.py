@@ -56,6 +56,11 @@ def dense_rank_desc(df: DataFrame, value: str, name: str, many_rows: bool = Fals
     return df.join(ranks, F.col(value).eqNullSafe(F.col("_value"))).drop("_value")
 
 
+def in_order(df: DataFrame, *order: Column | str) -> DataFrame:
+    """Sort a result with one row per label: its few rows meet in one partition, without a range shuffle."""
+    return df.coalesce(1).orderBy(*order)
+
+
 def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     """Leading rows of a total order; each task keeps n rows, so nothing is sorted as a whole."""
     return df.orderBy(*order).limit(n)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +9,10 @@ from bazaarlens.functions.metrics import pct, total_where
 
 
 def reconcile_totals(
-    charged: DataFrame, paid: DataFrame, key: str, due: Column, received: Column, tolerance: Decimal
+    charged: DataFrame, paid: DataFrame, key: str, due: Column, received: Column, tolerance: int
 ) -> DataFrame:
-    """One row: keys on both sides, how many agree, and the totals of every other column.
+    """One row: keys on both sides, how many differ by less than the tolerance, and the totals of every other
+    column.
 
     Both sides must already have one row per key; joining them earlier would multiply the amounts.
     """

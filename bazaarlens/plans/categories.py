@@ -9,33 +9,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from bazaarlens.functions import rules
-from bazaarlens.functions.metrics import count_where, mean, mean_of, pct, per_100, total_where
+from bazaarlens.functions.metrics import amount, count_where, mean, mean_amount, pct, per_100, total_where
 from bazaarlens.operators.cohort import came_back, cohort_repeat, started_with
 from bazaarlens.operators.grain import conditional_metrics, distinct_pairs, min_support, one_per
-from bazaarlens.operators.ranking import cumulative_share, dense_rank_desc, share_of_total
+from bazaarlens.operators.ranking import cumulative_share, dense_rank_desc, in_order, share_of_total
 from bazaarlens.operators.scorecard import rollup_metric, scorecard
 from bazaarlens.operators.skew import salted_join
 from bazaarlens.plans.datasets import Datasets
 
 
-def _amount(value: Column) -> Column:
-    return value.cast("decimal(20,2)")
-
-
 def rank_category_sales(sales: DataFrame) -> DataFrame:
     """Rank, average price, share and running share from items and price per category."""
     everything = W.partitionBy()
-    ranked = dense_rank_desc(sales, "price", "revenue_rank")
+    price, items = F.col("price_cents"), F.col("items")
+    ranked = dense_rank_desc(sales, "price_cents", "revenue_rank")
     shared = cumulative_share(
-        share_of_total(ranked, "price", "GMV_share_pct"), "price", "cumulative_top_GMV_Share_pct"
+        share_of_total(ranked, "price_cents", "GMV_share_pct"), "price_cents", "cumulative_top_GMV_Share_pct"
     )
     return shared.select(
         "revenue_rank",
         "category_name",
-        F.col("items").alias("total_item_sold"),
-        _amount(F.col("price")).alias("total_GMV"),
-        mean_of(F.col("price"), F.col("items")).alias("avg_item_price"),
-        mean_of(F.sum("price").over(everything), F.sum("items").over(everything)).alias(
+        items.alias("total_item_sold"),
+        amount(price).alias("total_GMV"),
+        mean_amount(price, items).alias("avg_item_price"),
+        mean_amount(F.sum(price).over(everything), F.sum(items).over(everything)).alias(
             "overall_avg_item_price"
         ),
         "GMV_share_pct",
@@ -44,14 +41,14 @@ def rank_category_sales(sales: DataFrame) -> DataFrame:
 
 
 def category_sales(d: Datasets) -> DataFrame:
-    return rank_category_sales(d.category_sales).orderBy(F.desc("total_GMV"), "category_name")
+    return rank_category_sales(d.category_sales).transform(in_order, F.desc("total_GMV"), "category_name")
 
 
 def _repeat(d: Datasets, before: datetime | None = None) -> DataFrame:
     started = started_with(d.first_orders, d.main_category, before)
     return cohort_repeat(
         started, "category_name", "first_order_category", d.params.min_category_rows
-    ).orderBy(F.desc("came_back_pct"), "first_order_category")
+    ).transform(in_order, F.desc("came_back_pct"), "first_order_category")
 
 
 def repeat_by_first_category(d: Datasets) -> DataFrame:
@@ -94,8 +91,8 @@ def one_star_on_time(d: Datasets) -> DataFrame:
             "one_star_pct": pct(one_star, reviews),
         },
     )
-    return min_support(rates, "total_reviews", d.params.min_category_rows).orderBy(
-        F.desc("one_star_pct"), "category_name"
+    return min_support(rates, "total_reviews", d.params.min_category_rows).transform(
+        in_order, F.desc("one_star_pct"), "category_name"
     )
 
 
@@ -119,19 +116,19 @@ def _mean_in_thousands(total: str, n: str) -> Column:
 
 
 def freight_by_category(d: Datasets) -> DataFrame:
-    items, price, freight = F.col("items"), F.col("price"), F.col("freight")
+    items, price, freight = F.col("items"), F.col("price_cents"), F.col("freight_cents")
     sales = min_support(d.category_sales, "items", d.params.min_category_rows)
     return sales.select(
         "category_name",
         items.alias("total_items_sold"),
-        _amount(price).alias("total_price"),
-        _amount(freight).alias("total_freight_value"),
-        mean_of(price, items).alias("avg_price"),
-        mean_of(freight, items).alias("avg_freight_value"),
+        amount(price).alias("total_price"),
+        amount(freight).alias("total_freight_value"),
+        mean_amount(price, items).alias("avg_price"),
+        mean_amount(freight, items).alias("avg_freight_value"),
         _mean_in_thousands("weight_g", "weighed").alias("avg_weight_kg"),
         _mean_in_thousands("volume_cm3", "measured").alias("avg_vol_liters"),
         per_100(freight, price).alias("freight_to_gmv_pct"),
-    ).orderBy(F.desc("freight_to_gmv_pct"), "category_name")
+    ).transform(in_order, F.desc("freight_to_gmv_pct"), "category_name")
 
 
 def category_scorecard(d: Datasets) -> DataFrame:
@@ -142,18 +139,22 @@ def category_scorecard(d: Datasets) -> DataFrame:
     """
     key = "category_name"
     sums = d.category_sales.select(
-        key, "items", "price", "freight", F.sum("price").over(W.partitionBy()).alias("all_price")
+        key,
+        "items",
+        "price_cents",
+        "freight_cents",
+        F.sum("price_cents").over(W.partitionBy()).alias("all_cents"),
     )
-    price = F.col("price")
-    all_price = F.when(F.col("is_total") == 1, price).otherwise(F.col("all_price"))
+    price = F.col("price_cents")
+    everything = F.when(F.col("is_total") == 1, price).otherwise(F.col("all_cents"))
     money = rollup_metric(
         sums,
         key,
-        ["items", "price", "freight", "all_price"],
+        ["items", "price_cents", "freight_cents", "all_cents"],
         {
-            "gmv_share_pct": per_100(price, all_price.cast("decimal(28,2)")),
-            "avg_item_price": mean_of(price, F.col("items")),
-            "freight_to_gmv_pct": per_100(F.col("freight"), price),
+            "gmv_share_pct": per_100(price, everything),
+            "avg_item_price": mean_amount(price, F.col("items")),
+            "freight_to_gmv_pct": per_100(F.col("freight_cents"), price),
         },
     )
     customers = conditional_metrics(
@@ -175,6 +176,6 @@ def category_scorecard(d: Datasets) -> DataFrame:
     )
     card = scorecard(money, [returned, low_scores], key, d.params.scorecard_categories, "ALL CATEGORIES")
     return (
-        card.orderBy("is_total", F.desc("gmv_share_pct"), key)
+        card.transform(in_order, "is_total", F.desc("gmv_share_pct"), key)
         .select(key, "gmv_share_pct", "avg_item_price", "came_back_pct", "one_star_pct", "freight_to_gmv_pct")
     )

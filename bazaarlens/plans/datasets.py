@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import rules
-from bazaarlens.functions.metrics import count_where, sum_where
+from bazaarlens.functions.metrics import cents, count_where, sum_where
 from bazaarlens.functions.periods import period_bucket, purchased_within, within
 from bazaarlens.marketplace import Marketplace
 from bazaarlens.operators.grain import first_record_with_total, main_record, numbered_records, one_per
@@ -63,16 +63,8 @@ class Datasets:
     @cached_property
     def one_review(self) -> DataFrame:
         """One score per order: the mean, to 4 decimals, where an order was reviewed more than once."""
-        score = F.try_divide(
-            F.sum("review_score").cast("decimal(20,0)"), F.count("review_score").cast("decimal(20,0)")
-        )
-        return self._keep(
-            one_per(
-                self.tables.order_reviews,
-                ["order_id"],
-                {"review_score": F.round(score, 4).cast("decimal(14,4)")},
-            )
-        )
+        score = F.avg("review_score").cast("decimal(8,4)")
+        return self._keep(one_per(self.tables.order_reviews, ["order_id"], {"review_score": score}))
 
     # --- Items with their order ---------------------------------------------------------------------
 
@@ -117,8 +109,8 @@ class Datasets:
                 ["order_id"],
                 {
                     "items": F.count("order_item_id"),
-                    "items_price": F.sum("price"),
-                    "items_freight": F.sum("freight_value"),
+                    "price_cents": F.sum(cents(F.col("price"))),
+                    "freight_cents": F.sum(cents(F.col("freight_value"))),
                     "toxic_items": count_where(rules.freight_covers_price()),
                 },
             )
@@ -148,14 +140,14 @@ class Datasets:
             ["purchase_quarter", "seller_id", "customer_state"],
             {
                 "items": F.count("order_item_id"),
-                "price": F.sum("price"),
-                "freight": F.sum("freight_value"),
+                "price_cents": F.sum(cents(F.col("price"))),
+                "freight_cents": F.sum(cents(F.col("freight_value"))),
                 "toxic_items": count_where(heavy),
-                "toxic_freight": sum_where(heavy, F.col("freight_value")),
+                "toxic_freight_cents": sum_where(heavy, cents(F.col("freight_value"))),
             },
         )
         sellers = self.tables.sellers.select("seller_id", "seller_state")
-        amounts = ("items", "price", "freight", "toxic_items", "toxic_freight")
+        amounts = ("items", "price_cents", "freight_cents", "toxic_items", "toxic_freight_cents")
         return self._keep(
             one_per(
                 by_seller.join(sellers, "seller_id"),
@@ -173,7 +165,7 @@ class Datasets:
             one_per(
                 self.tables.order_payments,
                 ["order_id", "payment_type"],
-                {"paid": F.sum("payment_value")},
+                {"paid_cents": F.sum(cents(F.col("payment_value")))},
             )
         )
 
@@ -181,7 +173,11 @@ class Datasets:
     def payment_totals(self) -> DataFrame:
         """One row per order with all it paid."""
         return self._keep(
-            one_per(self.tables.order_payments, ["order_id"], {"total_paid": F.sum("payment_value")})
+            one_per(
+                self.tables.order_payments,
+                ["order_id"],
+                {"paid_cents": F.sum(cents(F.col("payment_value")))},
+            )
         )
 
     @cached_property
@@ -269,8 +265,8 @@ class Datasets:
             ["product_id"],
             {
                 "sold": F.count("order_item_id"),
-                "price": F.sum("price"),
-                "freight": F.sum("freight_value"),
+                "price_cents": F.sum(cents(F.col("price"))),
+                "freight_cents": F.sum(cents(F.col("freight_value"))),
             },
         )
         weight = F.col("product_weight_g")
@@ -282,8 +278,8 @@ class Datasets:
                 ["category_name"],
                 {
                     "items": F.sum(sold),
-                    "price": F.sum("price"),
-                    "freight": F.sum("freight"),
+                    "price_cents": F.sum("price_cents"),
+                    "freight_cents": F.sum("freight_cents"),
                     "weight_g": F.sum(weight * sold),
                     "weighed": F.sum(F.when(weight.isNotNull(), sold)),
                     "volume_cm3": F.sum(volume * sold),

@@ -9,6 +9,7 @@ from bazaarlens.functions import rules
 from bazaarlens.functions.metrics import count_where, mean, pct
 from bazaarlens.functions.periods import month_label, month_start, period_bucket, within
 from bazaarlens.operators.grain import conditional_metrics
+from bazaarlens.operators.ranking import in_order
 from bazaarlens.plans.datasets import Datasets
 
 
@@ -50,7 +51,7 @@ def late_rate_by_quarter(d: Datasets) -> DataFrame:
             [d.purchase_quarter],
             {"total_delivered_orders": _orders(), "late_order_pct": _late_pct()},
         )
-        .orderBy("purchase_quarter")
+        .transform(in_order, "purchase_quarter")
     )
 
 
@@ -64,7 +65,7 @@ def promised_vs_actual(d: Datasets) -> DataFrame:
             "avg_promised_days": mean(F.datediff("order_estimated_delivery_date", bought)),
             "avg_actual_days": mean(F.datediff("order_delivered_customer_date", bought)),
         },
-    ).orderBy("purchase_quarter")
+    ).transform(in_order, "purchase_quarter")
 
 
 _LEGS = {
@@ -79,13 +80,13 @@ def _legs() -> dict[str, Column]:
 
 
 def leg_durations(d: Datasets) -> DataFrame:
-    return conditional_metrics(_timed(d), [d.purchase_quarter], _legs()).orderBy("purchase_quarter")
+    return conditional_metrics(_timed(d), [d.purchase_quarter], _legs()).transform(in_order, "purchase_quarter")
 
 
 def leg_durations_by_lateness(d: Datasets) -> DataFrame:
     timed = _timed(d).filter(_known("order_estimated_delivery_date"))
     keys = [d.purchase_quarter, rules.delivery_status().alias("delivery_status")]
-    return conditional_metrics(timed, keys, _legs()).orderBy("purchase_quarter", "delivery_status")
+    return conditional_metrics(timed, keys, _legs()).transform(in_order, "purchase_quarter", "delivery_status")
 
 
 def review_by_lateness(d: Datasets) -> DataFrame:
@@ -94,7 +95,7 @@ def review_by_lateness(d: Datasets) -> DataFrame:
         _arrived(d).join(d.one_review, "order_id"),
         keys,
         {"total_orders": _orders(), "avg_review_score": mean(F.col("review_score"))},
-    ).orderBy("purchase_quarter", "delivery_status")
+    ).transform(in_order, "purchase_quarter", "delivery_status")
 
 
 def regional_performance(d: Datasets) -> DataFrame:
@@ -107,7 +108,7 @@ def regional_performance(d: Datasets) -> DataFrame:
             "total_orders": _orders(),
             "avg_review_score": mean(F.col("review_score")),
         },
-    ).orderBy("customer_state", "purchase_quarter")
+    ).transform(in_order, "customer_state", "purchase_quarter")
 
 
 def status_review_audit(d: Datasets) -> DataFrame:
@@ -116,7 +117,7 @@ def status_review_audit(d: Datasets) -> DataFrame:
         d.orders_in().join(d.one_review, "order_id", "left"),
         ["order_status", d.purchase_quarter],
         {"total_orders": _orders(), "avg_review_score": mean(F.col("review_score"))},
-    ).orderBy("purchase_quarter", F.desc("total_orders"), "order_status")
+    ).transform(in_order, "purchase_quarter", F.desc("total_orders"), "order_status")
 
 
 def non_delivered_drag(d: Datasets) -> DataFrame:
@@ -137,7 +138,7 @@ def non_delivered_drag(d: Datasets) -> DataFrame:
             "avg_score_delivered_only": mean(delivered_score),
             "score_drag": drag,
         },
-    ).orderBy("purchase_quarter")
+    ).transform(in_order, "purchase_quarter")
 
 
 def _reviews_received(d: Datasets) -> DataFrame:
@@ -151,7 +152,7 @@ def review_intake_by_quarter(d: Datasets) -> DataFrame:
         _reviews_received(d),
         [quarter],
         {"total_reviews": F.count(F.lit(1)), "avg_review_score": mean(F.col("review_score"))},
-    ).orderBy("review_quarter")
+    ).transform(in_order, "review_quarter")
 
 
 def review_intake_by_month(d: Datasets) -> DataFrame:
@@ -187,4 +188,4 @@ def late_rate_by_delivery_month(d: Datasets) -> DataFrame:
 
 
 def _label_month(df: DataFrame, month: str) -> DataFrame:
-    return df.withColumn(month, month_label(F.col(month))).orderBy(month)
+    return df.withColumn(month, month_label(F.col(month))).transform(in_order, month)

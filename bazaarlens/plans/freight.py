@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import rules
-from bazaarlens.functions.metrics import count_where, mean_of, pct, per_100
+from bazaarlens.functions.metrics import amount, mean_amount, pct, per_100
 from bazaarlens.operators.grain import conditional_metrics, min_support
-from bazaarlens.operators.ranking import top_n
+from bazaarlens.operators.ranking import in_order, top_n
 from bazaarlens.operators.reconcile import reconcile_totals
 from bazaarlens.plans.datasets import Datasets
 
 
-def _amount(value: Column) -> Column:
-    return value.cast("decimal(20,2)")
-
-
 def _crosses_border() -> Column:
     return F.col("seller_state") != F.col("customer_state")
 
@@ -35,18 +33,18 @@ def _items_where(condition: Column) -> Column:
 
 
 def freight_vs_gmv(d: Datasets) -> DataFrame:
-    price, freight = F.sum("items_price"), F.sum("items_freight")
+    price, freight = F.sum("price_cents"), F.sum("freight_cents")
     return conditional_metrics(
         d.delivered_totals(),
         [d.purchase_quarter],
         {
             "total_orders": F.count("order_id"),
             "total_items": F.sum("items"),
-            "total_gmv": _amount(price),
-            "total_freight": _amount(freight),
+            "total_gmv": amount(price),
+            "total_freight": amount(freight),
             "freight_to_gmv_pct": per_100(freight, price),
         },
-    ).orderBy("purchase_quarter")
+    ).transform(in_order, "purchase_quarter")
 
 
 def freight_ge_price(d: Datasets) -> DataFrame:
@@ -55,7 +53,7 @@ def freight_ge_price(d: Datasets) -> DataFrame:
         d.delivered_totals(),
         [d.purchase_quarter],
         {"total_items": items, "toxic_freight_items": toxic, "toxic_item_pct": pct(toxic, items)},
-    ).orderBy("purchase_quarter")
+    ).transform(in_order, "purchase_quarter")
 
 
 def interstate_split(d: Datasets) -> DataFrame:
@@ -68,30 +66,30 @@ def interstate_split(d: Datasets) -> DataFrame:
             "interstate_item_count": interstate,
             "interstate_item_pct": pct(interstate, items),
         },
-    ).orderBy("purchase_quarter")
+    ).transform(in_order, "purchase_quarter")
 
 
 def _freight_metrics() -> dict[str, Column]:
-    items, price, freight = F.sum("items"), F.sum("price"), F.sum("freight")
+    items, price, freight = F.sum("items"), F.sum("price_cents"), F.sum("freight_cents")
     return {
         "total_items": items,
-        "total_freight_value": _amount(freight),
-        "avg_freight_value": mean_of(freight, items),
+        "total_freight_value": amount(freight),
+        "avg_freight_value": mean_amount(freight, items),
         "freight_to_gmv_pct": per_100(freight, price),
     }
 
 
 def freight_gap(d: Datasets) -> DataFrame:
     keys = ["purchase_quarter", _shipping_type().alias("shipping_type")]
-    return conditional_metrics(d.corridors, keys, _freight_metrics()).orderBy(
-        "purchase_quarter", "shipping_type"
+    return conditional_metrics(d.corridors, keys, _freight_metrics()).transform(
+        in_order, "purchase_quarter", "shipping_type"
     )
 
 
 def toxic_freight_split(d: Datasets) -> DataFrame:
     """Items whose freight reaches their price: their freight adds up to 0 where there are none, while its
     mean is then NULL."""
-    items, toxic, freight = F.sum("items"), F.sum("toxic_items"), F.sum("toxic_freight")
+    items, toxic, freight = F.sum("items"), F.sum("toxic_items"), F.sum("toxic_freight_cents")
     return conditional_metrics(
         d.corridors,
         ["purchase_quarter", _shipping_type().alias("shipping_type")],
@@ -99,10 +97,10 @@ def toxic_freight_split(d: Datasets) -> DataFrame:
             "total_items": items,
             "toxic_item": toxic,
             "toxic_item_pct": pct(toxic, items),
-            "total_toxic_freight_value": _amount(freight),
-            "avg_toxic_freight": mean_of(freight, toxic),
+            "total_toxic_freight_value": amount(freight),
+            "avg_toxic_freight": mean_amount(freight, toxic),
         },
-    ).orderBy("purchase_quarter", "shipping_type")
+    ).transform(in_order, "purchase_quarter", "shipping_type")
 
 
 def top_corridors(d: Datasets) -> DataFrame:
@@ -122,23 +120,23 @@ def local_purchase_share(d: Datasets) -> DataFrame:
             "total_items": items,
             "local_items": local,
             "local_item_pct": pct(local, items),
-            "freight_to_gmv_pct": per_100(F.sum("freight"), F.sum("price")),
+            "freight_to_gmv_pct": per_100(F.sum("freight_cents"), F.sum("price_cents")),
         },
-    ).orderBy("local_item_pct", F.desc("total_items"), "customer_state")
+    ).transform(in_order, "local_item_pct", F.desc("total_items"), "customer_state")
 
 
 def who_pays_freight(d: Datasets) -> DataFrame:
     """Orders whose payments equal price plus freight. Either side is one row per order before they meet."""
     charged = d.delivered_totals().select(
         "order_id",
-        F.col("items_price").alias("total_price"),
-        F.col("items_freight").alias("total_freight"),
+        F.col("price_cents").alias("total_price"),
+        F.col("freight_cents").alias("total_freight"),
     )
+    paid = d.payment_totals.select("order_id", F.col("paid_cents").alias("total_paid"))
     due = F.col("total_price") + F.col("total_freight")
-    matched = reconcile_totals(
-        charged, d.payment_totals, "order_id", due, F.col("total_paid"), d.params.match_tolerance
-    )
+    within_cents = ceil(d.params.match_tolerance * 100)
+    matched = reconcile_totals(charged, paid, "order_id", due, F.col("total_paid"), within_cents)
     amounts = ("total_price", "total_freight", "total_paid")
     return matched.select(
-        "total_orders", "matched_orders", "matched_pct", *(_amount(F.col(a)).alias(a) for a in amounts)
+        "total_orders", "matched_orders", "matched_pct", *(amount(F.col(name)).alias(name) for name in amounts)
     )

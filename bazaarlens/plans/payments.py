@@ -6,35 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import rules
-from bazaarlens.functions.metrics import count_where, mean_of, pct, ratio
+from bazaarlens.functions.metrics import amount, count_where, mean_amount, pct, ratio
 from bazaarlens.operators.cohort import cohort_repeat, started_with
 from bazaarlens.operators.grain import conditional_metrics, distinct_pairs, one_per
-from bazaarlens.operators.ranking import share_of_total
+from bazaarlens.operators.ranking import in_order, share_of_total
 from bazaarlens.plans.datasets import Datasets
 
 
-def _amount(value: Column) -> Column:
-    return value.cast("decimal(20,2)")
-
-
 def _defined() -> Column:
     return F.col("payment_type") != rules.UNDEFINED_PAYMENT
 
 
 def payment_breakdown(d: Datasets) -> DataFrame:
     """Orders and money per payment type. Rows are one per order and type, so orders are counted once."""
-    paid, orders = F.sum("paid"), F.count("order_id")
+    paid, orders = F.sum("paid_cents"), F.count("order_id")
     types = conditional_metrics(
         d.delivered_orders().select("order_id").join(d.order_payment_types.filter(_defined()), "order_id"),
         ["payment_type"],
         {
             "total_orders": orders,
-            "total_paid": _amount(paid),
-            "avg_paid_per_order": mean_of(paid, orders),
+            "total_paid": amount(paid),
+            "avg_paid_per_order": mean_amount(paid, orders),
         },
     )
-    return share_of_total(types, "total_paid", "paid_share_pct").orderBy(
-        F.desc("total_paid"), "payment_type"
+    return share_of_total(types, "total_paid", "paid_share_pct").transform(
+        in_order, F.desc("total_paid"), "payment_type"
     )
 
 
@@ -60,7 +56,7 @@ def approval_latency(d: Datasets) -> DataFrame:
             "avg_approval_days": mean_in(60 * 24),
             "over_24h_pct": pct(count_where(minutes > d.params.slow_approval_minutes), orders),
         },
-    ).orderBy(F.desc("avg_approval_hours"), "payment_type")
+    ).transform(in_order, F.desc("avg_approval_hours"), "payment_type")
 
 
 def order_loss(d: Datasets) -> DataFrame:
@@ -71,7 +67,7 @@ def order_loss(d: Datasets) -> DataFrame:
         d.orders_in().select("order_id", rules.is_lost().alias("lost")).join(types, "order_id"),
         ["payment_type"],
         {"total_orders": orders, "lost_orders": lost, "lost_pct": pct(lost, orders)},
-    ).orderBy(F.desc("total_orders"), "payment_type")
+    ).transform(in_order, F.desc("total_orders"), "payment_type")
 
 
 _SEGMENT = "customer_loyalty_segment"
@@ -82,7 +78,7 @@ def customer_frequency(d: Datasets) -> DataFrame:
     segments = conditional_metrics(
         d.orders_per_person(), [segment], {"total_unique_customers": F.count("customer_unique_id")}
     )
-    return share_of_total(segments, "total_unique_customers", "customer_share_pct").orderBy(_SEGMENT)
+    return share_of_total(segments, "total_unique_customers", "customer_share_pct").transform(in_order, _SEGMENT)
 
 
 def cohort_revenue(d: Datasets) -> DataFrame:
@@ -97,7 +93,7 @@ def cohort_revenue(d: Datasets) -> DataFrame:
     per_person = one_per(
         paid_orders,
         ["customer_unique_id"],
-        {"total_orders": F.count("order_id"), "spend": F.sum("total_paid")},
+        {"total_orders": F.count("order_id"), "spend": F.sum("paid_cents")},
     )
     spend, customers = F.sum("spend"), F.count("customer_unique_id")
     segments = conditional_metrics(
@@ -105,9 +101,9 @@ def cohort_revenue(d: Datasets) -> DataFrame:
         [rules.loyalty_segment(F.col("total_orders")).alias(_SEGMENT)],
         {
             "total_customers": customers,
-            "total_paid": _amount(spend),
-            "avg_paid_per_order": mean_of(spend, F.sum("total_orders")),
-            "avg_paid_per_customer": mean_of(spend, F.count("spend")),
+            "total_paid": amount(spend),
+            "avg_paid_per_order": mean_amount(spend, F.sum("total_orders")),
+            "avg_paid_per_customer": mean_amount(spend, F.count("spend")),
         },
     )
     return (
@@ -120,12 +116,12 @@ def cohort_revenue(d: Datasets) -> DataFrame:
             "avg_paid_per_order",
             "avg_paid_per_customer",
         )
-        .orderBy(_SEGMENT)
+        .transform(in_order, _SEGMENT)
     )
 
 
 def repeat_by_first_payment(d: Datasets) -> DataFrame:
     started = started_with(d.first_orders, d.main_payment)
-    return cohort_repeat(started, "payment_type", "first_order_payment").orderBy(
-        F.desc("total_customers"), "first_order_payment"
+    return cohort_repeat(started, "payment_type", "first_order_payment").transform(
+        in_order, F.desc("total_customers"), "first_order_payment"
     )

@@ -10,7 +10,7 @@ from bazaarlens.functions.metrics import count_where, mean, mean_of, pct
 from bazaarlens.functions.rules import at_least_share, segment_by_rules
 from bazaarlens.operators.grain import conditional_metrics, min_support, one_per
 from bazaarlens.operators.quality import dq_count
-from bazaarlens.operators.ranking import dense_rank_desc, share_of_total, top_n
+from bazaarlens.operators.ranking import dense_rank_desc, in_order, share_of_total, top_n
 from bazaarlens.operators.skew import salted_join
 from bazaarlens.params import Period
 from bazaarlens.plans.datasets import Datasets, stored
@@ -31,7 +31,7 @@ def dispatch_baseline(d: Datasets) -> DataFrame:
             "breached_dispatches": breached,
             "dispatch_breach_pct": pct(breached, _items()),
         },
-    ).orderBy("purchase_quarter")
+    ).transform(in_order, "purchase_quarter")
 
 
 def fulfillment_matrix(d: Datasets) -> DataFrame:
@@ -41,7 +41,7 @@ def fulfillment_matrix(d: Datasets) -> DataFrame:
         [rules.fulfillment_bucket().alias("fulfillment_attribution")],
         {"total_items": _items()},
     )
-    return share_of_total(buckets, "total_items", "pct_of_total").orderBy("fulfillment_attribution")
+    return share_of_total(buckets, "total_items", "pct_of_total").transform(in_order, "fulfillment_attribution")
 
 
 def _seller_record(d: Datasets, period: Period) -> DataFrame:
@@ -81,7 +81,7 @@ def top_breachers(d: Datasets) -> DataFrame:
     breachers = min_support(_seller_record(d, d.params.earlier), "breached_items", 1)
     leading = top_n(breachers, [F.desc("breached_items"), F.asc("seller_id")], d.params.top_n)
     ranked = dense_rank_desc(leading, "breached_items", "breached_ranks")
-    return _with_breach_pct(ranked).select("breached_ranks", *_RECORD).orderBy("breached_ranks", "seller_id")
+    return _with_breach_pct(ranked).select("breached_ranks", *_RECORD).transform(in_order, "breached_ranks", "seller_id")
 
 
 def _with_history(d: Datasets) -> DataFrame:
@@ -153,7 +153,7 @@ def review_by_bucket(d: Datasets) -> DataFrame:
             "avg_review_score": mean(F.col("review_score")),
             "one_star_pct": pct(count_where(_score_below_two()), _items()),
         },
-    ).orderBy("fulfillment_attribution")
+    ).transform(in_order, "fulfillment_attribution")
 
 
 def review_by_seller_group(d: Datasets) -> DataFrame:
@@ -200,7 +200,7 @@ def review_by_seller_group(d: Datasets) -> DataFrame:
             "avg_review_score": mean_of(F.sum("score_sum"), F.sum("scores")),
             "one_star_pct": pct(F.sum("low_scores"), F.sum("reviewed_items")),
         },
-    ).orderBy("seller_group")
+    ).transform(in_order, "seller_group")
 
 
 def dq_carrier_before_approval(d: Datasets) -> DataFrame:

@@ -8,17 +8,39 @@ from __future__ import annotations
 
 from datetime import datetime
 from decimal import Decimal
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.periods import moment
 from bazaarlens.functions.rules import is_late
-from bazaarlens.marketplace import Marketplace
 from bazaarlens.params import Params, Period
 
 _REGIME_CHANGE = datetime(1998, 4, 1)
 
+# Declared, so that no file is opened before a query runs.
+STAR_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": (
+        "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    ),
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": (
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+        "l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+}
+
 # Periods inside the data, and thresholds that suit its volume.
 STAR_PARAMS = Params(
     earlier=Period("1998-Q1", datetime(1998, 1, 1), datetime(1998, 4, 1)),
@@ -31,7 +53,7 @@ STAR_PARAMS = Params(
 
 
 def _after(ts: Column, minutes: Column) -> Column:
-    return ts + F.make_dt_interval(mins=minutes.cast("int"))
+    return ts + minutes * F.expr("INTERVAL '1' MINUTE")
 
 
 def _unless(missing: Column, value: Column) -> Column:
@@ -42,10 +64,9 @@ def _orders(orders: DataFrame) -> DataFrame:
     key = F.col("o_orderkey")
     purchase = _after(F.col("o_orderdate"), (key * 37) % 1440)
     handover, transit = (key * 61) % 9000, (key * 71) % 33120
-    status = F.element_at(
-        F.array(*map(F.lit, ("canceled", "unavailable", "shipped", "invoiced", "processing", "delivered"))),
-        F.least((key % 40).cast("int"), F.lit(5)) + 1,
-    )
+    status = F.lit("delivered")
+    for slot, lesser in enumerate(("canceled", "unavailable", "shipped", "invoiced", "processing")):
+        status = F.when(key % 40 == slot, F.lit(lesser)).otherwise(status)
     return orders.select(
         key.alias("order_id"),
         key.alias("customer_id"),
@@ -148,47 +169,73 @@ def _products(part: DataFrame) -> DataFrame:
     )
 
 
-def star_marketplace(spark: SparkSession, sf_dir: str) -> Marketplace:
-    """The marketplace tables over a folder of star-schema Parquet files."""
-    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
-    star = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names}
-    places = star["nation"].join(star["region"], F.col("n_regionkey") == F.col("r_regionkey"))
-    places = places.select("n_nationkey", "r_name")
-    orders = _orders(star["orders"])
-    items = _order_items(star["lineitem"], star["orders"])
-    person = F.col("o_custkey") * 17 + F.col("o_orderkey") % 17
-    customers = (
-        star["orders"]
-        .join(star["customer"], F.col("o_custkey") == F.col("c_custkey"))
-        .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(
-            F.col("o_orderkey").alias("customer_id"),
-            person.alias("customer_unique_id"),
-            F.col("r_name").alias("customer_state"),
+class StarMarketplace:
+    """The marketplace tables over a folder of star-schema Parquet files, each planned when first asked for."""
+
+    geolocation = None
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self._spark = spark
+        self._dir = sf_dir
+
+    def _star(self, table: str) -> DataFrame:
+        return self._spark.read.schema(STAR_SCHEMAS[table]).parquet(f"{self._dir}/{table}.parquet")
+
+    def _places(self) -> DataFrame:
+        regions = self._star("region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+        return self._star("nation").join(regions, "n_regionkey").select("n_nationkey", "r_name")
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return _orders(self._star("orders"))
+
+    @cached_property
+    def order_items(self) -> DataFrame:
+        return _order_items(self._star("lineitem"), self._star("orders"))
+
+    @cached_property
+    def order_payments(self) -> DataFrame:
+        return _order_payments(self.orders, self.order_items)
+
+    @cached_property
+    def order_reviews(self) -> DataFrame:
+        return _order_reviews(self.orders)
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        person = F.col("o_custkey") * 17 + F.col("o_orderkey") % 17
+        return (
+            self._star("orders")
+            .join(self._star("customer"), F.col("o_custkey") == F.col("c_custkey"))
+            .join(self._places(), F.col("c_nationkey") == F.col("n_nationkey"))
+            .select(
+                F.col("o_orderkey").alias("customer_id"),
+                person.alias("customer_unique_id"),
+                F.col("r_name").alias("customer_state"),
+            )
         )
-    )
-    sellers = (
-        star["supplier"]
-        .join(places, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select(F.col("s_suppkey").alias("seller_id"), F.col("r_name").alias("seller_state"))
-    )
-    english = F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit("_")))
-    translation = (
-        star["part"]
-        .filter(~F.col("p_brand").isin("Brand#3", "Brand#7"))
-        .select(
-            F.col("p_brand").alias("product_category_name"),
-            english.alias("product_category_name_english"),
+
+    @cached_property
+    def sellers(self) -> DataFrame:
+        return (
+            self._star("supplier")
+            .join(self._places(), F.col("s_nationkey") == F.col("n_nationkey"))
+            .select(F.col("s_suppkey").alias("seller_id"), F.col("r_name").alias("seller_state"))
+        )
+
+    @cached_property
+    def products(self) -> DataFrame:
+        return _products(self._star("part"))
+
+    @cached_property
+    def category_translation(self) -> DataFrame:
+        english = F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit("_")))
+        return (
+            self._star("part")
+            .filter(~F.col("p_brand").isin("Brand#3", "Brand#7"))
+            .select(
+                F.col("p_brand").alias("product_category_name"),
+                english.alias("product_category_name_english"),
+            )
+            .distinct()
         )
-        .distinct()
-    )
-    return Marketplace(
-        orders=orders,
-        order_items=items,
-        order_payments=_order_payments(orders, items),
-        order_reviews=_order_reviews(orders),
-        customers=customers,
-        sellers=sellers,
-        products=_products(star["part"]),
-        category_translation=translation,
-    )

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.periods import month_start
-from bazaarlens.marketplace import Marketplace
 from bazaarlens.schemas import ORDERS_PARTITION
 from bazaarlens.session import build_session
 from bazaarlens.sources.raw_csv import RAW_FILES, read_raw
@@ -36,9 +35,19 @@ def load_raw(spark: SparkSession, raw_dir: str, warehouse_dir: str) -> None:
         store_table(read_raw(spark, raw_dir, table), warehouse_dir, table)
 
 
-def open_warehouse(spark: SparkSession, warehouse_dir: str) -> Marketplace:
-    """The stored tables."""
-    return Marketplace(**{table: spark.read.parquet(f"{warehouse_dir}/{table}") for table in RAW_FILES})
+class StoredMarketplace:
+    """The stored tables, each opened when first asked for."""
+
+    def __init__(self, spark: SparkSession, warehouse_dir: str) -> None:
+        self._spark = spark
+        self._dir = warehouse_dir
+
+    def __getattr__(self, table: str) -> DataFrame:
+        if table not in RAW_FILES:
+            raise AttributeError(table)
+        df = self._spark.read.parquet(f"{self._dir}/{table}")
+        setattr(self, table, df)
+        return df
 
 
 def main() -> None:
