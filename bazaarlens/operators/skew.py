@@ -12,23 +12,33 @@ from pyspark.sql import functions as F
 
 # Rows of one key from which it is split, and the size of a piece.
 HOT_ROWS = 1_000_000
-# Most keys that can be reported; this bounds what is broadcast.
-MOST_HOT_KEYS = 4096
-_TRACKED = 65536
+# The scan's tasks are counted in this many groups, with this many leading keys reported by each; together
+# they bound the list of hot keys that is broadcast.
+_GROUPS = 256
+_LEADING = 1024
+# Keys a group keeps count of: any key with 1 of 2,500 of its rows is certain to be among them.
+_TRACKED = 16384
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with about ``hot_rows`` rows or more and the number of pieces to cut each into.
 
-    A mergeable frequent-items sketch over the key column alone: one narrow scan and no shuffle of rows.
-    The counts are estimates, and only decide where rows go, never which rows there are.
+    Frequent-items sketches over the key column alone: one narrow scan, and what is shuffled is one sketch
+    of bounded size per task. The counts are estimates, and only decide where rows go, never which rows
+    there are.
     """
-    sketch = F.call_function("approx_top_k", F.col(key), F.lit(MOST_HOT_KEYS), F.lit(_TRACKED))
+    group = F.pmod(F.spark_partition_id(), F.lit(_GROUPS)).alias("_group")
+    leading = F.call_function("approx_top_k", F.col(key), F.lit(_LEADING), F.lit(_TRACKED))
+    rows = F.sum("_rows")
     return (
-        df.agg(sketch.alias("_top"))
-        .select(F.inline("_top").alias("_hot", "_rows"))
-        .filter((F.col("_rows") >= hot_rows) & F.col("_hot").isNotNull())
-        .select("_hot", F.ceil(F.col("_rows") / F.lit(hot_rows)).cast("int").alias("_pieces"))
+        df.filter(F.col(key).isNotNull())
+        .groupBy(group)
+        .agg(leading.alias("_leading"))
+        .select(F.inline("_leading").alias("_hot", "_rows"))
+        .groupBy("_hot")
+        .agg(F.ceil(rows / F.lit(hot_rows)).cast("int").alias("_pieces"), rows.alias("_rows"))
+        .filter(F.col("_rows") >= hot_rows)
+        .select("_hot", "_pieces")
     )
 
 
@@ -36,8 +46,8 @@ def salted_join(facts: DataFrame, lookup: DataFrame, key: str, hot_rows: int = H
     """Inner join on ``key``, where ``lookup`` has one row per key and ``facts`` may have any number.
 
     Rows of a hot key are spread over its pieces by a hash of the whole row, the same on every attempt, and
-    the lookup row is repeated once per piece. All other keys have one piece. The list of hot keys is at
-    most :data:`MOST_HOT_KEYS` rows, so it is safe to broadcast.
+    the lookup row is repeated once per piece. All other keys have one piece. The list of hot keys is bounded
+    whatever the size of the table (see above), so it is safe to broadcast.
     """
     hot = F.broadcast(hot_keys(facts, key, hot_rows))
     piece = F.when(F.col("_pieces") > 1, F.pmod(F.xxhash64(*facts.columns), F.col("_pieces")).cast("int"))

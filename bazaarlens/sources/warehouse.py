@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,11 @@ def store_table(df: DataFrame, warehouse_dir: str, table: str) -> None:
         df.write.mode("overwrite").parquet(path)
 
 
-def load_raw(spark: SparkSession, raw_dir: str, warehouse_dir: str) -> None:
-    """Full refresh of all nine tables from the raw files."""
-    for table in RAW_FILES:
+def load_raw(
+    spark: SparkSession, raw_dir: str, warehouse_dir: str, tables: Iterable[str] = tuple(RAW_FILES)
+) -> None:
+    """Full refresh of the tables (all nine unless named) from the raw files."""
+    for table in tables:
         store_table(read_raw(spark, raw_dir, table), warehouse_dir, table)
 
 
