@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.params import Period
+from bazaarlens.schemas import FACTS_PARTITION
 
-# Coarse copies of the purchase time that a stored orders table may carry, each the timestamp rounded
+# Coarse copies of the purchase time that stored tables may carry, each the timestamp rounded
 # down. A predicate on them prunes directories or row groups; Catalyst cannot infer it from the exact one.
-COARSE_PURCHASE_COLUMNS = {"purchase_month": "MONTH", "purchase_day": "DAY"}
+COARSE_PURCHASE_COLUMNS = {"purchase_month": "MONTH", "purchase_day": "DAY", FACTS_PARTITION: "MONTH"}
 
 
 def moment(value: datetime) -> Column:
@@ -34,18 +35,33 @@ def period_bucket(ts: Column, periods: Sequence[Period]) -> Column:
     return bucket
 
 
+def _reaches(coarse: str, period: Period) -> Column:
+    """Whether a rounded-down time can belong to one in the period."""
+    floor = period.start.replace(hour=0, minute=0, second=0, microsecond=0)
+    if COARSE_PURCHASE_COLUMNS[coarse] == "MONTH":
+        floor = floor.replace(day=1)
+    return (F.col(coarse) >= moment(floor)) & (F.col(coarse) < moment(period.end))
+
+
 def purchased_within(orders: DataFrame, period: Period) -> Column:
     """Purchase-time range, repeated on the coarse column if the table has one."""
     condition = within(F.col("order_purchase_timestamp"), period)
-    for name, unit in COARSE_PURCHASE_COLUMNS.items():
+    for name in COARSE_PURCHASE_COLUMNS:
         if name in orders.columns:
-            floor = period.start.replace(hour=0, minute=0, second=0, microsecond=0)
-            if unit == "MONTH":
-                floor = floor.replace(day=1)
-            condition = condition & (F.col(name) >= moment(floor)) & (F.col(name) < moment(period.end))
+            condition = condition & _reaches(name, period)
     return condition
 
 
+def facts_around(facts: DataFrame, period: Period) -> DataFrame:
+    """Items, payments or reviews without the months whose orders cannot fall in the period.
+
+    Only a table stored by month has anything to leave out; which rows count is decided by their order.
+    """
+    if FACTS_PARTITION not in facts.columns:
+        return facts
+    return facts.filter(_reaches(FACTS_PARTITION, period)).drop(FACTS_PARTITION)
+
+
 def month_start(ts: Column) -> Column:
     """First day of the month, as a DATE: a fixed-width grouping key."""
     return F.trunc(F.to_date(ts), "month")

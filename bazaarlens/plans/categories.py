@@ -66,9 +66,9 @@ def _punctual_reviews(d: Datasets) -> DataFrame:
         d.delivered_orders()
         .filter(rules.is_punctual())
         .select("order_id")
-        .join(d.one_review, "order_id")
+        .join(d.order_scores, "order_id")
     )
-    items = d.tables.order_items.select("order_id", "order_item_id", "product_id")
+    items = d.items_around().select("order_id", "order_item_id", "product_id")
     categories = d.product_categories.select("product_id", "category_name")
     labeled = salted_join(items, reviewed, "order_id").join(categories, "product_id")
     return distinct_pairs(labeled, "order_id", "category_name", "review_score")

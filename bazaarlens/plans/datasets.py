@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cached_property
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import rules
 from bazaarlens.functions.metrics import cents, count_where, sum_where
-from bazaarlens.functions.periods import period_bucket, purchased_within, within
+from bazaarlens.functions.periods import facts_around, period_bucket, purchased_within, within
 from bazaarlens.marketplace import Marketplace
 from bazaarlens.operators.grain import first_record_with_total, main_record, numbered_records, one_per
 from bazaarlens.params import Params, Period
@@ -22,14 +23,13 @@ from bazaarlens.session import shared_dir
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write the rows to the cluster's shared checkpoint folder and go on from there.
+    """Write the rows to a table in the cluster's shared checkpoint folder and go on from there.
 
-    Later jobs then read the files, also after executors were lost.
+    Later jobs then read the files, and only the columns they need, also after executors were lost.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Datasets:
@@ -60,14 +60,26 @@ class Datasets:
 
     # --- Reviews ------------------------------------------------------------------------------------
 
-    @cached_property
+    def _score_per_order(self, reviews: DataFrame) -> DataFrame:
+        score = F.avg("review_score").cast("decimal(8,4)")
+        return one_per(reviews, ["order_id"], {"review_score": score})
+
+    @property
     def one_review(self) -> DataFrame:
         """One score per order: the mean, to 4 decimals, where an order was reviewed more than once."""
-        score = F.avg("review_score").cast("decimal(8,4)")
-        return self._keep(one_per(self.tables.order_reviews, ["order_id"], {"review_score": score}))
+        return self._score_per_order(self.tables.order_reviews)
+
+    @cached_property
+    def order_scores(self) -> DataFrame:
+        """The same for orders of both quarters (and others, where reviews are not stored by month)."""
+        return self._keep(self._score_per_order(facts_around(self.tables.order_reviews, self.params.whole)))
 
     # --- Items with their order ---------------------------------------------------------------------
 
+    def items_around(self, period: Period | None = None) -> DataFrame:
+        """Items to be joined to orders of the period."""
+        return facts_around(self.tables.order_items, period or self.params.whole)
+
     def dispatched_items(self, period: Period | None = None) -> DataFrame:
         """Items of delivered orders that have a carrier handover, with the order's times.
 
@@ -75,7 +87,7 @@ class Datasets:
         execution can split an order with very many items.
         """
         handed_over = self.delivered_orders(period).filter(F.col("order_delivered_carrier_date").isNotNull())
-        return handed_over.join(self.tables.order_items, "order_id")
+        return handed_over.join(self.items_around(period), "order_id")
 
     @cached_property
     def seller_quarters(self) -> DataFrame:
@@ -99,13 +111,13 @@ class Datasets:
 
     @cached_property
     def item_totals(self) -> DataFrame:
-        """Per order, over all items: number, price, freight, and items whose freight reaches the price.
+        """Per order, over all its items: number, price, freight, and items whose freight reaches the price.
 
         Items are added up before they meet their order, so an order of any size sends one row per task.
         """
         return self._keep(
             one_per(
-                self.tables.order_items,
+                self.items_around(),
                 ["order_id"],
                 {
                     "items": F.count("order_item_id"),
@@ -136,7 +148,7 @@ class Datasets:
         )
         heavy = rules.freight_covers_price()
         by_seller = one_per(
-            placed.join(self.tables.order_items, "order_id"),
+            placed.join(self.items_around(), "order_id"),
             ["purchase_quarter", "seller_id", "customer_state"],
             {
                 "items": F.count("order_item_id"),
@@ -160,24 +172,22 @@ class Datasets:
 
     @cached_property
     def order_payment_types(self) -> DataFrame:
-        """One row per order and payment type, with the amount."""
+        """One row per order and payment type, with the amount, for orders of both quarters."""
         return self._keep(
             one_per(
-                self.tables.order_payments,
+                facts_around(self.tables.order_payments, self.params.whole),
                 ["order_id", "payment_type"],
                 {"paid_cents": F.sum(cents(F.col("payment_value")))},
             )
         )
 
-    @cached_property
-    def payment_totals(self) -> DataFrame:
-        """One row per order with all it paid."""
-        return self._keep(
-            one_per(
-                self.tables.order_payments,
-                ["order_id"],
-                {"paid_cents": F.sum(cents(F.col("payment_value")))},
-            )
+    def payment_totals(self, period: Period | None = None) -> DataFrame:
+        """One row per order with all it paid; of the whole history unless a period is named."""
+        payments = self.tables.order_payments
+        return one_per(
+            payments if period is None else facts_around(payments, period),
+            ["order_id"],
+            {"paid_cents": F.sum(cents(F.col("payment_value")))},
         )
 
     @cached_property
@@ -239,7 +249,7 @@ class Datasets:
         return (
             self.delivered_orders()
             .select("order_id")
-            .join(self.tables.order_items, "order_id")
+            .join(self.items_around(), "order_id")
             .join(self._category_of_product(), "product_id")
             .select("order_id", "order_item_id", "product_id", "price", "category_name")
         )
@@ -261,7 +271,7 @@ class Datasets:
         and its weight and volume count once per item sold.
         """
         by_product = one_per(
-            self.delivered_orders().select("order_id").join(self.tables.order_items, "order_id"),
+            self.delivered_orders().select("order_id").join(self.items_around(), "order_id"),
             ["product_id"],
             {
                 "sold": F.count("order_item_id"),

@@ -92,7 +92,7 @@ def leg_durations_by_lateness(d: Datasets) -> DataFrame:
 def review_by_lateness(d: Datasets) -> DataFrame:
     keys = [d.purchase_quarter, rules.delivery_status().alias("delivery_status")]
     return conditional_metrics(
-        _arrived(d).join(d.one_review, "order_id"),
+        _arrived(d).join(d.order_scores, "order_id"),
         keys,
         {"total_orders": _orders(), "avg_review_score": mean(F.col("review_score"))},
     ).transform(in_order, "purchase_quarter", "delivery_status")
@@ -101,7 +101,7 @@ def review_by_lateness(d: Datasets) -> DataFrame:
 def regional_performance(d: Datasets) -> DataFrame:
     states = d.tables.customers.select("customer_id", "customer_state")
     return conditional_metrics(
-        _arrived(d).join(d.one_review, "order_id").join(states, "customer_id"),
+        _arrived(d).join(d.order_scores, "order_id").join(states, "customer_id"),
         ["customer_state", d.purchase_quarter],
         {
             "late_order_pct": _late_pct(),
@@ -114,7 +114,7 @@ def regional_performance(d: Datasets) -> DataFrame:
 def status_review_audit(d: Datasets) -> DataFrame:
     """Orders of every status; those without a review count, but not in the mean."""
     return conditional_metrics(
-        d.orders_in().join(d.one_review, "order_id", "left"),
+        d.orders_in().join(d.order_scores, "order_id", "left"),
         ["order_status", d.purchase_quarter],
         {"total_orders": _orders(), "avg_review_score": mean(F.col("review_score"))},
     ).transform(in_order, "purchase_quarter", F.desc("total_orders"), "order_status")
@@ -130,7 +130,7 @@ def non_delivered_drag(d: Datasets) -> DataFrame:
 
     drag = F.round(unrounded(score) - unrounded(delivered_score), 2).cast("decimal(20,2)")
     return conditional_metrics(
-        d.orders_in().join(d.one_review, "order_id", "left"),
+        d.orders_in().join(d.order_scores, "order_id", "left"),
         [d.purchase_quarter],
         {
             "reviewed_orders": F.count(score),

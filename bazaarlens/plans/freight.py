@@ -132,7 +132,7 @@ def who_pays_freight(d: Datasets) -> DataFrame:
         F.col("price_cents").alias("total_price"),
         F.col("freight_cents").alias("total_freight"),
     )
-    paid = d.payment_totals.select("order_id", F.col("paid_cents").alias("total_paid"))
+    paid = d.payment_totals(d.params.whole).select("order_id", F.col("paid_cents").alias("total_paid"))
     due = F.col("total_price") + F.col("total_freight")
     within_cents = ceil(d.params.match_tolerance * 100)
     matched = reconcile_totals(charged, paid, "order_id", due, F.col("total_paid"), within_cents)

@@ -87,7 +87,7 @@ def cohort_revenue(d: Datasets) -> DataFrame:
     paid_orders = (
         d.tables.orders.filter(rules.is_delivered())
         .select("order_id", "customer_id")
-        .join(d.payment_totals, "order_id")
+        .join(d.payment_totals(), "order_id")
         .join(people, "customer_id")
     )
     per_person = one_per(

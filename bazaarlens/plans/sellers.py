@@ -142,9 +142,9 @@ def review_by_bucket(d: Datasets) -> DataFrame:
             "order_delivered_customer_date",
             "order_estimated_delivery_date",
         )
-        .join(d.one_review, "order_id")
+        .join(d.order_scores, "order_id")
     )
-    items = d.tables.order_items.select("order_id", "order_item_id", "shipping_limit_date", "seller_id")
+    items = d.items_around(d.params.later).select("order_id", "order_item_id", "shipping_limit_date", "seller_id")
     return conditional_metrics(
         salted_join(items, reviewed, "order_id"),
         [rules.fulfillment_bucket().alias("fulfillment_attribution")],
@@ -167,9 +167,9 @@ def review_by_seller_group(d: Datasets) -> DataFrame:
         d.delivered_orders(p.later)
         .filter(F.col("order_delivered_carrier_date").isNotNull())
         .select("order_id", "order_delivered_carrier_date")
-        .join(d.one_review.withColumn("reviewed", F.lit(True)), "order_id", "left")
+        .join(d.order_scores.withColumn("reviewed", F.lit(True)), "order_id", "left")
     )
-    items = d.tables.order_items.select("order_id", "order_item_id", "shipping_limit_date", "seller_id")
+    items = d.items_around(d.params.later).select("order_id", "order_item_id", "shipping_limit_date", "seller_id")
     reviewed = F.col("reviewed")
     sellers = one_per(
         salted_join(items, scored, "order_id"),

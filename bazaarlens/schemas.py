@@ -63,5 +63,8 @@ COLUMN_TYPES: dict[str, dict[str, str]] = {
     },
 }
 
-# Directory key of the stored orders table, derived at load time.
+# Directory keys of the stored tables, derived at load time: the month an order was bought in, for orders
+# and for the tables with several rows per order.
 ORDERS_PARTITION = "purchase_month"
+FACTS_PARTITION = "order_month"
+FACT_TABLES = ("order_items", "order_payments", "order_reviews")

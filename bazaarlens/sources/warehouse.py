@@ -9,27 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.periods import month_start
-from bazaarlens.schemas import ORDERS_PARTITION
+from bazaarlens.schemas import FACT_TABLES, FACTS_PARTITION, ORDERS_PARTITION
 from bazaarlens.session import build_session
 from bazaarlens.sources.raw_csv import RAW_FILES, read_raw
 
 
 def store_table(df: DataFrame, warehouse_dir: str, table: str) -> None:
-    """Replace one stored table.
+    """Replace one stored table; orders must be stored before the tables with several rows per order.
 
-    Orders are kept by purchase month, so that a job on two quarters opens six directories. The rebalance
-    hint sizes the files at run time: a busy month is written by several tasks, quiet ones share a task.
+    Orders and those tables are kept by the month of the purchase, so that a job on two quarters opens six
+    directories of each. Rows without a known order are kept, in a directory of their own.
     """
     path = f"{warehouse_dir}/{table}"
     if table == "orders":
-        by_month = df.withColumn(ORDERS_PARTITION, month_start(F.col("order_purchase_timestamp")))
-        by_month.hint("rebalance", F.col(ORDERS_PARTITION)).write.mode("overwrite").partitionBy(
-            ORDERS_PARTITION
-        ).parquet(path)
+        month = month_start(F.col("order_purchase_timestamp"))
+        _write_by(df.withColumn(ORDERS_PARTITION, month), ORDERS_PARTITION, path)
+    elif table in FACT_TABLES:
+        months = df.sparkSession.read.parquet(f"{warehouse_dir}/orders").select(
+            "order_id", F.col(ORDERS_PARTITION).alias(FACTS_PARTITION)
+        )
+        _write_by(df.join(months, "order_id", "left"), FACTS_PARTITION, path)
     else:
         df.write.mode("overwrite").parquet(path)
 
 
+def _write_by(df: DataFrame, partition: str, path: str) -> None:
+    """Partitioned write. The rebalance hint sizes the files at run time: a busy month is written by several
+    tasks, quiet ones share a task."""
+    balanced = df.hint("rebalance", F.col(partition))
+    balanced.write.mode("overwrite").partitionBy(partition).parquet(path)
+
+
 def load_raw(
     spark: SparkSession, raw_dir: str, warehouse_dir: str, tables: Iterable[str] = tuple(RAW_FILES)
 ) -> None:
