@@ -19,6 +19,8 @@ def spark(tmp_path_factory):
         **{
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "6g",
+            "spark.sql.maxMetadataStringLength": "100000",
+            "spark.sql.debug.maxToStringFields": "1000",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("spark-warehouse")),
         },
