@@ -73,24 +73,22 @@ def numbered_records(
 
     Equal to ``row_number`` and ``count`` over the owner, but an owner's rows are never gathered in one
     task: rows are numbered within (owner, day), and the owner's earlier days, already counted, are added.
-    The per-owner window then runs over days, whose number the calendar bounds.
+    The per-owner window then runs over days, whose number the calendar bounds. Both halves read the same
+    shuffle by (owner, day).
     """
-    by_day = records.withColumn("_day", F.to_date(at))
-    days = W.partitionBy(owner).orderBy("_day")
-    per_day = (
-        by_day.groupBy(owner, "_day")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            F.col(owner).alias("_owner"),
-            F.col("_day").alias("_on"),
-            F.coalesce(
-                F.sum("_n").over(days.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("bigint")
-            ).alias("_before"),
-            F.sum("_n").over(W.partitionBy(owner)).alias(total),
-        )
+    day = W.partitionBy(owner, "_day")
+    numbered = (
+        records.withColumn("_day", F.to_date(at))
+        .withColumn("_position", F.row_number().over(day.orderBy(at, record)))
+        .withColumn("_n", F.count(F.lit(1)).over(day))
+    )
+    earlier = W.partitionBy(owner).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
+    per_day = numbered.filter(F.col("_position") == F.col("_n")).select(
+        F.col(owner).alias("_owner"),
+        F.col("_day").alias("_on"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("bigint")).alias("_before"),
+        F.sum("_n").over(W.partitionBy(owner)).alias(total),
     )
-    within_day = F.row_number().over(W.partitionBy(owner, "_day").orderBy(at, record))
-    numbered = by_day.withColumn("_position", within_day)
     return numbered.join(
         per_day, F.col(owner).eqNullSafe(F.col("_owner")) & F.col("_day").eqNullSafe(F.col("_on"))
     ).select(*records.columns, (F.col("_before") + F.col("_position")).alias(number), total)

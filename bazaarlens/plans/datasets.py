@@ -256,11 +256,12 @@ class Datasets:
 
     @cached_property
     def main_category(self) -> DataFrame:
-        """Category of the priciest item of each order, of any status and date."""
-        priced = self.tables.order_items.select("order_id", "order_item_id", "product_id", "price").join(
-            self._category_of_product(), "product_id"
+        """Category of the priciest item of each order, of any status and date; equal prices by item."""
+        priced = (
+            self.tables.order_items.join(self._category_of_product(), "product_id")
+            .select("order_id", "order_item_id", "price", "category_name")
         )
-        order = [F.col("price").desc(), F.col("order_item_id").asc(), F.col("product_id").asc()]
+        order = [F.col("price").desc(), F.col("order_item_id").asc(), F.col("category_name").asc()]
         return self._keep(main_record(priced, "order_id", order).select("order_id", "category_name", "price"))
 
     @cached_property

@@ -56,6 +56,12 @@ def _after(ts: Column, minutes: Column) -> Column:
     return ts + minutes * F.expr("INTERVAL '1' MINUTE")
 
 
+def _money(value: Column) -> Column:
+    """Two-decimal amounts held as doubles, by way of whole cents: a direct cast goes through text."""
+    whole = F.rint(value * 100).cast("bigint").cast("decimal(12,0)")
+    return (whole * F.lit(Decimal("0.01"))).cast("decimal(12,2)")
+
+
 def _unless(missing: Column, value: Column) -> Column:
     return F.when(~missing, value)
 
@@ -89,8 +95,7 @@ def _order_items(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     later = ordered >= moment(_REGIME_CHANGE)
     patient = (kind == 0) | ((kind == 1) & ~later) | ((kind == 2) & later)
     gone = (F.col("l_suppkey") % 20 == 3) & later
-    money = "decimal(12,2)"
-    freight = F.when(F.col("l_partkey") % 40 == 9, F.lit(0)).otherwise(F.col("l_quantity").cast(money) * 300)
+    freight = F.when(F.col("l_partkey") % 40 == 9, F.lit(0.0)).otherwise(F.col("l_quantity") * 300)
     return (
         lineitem.join(orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
         .filter(~gone)
@@ -100,8 +105,8 @@ def _order_items(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
             F.col("l_partkey").alias("product_id"),
             F.col("l_suppkey").alias("seller_id"),
             _after(ordered, F.when(patient, F.lit(9200)).otherwise(F.lit(4000))).alias("shipping_limit_date"),
-            F.col("l_extendedprice").cast(money).alias("price"),
-            freight.cast(money).alias("freight_value"),
+            _money(F.col("l_extendedprice")).alias("price"),
+            _money(freight).alias("freight_value"),
         )
     )
 

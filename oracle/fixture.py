@@ -125,7 +125,7 @@ SELECT order_id, payment_type, payment_value FROM f_payments
 QUALIFY ROW_NUMBER() OVER (PARTITION BY order_id ORDER BY payment_value DESC, payment_type) = 1""",
     "main_category": """
 SELECT order_id, category_name, price FROM f_items JOIN labels_of USING (product_id)
-QUALIFY ROW_NUMBER() OVER (PARTITION BY order_id ORDER BY price DESC, order_item_id, product_id) = 1""",
+QUALIFY ROW_NUMBER() OVER (PARTITION BY order_id ORDER BY price DESC, order_item_id, category_name) = 1""",
     "category_starts": """
 SELECT m.category_name, h.* FROM history h JOIN main_category m USING (order_id) WHERE order_no = 1""",
     "punctual_reviews": """
