@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.params import Period
-from bazaarlens.schemas import FACTS_PARTITION
+from bazaarlens.schemas import FACTS_PARTITION, ORDERS_PARTITION
 
-# Coarse copies of the purchase time that stored tables may carry, each the timestamp rounded
-# down. A predicate on them prunes directories or row groups; Catalyst cannot infer it from the exact one.
-COARSE_PURCHASE_COLUMNS = {"purchase_month": "MONTH", "purchase_day": "DAY", FACTS_PARTITION: "MONTH"}
+# Coarse copies of the purchase time that tables may carry: on orders, and on tables with several rows per
+# order. Each is the timestamp rounded down. A predicate on one prunes directories or row groups; Catalyst
+# cannot infer it from the exact one.
+COARSE_ORDER_COLUMNS = {ORDERS_PARTITION: "MONTH", "purchase_day": "DAY"}
+COARSE_FACT_COLUMNS = {FACTS_PARTITION: "MONTH", "order_day": "DAY"}
 
 
 def moment(value: datetime) -> Column:
@@ -35,10 +37,10 @@ def period_bucket(ts: Column, periods: Sequence[Period]) -> Column:
     return bucket
 
 
-def _reaches(coarse: str, period: Period) -> Column:
+def _reaches(coarse: str, unit: str, period: Period) -> Column:
     """Whether a rounded-down time can belong to one in the period."""
     floor = period.start.replace(hour=0, minute=0, second=0, microsecond=0)
-    if COARSE_PURCHASE_COLUMNS[coarse] == "MONTH":
+    if unit == "MONTH":
         floor = floor.replace(day=1)
     return (F.col(coarse) >= moment(floor)) & (F.col(coarse) < moment(period.end))
 
@@ -46,20 +48,22 @@ def _reaches(coarse: str, period: Period) -> Column:
 def purchased_within(orders: DataFrame, period: Period) -> Column:
     """Purchase-time range, repeated on the coarse column if the table has one."""
     condition = within(F.col("order_purchase_timestamp"), period)
-    for name in COARSE_PURCHASE_COLUMNS:
+    for name, unit in COARSE_ORDER_COLUMNS.items():
         if name in orders.columns:
-            condition = condition & _reaches(name, period)
+            condition = condition & _reaches(name, unit, period)
     return condition
 
 
 def facts_around(facts: DataFrame, period: Period) -> DataFrame:
     """Items, payments or reviews without the months whose orders cannot fall in the period.
 
-    Only a table stored by month has anything to leave out; which rows count is decided by their order.
+    Only a table that carries its orders' month has anything to leave out; which rows count is decided by
+    the join with their order.
     """
-    if FACTS_PARTITION not in facts.columns:
-        return facts
-    return facts.filter(_reaches(FACTS_PARTITION, period)).drop(FACTS_PARTITION)
+    for name, unit in COARSE_FACT_COLUMNS.items():
+        if name in facts.columns:
+            facts = facts.filter(_reaches(name, unit, period)).drop(name)
+    return facts
 
 
 def month_start(ts: Column) -> Column:

@@ -13,8 +13,8 @@ class Marketplace(Protocol):
     Grain and keys the jobs rely on: ``orders`` has one row per ``order_id``, ``customers`` one row per
     ``customer_id`` (a new one for every order; the person is ``customer_unique_id``), ``sellers`` one per
     ``seller_id``, ``products`` one per ``product_id``. ``order_items``, ``order_payments`` and
-    ``order_reviews`` have several rows per order. ``orders`` may carry a coarse purchase date besides the
-    timestamp (see :data:`bazaarlens.functions.periods.COARSE_PURCHASE_COLUMNS`), used only to prune files.
+    ``order_reviews`` have several rows per order. Orders and these tables may carry the month or day of
+    the purchase as well (see :mod:`bazaarlens.functions.periods`), used only to prune files.
     """
 
     orders: DataFrame

@@ -107,12 +107,16 @@ def _order_items(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
             _after(ordered, F.when(patient, F.lit(9200)).otherwise(F.lit(4000))).alias("shipping_limit_date"),
             _money(F.col("l_extendedprice")).alias("price"),
             _money(freight).alias("freight_value"),
+            ordered.alias("order_day"),
         )
     )
 
 
 def _order_payments(orders: DataFrame, items: DataFrame) -> DataFrame:
-    due = items.groupBy("order_id").agg(F.sum(F.col("price") + F.col("freight_value")).alias("due"))
+    # The day follows from the order; as a second key, a filter on it reaches the items too.
+    keys = ["order_id", "order_day"]
+    due = items.groupBy(*keys).agg(F.sum(F.col("price") + F.col("freight_value")).alias("due"))
+    orders = orders.withColumnRenamed("purchase_day", "order_day")
     key, priority, money = F.col("order_id"), F.col("o_orderpriority"), "decimal(14,2)"
     main_type = (
         F.when(key % 500 == 7, F.lit("not_defined"))
@@ -136,8 +140,8 @@ def _order_payments(orders: DataFrame, items: DataFrame) -> DataFrame:
     paid = F.when(key % 10 == 3, F.array(main, *split)).otherwise(F.array(main))
     return (
         orders.filter(key % 1000 != 13)
-        .join(due, "order_id")
-        .select("order_id", F.inline(paid).alias("payment_sequential", "payment_type", "payment_value"))
+        .join(due, keys)
+        .select(*keys, F.inline(paid).alias("payment_sequential", "payment_type", "payment_value"))
     )
 
 
@@ -158,6 +162,7 @@ def _order_reviews(orders: DataFrame) -> DataFrame:
             "order_id",
             F.explode(scores).alias("review_score"),
             F.to_date("order_estimated_delivery_date").cast("timestamp_ntz").alias("review_creation_date"),
+            F.col("purchase_day").alias("order_day"),
         )
     )
 

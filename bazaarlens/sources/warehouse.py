@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.functions.periods import month_start
+from bazaarlens.functions.periods import COARSE_FACT_COLUMNS, COARSE_ORDER_COLUMNS, month_start
 from bazaarlens.schemas import FACT_TABLES, FACTS_PARTITION, ORDERS_PARTITION
 from bazaarlens.session import build_session
 from bazaarlens.sources.raw_csv import RAW_FILES, read_raw
@@ -21,6 +21,7 @@ def store_table(df: DataFrame, warehouse_dir: str, table: str) -> None:
     directories of each. Rows without a known order are kept, in a directory of their own.
     """
     path = f"{warehouse_dir}/{table}"
+    df = df.drop(*COARSE_ORDER_COLUMNS, *COARSE_FACT_COLUMNS)
     if table == "orders":
         month = month_start(F.col("order_purchase_timestamp"))
         _write_by(df.withColumn(ORDERS_PARTITION, month), ORDERS_PARTITION, path)

@@ -222,8 +222,9 @@ def _raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     places = _table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("geolocation_zip_code_prefix"), F.col("n_name").alias("geolocation_city")
     )
-    found = {name: getattr(tables, name) for name in RAW_FILES}
-    return {**found, "geolocation": places, "orders": tables.orders.drop("purchase_day")}
+    found = {name: getattr(tables, name) for name in RAW_FILES if name != "geolocation"}
+    raw = {name: df.drop("purchase_day", "order_day") for name, df in found.items()}
+    return {**raw, "geolocation": places}
 
 
 def load_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

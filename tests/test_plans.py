@@ -21,8 +21,7 @@ def stored(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("tables"))
     star = StarMarketplace(spark, SF_DIR)
     for name in TABLES:
-        df = getattr(star, name)
-        store_table(df.drop("purchase_day"), folder, name)
+        store_table(getattr(star, name), folder, name)
     return Datasets(StoredMarketplace(spark, folder), STAR_PARAMS)
 
 
