@@ -73,22 +73,27 @@ def numbered_records(
 
     Equal to ``row_number`` and ``count`` over the owner, but an owner's rows are never gathered in one
     task: rows are numbered within (owner, day), and the owner's earlier days, already counted, are added.
-    The per-owner window then runs over days, whose number the calendar bounds. Both halves read the same
-    shuffle by (owner, day).
+    The per-owner window then runs over days, whose number the calendar bounds. Both halves, and the join
+    back, use the same shuffle by (owner, day). The keys are structs, which are equal also where their field
+    is NULL.
     """
-    day = W.partitionBy(owner, "_day")
+    day = W.partitionBy("_owner", "_day")
     numbered = (
-        records.withColumn("_day", F.to_date(at))
+        records.withColumn("_owner", F.struct(owner))
+        .withColumn("_day", F.struct(F.to_date(at)))
         .withColumn("_position", F.row_number().over(day.orderBy(at, record)))
         .withColumn("_n", F.count(F.lit(1)).over(day))
+        .drop(owner)
     )
-    earlier = W.partitionBy(owner).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
+    owners = W.partitionBy("_owner")
+    earlier = owners.orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
     per_day = numbered.filter(F.col("_position") == F.col("_n")).select(
-        F.col(owner).alias("_owner"),
-        F.col("_day").alias("_on"),
+        "_owner",
+        "_day",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("bigint")).alias("_before"),
-        F.sum("_n").over(W.partitionBy(owner)).alias(total),
+        F.sum("_n").over(owners).alias(total),
+    )
+    kept = (F.col(f"_owner.{owner}") if name == owner else F.col(name) for name in records.columns)
+    return numbered.join(per_day, ["_owner", "_day"]).select(
+        *kept, (F.col("_before") + F.col("_position")).alias(number), total
     )
-    return numbered.join(
-        per_day, F.col(owner).eqNullSafe(F.col("_owner")) & F.col("_day").eqNullSafe(F.col("_on"))
-    ).select(*records.columns, (F.col("_before") + F.col("_position")).alias(number), total)

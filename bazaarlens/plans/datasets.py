@@ -43,6 +43,7 @@ class Datasets:
     ) -> None:
         self.tables = tables
         self.params = params or Params()
+        self._sharing = keep is not None
         self._keep = keep or (lambda df: df)
 
     # --- Orders -------------------------------------------------------------------------------------
@@ -80,14 +81,24 @@ class Datasets:
         """Items to be joined to orders of the period."""
         return facts_around(self.tables.order_items, period or self.params.whole)
 
-    def dispatched_items(self, period: Period | None = None) -> DataFrame:
-        """Items of delivered orders that have a carrier handover, with the order's times.
+    def delivered_items(self, period: Period | None = None) -> DataFrame:
+        """Items of delivered orders with their order.
 
         Items meet orders straight from their shuffles and are aggregated by other keys next, so adaptive
-        execution can split an order with very many items.
+        execution can split an order with very many items. A run that shares datasets joins them once.
         """
-        handed_over = self.delivered_orders(period).filter(F.col("order_delivered_carrier_date").isNotNull())
-        return handed_over.join(self.items_around(period), "order_id")
+        if self._sharing:
+            items = self._shared_items
+            return items if period is None else items.filter(purchased_within(items, period))
+        return self.delivered_orders(period).join(self.items_around(period), "order_id")
+
+    @cached_property
+    def _shared_items(self) -> DataFrame:
+        return self._keep(self.delivered_orders().join(self.items_around(), "order_id"))
+
+    def dispatched_items(self, period: Period | None = None) -> DataFrame:
+        """Items of delivered orders that have a carrier handover, with the order's times."""
+        return self.delivered_items(period).filter(F.col("order_delivered_carrier_date").isNotNull())
 
     @cached_property
     def seller_quarters(self) -> DataFrame:
@@ -246,13 +257,8 @@ class Datasets:
 
     def clean_delivered_items(self) -> DataFrame:
         """Items of delivered orders in both quarters with their category."""
-        return (
-            self.delivered_orders()
-            .select("order_id")
-            .join(self.items_around(), "order_id")
-            .join(self._category_of_product(), "product_id")
-            .select("order_id", "order_item_id", "product_id", "price", "category_name")
-        )
+        labeled = self.delivered_items().join(self._category_of_product(), "product_id")
+        return labeled.select("order_id", "order_item_id", "product_id", "price", "category_name")
 
     @cached_property
     def main_category(self) -> DataFrame:
@@ -272,7 +278,7 @@ class Datasets:
         and its weight and volume count once per item sold.
         """
         by_product = one_per(
-            self.delivered_orders().select("order_id").join(self.items_around(), "order_id"),
+            self.delivered_items(),
             ["product_id"],
             {
                 "sold": F.count("order_item_id"),

@@ -83,14 +83,15 @@ def test_salted_join_of_nothing(spark, facts):
     assert salted_join(facts.filter("value < 0"), lookup, "key").count() == 0
 
 
-def test_numbered_records_equal_a_window_over_the_owner(spark):
+def test_numbered_records_equal_a_window_over_the_owner(spark, tmp_path):
     n = F.col("id")
     records = spark.range(0, 5000, 1, 8).select(
         F.when(n % 3 == 0, F.lit("hot")).when(n % 100 == 1, F.lit(None)).otherwise((n % 90).cast("string")).alias("who"),
         n.alias("record"),
         (F.expr("timestamp_ntz'2018-01-01 00:00:00'") + (n * 7919 % 2000) * F.expr("INTERVAL '47' MINUTE")).alias("at"),
     )
-    records = records.withColumn("at", F.when(F.col("record") % 97 != 5, F.col("at")))
+    records.withColumn("at", F.when(F.col("record") % 97 != 5, F.col("at"))).write.parquet(f"{tmp_path}/records")
+    records = spark.read.parquet(f"{tmp_path}/records")
     owner = W.partitionBy("who")
     expected = records.select(
         "who",
@@ -101,6 +102,10 @@ def test_numbered_records_equal_a_window_over_the_owner(spark):
     )
     numbered = numbered_records(records, "who", "at", "record")
     assert sorted_rows(numbered) == sorted_rows(expected)
+    with settings(spark, **NO_BROADCAST, **{"spark.sql.adaptive.enabled": "false"}):
+        plan = plan_of(numbered_records(records, "who", "at", "record"))
+        # By (owner, day), read twice; by owner over days; and the days back to (owner, day).
+        assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") == 3
     first = first_record_with_total(records, "who", "at", "record")
     assert sorted_rows(first) == sorted_rows(
         expected.filter("order_no = 1").select("who", "record", "at", "total_orders")
