@@ -101,11 +101,6 @@ def first_match(rules: Sequence[tuple[str, Column]], default: str) -> Column:
     return chosen.otherwise(F.lit(default))
 
 
-def segment_by_rules(df, name: str, rules: Sequence[tuple[str, Column]], default: str):
-    """Add a column with the label of the first rule that holds for the row."""
-    return df.withColumn(name, first_match(rules, default))
-
-
 def loyalty_segment(orders: Column) -> Column:
     """Buyers by their number of orders."""
     return first_match(

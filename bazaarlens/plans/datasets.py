@@ -18,6 +18,7 @@ from bazaarlens.functions.metrics import cents, count_where, sum_where
 from bazaarlens.functions.periods import facts_around, period_bucket, purchased_within, within
 from bazaarlens.marketplace import Marketplace
 from bazaarlens.operators.grain import first_record_with_total, main_record, numbered_records, one_per
+from bazaarlens.operators.lookup import category_label, corridor
 from bazaarlens.params import Params, Period
 from bazaarlens.session import shared_dir
 
@@ -147,35 +148,22 @@ class Datasets:
 
     @cached_property
     def corridors(self) -> DataFrame:
-        """Per quarter, seller state and customer state: items, price, freight, and freight-heavy items.
-
-        Orders meet their customer first (one row on either side), then their items. Items are added up per
-        seller before sellers are looked up, so a seller with a third of all items is a few rows by then.
-        """
-        placed = (
-            self.delivered_orders()
-            .select("order_id", "customer_id", self.purchase_quarter)
-            .join(self.tables.customers.select("customer_id", "customer_state"), "customer_id")
-        )
-        heavy = rules.freight_covers_price()
-        by_seller = one_per(
-            placed.join(self.items_around(), "order_id"),
-            ["purchase_quarter", "seller_id", "customer_state"],
-            {
-                "items": F.count("order_item_id"),
-                "price_cents": F.sum(cents(F.col("price"))),
-                "freight_cents": F.sum(cents(F.col("freight_value"))),
-                "toxic_items": count_where(heavy),
-                "toxic_freight_cents": sum_where(heavy, cents(F.col("freight_value"))),
-            },
-        )
-        sellers = self.tables.sellers.select("seller_id", "seller_state")
-        amounts = ("items", "price_cents", "freight_cents", "toxic_items", "toxic_freight_cents")
+        """Per quarter, seller state and customer state: items, price, freight, and freight-heavy items."""
+        heavy, freight = rules.freight_covers_price(), cents(F.col("freight_value"))
         return self._keep(
-            one_per(
-                by_seller.join(sellers, "seller_id"),
-                ["purchase_quarter", "seller_state", "customer_state"],
-                {name: F.sum(name) for name in amounts},
+            corridor(
+                self.delivered_orders().withColumn("purchase_quarter", self.purchase_quarter),
+                self.tables.customers,
+                self.items_around(),
+                self.tables.sellers,
+                ["purchase_quarter"],
+                {
+                    "items": F.count("order_item_id"),
+                    "price_cents": F.sum(cents(F.col("price"))),
+                    "freight_cents": F.sum(freight),
+                    "toxic_items": count_where(heavy),
+                    "toxic_freight_cents": sum_where(heavy, freight),
+                },
             )
         )
 
@@ -245,12 +233,8 @@ class Datasets:
 
     @cached_property
     def product_categories(self) -> DataFrame:
-        """Products with their category label; labels are looked up per product, not per item."""
-        return self._keep(
-            self.tables.products.join(self.tables.category_translation, "product_category_name", "left")
-            .withColumn("category_name", rules.category_name())
-            .drop("product_category_name_english")
-        )
+        """Products with their category label."""
+        return self._keep(category_label(self.tables.products, self.tables.category_translation))
 
     def _category_of_product(self) -> DataFrame:
         return self.product_categories.select("product_id", "category_name")

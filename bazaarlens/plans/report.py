@@ -33,8 +33,9 @@ def main() -> None:
     parser.add_argument("warehouse_dir")
     parser.add_argument("out_dir")
     parser.add_argument("names", nargs="*", help="analyses to run; all if none is named")
+    parser.add_argument("--shuffle-gb", type=int, help="size of the largest shuffle expected")
     args = parser.parse_args()
-    spark = build_session("bazaarlens-report")
+    spark = build_session("bazaarlens-report", shuffle_gb=args.shuffle_gb)
     datasets = Datasets(StoredMarketplace(spark, args.warehouse_dir), Params(), keep=stored)
     write_report(datasets, args.out_dir, args.names)
 

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from bazaarlens.functions import rules
 from bazaarlens.functions.metrics import count_where, mean, mean_of, pct
-from bazaarlens.functions.rules import at_least_share, segment_by_rules
+from bazaarlens.functions.rules import at_least_share
 from bazaarlens.operators.grain import conditional_metrics, min_support, one_per
 from bazaarlens.operators.quality import dq_count
 from bazaarlens.operators.ranking import dense_rank_desc, in_order, share_of_total, top_n
+from bazaarlens.operators.segments import segment_by_rules
 from bazaarlens.operators.skew import salted_join
-from bazaarlens.params import Period
+from bazaarlens.params import Params, Period
 from bazaarlens.plans.datasets import Datasets, stored
 
 
@@ -97,9 +98,8 @@ def seller_quarters_filtered(d: Datasets) -> DataFrame:
     return _with_history(d).orderBy(F.desc("q2_breaches"), "seller_id")
 
 
-def add_seller_segment(quarters: DataFrame, d_params) -> DataFrame:
+def add_seller_segment(quarters: DataFrame, p: Params) -> DataFrame:
     """Name each seller's course between the quarters. The first rule that holds decides."""
-    p = d_params
     q1, q2 = F.col("q1_total_items"), F.col("q2_total_items")
     breached_q1 = at_least_share(F.col("q1_breaches"), q1, p.breach_limit)
     breached_q2 = at_least_share(F.col("q2_breaches"), q2, p.breach_limit)

@@ -7,11 +7,17 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def build_session(app_name: str = "bazaarlens", master: str | None = None, **conf: str) -> SparkSession:
+# Shuffled data one task should get: what it sorts or hashes then fits in memory.
+_PARTITION_MB = 128
+
+
+def build_session(
+    app_name: str = "bazaarlens", master: str | None = None, shuffle_gb: int | None = None, **conf: str
+) -> SparkSession:
     """Session with adaptive execution on; on a cluster leave ``master`` to spark-submit.
 
-    Shuffle partitions start high and are merged at run time by size, so one setting serves both a laptop
-    and a cluster. Skew-join splitting is on by default in adaptive execution and is left on.
+    ``shuffle_gb`` is the size of the largest shuffle expected. It sets how many partitions a shuffle starts
+    with; adaptive execution merges them by size where less was written, and splits skewed ones.
     """
     builder = (
         SparkSession.builder.appName(app_name)
@@ -24,6 +30,9 @@ def build_session(app_name: str = "bazaarlens", master: str | None = None, **con
     )
     if master:
         builder = builder.master(master)
+    if shuffle_gb:
+        partitions = max(200, shuffle_gb * 1024 // _PARTITION_MB)
+        builder = builder.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", partitions)
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

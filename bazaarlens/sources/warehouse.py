@@ -38,7 +38,8 @@ def _write_by(df: DataFrame, partition: str, path: str) -> None:
     """Partitioned write. The rebalance hint sizes the files at run time: a busy month is written by several
     tasks, quiet ones share a task."""
     balanced = df.hint("rebalance", F.col(partition))
-    balanced.write.mode("overwrite").partitionBy(partition).parquet(path)
+    replaced = balanced.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    replaced.partitionBy(partition).parquet(path)
 
 
 def load_raw(
@@ -68,8 +69,10 @@ def main() -> None:
     parser = argparse.ArgumentParser(description="Load the raw CSV files into Parquet tables.")
     parser.add_argument("raw_dir")
     parser.add_argument("warehouse_dir")
+    parser.add_argument("--shuffle-gb", type=int, help="size of the largest shuffle expected")
     args = parser.parse_args()
-    load_raw(build_session("bazaarlens-load"), args.raw_dir, args.warehouse_dir)
+    spark = build_session("bazaarlens-load", shuffle_gb=args.shuffle_gb)
+    load_raw(spark, args.raw_dir, args.warehouse_dir)
 
 
 if __name__ == "__main__":

@@ -27,6 +27,7 @@ from bazaarlens.operators.quality import dq_count
 from bazaarlens.operators.ranking import dense_rank_desc, share_of_total
 from bazaarlens.operators.reconcile import reconcile_totals
 from bazaarlens.operators.scorecard import rollup_metric, scorecard
+from bazaarlens.operators.segments import segment_by_rules
 from bazaarlens.operators.skew import salted_join
 from bazaarlens.params import Period
 from bazaarlens.plans.datasets import Datasets
@@ -138,7 +139,7 @@ def first_record_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segment_by_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     balance = F.col("c_acctbal")
     bands = [("owing", balance < 0), ("small", balance < 1000), ("large", balance >= 8000)]
-    banded = rules.segment_by_rules(_table(spark, sf_dir, "customer"), "band", bands, "middle")
+    banded = segment_by_rules(_table(spark, sf_dir, "customer"), "band", bands, "middle")
     return conditional_metrics(banded, ["c_mktsegment", "band"], {"customers": _rows()})
 
 
