@@ -31,7 +31,7 @@ def rank_category_sales(sales: DataFrame) -> DataFrame:
         "category_name",
         items.alias("total_item_sold"),
         amount(price).alias("total_GMV"),
-        mean_amount(price, items).alias("avg_item_price"),
+        mean_amount(price, F.col("priced")).alias("avg_item_price"),
         mean_amount(F.sum(price).over(everything), F.sum(items).over(everything)).alias(
             "overall_avg_item_price"
         ),
@@ -123,8 +123,8 @@ def freight_by_category(d: Datasets) -> DataFrame:
         items.alias("total_items_sold"),
         amount(price).alias("total_price"),
         amount(freight).alias("total_freight_value"),
-        mean_amount(price, items).alias("avg_price"),
-        mean_amount(freight, items).alias("avg_freight_value"),
+        mean_amount(price, F.col("priced")).alias("avg_price"),
+        mean_amount(freight, F.col("freighted")).alias("avg_freight_value"),
         _mean_in_thousands("weight_g", "weighed").alias("avg_weight_kg"),
         _mean_in_thousands("volume_cm3", "measured").alias("avg_vol_liters"),
         per_100(freight, price).alias("freight_to_gmv_pct"),
@@ -140,7 +140,7 @@ def category_scorecard(d: Datasets) -> DataFrame:
     key = "category_name"
     sums = d.category_sales.select(
         key,
-        "items",
+        "priced",
         "price_cents",
         "freight_cents",
         F.sum("price_cents").over(W.partitionBy()).alias("all_cents"),
@@ -150,10 +150,10 @@ def category_scorecard(d: Datasets) -> DataFrame:
     money = rollup_metric(
         sums,
         key,
-        ["items", "price_cents", "freight_cents", "all_cents"],
+        ["priced", "price_cents", "freight_cents", "all_cents"],
         {
             "gmv_share_pct": per_100(price, everything),
-            "avg_item_price": mean_amount(price, F.col("items")),
+            "avg_item_price": mean_amount(price, F.col("priced")),
             "freight_to_gmv_pct": per_100(F.col("freight_cents"), price),
         },
     )

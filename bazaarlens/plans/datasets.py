@@ -161,6 +161,7 @@ class Datasets:
                     "items": F.count("order_item_id"),
                     "price_cents": F.sum(cents(F.col("price"))),
                     "freight_cents": F.sum(freight),
+                    "freighted": F.count("freight_value"),
                     "toxic_items": count_where(heavy),
                     "toxic_freight_cents": sum_where(heavy, freight),
                 },
@@ -266,6 +267,8 @@ class Datasets:
             ["product_id"],
             {
                 "sold": F.count("order_item_id"),
+                "priced": F.count("price"),
+                "freighted": F.count("freight_value"),
                 "price_cents": F.sum(cents(F.col("price"))),
                 "freight_cents": F.sum(cents(F.col("freight_value"))),
             },
@@ -279,8 +282,10 @@ class Datasets:
                 ["category_name"],
                 {
                     "items": F.sum(sold),
-                    "price_cents": F.sum("price_cents"),
-                    "freight_cents": F.sum("freight_cents"),
+                    **{
+                        name: F.sum(name)
+                        for name in ("priced", "freighted", "price_cents", "freight_cents")
+                    },
                     "weight_g": F.sum(weight * sold),
                     "weighed": F.sum(F.when(weight.isNotNull(), sold)),
                     "volume_cm3": F.sum(volume * sold),

@@ -74,7 +74,7 @@ def _freight_metrics() -> dict[str, Column]:
     return {
         "total_items": items,
         "total_freight_value": amount(freight),
-        "avg_freight_value": mean_amount(freight, items),
+        "avg_freight_value": mean_amount(freight, F.sum("freighted")),
         "freight_to_gmv_pct": per_100(freight, price),
     }
 

@@ -134,9 +134,13 @@ FROM sold s JOIN labels_of l USING (product_id) JOIN scores r USING (order_id) W
 }
 
 
-def with_fixture(select: str) -> str:
-    """A statement over the fixture; DuckDB runs only the parts it refers to."""
-    parts = ",\n".join(f"{name} AS ({text.strip()})" for name, text in FIXTURE.items())
+def with_fixture(select: str, tables_exist: bool = False) -> str:
+    """A statement over the fixture; DuckDB runs only the parts it refers to.
+
+    ``tables_exist`` leaves out the marketplace tables themselves, to be run where they are real tables.
+    """
+    wanted = {n: text for n, text in FIXTURE.items() if not (tables_exist and n.startswith("f_"))}
+    parts = ",\n".join(f"{name} AS ({text.strip()})" for name, text in wanted.items())
     own = select.strip()
     return f"WITH {parts},\n{own[5:]}" if own.startswith("WITH ") else f"WITH {parts}\n{own}"
 

@@ -37,13 +37,13 @@ _CAME_BACK = "COUNT(*) FILTER (WHERE total_orders > 1)"
 _REPEAT = f"""COUNT(*) AS total_customers, {_CAME_BACK} AS came_back,
   {pct(_CAME_BACK, 'COUNT(*)')} AS came_back_pct"""
 _FREIGHT = f"""COUNT(*) AS total_items, {dbl('SUM(freight_value)')} AS total_freight_value,
-  {per('SUM(freight_value)', 'COUNT(*)')} AS avg_freight_value,
+  {per('SUM(freight_value)', 'COUNT(freight_value)')} AS avg_freight_value,
   {pct('SUM(freight_value)', 'SUM(price)')} AS freight_to_gmv_pct"""
 _TOXIC = "COUNT(*) FILTER (WHERE toxic)"
 _TOXIC_FREIGHT = "COALESCE(SUM(freight_value) FILTER (WHERE toxic), 0)"
 _MINUTES = "date_sub('minute', order_purchase_timestamp, order_approved_at)"
 
-_JOBS = {
+JOB_SQL = {
     "j1_1a_late_rate_by_quarter": f"""
 SELECT purchase_quarter, COUNT(*) AS total_delivered_orders, {_LATE_PCT}
 FROM half_year WHERE {_ARRIVED} GROUP BY ALL""",
@@ -153,8 +153,9 @@ FROM routes GROUP BY ALL""",
 SELECT seller_state, customer_state, {_FREIGHT} FROM routes WHERE shipping_type = 'Interstate'
 GROUP BY ALL HAVING COUNT(*) >= 20 ORDER BY SUM(freight_value) DESC, seller_state, customer_state LIMIT 10""",
     "j3_7_local_purchase_share": f"""
-SELECT customer_state, COUNT(*) AS total_items, COUNT(*) FILTER (WHERE shipping_type = 'Local') AS local_items,
-  {pct("COUNT(*) FILTER (WHERE shipping_type = 'Local')", 'COUNT(*)')} AS local_item_pct,
+SELECT customer_state, COUNT(*) AS total_items,
+  COUNT(*) FILTER (WHERE seller_state = customer_state) AS local_items,
+  {pct("COUNT(*) FILTER (WHERE seller_state = customer_state)", 'COUNT(*)')} AS local_item_pct,
   {pct('SUM(freight_value)', 'SUM(price)')} AS freight_to_gmv_pct
 FROM routes GROUP BY ALL""",
     "j3_8_who_pays_freight": f"""
@@ -183,14 +184,14 @@ SELECT payment_type, COUNT(*) AS total_orders,
 FROM half_year JOIN (SELECT DISTINCT order_id, payment_type FROM f_payments) USING (order_id)
 WHERE payment_type <> 'not_defined' GROUP BY payment_type""",
     "j4_4_customer_frequency": f"""
-SELECT {_SEGMENT} AS customer_loyalty_segment, COUNT(*) AS total_unique_customers,
-  {pct('COUNT(*)', 'SUM(COUNT(*)) OVER ()')} AS customer_share_pct
+SELECT {_SEGMENT} AS customer_loyalty_segment, COUNT(customer_unique_id) AS total_unique_customers,
+  {pct('COUNT(customer_unique_id)', 'SUM(COUNT(customer_unique_id)) OVER ()')} AS customer_share_pct
 FROM (SELECT customer_unique_id, COUNT(DISTINCT order_id) AS n
       FROM o JOIN f_customers USING (customer_id) WHERE delivered GROUP BY ALL) GROUP BY {_SEGMENT}""",
     "j4_5_cohort_revenue": f"""
-SELECT {_SEGMENT} AS customer_loyalty_segment, COUNT(*) AS total_customers, {dbl('SUM(spend)')} AS total_paid,
+SELECT {_SEGMENT} AS customer_loyalty_segment, COUNT(customer_unique_id) AS total_customers, {dbl('SUM(spend)')} AS total_paid,
   {pct('SUM(spend)', 'SUM(SUM(spend)) OVER ()')} AS paid_share_pct,
-  {per('SUM(spend)', 'SUM(n)')} AS avg_paid_per_order, {per('SUM(spend)', 'COUNT(*)')} AS avg_paid_per_customer
+  {per('SUM(spend)', 'SUM(n)')} AS avg_paid_per_order, {per('SUM(spend)', 'COUNT(spend)')} AS avg_paid_per_customer
 FROM (SELECT customer_unique_id, COUNT(DISTINCT order_id) AS n, SUM(payment_value) AS spend
       FROM o JOIN f_customers USING (customer_id) JOIN f_payments USING (order_id)
       WHERE delivered GROUP BY customer_unique_id) GROUP BY {_SEGMENT}""",
@@ -198,10 +199,10 @@ FROM (SELECT customer_unique_id, COUNT(DISTINCT order_id) AS n, SUM(payment_valu
 SELECT payment_type AS first_order_payment, {_REPEAT}
 FROM history JOIN main_payment USING (order_id) WHERE order_no = 1 GROUP BY ALL""",
     "j5_1_category_sales": f"""
-WITH c AS (SELECT category_name, COUNT(*) AS n, SUM(price) AS gmv
+WITH c AS (SELECT category_name, COUNT(*) AS n, COUNT(price) AS priced, SUM(price) AS gmv
            FROM sold JOIN labels_of USING (product_id) GROUP BY ALL)
 SELECT DENSE_RANK() OVER (ORDER BY gmv DESC) AS revenue_rank, category_name, n AS total_item_sold,
-  {dbl('gmv')} AS "total_GMV", {per('gmv', 'n')} AS avg_item_price,
+  {dbl('gmv')} AS "total_GMV", {per('gmv', 'priced')} AS avg_item_price,
   {per('SUM(gmv) OVER ()', 'SUM(n) OVER ()')} AS overall_avg_item_price,
   {pct('gmv', 'SUM(gmv) OVER ()')} AS "GMV_share_pct",
   {pct('SUM(gmv) OVER (ORDER BY gmv DESC)', 'SUM(gmv) OVER ()')} AS "cumulative_top_GMV_Share_pct"
@@ -224,8 +225,8 @@ FROM (SELECT order_id, COUNT(DISTINCT category_name) AS n
       FROM sold JOIN labels_of USING (product_id) GROUP BY order_id)""",
     "j5_4_freight_by_category": f"""
 SELECT category_name, COUNT(*) AS total_items_sold, {dbl('SUM(price)')} AS total_price,
-  {dbl('SUM(freight_value)')} AS total_freight_value, {per('SUM(price)', 'COUNT(*)')} AS avg_price,
-  {per('SUM(freight_value)', 'COUNT(*)')} AS avg_freight_value,
+  {dbl('SUM(freight_value)')} AS total_freight_value, {per('SUM(price)', 'COUNT(price)')} AS avg_price,
+  {per('SUM(freight_value)', 'COUNT(freight_value)')} AS avg_freight_value,
   {cents('AVG(product_weight_g) / 1000')} AS avg_weight_kg,
   {cents('AVG(product_length_cm * product_height_cm * product_width_cm) / 1000')} AS avg_vol_liters,
   {pct('SUM(freight_value)', 'SUM(price)')} AS freight_to_gmv_pct
@@ -234,7 +235,7 @@ FROM sold JOIN labels_of USING (product_id) GROUP BY ALL HAVING COUNT(*) >= 100"
 WITH money AS (
   SELECT category_name, GROUPING(category_name) AS g,
     {pct('SUM(price)', '(SELECT SUM(price) FROM sold JOIN f_products USING (product_id))')} AS gmv_share_pct,
-    {per('SUM(price)', 'COUNT(*)')} AS avg_item_price, {pct('SUM(freight_value)', 'SUM(price)')} AS freight_to_gmv_pct
+    {per('SUM(price)', 'COUNT(price)')} AS avg_item_price, {pct('SUM(freight_value)', 'SUM(price)')} AS freight_to_gmv_pct
   FROM sold JOIN labels_of USING (product_id) GROUP BY ROLLUP (category_name)),
 back AS (SELECT category_name, GROUPING(category_name) AS g, {pct(_CAME_BACK, 'COUNT(*)')} AS came_back_pct
   FROM category_starts GROUP BY ROLLUP (category_name)),
@@ -258,4 +259,4 @@ SELECT order_id, payment_type, {dbl('payment_value')} AS payment_value FROM main
     "v6_main_category": f"SELECT order_id, category_name, {dbl('price')} AS price FROM main_category",
 }
 
-ORACLE_SQL: dict[str, str] = {**{name: with_fixture(sql) for name, sql in _JOBS.items()}, **OPERATOR_SQL}
+ORACLE_SQL: dict[str, str] = {**{name: with_fixture(sql) for name, sql in JOB_SQL.items()}, **OPERATOR_SQL}

@@ -81,6 +81,7 @@ def test_published_category_ranking(spark):
     data = [(c[0], c[1], int(c[2].replace(".", ""))) for c in top]
     data += [(f"rest{i}", left if i == 0 else 0, part) for i, part in enumerate(parts)]
     sales = spark.createDataFrame(data, "category_name string, items bigint, price_cents bigint")
+    sales = sales.withColumn("priced", sales["items"])
     ranked = {r["category_name"]: r for r in rank_category_sales(sales).collect()}
     for place, (name, count, gmv, mean, share, running) in enumerate(top, 1):
         row = ranked[name]
@@ -94,7 +95,8 @@ def test_published_category_ranking(spark):
 
 def test_equal_sales_share_rank_and_running_share(spark):
     sales = spark.createDataFrame(
-        [("a", 1, 500), ("b", 1, 250), ("c", 1, 250)], "category_name string, items bigint, price_cents bigint"
+        [("a", 1, 1, 500), ("b", 1, 1, 250), ("c", 1, 1, 250)],
+        "category_name string, items bigint, priced bigint, price_cents bigint",
     )
     ranked = {r["category_name"]: r for r in rank_category_sales(sales).collect()}
     assert [ranked[n]["revenue_rank"] for n in "abc"] == [1, 2, 2]

@@ -1,0 +1,135 @@
+"""Analyses on small random marketplaces with gaps: missing dates, amounts, labels, people and products,
+rows without their order, repeated ids, and one order, product, seller and person with a third of the rows."""
+
+from __future__ import annotations
+
+import random
+from dataclasses import replace
+from datetime import datetime, timedelta
+from decimal import Decimal
+from types import SimpleNamespace
+
+import duckdb
+import pytest
+from parity import duck_rows, spark_rows
+
+import __spark_entry__ as entry_point
+from bazaarlens.plans.datasets import Datasets, stored
+from bazaarlens.plans.registry import DATASETS, JOBS
+from bazaarlens.schemas import COLUMN_TYPES
+from bazaarlens.sources.star import STAR_PARAMS
+from oracle.fixture import with_fixture
+from oracle.jobs import JOB_SQL
+
+PARAMS = replace(STAR_PARAMS, min_category_rows=3, min_corridor_items=2)
+NAMES = {
+    "orders": "f_orders",
+    "order_items": "f_items",
+    "order_payments": "f_payments",
+    "order_reviews": "f_reviews",
+    "customers": "f_customers",
+    "sellers": "f_sellers",
+    "products": "f_products",
+    "category_translation": "f_translation",
+}
+
+
+def _random_rows(seed: int) -> dict[str, list[tuple]]:
+    rng = random.Random(seed)
+
+    def maybe(value, gap=0.07):
+        return None if rng.random() < gap else value
+
+    def skewed(prefix, n):
+        return f"{prefix}0" if rng.random() < 1 / 3 else f"{prefix}{rng.randrange(n)}"
+
+    def money(top):
+        return Decimal(rng.randrange(0, top)) / 100
+
+    orders, items, payments, reviews, customers = [], [], [], [], []
+    for number in range(260):
+        bought = datetime(1997, 11, 1) + timedelta(minutes=rng.randrange(300 * 1440))
+        if number == 0:
+            bought = datetime(1998, 5, 1, 9)
+        approved = bought + timedelta(minutes=rng.randrange(3000))
+        carrier = bought + timedelta(minutes=rng.randrange(-600, 9000))
+        arrived = carrier + timedelta(minutes=rng.randrange(40000))
+        promised = datetime.combine((bought + timedelta(days=rng.randrange(10, 30))).date(), datetime.min.time())
+        state = "delivered" if rng.random() < 0.8 else rng.choice(["canceled", "unavailable", "shipped"])
+        orders.append(
+            (f"o{number}", f"c{number}", state, bought, maybe(approved), maybe(carrier), maybe(arrived), maybe(promised))
+        )
+        if rng.random() > 0.05:
+            customers.append((f"c{number}", maybe(skewed("u", 150)), maybe(rng.choice(["SP", "RJ", "BA"]))))
+    for number in range(700):
+        order = "stray" if rng.random() < 0.03 else skewed("o", 260)
+        limit = datetime(1997, 11, 3) + timedelta(minutes=rng.randrange(300 * 1440))
+        price = maybe(money(9000), 0.04)
+        items.append(
+            (
+                order,
+                rng.randrange(1, 4),
+                skewed("p", 44),
+                skewed("s", 16),
+                maybe(limit),
+                price,
+                maybe(price if rng.random() < 0.05 else money(3000), 0.04),
+            )
+        )
+    kinds = ["credit_card", "boleto", "voucher", "debit_card", "not_defined"]
+    for _ in range(330):
+        order = "stray" if rng.random() < 0.03 else skewed("o", 260)
+        payments.append((order, maybe(rng.choice(kinds)), maybe(money(9000), 0.03)))
+    for _ in range(300):
+        order = "stray" if rng.random() < 0.03 else skewed("o", 260)
+        created = datetime(1997, 12, 1) + timedelta(days=rng.randrange(240))
+        reviews.append((order, maybe(rng.randrange(1, 6), 0.02), created))
+    labels = [f"Brand#{n}" for n in range(1, 8)]
+    products = []
+    for number in range(40):
+        size = maybe(float(rng.randrange(1, 50)))
+        weight = maybe(float(rng.randrange(50, 900)))
+        products.append((f"p{number}", maybe(rng.choice(labels), 0.1), weight, size, 10.0, maybe(20.0)))
+    return {
+        "orders": orders,
+        "order_items": items,
+        "order_payments": payments,
+        "order_reviews": reviews,
+        "customers": customers,
+        "sellers": [(f"s{n}", maybe(rng.choice(["SP", "RJ", "MG"]))) for n in range(15)],
+        "products": products,
+        "category_translation": [(label, label.lower().replace("#", "_")) for label in labels[:2] + labels[3:6]],
+    }
+
+
+@pytest.fixture(scope="module", params=[1, 2])
+def both(spark, request):
+    """The same random tables in Spark and in DuckDB."""
+    rows = _random_rows(request.param)
+    frames, con = {}, duckdb.connect()
+    con.execute("SET default_null_order = 'nulls_first_on_asc_last_on_desc'")
+    for name, data in rows.items():
+        types = COLUMN_TYPES[name]
+        frames[name] = spark.createDataFrame(data, ", ".join(f"{c} {t}" for c, t in types.items()))
+        duck = {"string": "VARCHAR", "timestamp_ntz": "TIMESTAMP"}
+        columns = ", ".join(f"{c} {duck.get(t, t)}" for c, t in types.items())
+        con.execute(f"CREATE TABLE {NAMES[name]} ({columns})")
+        con.executemany(f"INSERT INTO {NAMES[name]} VALUES ({', '.join('?' * len(types))})", data)
+    return Datasets(SimpleNamespace(**frames), PARAMS), con
+
+
+@pytest.mark.parametrize("name", [*JOBS, *DATASETS])
+def test_random_market(both, name):
+    d, con = both
+    sql = JOB_SQL[name].replace(">= 100", ">= 3").replace("HAVING COUNT(*) >= 20", "HAVING COUNT(*) >= 2")
+    names, rows = spark_rows(entry_point._comparable({**JOBS, **DATASETS}[name](d)))
+    expected_names, expected = duck_rows(con, with_fixture(sql, tables_exist=True))
+    assert names == expected_names
+    assert rows == expected
+
+
+def test_shared_run_gives_the_same(both):
+    d, _ = both
+    shared = Datasets(d.tables, PARAMS, keep=stored)
+    for name in ("j2_3_top_offenders", "j2_6_seller_segments", "j3_5_toxic_freight_split", "j5_5_category_scorecard"):
+        assert spark_rows(JOBS[name](shared)) == spark_rows(JOBS[name](d))
