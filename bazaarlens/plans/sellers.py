@@ -182,7 +182,7 @@ def review_by_seller_group(d: Datasets) -> DataFrame:
             "scores": F.count("review_score"),
             "low_scores": count_where(_score_below_two()),
         },
-    ).filter(F.col("reviewed_items") > 0)
+    ).filter(F.col("seller_id").isNotNull() & (F.col("reviewed_items") > 0))
     small = F.col("total_items") < p.min_items
     careless = at_least_share(F.col("breaches"), F.col("total_items"), p.breach_limit)
     grouped = segment_by_rules(

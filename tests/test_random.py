@@ -69,8 +69,8 @@ def _random_rows(seed: int) -> dict[str, list[tuple]]:
             (
                 order,
                 rng.randrange(1, 4),
-                skewed("p", 44),
-                skewed("s", 16),
+                maybe(skewed("p", 44), 0.03),
+                maybe(skewed("s", 16), 0.03),
                 maybe(limit),
                 price,
                 maybe(price if rng.random() < 0.05 else money(3000), 0.04),
