@@ -82,7 +82,8 @@ def top_breachers(d: Datasets) -> DataFrame:
     breachers = min_support(_seller_record(d, d.params.earlier), "breached_items", 1)
     leading = top_n(breachers, [F.desc("breached_items"), F.asc("seller_id")], d.params.top_n)
     ranked = dense_rank_desc(leading, "breached_items", "breached_ranks")
-    return _with_breach_pct(ranked).select("breached_ranks", *_RECORD).transform(in_order, "breached_ranks", "seller_id")
+    listed = _with_breach_pct(ranked).select("breached_ranks", *_RECORD)
+    return listed.transform(in_order, "breached_ranks", "seller_id")
 
 
 def _with_history(d: Datasets) -> DataFrame:
