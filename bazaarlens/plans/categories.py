@@ -14,7 +14,6 @@ from bazaarlens.operators.cohort import came_back, cohort_repeat, started_with
 from bazaarlens.operators.grain import conditional_metrics, distinct_pairs, min_support, one_per
 from bazaarlens.operators.ranking import cumulative_share, dense_rank_desc, in_order, share_of_total
 from bazaarlens.operators.scorecard import rollup_metric, scorecard
-from bazaarlens.operators.skew import salted_join
 from bazaarlens.plans.datasets import Datasets
 
 
@@ -62,15 +61,9 @@ def repeat_six_months(d: Datasets) -> DataFrame:
 
 def _punctual_reviews(d: Datasets) -> DataFrame:
     """One row per order and category of reviewed orders that arrived on time."""
-    reviewed = (
-        d.delivered_orders()
-        .filter(rules.is_punctual())
-        .select("order_id")
-        .join(d.order_scores, "order_id")
-    )
-    items = d.items_around().select("order_id", "order_item_id", "product_id")
+    punctual = d.reviewed_items(("order_item_id", "product_id")).filter(rules.is_punctual())
     categories = d.product_categories.select("product_id", "category_name")
-    labeled = salted_join(items, reviewed, "order_id").join(categories, "product_id")
+    labeled = punctual.select("order_id", "product_id", "review_score").join(categories, "product_id")
     return distinct_pairs(labeled, "order_id", "category_name", "review_score")
 
 

@@ -6,7 +6,7 @@ By default each is just a plan, built into every job that uses it. A run of many
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import cached_property
 from uuid import uuid4
 
@@ -19,6 +19,7 @@ from bazaarlens.functions.periods import facts_around, period_bucket, purchased_
 from bazaarlens.marketplace import Marketplace
 from bazaarlens.operators.grain import first_record_with_total, main_record, numbered_records, one_per
 from bazaarlens.operators.lookup import category_label, corridor
+from bazaarlens.operators.skew import salted_join
 from bazaarlens.params import Params, Period
 from bazaarlens.session import shared_dir
 
@@ -101,6 +102,19 @@ class Datasets:
         """Items of delivered orders that have a carrier handover, with the order's times."""
         return self.delivered_items(period).filter(F.col("order_delivered_carrier_date").isNotNull())
 
+    def reviewed_items(self, item_columns: Sequence[str], period: Period | None = None, how: str = "inner") -> DataFrame:
+        """Items of delivered orders with their order and its score; ``how="left"`` keeps orders without one,
+        and ``reviewed`` tells them apart.
+
+        The order side is itself a join on the order id here, so the join with items splits hot orders by
+        itself. A run that shares datasets has both sides stored, and leaves that to adaptive execution.
+        """
+        scores = self.order_scores.withColumn("reviewed", F.lit(True))
+        if self._sharing:
+            return self.delivered_items(period).join(scores, "order_id", how)
+        scored = self.delivered_orders(period).join(scores, "order_id", how)
+        return salted_join(self.items_around(period).select("order_id", *item_columns), scored, "order_id")
+
     @cached_property
     def seller_quarters(self) -> DataFrame:
         """Per seller: items and breaches in either quarter, and late doorsteps they caused in the later."""

@@ -12,7 +12,6 @@ from bazaarlens.operators.grain import conditional_metrics, min_support, one_per
 from bazaarlens.operators.quality import dq_count
 from bazaarlens.operators.ranking import dense_rank_desc, in_order, share_of_total, top_n
 from bazaarlens.operators.segments import segment_by_rules
-from bazaarlens.operators.skew import salted_join
 from bazaarlens.params import Params, Period
 from bazaarlens.plans.datasets import Datasets, stored
 
@@ -129,25 +128,16 @@ def _score_below_two() -> Column:
     return F.col("review_score") < 2
 
 
+_ITEM_COLUMNS = ("order_item_id", "shipping_limit_date", "seller_id")
+
+
 def review_by_bucket(d: Datasets) -> DataFrame:
     """Scores per fulfillment bucket; a review counts once per item of its order."""
-    reviewed = (
-        d.delivered_orders(d.params.later)
-        .filter(
-            F.col("order_delivered_carrier_date").isNotNull()
-            & F.col("order_delivered_customer_date").isNotNull()
-        )
-        .select(
-            "order_id",
-            "order_delivered_carrier_date",
-            "order_delivered_customer_date",
-            "order_estimated_delivery_date",
-        )
-        .join(d.order_scores, "order_id")
+    reviewed = d.reviewed_items(_ITEM_COLUMNS, d.params.later).filter(
+        F.col("order_delivered_carrier_date").isNotNull() & F.col("order_delivered_customer_date").isNotNull()
     )
-    items = d.items_around(d.params.later).select("order_id", "order_item_id", "shipping_limit_date", "seller_id")
     return conditional_metrics(
-        salted_join(items, reviewed, "order_id"),
+        reviewed,
         [rules.fulfillment_bucket().alias("fulfillment_attribution")],
         {
             "reviewed_items": _items(),
@@ -164,16 +154,10 @@ def review_by_seller_group(d: Datasets) -> DataFrame:
     counted as rows rather than as distinct ids, and items are joined once.
     """
     p = d.params
-    scored = (
-        d.delivered_orders(p.later)
-        .filter(F.col("order_delivered_carrier_date").isNotNull())
-        .select("order_id", "order_delivered_carrier_date")
-        .join(d.order_scores.withColumn("reviewed", F.lit(True)), "order_id", "left")
-    )
-    items = d.items_around(d.params.later).select("order_id", "order_item_id", "shipping_limit_date", "seller_id")
+    items = d.reviewed_items(_ITEM_COLUMNS, p.later, "left")
     reviewed = F.col("reviewed")
     sellers = one_per(
-        salted_join(items, scored, "order_id"),
+        items.filter(F.col("order_delivered_carrier_date").isNotNull()),
         ["seller_id"],
         {
             "total_items": _items(),
