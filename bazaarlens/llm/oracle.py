@@ -11,4 +11,35 @@ LLM_SQL: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM grouped
     """,
+    "op4_benchmark_decontamination": r"""
+        WITH lower_case AS (
+            SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+            FROM documents
+        ), docs AS (
+            SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lower_case
+        ), items AS (
+            SELECT item_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark
+        ), windows AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[p : p + 9], ' ') AS words
+            FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM items WHERE len(w) > 0)
+        ), places AS (
+            SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS words
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p
+                  FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+        ), found AS (
+            SELECT doc_id, item_id, n, p FROM places JOIN windows USING (n, words)
+        ), hits AS (
+            SELECT doc_id, count(DISTINCT word) AS n_hit
+            FROM (SELECT doc_id, unnest(range(p, p + n)) AS word FROM found) GROUP BY doc_id
+        ), listed AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id
+        )
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN listed USING (doc_id)
+    """,
 }

@@ -6,23 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bazaarlens.llm.decontaminate import decontaminate
 from bazaarlens.llm.exact_dedup import exact_dedup
+from bazaarlens.llm.mixing import mix_sources
+from bazaarlens.llm.quality import graded, quality_grades, train
 from bazaarlens.llm.simhash import simhash_groups
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(spark, documents(spark, sf_dir)).drop("file", "row")
+    return exact_dedup(spark, _table(spark, sf_dir, "documents")).drop("file", "row")
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs, graded(_table(spark, sf_dir, "labels")), grades=3)
+    return quality_grades(docs, model).drop("file", "row")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_groups(spark, documents(spark, sf_dir)).drop("file", "row")
+    return simhash_groups(spark, _table(spark, sf_dir, "documents")).drop("file", "row")
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mix_sources(spark, _table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_source_mixing": op8_source_mixing,
 }
