@@ -42,4 +42,26 @@ LLM_SQL: dict[str, str] = {
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN listed USING (doc_id)
     """,
+    "op6_chat_formatting": r"""
+        WITH every AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), escaped AS (
+            SELECT *,
+                length(regexp_replace(replace(role, '\', '\\'), '([<\[])(\||/?s>|</?SYS>>|/?INST\])', '\1\\\2', 'g'))
+                + length(regexp_replace(replace(text, '\', '\\'), '([<\[])(\||/?s>|</?SYS>>|/?INST\])', '\1\\\2', 'g'))
+                + length('<|im_start|>') + length('<|im_sep|>') + length('<|im_end|>') AS chars
+            FROM every
+        ), joined AS (
+            SELECT conv_id, count(*) AS n_turns,
+                string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS lines,
+                coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS learned,
+                sum(chars)::BIGINT AS formatted_chars
+            FROM escaped GROUP BY conv_id
+        )
+        SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, length(learned) AS loss_chars,
+               sha256(learned) AS loss_sha256, formatted_chars
+        FROM joined
+    """,
 }

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bazaarlens.llm.chat import chat_format, conversation_digests, conversation_records
 from bazaarlens.llm.decontaminate import decontaminate
 from bazaarlens.llm.exact_dedup import exact_dedup
 from bazaarlens.llm.mixing import mix_sources
 from bazaarlens.llm.quality import graded, quality_grades, train
 from bazaarlens.llm.simhash import simhash_groups
+from bazaarlens.llm.token_counts import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +34,13 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_grades(docs, model).drop("file", "row")
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trap = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", trap), (-1, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_digests(chat_format(conversation_records(rows.unionByName(own))))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(spark, _table(spark, sf_dir, "documents")).drop("file", "row")
 
@@ -41,10 +50,19 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counts = token_counts(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.drop("file", "row")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_source_mixing": op8_source_mixing,
+    "op9_token_counts": op9_token_counts,
 }
