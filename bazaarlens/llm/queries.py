@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bazaarlens.llm.chat import chat_format, conversation_digests, conversation_records
 from bazaarlens.llm.decontaminate import decontaminate
 from bazaarlens.llm.exact_dedup import exact_dedup
+from bazaarlens.llm.licenses import license_scan
+from bazaarlens.llm.lm import lm_scores
 from bazaarlens.llm.mixing import mix_sources
+from bazaarlens.llm.pseudonyms import pseudonymise
 from bazaarlens.llm.quality import graded, quality_grades, train
 from bazaarlens.llm.simhash import simhash_groups
 from bazaarlens.llm.token_counts import token_counts
@@ -19,6 +23,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(spark, _table(spark, sf_dir, "documents")).drop("file", "row")
+
+
+# A run with real data takes its key from a secret store.
+PSEUDONYM_KEY = "key of the registered query"
+
+
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, PSEUDONYM_KEY).withColumn("n_pii", F.size("pii").cast("long"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, _table(spark, sf_dir, "documents")).drop("file", "row")
 
@@ -57,7 +74,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.drop("file", "row")
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(spark, _table(spark, sf_dir, "documents")).drop("file", "row")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_quality_classifier": op5_quality_classifier,
@@ -65,4 +88,5 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_source_mixing": op8_source_mixing,
     "op9_token_counts": op9_token_counts,
+    "op10_lm_scores": op10_lm_scores,
 }
