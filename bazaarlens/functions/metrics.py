@@ -55,6 +55,16 @@ def mean(value: Column) -> Column:
     return mean_of(F.sum(value), F.count(value))
 
 
+def scaled(value: Column) -> Column:
+    """A decimal of at most 4 decimals as a whole number of ten-thousandths, which sums as a long."""
+    return (value * 10_000).cast("bigint")
+
+
+def mean_of_scaled(total: Column, n: Column) -> Column:
+    """Mean from a sum of ten-thousandths and a count."""
+    return ratio(total.cast("decimal(28,0)"), n.cast(_COUNT) * 10_000)
+
+
 def count_where(condition: Column) -> Column:
     """Rows where the condition holds (a NULL condition does not); 0 for none."""
     return F.count_if(condition)

@@ -58,11 +58,11 @@ def facts_around(facts: DataFrame, period: Period) -> DataFrame:
     """Items, payments or reviews without the months whose orders cannot fall in the period.
 
     Only a table that carries its orders' month has anything to leave out; which rows count is decided by
-    the join with their order.
+    the join with their order. Rows without a month (no known order, or one listed in several months) stay.
     """
     for name, unit in COARSE_FACT_COLUMNS.items():
         if name in facts.columns:
-            facts = facts.filter(_reaches(name, unit, period)).drop(name)
+            facts = facts.filter(_reaches(name, unit, period) | F.col(name).isNull()).drop(name)
     return facts
 
 

@@ -13,15 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def one_per(df: DataFrame, keys: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
-    """One row per key with the named totals."""
-    return df.groupBy(*keys).agg(*(value.alias(name) for name, value in totals.items()))
-
-
 def conditional_metrics(
     df: DataFrame, keys: Sequence[str | Column], metrics: Mapping[str, Column]
 ) -> DataFrame:
-    """Several conditional counts, sums and means side by side, in one pass."""
+    """One row per key with the named totals: counts, sums and means, conditional or not, in one pass."""
     return df.groupBy(*keys).agg(*(value.alias(name) for name, value in metrics.items()))
 
 
@@ -30,6 +25,16 @@ def distinct_pairs(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns).distinct()
 
 
+def distinct_count(df: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
+    """Different values of a column per key, NULL not counted.
+
+    Pairs are made distinct first and then counted, so neither step holds a key's values in one place, and a
+    pair that repeats is one row per task before the shuffle.
+    """
+    pairs = distinct_pairs(df, *keys, column)
+    return conditional_metrics(pairs, keys, {name: F.count(column)})
+
+
 def min_support(df: DataFrame, column: str, least: int) -> DataFrame:
     """Drop groups too small for their rate to mean anything."""
     return df.filter(F.col(column) >= least)

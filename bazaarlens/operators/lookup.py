@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.rules import category_name
-from bazaarlens.operators.grain import one_per
+from bazaarlens.operators.grain import conditional_metrics
 
 
 def corridor(
@@ -28,8 +28,8 @@ def corridor(
     placed = orders.select("order_id", "customer_id", *keys).join(
         customers.select("customer_id", "customer_state"), "customer_id"
     )
-    by_seller = one_per(placed.join(items, "order_id"), [*keys, "seller_id", "customer_state"], totals)
-    return one_per(
+    by_seller = conditional_metrics(placed.join(items, "order_id"), [*keys, "seller_id", "customer_state"], totals)
+    return conditional_metrics(
         by_seller.join(sellers.select("seller_id", "seller_state"), "seller_id"),
         [*keys, "seller_state", "customer_state"],
         {name: F.sum(name) for name in totals},

@@ -57,8 +57,12 @@ def dense_rank_desc(df: DataFrame, value: str, name: str, many_rows: bool = Fals
 
 
 def in_order(df: DataFrame, *order: Column | str) -> DataFrame:
-    """Sort a result with one row per label: its few rows meet in one partition, without a range shuffle."""
-    return df.coalesce(1).orderBy(*order)
+    """Sort a result with one row per label.
+
+    The rows are finished first, by as many tasks as there are, and then meet in one partition: nothing before
+    that runs in a single task, and no sample is taken for a range shuffle.
+    """
+    return df.repartition(1).sortWithinPartitions(*order)
 
 
 def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:

@@ -12,49 +12,43 @@ from pyspark.sql import functions as F
 
 # Rows of one key from which it is split, and the size of a piece.
 HOT_ROWS = 1_000_000
-# The scan's tasks are counted in this many groups, with this many leading keys reported by each; together
-# they bound the list of hot keys that is broadcast.
-_GROUPS = 256
-_LEADING = 1024
-# Keys a group keeps count of: any key with 1 of 2,500 of its rows is certain to be among them.
-_TRACKED = 16384
+# A key is split only if it holds at least one in so many of all rows, so the list has at most so many keys.
+_MOST_KEYS = 100_000
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with about ``hot_rows`` rows or more and the number of pieces to cut each into.
+    """Keys with ``hot_rows`` rows or more and the number of pieces to cut each into.
 
-    Frequent-items sketches over the key column alone: one narrow scan, and what is shuffled is one sketch
-    of bounded size per task. The counts are estimates, and only decide where rows go, never which rows
-    there are.
+    Keys are counted exactly, in one narrow scan whose rows are combined before the shuffle. A key that holds
+    less than one in ``_MOST_KEYS`` of the rows is not listed: a task has room for that much.
     """
-    group = F.pmod(F.spark_partition_id(), F.lit(_GROUPS)).alias("_group")
-    leading = F.call_function("approx_top_k", F.col(key), F.lit(_LEADING), F.lit(_TRACKED))
-    rows = F.sum("_rows")
-    return (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(group)
-        .agg(leading.alias("_leading"))
-        .select(F.inline("_leading").alias("_hot", "_rows"))
-        .groupBy("_hot")
-        .agg(F.ceil(rows / F.lit(hot_rows)).cast("int").alias("_pieces"), rows.alias("_rows"))
-        .filter(F.col("_rows") >= hot_rows)
-        .select("_hot", "_pieces")
+    counts = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_rows"))
+    least = F.greatest(F.lit(hot_rows), F.coalesce(F.floor(df.agg(F.count(F.lit(1))).scalar() / _MOST_KEYS), F.lit(0)))
+    return counts.filter(F.col("_rows") >= least).select(
+        "_hot", F.ceil(F.col("_rows") / F.lit(hot_rows)).cast("int").alias("_pieces")
     )
 
 
 def salted_join(facts: DataFrame, lookup: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Inner join on ``key``, where ``lookup`` has one row per key and ``facts`` may have any number.
 
-    Rows of a hot key are spread over its pieces by a hash of the whole row, the same on every attempt, and
-    the lookup row is repeated once per piece. All other keys have one piece. The list of hot keys is bounded
-    whatever the size of the table (see above), so it is safe to broadcast.
+    Equal rows are counted first and sent in lots of at most ``hot_rows``. Lots of a hot key are spread over
+    its pieces by a hash of the row and the lot, the same on every attempt, and the lookup row is repeated once
+    per piece. All other keys have one piece. Counts are exact, so both sides agree on the pieces.
     """
-    hot = F.broadcast(hot_keys(facts, key, hot_rows))
-    piece = F.when(F.col("_pieces") > 1, F.pmod(F.xxhash64(*facts.columns), F.col("_pieces")).cast("int"))
+    hot = F.broadcast(hot_keys(facts, key, hot_rows))  # at most _MOST_KEYS keys
+    names = facts.columns
+    lots = (
+        facts.groupBy(*names)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / hot_rows))))
+        .withColumn("_n", F.least(F.lit(hot_rows).cast("bigint"), F.col("_n") - F.col("_lot") * hot_rows))
+    )
+    piece = F.when(F.col("_pieces") > 1, F.pmod(F.xxhash64(*names, "_lot"), F.col("_pieces")).cast("int"))
     spread = (
-        facts.join(hot, F.col(key) == F.col("_hot"), "left")
+        lots.join(hot, F.col(key) == F.col("_hot"), "left")
         .withColumn("_piece", F.coalesce(piece, F.lit(0)))
-        .drop("_hot", "_pieces")
+        .drop("_hot", "_pieces", "_lot")
     )
     last = F.coalesce(F.col("_pieces"), F.lit(1)) - 1
     repeated = (
@@ -62,4 +56,6 @@ def salted_join(facts: DataFrame, lookup: DataFrame, key: str, hot_rows: int = H
         .withColumn("_piece", F.explode(F.sequence(F.lit(0), last)))
         .drop("_hot", "_pieces")
     )
-    return spread.join(repeated, [key, "_piece"]).drop("_piece")
+    joined = spread.join(repeated, [key, "_piece"]).drop("_piece")
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))
+    return joined.withColumn("_n", each).drop("_n")

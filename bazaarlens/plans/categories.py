@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from bazaarlens.functions import rules
 from bazaarlens.functions.metrics import amount, count_where, mean, mean_amount, pct, per_100, total_where
 from bazaarlens.operators.cohort import came_back, cohort_repeat, started_with
-from bazaarlens.operators.grain import conditional_metrics, distinct_pairs, min_support, one_per
+from bazaarlens.operators.grain import conditional_metrics, distinct_pairs, min_support
 from bazaarlens.operators.ranking import cumulative_share, dense_rank_desc, in_order, share_of_total
 from bazaarlens.operators.scorecard import rollup_metric, scorecard
 from bazaarlens.plans.datasets import Datasets
@@ -61,7 +61,7 @@ def repeat_six_months(d: Datasets) -> DataFrame:
 
 def _punctual_reviews(d: Datasets) -> DataFrame:
     """One row per order and category of reviewed orders that arrived on time."""
-    punctual = d.reviewed_items(("order_item_id", "product_id")).filter(rules.is_punctual())
+    punctual = d.reviewed_items(["product_id"]).filter(rules.is_punctual())
     categories = d.product_categories.select("product_id", "category_name")
     labeled = punctual.select("order_id", "product_id", "review_score").join(categories, "product_id")
     return distinct_pairs(labeled, "order_id", "category_name", "review_score")
@@ -90,13 +90,11 @@ def one_star_on_time(d: Datasets) -> DataFrame:
 
 
 def multi_category_orders(d: Datasets) -> DataFrame:
-    """Orders with items of more than one category: those whose first and last label differ."""
-    per_order = one_per(
-        d.clean_delivered_items(),
-        ["order_id"],
-        {"lowest": F.min("category_name"), "highest": F.max("category_name")},
-    )
-    several, total = total_where(F.col("lowest") != F.col("highest")), F.count(F.lit(1))
+    """Orders with items of more than one category. Pairs are made distinct first: both steps then hash, where a
+    minimum over text would sort."""
+    pairs = distinct_pairs(d.clean_delivered_items(), "order_id", "category_name")
+    per_order = conditional_metrics(pairs, ["order_id"], {"categories": F.count("category_name")})
+    several, total = total_where(F.col("categories") > 1), F.count(F.lit(1))
     return per_order.agg(
         total.alias("total_orders"),
         several.alias("multi_category_orders"),

@@ -17,9 +17,14 @@ from bazaarlens.functions import rules
 from bazaarlens.functions.metrics import cents, count_where, sum_where
 from bazaarlens.functions.periods import facts_around, period_bucket, purchased_within, within
 from bazaarlens.marketplace import Marketplace
-from bazaarlens.operators.grain import first_record_with_total, main_record, numbered_records, one_per
+from bazaarlens.operators.grain import (
+    conditional_metrics,
+    distinct_count,
+    first_record_with_total,
+    main_record,
+    numbered_records,
+)
 from bazaarlens.operators.lookup import category_label, corridor
-from bazaarlens.operators.skew import salted_join
 from bazaarlens.params import Params, Period
 from bazaarlens.session import shared_dir
 
@@ -64,8 +69,8 @@ class Datasets:
     # --- Reviews ------------------------------------------------------------------------------------
 
     def _score_per_order(self, reviews: DataFrame) -> DataFrame:
-        score = F.avg("review_score").cast("decimal(8,4)")
-        return one_per(reviews, ["order_id"], {"review_score": score})
+        total, n = F.sum("review_score").cast("decimal(18,4)"), F.count("review_score").cast("decimal(18,0)")
+        return conditional_metrics(reviews, ["order_id"], {"review_score": F.try_divide(total, n).cast("decimal(8,4)")})
 
     @property
     def one_review(self) -> DataFrame:
@@ -103,17 +108,20 @@ class Datasets:
         return self.delivered_items(period).filter(F.col("order_delivered_carrier_date").isNotNull())
 
     def reviewed_items(self, item_columns: Sequence[str], period: Period | None = None, how: str = "inner") -> DataFrame:
-        """Items of delivered orders with their order and its score; ``how="left"`` keeps orders without one,
-        and ``reviewed`` tells them apart.
+        """Items of delivered orders, alike ones as one row, with their order and its score.
 
-        The order side is itself a join on the order id here, so the join with items splits hot orders by
-        itself. A run that shares datasets has both sides stored, and leaves that to adaptive execution.
+        ``n_rows`` and ``n_items`` say how many rows, and how many with an item number, a row stands for. Items
+        are reduced before they meet their order, so a hot order brings one row per task for each of its
+        combinations. ``how="left"`` keeps orders without a score, and ``reviewed`` tells them apart.
         """
         scores = self.order_scores.withColumn("reviewed", F.lit(True))
-        if self._sharing:
-            return self.delivered_items(period).join(scores, "order_id", how)
         scored = self.delivered_orders(period).join(scores, "order_id", how)
-        return salted_join(self.items_around(period).select("order_id", *item_columns), scored, "order_id")
+        alike = conditional_metrics(
+            self.items_around(period),
+            ["order_id", *item_columns],
+            {"n_rows": F.count(F.lit(1)), "n_items": F.count("order_item_id")},
+        )
+        return alike.join(scored, "order_id")
 
     @cached_property
     def seller_quarters(self) -> DataFrame:
@@ -122,7 +130,7 @@ class Datasets:
         earlier, later = within(bought, self.params.earlier), within(bought, self.params.later)
         breach, harm = rules.is_breach(), rules.is_breach() & rules.is_late()
         return self._keep(
-            one_per(
+            conditional_metrics(
                 self.dispatched_items(),
                 ["seller_id"],
                 {
@@ -142,7 +150,7 @@ class Datasets:
         Items are added up before they meet their order, so an order of any size sends one row per task.
         """
         return self._keep(
-            one_per(
+            conditional_metrics(
                 self.items_around(),
                 ["order_id"],
                 {
@@ -188,7 +196,7 @@ class Datasets:
     def order_payment_types(self) -> DataFrame:
         """One row per order and payment type, with the amount, for orders of both quarters."""
         return self._keep(
-            one_per(
+            conditional_metrics(
                 facts_around(self.tables.order_payments, self.params.whole),
                 ["order_id", "payment_type"],
                 {"paid_cents": F.sum(cents(F.col("payment_value")))},
@@ -198,7 +206,7 @@ class Datasets:
     def payment_totals(self, period: Period | None = None) -> DataFrame:
         """One row per order with all it paid; of the whole history unless a period is named."""
         payments = self.tables.order_payments
-        return one_per(
+        return conditional_metrics(
             payments if period is None else facts_around(payments, period),
             ["order_id"],
             {"paid_cents": F.sum(cents(F.col("payment_value")))},
@@ -242,7 +250,8 @@ class Datasets:
         )
 
     def orders_per_person(self) -> DataFrame:
-        return one_per(self._purchases(), ["customer_unique_id"], {"total_orders": F.count("order_id")})
+        """Orders per person, as distinct ids."""
+        return distinct_count(self._purchases(), ["customer_unique_id"], "order_id", "total_orders")
 
     # --- Categories ---------------------------------------------------------------------------------
 
@@ -276,7 +285,7 @@ class Datasets:
         Items are added up per product before products are looked up: a best seller is one row by then,
         and its weight and volume count once per item sold.
         """
-        by_product = one_per(
+        by_product = conditional_metrics(
             self.delivered_items(),
             ["product_id"],
             {
@@ -291,7 +300,7 @@ class Datasets:
         volume = F.col("product_length_cm") * F.col("product_height_cm") * F.col("product_width_cm")
         sold = F.col("sold")
         return self._keep(
-            one_per(
+            conditional_metrics(
                 by_product.join(self.product_categories, "product_id"),
                 ["category_name"],
                 {

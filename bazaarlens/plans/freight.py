@@ -33,10 +33,13 @@ def _items_where(condition: Column) -> Column:
 
 
 def freight_vs_gmv(d: Datasets) -> DataFrame:
+    """Orders are counted as distinct ids; an order listed twice counts its items twice."""
     price, freight = F.sum("price_cents"), F.sum("freight_cents")
+    sums = {name: F.sum(name) for name in ("items", "price_cents", "freight_cents")}
+    per_order = conditional_metrics(d.delivered_totals(), [d.purchase_quarter, "order_id"], sums)
     return conditional_metrics(
-        d.delivered_totals(),
-        [d.purchase_quarter],
+        per_order,
+        ["purchase_quarter"],
         {
             "total_orders": F.count("order_id"),
             "total_items": F.sum("items"),
@@ -127,10 +130,10 @@ def local_purchase_share(d: Datasets) -> DataFrame:
 
 def who_pays_freight(d: Datasets) -> DataFrame:
     """Orders whose payments equal price plus freight. Either side is one row per order before they meet."""
-    charged = d.delivered_totals().select(
-        "order_id",
-        F.col("price_cents").alias("total_price"),
-        F.col("freight_cents").alias("total_freight"),
+    charged = conditional_metrics(
+        d.delivered_totals(),
+        ["order_id"],
+        {"total_price": F.sum("price_cents"), "total_freight": F.sum("freight_cents")},
     )
     paid = d.payment_totals(d.params.whole).select("order_id", F.col("paid_cents").alias("total_paid"))
     due = F.col("total_price") + F.col("total_freight")

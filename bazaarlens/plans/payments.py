@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bazaarlens.functions import rules
 from bazaarlens.functions.metrics import amount, count_where, mean_amount, pct, ratio
 from bazaarlens.operators.cohort import cohort_repeat, started_with
-from bazaarlens.operators.grain import conditional_metrics, distinct_pairs, one_per
+from bazaarlens.operators.grain import conditional_metrics, distinct_pairs
 from bazaarlens.operators.ranking import in_order, share_of_total
 from bazaarlens.plans.datasets import Datasets
 
@@ -18,10 +18,11 @@ def _defined() -> Column:
 
 
 def payment_breakdown(d: Datasets) -> DataFrame:
-    """Orders and money per payment type. Rows are one per order and type, so orders are counted once."""
+    """Orders and money per payment type. One row per order id and type, so orders are counted once."""
     paid, orders = F.sum("paid_cents"), F.count("order_id")
+    paid_by = d.delivered_orders().select("order_id").join(d.order_payment_types.filter(_defined()), "order_id")
     types = conditional_metrics(
-        d.delivered_orders().select("order_id").join(d.order_payment_types.filter(_defined()), "order_id"),
+        conditional_metrics(paid_by, ["order_id", "payment_type"], {"paid_cents": paid}),
         ["payment_type"],
         {
             "total_orders": orders,
@@ -90,8 +91,11 @@ def cohort_revenue(d: Datasets) -> DataFrame:
         .join(d.payment_totals(), "order_id")
         .join(people, "customer_id")
     )
-    per_person = one_per(
-        paid_orders,
+    per_order = conditional_metrics(
+        paid_orders, ["customer_unique_id", "order_id"], {"paid_cents": F.sum("paid_cents")}
+    )
+    per_person = conditional_metrics(
+        per_order,
         ["customer_unique_id"],
         {"total_orders": F.count("order_id"), "spend": F.sum("paid_cents")},
     )

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import rules
-from bazaarlens.functions.metrics import count_where, mean, mean_of, pct
+from bazaarlens.functions.metrics import count_where, mean_of_scaled, pct, scaled, sum_where
 from bazaarlens.functions.rules import at_least_share
-from bazaarlens.operators.grain import conditional_metrics, min_support, one_per
+from bazaarlens.operators.grain import conditional_metrics, min_support
 from bazaarlens.operators.quality import dq_count
 from bazaarlens.operators.ranking import dense_rank_desc, in_order, share_of_total, top_n
 from bazaarlens.operators.segments import segment_by_rules
 from bazaarlens.params import Params, Period
-from bazaarlens.plans.datasets import Datasets, stored
+from bazaarlens.plans.datasets import Datasets
 
 
 def _items() -> Column:
@@ -46,7 +48,7 @@ def fulfillment_matrix(d: Datasets) -> DataFrame:
 
 def _seller_record(d: Datasets, period: Period) -> DataFrame:
     """Items, breaches and harm per seller with enough items in the period."""
-    totals = one_per(
+    totals = conditional_metrics(
         d.dispatched_items(period),
         ["seller_id"],
         {
@@ -66,8 +68,9 @@ _RECORD = ("seller_id", "total_items", "breached_items", "direct_customer_delays
 
 
 def top_offenders(d: Datasets) -> DataFrame:
-    """Sellers ranked by late doorsteps they caused. One row per seller, so stored before it is ranked."""
-    harmful = stored(min_support(_seller_record(d, d.params.later), "direct_customer_delays", 1))
+    """Sellers ranked by late doorsteps they caused. The ranks are those of the distinct counts, and both sides
+    read the one shuffle of the items by seller."""
+    harmful = min_support(_seller_record(d, d.params.later), "direct_customer_delays", 1)
     ranked = dense_rank_desc(harmful, "direct_customer_delays", "harm_rank", many_rows=True)
     return (
         _with_breach_pct(ranked)
@@ -128,23 +131,33 @@ def _score_below_two() -> Column:
     return F.col("review_score") < 2
 
 
-_ITEM_COLUMNS = ("order_item_id", "shipping_limit_date", "seller_id")
+def _reviewed(items: DataFrame, keys: Sequence[str | Column], more: Mapping[str, Column]) -> DataFrame:
+    """Scores over items: sums over the rows each row stands for."""
+    score, rows = F.col("review_score"), F.col("n_rows")
+    sums = {
+        "score_sum": F.sum(scaled(score) * rows),
+        "scores": sum_where(score.isNotNull(), rows),
+        "low_scores": sum_where(_score_below_two(), rows),
+    }
+    return conditional_metrics(items, keys, {**more, **sums})
 
 
 def review_by_bucket(d: Datasets) -> DataFrame:
     """Scores per fulfillment bucket; a review counts once per item of its order."""
-    reviewed = d.reviewed_items(_ITEM_COLUMNS, d.params.later).filter(
+    reviewed = d.reviewed_items(["shipping_limit_date"], d.params.later).filter(
         F.col("order_delivered_carrier_date").isNotNull() & F.col("order_delivered_customer_date").isNotNull()
     )
-    return conditional_metrics(
-        reviewed,
-        [rules.fulfillment_bucket().alias("fulfillment_attribution")],
-        {
-            "reviewed_items": _items(),
-            "avg_review_score": mean(F.col("review_score")),
-            "one_star_pct": pct(count_where(_score_below_two()), _items()),
-        },
-    ).transform(in_order, "fulfillment_attribution")
+    bucket = rules.fulfillment_bucket().alias("fulfillment_attribution")
+    return (
+        _reviewed(reviewed, [bucket], {"reviewed_items": F.sum("n_items")})
+        .select(
+            "fulfillment_attribution",
+            "reviewed_items",
+            mean_of_scaled(F.col("score_sum"), F.col("scores")).alias("avg_review_score"),
+            pct(F.col("low_scores"), F.col("reviewed_items")).alias("one_star_pct"),
+        )
+        .transform(in_order, "fulfillment_attribution")
+    )
 
 
 def review_by_seller_group(d: Datasets) -> DataFrame:
@@ -154,18 +167,14 @@ def review_by_seller_group(d: Datasets) -> DataFrame:
     counted as rows rather than as distinct ids, and items are joined once.
     """
     p = d.params
-    items = d.reviewed_items(_ITEM_COLUMNS, p.later, "left")
-    reviewed = F.col("reviewed")
-    sellers = one_per(
+    items = d.reviewed_items(["seller_id", "shipping_limit_date"], p.later, "left")
+    sellers = _reviewed(
         items.filter(F.col("order_delivered_carrier_date").isNotNull()),
         ["seller_id"],
         {
-            "total_items": _items(),
-            "breaches": count_where(rules.is_breach()),
-            "reviewed_items": F.count(F.when(reviewed, F.col("order_item_id"))),
-            "score_sum": F.sum("review_score"),
-            "scores": F.count("review_score"),
-            "low_scores": count_where(_score_below_two()),
+            "total_items": F.sum("n_items"),
+            "breaches": sum_where(rules.is_breach(), F.col("n_rows")),
+            "reviewed_items": sum_where(F.col("reviewed"), F.col("n_items")),
         },
     ).filter(F.col("seller_id").isNotNull() & (F.col("reviewed_items") > 0))
     small = F.col("total_items") < p.min_items
@@ -182,7 +191,7 @@ def review_by_seller_group(d: Datasets) -> DataFrame:
         {
             "sellers": F.count("seller_id"),
             "reviewed_items": F.sum("reviewed_items"),
-            "avg_review_score": mean_of(F.sum("score_sum"), F.sum("scores")),
+            "avg_review_score": mean_of_scaled(F.sum("score_sum"), F.sum("scores")),
             "one_star_pct": pct(F.sum("low_scores"), F.sum("reviewed_items")),
         },
     ).transform(in_order, "seller_group")

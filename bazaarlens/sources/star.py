@@ -91,19 +91,20 @@ def _orders(orders: DataFrame) -> DataFrame:
 
 
 def _order_items(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    kind, ordered = F.col("l_suppkey") % 4, F.col("o_orderdate")
+    ordered = F.col("o_orderdate")
     later = ordered >= moment(_REGIME_CHANGE)
+    # A seller who has stopped selling hands over to the fourth one after.
+    seller = F.col("l_suppkey") + F.when((F.col("l_suppkey") % 20 == 3) & later, 4).otherwise(0)
+    kind = seller % 4
     patient = (kind == 0) | ((kind == 1) & ~later) | ((kind == 2) & later)
-    gone = (F.col("l_suppkey") % 20 == 3) & later
     freight = F.when(F.col("l_partkey") % 40 == 9, F.lit(0.0)).otherwise(F.col("l_quantity") * 300)
     return (
         lineitem.join(orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .filter(~gone)
         .select(
             F.col("l_orderkey").alias("order_id"),
             F.col("l_linenumber").alias("order_item_id"),
             F.col("l_partkey").alias("product_id"),
-            F.col("l_suppkey").alias("seller_id"),
+            seller.alias("seller_id"),
             _after(ordered, F.when(patient, F.lit(9200)).otherwise(F.lit(4000))).alias("shipping_limit_date"),
             _money(F.col("l_extendedprice")).alias("price"),
             _money(freight).alias("freight_value"),

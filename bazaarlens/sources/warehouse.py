@@ -18,7 +18,8 @@ def store_table(df: DataFrame, warehouse_dir: str, table: str) -> None:
     """Replace one stored table; orders must be stored before the tables with several rows per order.
 
     Orders and those tables are kept by the month of the purchase, so that a job on two quarters opens six
-    directories of each. Rows without a known order are kept, in a directory of their own.
+    directories of each. Rows without a known order, or of an order id listed in several months, are kept in
+    a directory of their own, which every job opens.
     """
     path = f"{warehouse_dir}/{table}"
     df = df.drop(*COARSE_ORDER_COLUMNS, *COARSE_FACT_COLUMNS)
@@ -26,8 +27,11 @@ def store_table(df: DataFrame, warehouse_dir: str, table: str) -> None:
         month = month_start(F.col("order_purchase_timestamp"))
         _write_by(df.withColumn(ORDERS_PARTITION, month), ORDERS_PARTITION, path)
     elif table in FACT_TABLES:
-        months = df.sparkSession.read.parquet(f"{warehouse_dir}/orders").select(
-            "order_id", F.col(ORDERS_PARTITION).alias(FACTS_PARTITION)
+        orders = df.sparkSession.read.parquet(f"{warehouse_dir}/orders")
+        month = F.col(ORDERS_PARTITION)
+        # One row per order id, also where the raw file repeats one, so that the join adds no rows.
+        months = orders.groupBy("order_id").agg(
+            F.when(F.min(month) == F.max(month), F.min(month)).alias(FACTS_PARTITION)
         )
         _write_by(df.join(months, "order_id", "left"), FACTS_PARTITION, path)
     else:

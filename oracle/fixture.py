@@ -19,16 +19,17 @@ SELECT o_orderkey AS order_id, o_orderkey AS customer_id,
  o_custkey, o_orderpriority
 FROM (SELECT *, o_orderdate + ((o_orderkey*37) % 1440) * INTERVAL '1' MINUTE AS purchase FROM orders) b""",
     "f_items": """
-SELECT l_orderkey AS order_id, l_linenumber AS order_item_id, l_partkey AS product_id, l_suppkey AS seller_id,
- o_orderdate + CASE WHEN l_suppkey % 4 = 0
-                      OR (l_suppkey % 4 = 1 AND o_orderdate < TIMESTAMP '1998-04-01 00:00:00')
-                      OR (l_suppkey % 4 = 2 AND o_orderdate >= TIMESTAMP '1998-04-01 00:00:00')
+SELECT l_orderkey AS order_id, l_linenumber AS order_item_id, l_partkey AS product_id, seller_id,
+ o_orderdate + CASE WHEN seller_id % 4 = 0
+                      OR (seller_id % 4 = 1 AND o_orderdate < TIMESTAMP '1998-04-01 00:00:00')
+                      OR (seller_id % 4 = 2 AND o_orderdate >= TIMESTAMP '1998-04-01 00:00:00')
                     THEN 9200 ELSE 4000 END * INTERVAL '1' MINUTE AS shipping_limit_date,
  CAST(l_extendedprice AS DECIMAL(12,2)) AS price,
  CAST(CASE WHEN l_partkey % 40 = 9 THEN 0 ELSE CAST(l_quantity AS DECIMAL(12,2))*300 END AS DECIMAL(12,2))
    AS freight_value
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-WHERE NOT (l_suppkey % 20 = 3 AND o_orderdate >= TIMESTAMP '1998-04-01 00:00:00')""",
+FROM (SELECT *, l_suppkey + CASE WHEN l_suppkey % 20 = 3 AND o_orderdate >= TIMESTAMP '1998-04-01 00:00:00'
+                            THEN 4 ELSE 0 END AS seller_id
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey) b""",
     "f_customers": """
 SELECT o_orderkey AS customer_id, o_custkey*17 + o_orderkey % 17 AS customer_unique_id, r_name AS customer_state
 FROM orders JOIN customer ON o_custkey = c_custkey

@@ -17,11 +17,11 @@ from bazaarlens.functions.periods import period_bucket
 from bazaarlens.operators.cohort import cohort_repeat, started_with
 from bazaarlens.operators.grain import (
     conditional_metrics,
+    distinct_count,
     distinct_pairs,
     first_record_with_total,
     main_record,
     min_support,
-    one_per,
 )
 from bazaarlens.operators.quality import dq_count
 from bazaarlens.operators.ranking import dense_rank_desc, share_of_total
@@ -76,7 +76,7 @@ def order_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_per_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = {"lines": _rows(), "value_cents": F.sum(_line_value())}
-    per_order = one_per(_table(spark, sf_dir, "lineitem"), ["l_orderkey"], totals)
+    per_order = conditional_metrics(_table(spark, sf_dir, "lineitem"), ["l_orderkey"], totals)
     return per_order.select("l_orderkey", "lines", amount(F.col("value_cents")).alias("line_value"))
 
 
@@ -115,13 +115,13 @@ def conditional_metrics_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def share_of_total_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = {"value_cents": F.sum(_line_value())}
-    per_supplier = one_per(_table(spark, sf_dir, "lineitem"), ["l_suppkey"], value)
+    per_supplier = conditional_metrics(_table(spark, sf_dir, "lineitem"), ["l_suppkey"], value)
     shared = share_of_total(per_supplier, "value_cents", "value_share_pct", many_rows=True)
     return shared.select("l_suppkey", "value_share_pct")
 
 
 def dense_rank_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = one_per(_table(spark, sf_dir, "orders"), ["o_custkey"], {"orders": _rows()})
+    counts = conditional_metrics(_table(spark, sf_dir, "orders"), ["o_custkey"], {"orders": _rows()})
     return dense_rank_desc(counts, "orders", "order_rank", many_rows=True)
 
 
@@ -144,7 +144,7 @@ def segment_by_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def min_support_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = one_per(_table(spark, sf_dir, "lineitem"), ["l_partkey"], {"lines": _rows()})
+    counts = conditional_metrics(_table(spark, sf_dir, "lineitem"), ["l_partkey"], {"lines": _rows()})
     return min_support(counts, "lines", 30)
 
 
@@ -156,7 +156,7 @@ def corridor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reconcile_totals_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    charged = one_per(
+    charged = conditional_metrics(
         _table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "order_id"),
         ["order_id"],
         {"line_value": F.sum(_line_value())},
@@ -186,10 +186,10 @@ def category_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scorecard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders")
-    counts = one_per(
+    counts = conditional_metrics(
         orders, ["o_orderpriority"], {"n": _rows(), "filled": count_where(F.col("o_orderstatus") == "F")}
     )
-    value = one_per(
+    value = conditional_metrics(
         orders, ["o_orderpriority"], {"n": _rows(), "cents": F.sum(cents(F.col("o_totalprice").cast(MONEY)))}
     )
     sides = [
@@ -209,12 +209,17 @@ def dq_count_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dq_count(lines, {"shipped_before_order": early, "free": F.col("l_extendedprice") <= 0}, "total_lines")
 
 
+def distinct_count_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders per supplier: an order with several of its lines counts once."""
+    return distinct_count(_table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_orderkey", "orders")
+
+
 def salted_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part counts as hot here, so that all rows take the split path."""
     lines = _table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
     parts = _table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     joined = salted_join(lines, parts, "p_partkey", hot_rows=5)
-    return one_per(joined, ["p_brand"], {"lines": _rows(), "value": amount(F.sum(_line_value()))})
+    return conditional_metrics(joined, ["p_brand"], {"lines": _rows(), "value": amount(F.sum(_line_value()))})
 
 
 def _raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -297,5 +302,6 @@ OPERATOR_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "e16_category_label": category_label,
     "e17_scorecard": scorecard_query,
     "e18_dq_count": dq_count_query,
+    "e19_distinct_orders": distinct_count_query,
     "skew_salted_join": salted_join_query,
 }

@@ -108,6 +108,7 @@ SELECT COUNT(*) AS total_lines,
   {big('SUM(CASE WHEN l_shipdate < o_orderdate THEN 1 ELSE 0 END)')} AS shipped_before_order,
   {big('SUM(CASE WHEN l_extendedprice <= 0 THEN 1 ELSE 0 END)')} AS free
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "e19_distinct_orders": "SELECT l_suppkey, COUNT(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY l_suppkey",
     "skew_salted_join": f"""
 SELECT p_brand, COUNT(*) AS lines, {dbl(f'SUM({_VALUE})')} AS value
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand""",

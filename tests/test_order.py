@@ -1,0 +1,61 @@
+"""Results come in the order their question asks for."""
+
+from __future__ import annotations
+
+import pytest
+
+from bazaarlens.plans.datasets import Datasets
+from bazaarlens.plans.registry import JOBS
+from bazaarlens.sources.star import STAR_PARAMS, StarMarketplace
+
+# Sort keys of the results, minus for descending; None for one-row results.
+ORDER = {
+    "j1_1a": ["purchase_quarter"],
+    "j1_7": ["review_month"],
+    "j1_8": ["delivery_month"],
+    "j2_1": ["purchase_quarter"],
+    "j2_2": ["fulfillment_attribution"],
+    "j2_3": ["-direct_customer_delays", "-breached_items", "seller_id"],
+    "j2_4": ["breached_ranks", "seller_id"],
+    "j2_5": ["-q2_breaches", "seller_id"],
+    "j2_6": ["seller_segment", "-q2_breaches", "seller_id"],
+    "j2_7": ["fulfillment_attribution"],
+    "j2_8": ["seller_group"],
+    "j2_10": ["-q2_direct_customer_delays", "seller_id"],
+    "j3_1": ["purchase_quarter"],
+    "j3_2": ["purchase_quarter"],
+    "j3_3": ["purchase_quarter"],
+    "j3_4": ["purchase_quarter", "shipping_type"],
+    "j3_5": ["purchase_quarter", "shipping_type"],
+    "j3_6": ["-total_freight_value", "seller_state", "customer_state"],
+    "j3_7": ["local_item_pct", "-total_items", "customer_state"],
+    "j4_1": ["-total_paid", "payment_type"],
+    "j4_2": ["-avg_approval_hours", "payment_type"],
+    "j4_3": ["-total_orders", "payment_type"],
+    "j4_4": ["customer_loyalty_segment"],
+    "j4_5": ["customer_loyalty_segment"],
+    "j4_6": ["-total_customers", "first_order_payment"],
+    "j5_1": ["-total_GMV", "category_name"],
+    "j5_2_": ["-came_back_pct", "first_order_category"],
+    "j5_3a": ["-one_star_pct", "category_name"],
+    "j5_4": ["-freight_to_gmv_pct", "category_name"],
+}
+
+
+@pytest.mark.parametrize("short", list(ORDER))
+def test_rows_are_in_order(spark, short):
+    name = next(n for n in JOBS if n == short or n.startswith(short if short.endswith("_") else f"{short}_"))
+    rows = JOBS[name](Datasets(StarMarketplace(spark, "/root/testdata/sf0.01"), STAR_PARAMS)).collect()
+    assert rows
+
+    def key(row):
+        out = []
+        for column in ORDER[short]:
+            value = row[column.lstrip("-")]
+            if column.startswith("-"):
+                out.append((value is None, 0 if value is None else -value))
+            else:
+                out.append((value is not None, 0 if value is None else value))
+        return out
+
+    assert [key(r) for r in rows] == sorted(key(r) for r in rows)

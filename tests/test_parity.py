@@ -17,11 +17,15 @@ def duck():
     return connect(SF_DIR)
 
 
+# Queries of the training-data operators are not all for SQL; those that are have their tests beside the operators.
+MARKETPLACE = [name for name in QUERIES if not name.startswith("op") and name != "pipeline"]
+
+
 def test_every_query_has_its_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(MARKETPLACE) <= set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", MARKETPLACE)
 def test_same_rows(spark, duck, name):
     names, rows = spark_rows(QUERIES[name](spark, SF_DIR))
     expected_names, expected = duck_rows(duck, ORACLES[name])

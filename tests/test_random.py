@@ -59,6 +59,8 @@ def _random_rows(seed: int) -> dict[str, list[tuple]]:
         orders.append(
             (f"o{number}", f"c{number}", state, bought, maybe(approved), maybe(carrier), maybe(arrived), maybe(promised))
         )
+        if rng.random() < 0.05:
+            orders.append(orders[-1])  # listed twice
         if rng.random() > 0.05:
             customers.append((f"c{number}", maybe(skewed("u", 150)), maybe(rng.choice(["SP", "RJ", "BA"]))))
     for number in range(700):

@@ -78,6 +78,22 @@ def test_salted_join_spreads_the_hot_key(spark, facts):
     assert largest[1] < ROWS / 4
 
 
+def test_equal_rows_of_one_key_are_spread(spark):
+    facts = spark.range(0, ROWS, 1, 8).selectExpr("if(id % 3 = 0, 'hot', string(id)) AS key", "1 AS value")
+    lookup = facts.select("key").distinct().withColumn("size", F.length("key"))
+    with settings(spark, **NO_BROADCAST, **{"spark.sql.adaptive.enabled": "false"}):
+        joined = salted_join(facts, lookup, "key", 500)
+        sizes = joined.groupBy(F.spark_partition_id()).count().collect()
+    assert max(row["count"] for row in sizes) < ROWS / 4
+    assert sorted_rows(joined) == sorted_rows(facts.join(lookup, "key"))
+
+
+def test_three_thousand_hot_keys_are_all_found(spark):
+    facts = spark.range(0, 90_000, 1, 8).selectExpr("id % 3000 AS key", "id AS value")
+    assert hot_keys(facts, "key", hot_rows=30).count() == 3000
+    assert hot_keys(facts, "key", hot_rows=31).count() == 0
+
+
 def test_salted_join_of_nothing(spark, facts):
     lookup = facts.select("key").distinct()
     assert salted_join(facts.filter("value < 0"), lookup, "key").count() == 0

@@ -138,3 +138,25 @@ def test_report_from_raw_files(spark, raw_dir, tmp_path):
     assert (gap["shipping_type"], gap["total_freight_value"]) == ("Interstate", Decimal("13.29"))
     (paid,) = rows(JOBS["j3_8_who_pays_freight"](shared))
     assert (paid["total_orders"], paid["matched_orders"]) == (1, 1)
+
+
+def test_repeated_orders_add_no_items(spark, tmp_path):
+    """An order id listed twice, also in two months, leaves every item stored once and found by every job."""
+    from market import item, market, order, rows
+
+    from bazaarlens.plans.datasets import Datasets
+    from bazaarlens.plans.registry import JOBS
+    from bazaarlens.sources.warehouse import StoredMarketplace, store_table
+
+    d = market(
+        spark,
+        orders=[order("a"), order("a"), order("b", "2018-02-10 10:00:00"), order("b", "2018-05-10 10:00:00"), order("c")],
+        order_items=[item("a"), item("b"), item("b", 2), item("c"), item("stray")],
+    )
+    for name in ("orders", "order_items"):
+        store_table(getattr(d, name), str(tmp_path), name)
+    stored = StoredMarketplace(spark, str(tmp_path))
+    assert stored.order_items.count() == 5
+    for tables in (d, stored):
+        got = {r["purchase_quarter"]: (r["total_orders"], r["total_items"]) for r in rows(JOBS["j3_1_freight_vs_gmv"](Datasets(tables)))}
+        assert got == {"2018-Q1": (3, 5), "2018-Q2": (1, 2)}
