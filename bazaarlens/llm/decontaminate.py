@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens.llm.shared import filled, in_tasks, keyed, row_key, shared_folder, stored, without_rows
-from bazaarlens.llm.words import LETTERS, as_bytes, word_hashes
+from bazaarlens.llm.words import LETTERS, as_bytes, portions, word_hashes
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -181,7 +181,7 @@ def _against(rows: DataFrame, items: TestItems, window: int) -> DataFrame:
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = block.value
-        for batch in batches:
+        for batch in portions(batches):
             n_words, n_hit, found = matches(as_bytes(batch.column("text")), items, window)
             lists: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for text, item, place, word, length in found.tolist():

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens.llm.shared import filled, in_tasks, keyed
-from bazaarlens.llm.words import LETTERS, as_bytes, mixed, runs, slices, word_hashes
+from bazaarlens.llm.words import LETTERS, as_bytes, mixed, portions, runs, slices, word_hashes
 
 SEGMENT, STRIDE = 64, 32
 SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_SEGMENTS = 1000, 1 << 15, 4000
@@ -342,7 +342,7 @@ def license_scan(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", t
     fields = [("line", pa.int64()), ("word", pa.int64()), ("family", pa.string()), ("chance", pa.float64()), ("template", pa.string()), ("share", pa.float64())]
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             n_lines, found = scan(as_bytes(batch.column("text")), fitted.value)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("file", "row", "doc_id")), pa.array(n_lines, pa.int64()), pa.array(found, pa.list_(pa.struct(fields)))],

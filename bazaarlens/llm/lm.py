@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens.llm.shared import in_tasks, keyed, shared_folder, stored
-from bazaarlens.llm.words import as_bytes, word_hashes
+from bazaarlens.llm.words import as_bytes, portions, word_hashes
 
 REACH = 2
 CONTEXT_BITS, WORD_BITS = 13, 18
@@ -165,7 +165,7 @@ def count_words(rows: DataFrame) -> np.ndarray:
     """Occurrences of every hashed word in all texts."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             hashes, _ = word_hashes(as_bytes(batch.column("text")))
             word, n = np.unique(_hashed(hashes, WORD_BITS).astype(np.int32), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n.astype(np.int64))], names=["word", "n"])
@@ -184,7 +184,7 @@ def train(rows: DataFrame, words: Words, folder: str) -> dict[str, np.ndarray]:
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weights = given.value
         trainer = Trainer(weights)
-        for batch in batches:
+        for batch in portions(batches):
             trainer.learn(*word_hashes(as_bytes(batch.column("text"))), words)
         if trainer.learnt:
             flat = _flat(trainer.weights).astype(np.float32)
@@ -226,7 +226,7 @@ def lm_scores(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text
     kind = dict(rows.dtypes)["doc_id"]
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             n, total = log_likelihood(as_bytes(batch.column("text")), *model.value)
             mean = pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0), mask=n == 0)
             yield pa.RecordBatch.from_arrays(

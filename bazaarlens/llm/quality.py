@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens.llm.shared import filled, in_tasks, keyed, shared_folder, stored, without_rows
-from bazaarlens.llm.words import LETTERS, as_bytes, byte_class, mixed, runs, slices
+from bazaarlens.llm.words import LETTERS, as_bytes, byte_class, mixed, portions, runs, slices
 
 SAMPLE = 12_000
 SAMPLE_BYTES = 1 << 16
@@ -147,7 +147,7 @@ def train(docs: DataFrame, graded: DataFrame, grades: int, doc_id: str = "doc_id
     )
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             row, bucket, value = features(as_bytes(batch.column("text")))
             ends = np.searchsorted(row, np.arange(1, batch.num_rows))
             lists = [[x.tobytes() for x in np.split(v, ends)] for v in (bucket.astype(np.int32), value.astype(np.float32))]
@@ -184,7 +184,7 @@ def quality_grades(
     fitted = rows.sparkSession.sparkContext.broadcast(model)  # 2^18 weights
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             texts = as_bytes(batch.column("text"))
             above = fitted.value.above(texts)
             above[np.array([not t.strip() for t in texts], bool)] = 0.0

@@ -101,6 +101,14 @@ def only_rows(df: DataFrame, wanted: DataFrame, extra: Sequence[str] = ()) -> Da
     return marked.join(listed, names).select(*(F.col(f"`{c}`") for c in df.columns), *extra)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt out by the columns to as many tasks as shuffles have, however little they are now.
+
+    For rows that the next step multiplies: adaptive execution would judge by their size before that.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def in_tasks(df: DataFrame, per_task: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` whose workers find this package where the session found it, whatever their folder."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -9,7 +9,8 @@ half values found so are joined back to their fingerprints, whose other halves a
 Where one pair of half values belongs to more than ``BUCKET`` fingerprints, the same cut is made again
 inside: the other half (16 + 16 bits, one differs in at most one bit) and then what is left (8 + 8). After
 that at most 2 * 2 * 2 * 256 = 2,048 different fingerprints can share a bucket, so no bucket needs a cap and no
-pair is lost. A bucket gives links between neighbours, not all its pairs: a spanning forest of them.
+pair is lost. A large bucket does not give all its pairs as links but, per component of its own, one link from
+each fingerprint to the smallest: the components of all links are the same.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens.llm.components import components
-from bazaarlens.llm.shared import in_tasks, keyed, shared_folder, stored, without_rows
-from bazaarlens.llm.words import as_bytes
+from bazaarlens.llm.shared import in_tasks, keyed, shared_folder, spread, stored, without_rows
+from bazaarlens.llm.words import as_bytes, portions
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -56,7 +57,7 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str, size: int = SHINGLE, s
     """Columns file, row, doc_id, fp: the fingerprint of every text, as a signed long."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             found = [_fingerprint(t, size, seed) for t in as_bytes(batch.column("text"))]
             fp = pa.array(np.array(found, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("file", "row", "doc_id")), fp], names=["file", "row", "doc_id", "fp"])
@@ -74,7 +75,7 @@ def _half(fp: Column, which: Column) -> Column:
 def _neighbour_values(halves: DataFrame) -> DataFrame:
     """Pairs of half values (a, b) that differ in one bit: equal in one of their 32 deletion variants."""
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
-    variants = halves.select("which", "value", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit")).select(
+    variants = spread(halves, "which", "value").select("which", "value", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit")).select(
         "which",
         "bit",
         F.col("value").bitwiseAND(F.bitwise_not(bit)).alias("rest"),
@@ -158,7 +159,7 @@ def _bucket_links(fp: np.ndarray, side: np.ndarray, start: np.ndarray, end: np.n
 
 
 def _links(members: DataFrame, most: int) -> DataFrame:
-    """Verified links (u, v) of the buckets' neighbours. Rows come sorted by bucket; one bucket is held at a time."""
+    """Links (u, v) from verified pairs inside the buckets. Rows come sorted by bucket; one bucket is held at a time."""
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.zeros(0, t) for t in (np.int64, np.int32, np.uint64)]

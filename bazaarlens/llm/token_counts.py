@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens.llm.shared import filled, in_tasks, keyed, only_rows, shared_folder, stored, without_rows
+from bazaarlens.llm.words import portions
 
 LIMIT = 512
 # Different pieces a task remembers, and bytes of text it splits at a time.
@@ -153,7 +154,7 @@ def token_counts(
 
         def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counter = None
-            for batch in batches:
+            for batch in portions(batches):
                 counter = counter or Counter(tokenizer_file.value)
                 found = [t or "" for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(

@@ -16,7 +16,7 @@ import numpy as np
 import xxhash
 
 # Bytes split at once; what a task holds beside its batch is about 60 times this.
-SLICE = 1 << 21
+SLICE = 1 << 19
 _LONG = 512
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -119,6 +119,21 @@ def hash_of(word: bytes) -> int:
     return int(mixed(np.array([total], np.uint64))[0])
 
 
+def portions(batches: Iterator, column: str = "text", limit: int = 4 << 20) -> Iterator:
+    """The same rows in smaller Arrow batches: of about ``limit`` bytes of text, or one row."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto = np.cumsum(size)
+        first = 0
+        while first < batch.num_rows:
+            done = upto[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(upto, done + limit, side="right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def as_bytes(column) -> list[bytes]:
     """The texts of an Arrow column as UTF-8; null is empty."""
     import pyarrow as pa
