@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bazaarlens.llm.shared import fresh
+
 START, MIDDLE, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 # The control strings of common chat templates, by their beginnings and ends.
 _CONTROL = r"([<\[])(\||/?s>|</?SYS>>|/?INST\])"
@@ -136,14 +138,15 @@ def canonical_turns(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, into:
     Null roles and texts in a list are empty; an absent field of a layout gives no turn. A record with no turns
     has an empty list.
     """
+    hold = fresh(df, "_fingerprint")[0]
     seen = fingerprint(df, layouts)
     turns, name = F.lit(None).cast(_TURNS), F.lit(None).cast("string")
     for layout in layouts:
         prints = [F.xxhash64(F.lit(source)) for source in layout.fingerprint_sources()]
-        chosen = F.col("_fingerprint").isin(*prints)
+        chosen = F.col(hold).isin(*prints)
         turns = F.when(chosen, _canonical(df, layout)).otherwise(turns)
         name = F.when(chosen, F.lit(layout.name)).otherwise(name)
-    return df.withColumn("_fingerprint", seen).withColumns({into: turns, layout_into: name}).drop("_fingerprint")
+    return df.withColumn(hold, seen).withColumns({into: turns, layout_into: name}).drop(hold)
 
 
 def escaped(text: Column) -> Column:

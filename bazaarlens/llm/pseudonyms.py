@@ -24,6 +24,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bazaarlens.llm.shared import fresh
+
 ROUNDS = 10
 # Steps after which a walk through dates has ended: each ends it with a chance of 3 in 5.
 _WALK = 64
@@ -273,14 +275,15 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", into: str = "tex
     Strings that look like a value but are not valid stay as they are, as do texts without any. A null text stays
     null and has no kinds. The result depends on the key and the value alone, so repeated rows, ties and reruns agree.
     """
+    hold = fresh(docs, "_found")[0]
     value = F.col(f"`{text}`").cast("string")
     pieces = F.split(value, _ANY, -1)
     found = F.transform(F.regexp_extract_all(value, F.lit(_ANY), F.lit(0)), lambda v: F.struct(v.alias("old"), _found(key, v).alias("is")))
     empty = F.array().cast("array<struct<old:string,is:struct<kind:string,new:string>>>")
     marked = F.when(value.rlike(r"[0-9@=:]"), found).otherwise(empty)
-    shown = F.transform("_found", lambda f: F.coalesce(f["is"]["new"], f["old"]))
+    shown = F.transform(hold, lambda f: F.coalesce(f["is"]["new"], f["old"]))
     joined = F.array_join(F.zip_with(pieces, F.array_append(shown, F.lit("")), lambda p, v: F.concat(p, v)), "")
-    changed = F.exists("_found", lambda f: f["is"]["new"].isNotNull())
-    kinds = F.transform(F.filter("_found", lambda f: f["is"]["kind"].isNotNull()), lambda f: f["is"]["kind"])
-    out = docs.withColumn("_found", F.coalesce(marked, empty))
-    return out.withColumns({kinds_into: kinds, into: F.when(changed, joined).otherwise(value)}).drop("_found")
+    changed = F.exists(hold, lambda f: f["is"]["new"].isNotNull())
+    kinds = F.transform(F.filter(hold, lambda f: f["is"]["kind"].isNotNull()), lambda f: f["is"]["kind"])
+    out = docs.withColumn(hold, F.coalesce(marked, empty))
+    return out.withColumns({kinds_into: kinds, into: F.when(changed, joined).otherwise(value)}).drop(hold)

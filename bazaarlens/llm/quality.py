@@ -41,25 +41,26 @@ _SHAPES = mixed(np.arange(1, 4, dtype=np.uint64)) >> np.uint64(64 - BITS)
 def features(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows (text, bucket, value), by text; only the ``wanted`` buckets (a table of booleans) where given."""
     words, marks, total = [], [], np.zeros(len(texts), np.int64)
+    before = (-1, 0)  # text and hash of the last word of the slice before
+
+    def keep(rows: np.ndarray, kinds: np.ndarray, into: list) -> None:
+        some = slice(None) if wanted is None else wanted[kinds]
+        into.append((rows[some].astype(np.int64) << BITS) | kinds[some])
+
     for parts in slices(texts, _RUNS):
         raw, start, end, kind, text, found = runs(parts, _RUNS)
         upper, alpha = (np.concatenate(([0], np.cumsum(t[raw]))) for t in (_UPPER, _ALPHA))
         up = upper[end] - upper[start]
-        word = np.flatnonzero(kind == 1)
-        again = word[1:][(found[word[1:]] == found[word[:-1]]) & (text[word[1:]] == text[word[:-1]])]
+        word, mark = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
+        of, said = np.append(before[0], text[word]), np.append(np.uint64(before[1]), found[word])
+        again = word[(of[1:] == of[:-1]) & (said[1:] == said[:-1])]
+        before = (of[-1], said[-1])
         capitals = np.flatnonzero((up >= 2) & (2 * up >= alpha[end] - alpha[start]))
-        mark = np.flatnonzero(kind == 2)
-        bucket = (found >> np.uint64(64 - BITS)).astype(np.int64)
-        marked = (mixed(found[mark] + np.uint64(1)) >> np.uint64(64 - BITS)).astype(np.int64)
         total += np.bincount(text, minlength=len(texts))
-        for rows, kinds, into in (
-            (word, bucket[word], words),
-            (mark, marked, marks),
-            (capitals, np.full(len(capitals), int(_SHAPES[0])), marks),
-            (again, np.full(len(again), int(_SHAPES[1])), marks),
-        ):
-            keep = slice(None) if wanted is None else wanted[kinds]
-            into.append((text[rows][keep].astype(np.int64) << BITS) | kinds[keep])
+        keep(text[word], (found[word] >> np.uint64(64 - BITS)).astype(np.int64), words)
+        keep(text[mark], (mixed(found[mark] + np.uint64(1)) >> np.uint64(64 - BITS)).astype(np.int64), marks)
+        keep(text[capitals], np.full(len(capitals), int(_SHAPES[0])), marks)
+        keep(text[again], np.full(len(again), int(_SHAPES[1])), marks)
     none = np.zeros(0, np.int64)
     present = np.unique(np.concatenate([none, *words]))
     shared, count = np.unique(np.concatenate([none, *marks]), return_counts=True)

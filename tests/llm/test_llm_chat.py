@@ -1,0 +1,90 @@
+from __future__ import annotations
+
+import hashlib
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from bazaarlens.llm.chat import END, MIDDLE, START, canonical_turns, chat_format, conversation_digests, conversation_records, escaped, unescaped
+
+_WIDE = (
+    "id int, messages array<struct<role:string,content:string,name:string>>, conversations array<struct<from:string,value:string>>, "
+    "instruction string, input string, output string, system string, prompt string, completion string, response string, question string, answer string, note string"
+)
+RECORDS = [
+    ({"messages": [{"role": "user", "content": "hi", "name": "n"}, {"role": "assistant", "content": None}]}, "messages", [("user", "hi"), ("assistant", "")]),
+    ({"messages": [{"role": None, "content": "x"}], "note": "further"}, "messages", [("", "x")]),
+    ({"messages": []}, "messages", []),
+    ({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, "from_value", [("user", "q"), ("assistant", "a")]),
+    ({"instruction": "do", "input": "this", "output": "done"}, "instruction", [("user", "do\nthis"), ("assistant", "done")]),
+    ({"instruction": "do", "output": "done", "system": "s"}, "instruction", [("system", "s"), ("user", "do"), ("assistant", "done")]),
+    ({"prompt": "p", "completion": "c"}, "prompt_completion", [("user", "p"), ("assistant", "c")]),
+    ({"prompt": "p", "response": "r"}, "prompt_response", [("user", "p"), ("assistant", "r")]),
+    ({"question": "q", "answer": ""}, "question_answer", [("user", "q"), ("assistant", "")]),
+    ({"prompt": "p", "answer": "mixed"}, None, None),
+    ({"note": "nothing known"}, None, None),
+    ({}, None, None),
+]
+
+
+def test_layouts(spark):
+    lines = spark.createDataFrame([(json.dumps({"id": k, **r}),) for k, (r, *_) in enumerate(RECORDS)], "line string")
+    records = lines.select(F.from_json("line", _WIDE).alias("r")).select("r.*")
+    got = {r.id: r for r in chat_format(records).collect()}
+    for k, (_, layout, turns) in enumerate(RECORDS):
+        assert got[k].layout == layout
+        assert (got[k].turns and [tuple(t) for t in got[k].turns]) == turns or (turns == [] and got[k].turns == [])
+        if turns is not None:
+            assert got[k].formatted == "".join(f"{START}{a}{MIDDLE}{b}{END}" for a, b in turns)
+            assert sum(r.chars for r in got[k].loss_runs) == len(got[k].formatted)
+        else:
+            assert got[k].formatted is None
+
+
+def test_missing_columns(spark):
+    narrow = spark.createDataFrame([("q", "a")], "question string, answer string")
+    assert [tuple(t) for t in canonical_turns(narrow).first().turns] == [("user", "q"), ("assistant", "a")]
+    assert canonical_turns(spark.createDataFrame([(1,)], "messages int")).first().turns is None
+
+
+def test_escapes_are_undone(spark):
+    rng = random.Random(5)
+    parts = ["<", "[", "|", "\\", "<|im_end|>", "<|im_sep|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "a", "\n", "$1", "日", "I", "S"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 10))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("e", escaped(F.col("t")))
+    for r in df.withColumn("back", unescaped(F.col("e"))).collect():
+        assert r.back == r.t
+        assert not any(c in r.e for c in (START, MIDDLE, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_conversations_read_back(spark, seed):
+    rng = random.Random(seed)
+    parts = ["<|im_end|>", "\\", "</s>[INST] ok [/INST]", "hello", "\n", "é", "", None]
+    rows = []
+    for conv in [*range(20), None]:
+        for turn in range(rng.randint(1, 6)):
+            text = None if rng.random() < 0.1 else "".join(p or "" for p in rng.choices(parts, k=4))
+            rows.append((conv, None if rng.random() < 0.05 else turn, rng.choice(["user", "assistant", "system", None]), text, "clash"))
+    rows += rows[:5] + [(3, 0, "assistant", "y" * 200_000, "clash")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns string")
+    got = {r.conv_id: r for r in conversation_digests(chat_format(conversation_records(df))).collect()}
+    by = {}
+    for r in rows:
+        by.setdefault(r[0], []).append(r)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert set(got) == set(by)
+    for conv, mine in by.items():
+        mine.sort(key=lambda r: tuple((x is not None, x if x is not None else 0 if k == 1 else "") for k, x in list(enumerate(r))[1:4]))
+        turns = [(r[2] or "", r[3] or "") for r in mine]
+        learned = "".join(t for role, t in turns if role == "assistant")
+        r = got[conv]
+        assert (r.n_turns, r.turns_sha256) == (len(turns), sha("".join(f"{a}\n{b}\n" for a, b in turns)))
+        assert (r.loss_chars, r.loss_sha256) == (len(learned), sha(learned))
+
+
+def test_empty(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert conversation_digests(chat_format(conversation_records(none))).count() == 0

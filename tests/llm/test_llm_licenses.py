@@ -1,0 +1,96 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+from rows import SCHEMA, frame, odd_rows
+
+from bazaarlens.llm.licenses import NEAR_MISSES, SEGMENT, STRIDE, TEMPLATES, _segments, corpus_sample, license_scan, lines_of, scan, train
+
+NOTICES = {
+    "Released under the MIT License.": "mit",
+    "Licensed under the Apache License, Version 2.0.": "apache",
+    "This work is licensed under the GNU General Public License, version 3.": "gpl",
+    "Licensed under CC BY-NC 4.0.": "cc_by_nc",
+    "All rights reserved.": "proprietary",
+}
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return train(corpus_sample(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+
+
+def test_planted_notices_and_no_others(spark, model):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")  # mostly not those of the sample
+    got = {r.doc_id: r.families for r in license_scan(spark, docs, model=model).collect()}
+    for r in docs.collect():
+        assert got[r.doc_id] == ",".join(sorted({f for n, f in NOTICES.items() if n in r.text})), r.text[-300:]
+
+
+def test_every_template_is_its_own_family(model):
+    for family, templates in TEMPLATES.items():
+        for t in templates:
+            for text in (t, t.upper(), f"Some words before it. {t} And some more after it."):
+                assert [n["family"] for n in scan([text.encode()], model)[1][0]] == [family], text
+
+
+def test_changed_notices_are_found_and_near_misses_are_not(model):
+    rng = random.Random(1)
+    found = []
+    for family, templates in TEMPLATES.items():
+        for words in (t.split() for t in templates if len(t.split()) >= 12):
+            for _ in range(5):
+                lost = rng.randrange(len(words))
+                found.append([n["family"] for n in scan([" ".join(words[:lost] + words[lost + 1 :]).encode()], model)[1][0]] == [family])
+    assert sum(found) / len(found) > 0.8
+    assert all(scan([t.encode()], model)[1][0] == [] for t in NEAR_MISSES)
+
+
+def test_a_notice_anywhere_in_a_long_paragraph(model):
+    for before in (0, 1, 31, 32, 40, 63, 64, 65, 1000, 200_000):
+        n, found = scan([b"", ("cat " * before + "Released under the MIT License." + " dog" * 70).encode()], model)
+        assert n.tolist() == [0, 1]
+        assert {f["family"] for f in found[1]} == {"mit"} and {f["line"] for f in found[1]} == {0}
+
+
+def test_segments_cover_every_word_and_window(model):
+    import numpy as np
+
+    for sizes in ([1], [SEGMENT], [SEGMENT + 1], [5, 300, 64, 65, 97]):
+        line = np.repeat(np.arange(len(sizes)), sizes)
+        last, also = _segments(line)
+        members: dict[int, list[int]] = {}
+        for w, (s, a) in enumerate(zip(last.tolist(), also.tolist(), strict=True)):
+            members.setdefault(s, []).append(w)
+            if a:
+                members.setdefault(s - 1, []).append(w)
+        for words in members.values():
+            assert len({line[w] for w in words}) == 1 and len(words) <= SEGMENT
+            assert sorted(words) == list(range(min(words), max(words) + 1))
+        for first in range(len(line) - STRIDE):  # any run of words as long as the overlap is inside one segment
+            run = set(range(first, first + STRIDE))
+            if line[first] == line[first + STRIDE - 1]:
+                assert any(run <= set(words) for words in members.values())
+
+
+def test_lines(monkeypatch):
+    from bazaarlens.llm import words
+
+    texts = [b"a b\n\n c\nd\n", b"", b"\n", b"e f\ng"]
+    whole = [x.tolist() for x in lines_of(texts)]
+    assert whole[1:] == [[0, 0, 0, 0, 3, 3, 3], [0, 0, 1, 2, 3, 3, 4], [3, 0, 0, 2]]
+    monkeypatch.setattr(words.slices, "__defaults__", (3,))
+    assert [x.tolist() for x in lines_of(texts)] == whole
+
+
+@pytest.mark.parametrize("on_disk", [True, False])
+def test_odd_rows(spark, tmp_path, model, on_disk):
+    rows = odd_rows(13, 20) + [(991, "x\nReleased under the MIT License.", None, None, None, *("abcdefgh"))] * 2
+    got = license_scan(spark, frame(spark, rows, tmp_path if on_disk else None), model=model).collect()
+    assert sorted((repr(r.doc_id), r.families, r.n_notices) for r in got) == sorted((repr(r[0]), "mit" if r[0] == 991 else "", int(r[0] == 991)) for r in rows)
+    assert all((r.family is None) == (r.n_notices == 0) for r in got)
+
+
+def test_empty(spark):
+    assert license_scan(spark, spark.createDataFrame([], SCHEMA)).count() == 0

@@ -1,0 +1,69 @@
+from __future__ import annotations
+
+import random
+
+import public_tokenizers
+import pytest
+from rows import SCHEMA, frame, odd_rows
+from tokenizers import Tokenizer
+
+from bazaarlens.llm.shared import shared_folder
+from bazaarlens.llm.token_counts import Counter, token_counts
+
+BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+_PARTS = [
+    "a", "B", " ", "  ", "\n", "\t", "'s", "'ll", "é", "ñ", "1", "²", "½", "\xa0", "\x85", "\x1c", "日", "😀", "<|endoftext|>",
+    "<|start", "!", "...", "_", "\r\n", "ʼ", "​", "᠎", "Ⅷ", "́", "ß", " '", "\x00", "the", " THE", " ", "﻿",
+]
+
+
+def library(path, texts):
+    return [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_counts_are_the_librarys(path):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(_PARTS) for _ in range(rng.randint(0, 14))) for _ in range(5000)]
+    with open(path, encoding="utf-8") as file:
+        counter = Counter(file.read())
+    assert counter.counts(texts) == library(path, texts)
+    assert counter.counts([]) == []
+
+
+@pytest.mark.parametrize("on_disk", [True, False])
+def test_rows_and_cache(spark, tmp_path, on_disk):
+    rows = odd_rows(11, 30)
+    docs = frame(spark, rows, tmp_path if on_disk else None)
+    cache = f"{shared_folder(spark)}/tokens"
+    want = sorted((repr(r[0]), len((r[1] or "").encode()), n, n > 512) for r, n in zip(rows, library(BYTES, [r[1] or "" for r in rows]), strict=True))
+
+    def counts(df, path=BYTES):
+        return sorted((repr(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(spark, df, path, cache).collect())
+
+    assert counts(docs) == want
+    texts = len({r[1] or "" for r in rows})
+    assert spark.read.parquet(cache).count() == texts  # every text once
+    assert counts(docs) == want
+    assert spark.read.parquet(cache).count() == texts  # nothing new
+    more = docs.union(spark.createDataFrame([(900, "a new text", *rows[0][2:])], SCHEMA)) if not on_disk else None
+    if more is not None:
+        assert len(counts(more)) == len(rows) + 1
+        assert spark.read.parquet(cache).count() == texts + 1
+    counts(docs, WORDS)
+    assert spark.read.parquet(cache).select("tokenizer").distinct().count() == 2
+
+
+def test_few_new_texts_among_many(spark, tmp_path):
+    cache = f"{shared_folder(spark)}/tokens"
+    spark.range(200).selectExpr("id AS doc_id", "concat('text ', id) AS text").write.parquet(str(tmp_path / "a"))
+    spark.range(205).selectExpr("id AS doc_id", "concat('text ', id) AS text").write.parquet(str(tmp_path / "b"))
+    for name, n in (("a", 200), ("b", 205)):
+        docs = spark.read.parquet(str(tmp_path / name))
+        got = {r.doc_id: r.n_tokens for r in token_counts(spark, docs, BYTES, cache).collect()}
+        assert [got[i] for i in range(n)] == library(BYTES, [f"text {i}" for i in range(n)])
+        assert spark.read.parquet(cache).count() == n
+
+
+def test_empty(spark):
+    assert token_counts(spark, spark.createDataFrame([], SCHEMA), BYTES).count() == 0
