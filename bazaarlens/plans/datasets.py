@@ -29,12 +29,12 @@ from bazaarlens.params import Params, Period
 from bazaarlens.session import shared_dir
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write the rows to a table in the cluster's shared checkpoint folder and go on from there.
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write the rows to a table in the folder (the cluster's shared checkpoint folder) and go on from there.
 
     Later jobs then read the files, and only the columns they need, also after executors were lost.
     """
-    path = f"{shared_dir(df.sparkSession)}/stored-{uuid4().hex}"
+    path = f"{folder or shared_dir(df.sparkSession)}/stored-{uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

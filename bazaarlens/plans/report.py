@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import argparse
 
+from functools import partial
+from uuid import uuid4
+
+from pyspark.sql import SparkSession
+
 from bazaarlens.params import Params
 from bazaarlens.plans.datasets import Datasets, stored
 from bazaarlens.plans.registry import JOBS
-from bazaarlens.session import build_session
+from bazaarlens.session import build_session, remove_dir, shared_dir
 from bazaarlens.sources.results import export_csv
 from bazaarlens.sources.warehouse import StoredMarketplace
 
@@ -28,6 +33,18 @@ def write_report(datasets: Datasets, out_dir: str, names: list[str] | None = Non
         export_csv(JOBS[name](datasets), f"{out_dir}/{name}", single_file=name not in SELLER_RESULTS)
 
 
+def run_report(
+    spark: SparkSession, warehouse_dir: str, out_dir: str, params: Params | None = None, names: list[str] | None = None
+) -> None:
+    """A report over the stored tables. What the analyses share is stored meanwhile, and deleted at the end."""
+    folder = f"{shared_dir(spark)}/report-{uuid4().hex}"
+    tables = StoredMarketplace(spark, warehouse_dir)
+    try:
+        write_report(Datasets(tables, params or Params(), keep=partial(stored, folder=folder)), out_dir, names)
+    finally:
+        remove_dir(spark, folder)
+
+
 def main() -> None:
     parser = argparse.ArgumentParser(description="Write every analysis as CSV.")
     parser.add_argument("warehouse_dir")
@@ -36,8 +53,7 @@ def main() -> None:
     parser.add_argument("--shuffle-gb", type=int, help="size of the largest shuffle expected")
     args = parser.parse_args()
     spark = build_session("bazaarlens-report", shuffle_gb=args.shuffle_gb)
-    datasets = Datasets(StoredMarketplace(spark, args.warehouse_dir), Params(), keep=stored)
-    write_report(datasets, args.out_dir, args.names)
+    run_report(spark, args.warehouse_dir, args.out_dir, names=args.names)
 
 
 if __name__ == "__main__":

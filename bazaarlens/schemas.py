@@ -2,8 +2,9 @@
 
 Types are declared, never inferred: a value of another kind in a raw file then fails the load instead of
 silently turning a date column into text. Money is DECIMAL so that sums are exact and do not depend on how
-rows were partitioned; times have no zone, as in the raw files. Only columns that jobs read are listed;
-any other column of a file is loaded as text.
+rows were partitioned; times have no zone, as in the raw files. ``COLUMN_TYPES`` lists the columns that jobs read,
+which a file must have; ``OTHER_TYPES`` types further ones where a file has them. Zip prefixes are text, as they
+have leading zeros, and any column in neither list is loaded as text.
 """
 
 from __future__ import annotations
@@ -63,6 +64,20 @@ COLUMN_TYPES: dict[str, dict[str, str]] = {
     },
 }
 
+# Columns that files may have besides and that are not text.
+OTHER_TYPES: dict[str, str] = {
+    "payment_sequential": "int",
+    "payment_installments": "int",
+    "review_answer_timestamp": "timestamp_ntz",
+    "product_name_lenght": "int",
+    "product_name_length": "int",
+    "product_description_lenght": "int",
+    "product_description_length": "int",
+    "product_photos_qty": "int",
+    "geolocation_lat": "double",
+    "geolocation_lng": "double",
+}
+
 # Directory keys of the stored tables, derived at load time: the month an order was bought in, for orders
 # and for the tables with several rows per order.
 ORDERS_PARTITION = "purchase_month"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -38,11 +40,27 @@ def build_session(
     return builder.getOrCreate()
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach, as the cluster names it; a temporary one only where none is named."""
+    """Folder all executors can reach, as the cluster names it.
+
+    Only a session on one machine that names none gets one of its own, which goes when the process ends.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return tempfile.mkdtemp(prefix="bazaarlens-")
+    application = spark.sparkContext.applicationId
+    if application not in _OWN_DIRS:
+        _OWN_DIRS[application] = tempfile.mkdtemp(prefix="bazaarlens-")
+        atexit.register(shutil.rmtree, _OWN_DIRS[application], ignore_errors=True)
+    return _OWN_DIRS[application]
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.schemas import COLUMN_TYPES
+from bazaarlens.schemas import COLUMN_TYPES, OTHER_TYPES
 
 # End of each file's name, whatever its prefix, and the table it holds.
 RAW_FILES: dict[str, str] = {
@@ -40,4 +40,5 @@ def read_raw(spark: SparkSession, raw_dir: str, table: str) -> DataFrame:
     missing = [name for name in types if name not in text.columns]
     if missing:
         raise ValueError(f"{table}: no column {', '.join(missing)} in {raw_dir}/{RAW_FILES[table]}")
-    return text.select(*(F.col(name).cast(types.get(name, "string")) for name in text.columns))
+    kinds = OTHER_TYPES | types
+    return text.select(*(F.col(name).cast(kinds.get(name, "string")) for name in text.columns))

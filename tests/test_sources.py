@@ -160,3 +160,21 @@ def test_repeated_orders_add_no_items(spark, tmp_path):
     for tables in (d, stored):
         got = {r["purchase_quarter"]: (r["total_orders"], r["total_items"]) for r in rows(JOBS["j3_1_freight_vs_gmv"](Datasets(tables)))}
         assert got == {"2018-Q1": (3, 5), "2018-Q2": (1, 2)}
+
+
+def test_a_report_leaves_nothing_behind(spark, tmp_path):
+    from pathlib import Path
+
+    from bazaarlens.plans.report import run_report
+    from bazaarlens.session import shared_dir
+    from bazaarlens.sources.star import STAR_PARAMS, StarMarketplace
+    from bazaarlens.sources.warehouse import store_table
+
+    star = StarMarketplace(spark, "/root/testdata/sf0.001")
+    for name in "orders order_items customers sellers".split():
+        store_table(getattr(star, name), str(tmp_path / "tables"), name)
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.iterdir()) if shared.exists() else set()
+    run_report(spark, str(tmp_path / "tables"), str(tmp_path / "out"), STAR_PARAMS, ["j2_1_dispatch_baseline", "j3_4_freight_gap"])
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"j2_1_dispatch_baseline", "j3_4_freight_gap"}
+    assert (set(shared.iterdir()) if shared.exists() else set()) == before
