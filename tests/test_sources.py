@@ -178,3 +178,19 @@ def test_a_report_leaves_nothing_behind(spark, tmp_path):
     run_report(spark, str(tmp_path / "tables"), str(tmp_path / "out"), STAR_PARAMS, ["j2_1_dispatch_baseline", "j3_4_freight_gap"])
     assert {p.name for p in (tmp_path / "out").iterdir()} == {"j2_1_dispatch_baseline", "j3_4_freight_gap"}
     assert (set(shared.iterdir()) if shared.exists() else set()) == before
+
+
+def test_files_are_sorted_by_the_second_date(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from bazaarlens.sources.star import StarMarketplace
+    from bazaarlens.sources.warehouse import store_table
+
+    star = StarMarketplace(spark, "/root/testdata/sf0.001")
+    for table, column in (("orders", "order_delivered_customer_date"), ("order_reviews", "review_creation_date")):
+        store_table(getattr(star, table), str(tmp_path), table)
+        files = list((tmp_path / table).rglob("*.parquet"))
+        assert len(files) > 10
+        for file in files:
+            dates = [d for d in pq.read_table(file, columns=[column], partitioning=None).column(0).to_pylist() if d is not None]
+            assert dates == sorted(dates)
