@@ -4,8 +4,8 @@ A source whose target is ``rate`` times its size gets ``floor(rate)`` copies of
 ``share = rate - floor(rate)``, is the chance of one copy more. Documents are ranked by
 odds(u) / (odds(share) * preference) with u a fixed random number of the document, and taken from the front
 until the words of the rest are reached: a sample of fixed size in words, in which a document's chance grows with
-its odds (Pareto order sampling). Up to ``CLOSING`` further documents, whose sizes come nearest to what is
-still missing, close the gap.
+its odds (Pareto order sampling). Then, in ``CLOSING`` rounds, the document whose size comes nearest to what is
+missing is added, or the one nearest to what is too much is left out.
 
 No source is sorted or gathered: a histogram of the ranks, at most ``BINS`` rows per source, shows the bin
 in which the sample ends, and only that bin's documents are put in order. What decides is then one row per
@@ -23,8 +23,8 @@ from bazaarlens.llm.shared import filled, fresh, row_key, shared_folder, stored
 MAX_COPIES = 3
 BINS = 1 << 14
 SEED = 42
-# Documents added to a source's sample at most to come nearer to its target.
-CLOSING = 3
+# Documents added to a source's sample, or taken out, at most to come nearer to its target.
+CLOSING = 4
 _KEYS = "array<struct<rank:double,file:bigint,row:bigint>>"
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -91,23 +91,28 @@ def _with_cut(plan: DataFrame, sizes: DataFrame, folder: str) -> DataFrame:
     inside = ranked.join(last, [same, ranked["bin"] == last["bin"]]).withColumn("upto", F.col("before") + F.sum("size").over(order))
     taken = inside.filter(F.col("upto") <= F.col("rest")).groupBy("source").agg(F.max("upto").alias("upto"), F.max(F.struct("rank", "file", "row")).alias("cut"))
     # Nothing of the last bin fits: the sample ends with the bin before. No last bin: everything fits.
-    cuts = plan.join(last, same, "left").join(taken.withColumnRenamed("source", "from"), F.col("source").eqNullSafe(F.col("from")), "left")
+    words = ranked.groupBy("source").agg(F.sum("size").alias("all_words")).withColumnRenamed("source", "whose")
+    cuts = plan.join(words, F.col("source").eqNullSafe(F.col("whose")), "left").join(last, same, "left").join(taken.withColumnRenamed("source", "from"), F.col("source").eqNullSafe(F.col("from")), "left")
     edge = F.struct((F.col("bin") / BINS).alias("rank"), F.lit(-(1 << 63)).cast("long").alias("file"), F.lit(-1).cast("long").alias("row"))
     everything = F.struct(F.lit(2.0).alias("rank"), F.lit(0).cast("long").alias("file"), F.lit(0).cast("long").alias("row"))
-    missing = F.when(F.col("bin").isNotNull(), F.col("rest") - F.coalesce(F.col("upto"), F.col("before")))
-    cuts = cuts.select(*plan.columns, F.coalesce("cut", F.when(F.col("bin").isNotNull(), edge), everything).alias("cut"), missing.alias("missing"))
+    everything_fits = F.col("bin").isNull()
+    missing = F.when(everything_fits, F.col("rest") - F.coalesce(F.col("all_words"), F.lit(0))).otherwise(F.col("rest") - F.coalesce(F.col("upto"), F.col("before")))
+    cuts = cuts.select(*plan.columns, F.coalesce("cut", F.when(~everything_fits, edge), everything).alias("cut"), missing.alias("missing"))
     cuts = stored(cuts.withColumn("closing", F.array().cast(_KEYS)), folder, "cuts")
     for turn in range(CLOSING):
-        spare = _ranked(sizes, cuts).filter("rank IS NOT NULL AND missing > 0").filter(~_before_cut() & ~_closes())
-        # First the longest that fits; at last the one that comes nearest, if that is nearer than none.
-        off = F.abs(F.col("size") - F.col("missing")) if turn == CLOSING - 1 else F.col("missing") - F.col("size")
-        spare = spare.withColumn("off", off).filter("off >= 0 AND off < missing")
+        # What is missing is added, what is too much is taken out: the document whose size comes nearest.
+        wrong_way = F.when(F.col("missing") > 0, _sampled()).otherwise(~_sampled())
+        off = F.abs(F.col("size") - F.abs("missing"))
+        spare = _ranked(sizes, cuts).filter(F.col("rank").isNotNull() & ~wrong_way).withColumn("off", off)
+        spare = spare.filter(F.col("off") < F.abs("missing"))
         nearest = spare.groupBy("source").agg(F.min("off").alias("least")).withColumnRenamed("source", "of")
-        found = spare.join(nearest, same).filter(F.col("off") == F.col("least")).groupBy("source", "off").agg(F.min(F.struct("rank", "file", "row")).alias("next"))
+        found = spare.join(nearest, same).filter(F.col("off") == F.col("least")).groupBy("source").agg(F.min(F.struct("rank", "file", "row", "size")).alias("next"))
         found = found.withColumnRenamed("source", "of")
-        closing = F.when(F.col("next").isNull(), F.col("closing")).otherwise(F.array_append("closing", F.col("next")))
-        cuts = cuts.join(found, same, "left").withColumns({"closing": closing, "missing": F.coalesce("off", "missing")})
-        cuts = stored(cuts.drop("of", "off", "next"), folder, f"closed{turn}")
+        key = F.struct("next.rank", "next.file", "next.row")
+        closing = F.when(F.col("next").isNull(), F.col("closing")).otherwise(F.array_append("closing", key))
+        left = F.coalesce(F.col("missing") - F.signum("missing") * F.col("next.size"), F.col("missing"))
+        cuts = cuts.join(found, same, "left").withColumns({"closing": closing, "missing": left})
+        cuts = stored(cuts.drop("of", "next"), folder, f"closed{turn}")
     return cuts
 
 
@@ -126,12 +131,13 @@ def mixing_plan(spark: SparkSession, sizes: DataFrame, folder: str, cycle: int =
     return _with_cut(stored(plan, folder, "plan"), sizes, folder)
 
 
-def _closes() -> Column:
-    return F.array_contains("closing", F.struct("rank", "file", "row"))
+def _sampled() -> Column:
+    """Whether a document is in its source's sample: before the cut, unless a later round has turned that round."""
+    return _before_cut() != F.array_contains("closing", F.struct("rank", "file", "row"))
 
 
 def _copies() -> Column:
-    more = F.col("rank").isNotNull() & (_before_cut() | _closes())
+    more = F.col("rank").isNotNull() & _sampled()
     return F.when(F.col("size") > 0, F.col("whole") + more.cast("long")).otherwise(F.lit(0).cast("long"))
 
 
@@ -165,11 +171,16 @@ def mix_sources(
 def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The mix itself: every document of ``docs`` as often as it is taken, with ``copy`` from 1 and ``taken``.
 
-    The copies are joined to the documents by row key, which has no hot value.
+    A document's copies follow from its own row and its source's row of the plan, so the texts are not joined to
+    the decisions: they are measured again in the scan and, unless there are very many sources, never shuffled.
     """
-    names = fresh(docs, "_file", "_row", "_copies", "copy", "taken")
-    decided = mix_sources(spark, docs).filter("copies > 0").select(F.col("file").alias(names[0]), F.col("row").alias(names[1]), F.col("copies").alias(names[2]), F.col("taken").alias(names[4]))
-    decided = stored(decided, shared_folder(spark), "copies")
-    marked = docs.withColumns(dict(zip(names[:2], row_key(docs), strict=True)))
-    joined = marked.join(decided, names[:2])
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), names[4], F.explode(F.sequence(F.lit(1).cast("long"), names[2])).alias(names[3]))
+    folder = shared_folder(spark)
+    measures = [c.alias(n) for n, c in _measures(docs, "doc_id", "text", "source", F.lit(1.0)).items()]
+    plan = mixing_plan(spark, stored(docs.select(*measures), folder, "sizes"), folder)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")
+    decided = _ranked(docs.select(whole, *measures), plan).withColumn("copies", _copies()).filter("copies > 0")
+    taken, copy = fresh(docs, "taken", "copy")
+    each = F.explode(F.sequence(F.lit(1).cast("long"), "copies"))
+    return decided.select(
+        *(F.col("document").getField(c).alias(c) for c in docs.columns), (F.col("copies") * F.col("size")).alias(taken), each.alias(copy)
+    )

@@ -29,8 +29,7 @@ def expected(rows):
     return out
 
 
-@pytest.mark.parametrize("fan_in", [2, 16])
-@pytest.mark.parametrize("on_disk", [True, False])
+@pytest.mark.parametrize(("fan_in", "on_disk"), [(2, True), (16, False)])
 def test_against_groups(spark, tmp_path, monkeypatch, fan_in, on_disk):
     monkeypatch.setattr(module, "FAN_IN", fan_in)
     rows = odd_rows()

@@ -31,8 +31,7 @@ def targets(rows, most=3):
         fixed |= {s: most * size[s] for s in over}
 
 
-@pytest.mark.parametrize("bins", [1, 64, 1 << 14])
-@pytest.mark.parametrize("on_disk", [True, False])
+@pytest.mark.parametrize(("bins", "on_disk"), [(1, True), (64, False), (1 << 14, True)])
 def test_targets_and_totals(spark, tmp_path, monkeypatch, bins, on_disk):
     monkeypatch.setattr(mixing, "BINS", bins)
     rows = [r for r in odd_rows(8, 120) if words(r[1]) < 10_000]
@@ -46,9 +45,10 @@ def test_targets_and_totals(spark, tmp_path, monkeypatch, bins, on_disk):
         assert r.taken == r.copies * r.size <= 3 * r.size
         taken[r.source] += r.taken
     for s, wanted in target.items():
-        assert abs(taken[s] - wanted) <= 30, (s, taken[s], wanted)
-    again = mix_sources(spark, docs).collect()
-    assert Counter((r.doc_id, r.source, r.size, r.taken) for r in got) == Counter((r.doc_id, r.source, r.size, r.taken) for r in again)
+        assert abs(taken[s] - wanted) <= 12, (s, taken[s], wanted)
+    if bins == 64:
+        again = mix_sources(spark, docs).collect()
+        assert Counter((r.doc_id, r.source, r.size, r.taken) for r in got) == Counter((r.doc_id, r.source, r.size, r.taken) for r in again)
 
 
 def test_small_sources_stop_at_three_copies(spark):

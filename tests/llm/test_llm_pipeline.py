@@ -72,7 +72,7 @@ def test_stages_by_brute_force(spark, tmp_path):
     assert {r.doc_id for r in mixed} <= {r[0] for r in rows}
     assert max(Counter(r.doc_id for r in mixed).values()) <= 3
     for s, wanted in target.items():
-        assert abs(taken[s] - wanted) <= 0.03 * wanted + 40
+        assert abs(taken[s] - wanted) <= 0.01 * wanted + 20
 
     whole = corpus_pipeline.run(spark, DIR)
     assert Counter(r.doc_id for r in whole.collect()) == Counter(r.doc_id for r in mixed)

@@ -64,7 +64,7 @@ def _near(rng, n, centres, flips):
     return sorted(found)
 
 
-@pytest.mark.parametrize("bucket", [2, 8, 2048])
+@pytest.mark.parametrize("bucket", [4, 2048])
 def test_hot_buckets_are_cut_and_lose_nothing(spark, bucket):
     rng = random.Random(bucket)
     centres = [rng.getrandbits(64) for _ in range(4)]
