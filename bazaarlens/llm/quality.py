@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from bazaarlens.llm.shared import filled, in_tasks, keyed, shared_folder, stored, without_rows
 from bazaarlens.llm.words import LETTERS, as_bytes, byte_class, mixed, portions, runs, slices
 
-SAMPLE = 12_000
+SAMPLE = 10_000
 SAMPLE_BYTES = 1 << 16
 BITS = 18
 # A bucket takes part if its link with some grade is this many standard errors from chance, in 10 rows at least.
@@ -157,15 +157,13 @@ def train(docs: DataFrame, graded: DataFrame, grades: int, doc_id: str = "doc_id
                 names=["id", "grade", "buckets", "value"],
             )
 
-    got = in_tasks(rows, per_batch, "id string, grade int, buckets binary, value binary").toArrow().to_pylist()
-    got.sort(key=lambda r: r["id"])
-    grade = np.array([r["grade"] for r in got], np.int64).clip(0, grades - 1)
+    got = in_tasks(rows, per_batch, "id string, grade int, buckets binary, value binary").toArrow().sort_by("id")
+    grade = got.column("grade").to_numpy().astype(np.int64).clip(0, grades - 1)
     if len(np.unique(grade)) < 2:
         return None
-    buckets = [np.frombuffer(r["buckets"], np.int32) for r in got]
-    row = np.repeat(np.arange(len(got)), [len(b) for b in buckets])
-    value = np.concatenate([np.frombuffer(r["value"], np.float32) for r in got]).astype(float)
-    return fit(row, np.concatenate(buckets).astype(np.int64), value, grade, grades)
+    buckets, value = (np.frombuffer(b"".join(got.column(c).to_pylist()), t) for c, t in (("buckets", np.int32), ("value", np.float32)))
+    size = np.array([len(b) // 4 for b in got.column("buckets").to_pylist()])
+    return fit(np.repeat(np.arange(len(size), dtype=np.int32), size), buckets, value, grade, grades)
 
 
 def quality_grades(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -11,32 +10,22 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bazaarlens.session import remove_dir, shared_dir
+
 _FOLDERS: dict[str, list[str]] = {}
-_OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder every executor reaches: below ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a folder of its own; elsewhere it is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        named = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="bazaarlens-"))
-    folder = f"{named.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    """A new folder every executor reaches, below ``spark.checkpoint.dir``."""
+    folder = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     _FOLDERS.setdefault(spark.sparkContext.applicationId, []).append(folder)
     return folder
 
 
 def clear_folders(spark: SparkSession) -> None:
     """Delete the tables this session has stored; call it when no result is read any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in _FOLDERS.pop(spark.sparkContext.applicationId, []):
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        remove_dir(spark, folder)
 
 
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
