@@ -33,7 +33,7 @@ _POWERS = [10**n for n in range(19)]
 
 # The patterns, in the order in which they are tried at a place. All are bounded or possessive.
 PATTERNS: dict[str, str] = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,20}+",
     "secret": r"(?<![A-Za-z0-9])(?i:token|secret|password|passwd|api[_-]?key)[\x20]{0,4}[=:][\x20]{0,4}[\x22\x27]?[A-Za-z0-9_\x2D]{12,512}+",
     "date": r"(?<![0-9])(?<![0-9][./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([./-])[0-9]{2}\2[0-9]{4})(?![0-9])(?![./-][0-9])",
     "ip": r"(?<![0-9])(?<![0-9][.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])(?!\.[0-9])",

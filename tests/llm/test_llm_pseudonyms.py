@@ -74,12 +74,19 @@ def test_equal_values_stay_linked_and_keys_differ(spark):
 
 
 def test_what_is_not_valid_stays(spark):
-    texts = ["4111111111111112", "999.1.1.1", "1.2.3.4.5", "000-45-6789", "666-45-6789", "1999-02-30", "31.04.1999", "13/13/1999", "a@b", "3.14159265358979", "token", "page 12 of 400", None, "", " ", "x" * 100_000 + "1", "1" * 5000]
+    texts = ["4111111111111112", "999.1.1.1", "1.2.3.4.5", "000-45-6789", "666-45-6789", "1999-02-30", "31.04.1999", "13/13/1999", "a@b", "3.14159265358979", "token", "page 12 of 400", None, "", " ", "x" * 100_000 + "1", "1" * 5000, "1." * 50_000, "@" * 9000, "- " * 9000 + "=:1"]
     got = new_texts(spark, texts)
     assert {k: got[k][0] for k in got} == dict(enumerate(texts))
     assert all(kinds == [] for _, kinds in got.values())
 
 
+def test_very_long_values(spark):
+    texts = ["joe@" + "a." * 60_000 + "org", "a" * 70_000 + "@example.org", "token=" + "ab1" * 40_000, "1 " * 40_000 + "4111111111111111 " + "2." * 40_000]
+    got = new_texts(spark, texts)
+    assert [len(got[k][0]) for k in range(4)] == [len(t) for t in texts]
+    assert got[3][1] == ["card"] and got[0][1] == ["email"]
+
+
 def test_other_rows_and_columns_stay(spark, tmp_path):
     rows = odd_rows(12, 20) + [(990, "c 4111111111111111", None, None, None, *("abcdefgh"))]
     docs = frame(spark, rows, tmp_path)
