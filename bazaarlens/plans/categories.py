@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from bazaarlens.functions import rules
-from bazaarlens.functions.metrics import amount, count_where, mean, mean_amount, pct, per_100, total_where
+from bazaarlens.functions.metrics import amount, cents, count_where, mean, mean_amount, pct, per_100, total_where
 from bazaarlens.operators.cohort import came_back, cohort_repeat, started_with
 from bazaarlens.operators.grain import conditional_metrics, distinct_pairs, min_support
 from bazaarlens.operators.ranking import cumulative_share, dense_rank_desc, in_order, share_of_total
@@ -122,30 +122,49 @@ def freight_by_category(d: Datasets) -> DataFrame:
     ).transform(in_order, F.desc("freight_to_gmv_pct"), "category_name")
 
 
+def _sales_and_reviews(d: Datasets) -> DataFrame:
+    """Per category: money of the items sold, and reviews of orders that arrived on time, in one pass.
+
+    Items become one row per order and product, and then per order and category, where a review counts once.
+    """
+    money = {
+        "priced": F.count("price"),
+        "price_cents": F.sum(cents(F.col("price"))),
+        "freight_cents": F.sum(cents(F.col("freight_value"))),
+    }
+    sums = {name: F.sum(name) for name in money}
+    items = d.reviewed_items(["product_id"], how="left", totals=money)
+    labeled = items.join(d.product_categories.select("product_id", "category_name"), "product_id")
+    counted = F.col("reviewed") & rules.is_punctual()
+    per_order = conditional_metrics(
+        labeled,
+        ["order_id", "category_name"],
+        {**sums, "counted": F.max(F.when(counted, 1).otherwise(0)), "review_score": F.max("review_score")},
+    )
+    counted = F.col("counted") == 1
+    reviews = {"reviews": count_where(counted), "one_star": count_where(counted & _one_star())}
+    return conditional_metrics(per_order, ["category_name"], {**sums, **reviews})
+
+
 def category_scorecard(d: Datasets) -> DataFrame:
     """Sales, repeat buying, scores and freight of chosen categories against all categories.
 
     The total row is the ratio of the totals over every category, also those not shown or too small for
-    the other lists. Price and freight share one pass over the items.
+    the other lists.
     """
     key = "category_name"
-    sums = d.category_sales.select(
-        key,
-        "priced",
-        "price_cents",
-        "freight_cents",
-        F.sum("price_cents").over(W.partitionBy()).alias("all_cents"),
-    )
+    sums = _sales_and_reviews(d).withColumn("all_cents", F.sum("price_cents").over(W.partitionBy()))
     price = F.col("price_cents")
     everything = F.when(F.col("is_total") == 1, price).otherwise(F.col("all_cents"))
     money = rollup_metric(
         sums,
         key,
-        ["priced", "price_cents", "freight_cents", "all_cents"],
+        ["priced", "price_cents", "freight_cents", "all_cents", "reviews", "one_star"],
         {
             "gmv_share_pct": per_100(price, everything),
             "avg_item_price": mean_amount(price, F.col("priced")),
             "freight_to_gmv_pct": per_100(F.col("freight_cents"), price),
+            "one_star_pct": pct(F.col("one_star"), F.col("reviews")),
         },
     )
     customers = conditional_metrics(
@@ -159,13 +178,7 @@ def category_scorecard(d: Datasets) -> DataFrame:
         ["customers", "returned"],
         {"came_back_pct": pct(F.col("returned"), F.col("customers"))},
     )
-    scores = conditional_metrics(
-        _punctual_reviews(d), [key], {"reviews": F.count("order_id"), "one_star": count_where(_one_star())}
-    )
-    low_scores = rollup_metric(
-        scores, key, ["reviews", "one_star"], {"one_star_pct": pct(F.col("one_star"), F.col("reviews"))}
-    )
-    card = scorecard(money, [returned, low_scores], key, d.params.scorecard_categories, "ALL CATEGORIES")
+    card = scorecard(money, [returned], key, d.params.scorecard_categories, "ALL CATEGORIES")
     return (
         card.transform(in_order, "is_total", F.desc("gmv_share_pct"), key)
         .select(key, "gmv_share_pct", "avg_item_price", "came_back_pct", "one_star_pct", "freight_to_gmv_pct")

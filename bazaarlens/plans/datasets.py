@@ -6,7 +6,7 @@ By default each is just a plan, built into every job that uses it. A run of many
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import cached_property
 from uuid import uuid4
 
@@ -107,19 +107,26 @@ class Datasets:
         """Items of delivered orders that have a carrier handover, with the order's times."""
         return self.delivered_items(period).filter(F.col("order_delivered_carrier_date").isNotNull())
 
-    def reviewed_items(self, item_columns: Sequence[str], period: Period | None = None, how: str = "inner") -> DataFrame:
+    def reviewed_items(
+        self,
+        item_columns: Sequence[str],
+        period: Period | None = None,
+        how: str = "inner",
+        totals: Mapping[str, Column] | None = None,
+    ) -> DataFrame:
         """Items of delivered orders, alike ones as one row, with their order and its score.
 
         ``n_rows`` and ``n_items`` say how many rows, and how many with an item number, a row stands for. Items
         are reduced before they meet their order, so a hot order brings one row per task for each of its
-        combinations. ``how="left"`` keeps orders without a score, and ``reviewed`` tells them apart.
+        combinations. ``how="left"`` keeps orders without a score, and ``reviewed`` tells them apart; ``totals``
+        are further sums over the rows.
         """
         scores = self.order_scores.withColumn("reviewed", F.lit(True))
         scored = self.delivered_orders(period).join(scores, "order_id", how)
         alike = conditional_metrics(
             self.items_around(period),
             ["order_id", *item_columns],
-            {"n_rows": F.count(F.lit(1)), "n_items": F.count("order_item_id")},
+            {"n_rows": F.count(F.lit(1)), "n_items": F.count("order_item_id"), **(totals or {})},
         )
         return alike.join(scored, "order_id")
 

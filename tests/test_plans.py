@@ -71,6 +71,12 @@ def test_building_a_job_starts_none(spark, stored, tmp_path):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
+def test_the_scorecard_reads_items_twice(plans):
+    """The half-year's items once for money and scores, and the history's items for main categories."""
+    plan = plans["j5_5_category_scorecard"]
+    assert len(re.findall(r"FileScan parquet \[[^\]]*product_id#[^\]]*order_month#", plan)) == 2
+
+
 def test_items_are_read_once_for_scores(plans):
     """Alike items become one row before they meet their order: one scan, and no list of hot keys."""
     shuffles = {"j2_7_review_by_bucket": 7, "j2_8_review_by_seller_group": 7, "j5_3a_one_star_on_time": 10}
