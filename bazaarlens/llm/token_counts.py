@@ -168,5 +168,8 @@ def token_counts(
                 )
 
         in_tasks(texts, per_task, _SCHEMA).write.mode("append").parquet(cache)
-    counted = rows.join(_cached(spark, cache, version), "digest")
+    # A table of its own, so that both sides of the join come straight from a shuffle and a hot digest is split.
+    wanted = rows.select("digest").distinct()
+    counts = stored(_cached(spark, cache, version).join(wanted, "digest", "left_semi"), folder, "counts")
+    counted = rows.join(counts, "digest")
     return counted.select("file", "row", "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
