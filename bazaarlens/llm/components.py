@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from bazaarlens.llm.shared import stored
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, path: tuple[str, str]) -> DataFrame:
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = stored(least, *path)
     return both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+def _small_star(links: DataFrame, path: tuple[str, str]) -> DataFrame:
+    least = stored(links.groupBy("u").agg(F.min("v").alias("m")), *path)
     moved = links.join(least, "u").filter(F.col("v") != F.col("m"))
     moved = moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
@@ -26,16 +27,21 @@ def components(links: DataFrame, folder: str) -> DataFrame:
 
     Alternates the large-star and small-star steps until every node hangs from its component's smallest; the
     number of rounds grows with the logarithm of a component's size. Links are kept from the larger to the
-    smaller node. Each round is a stored table; a node with very many links sends one row per map task into
-    the minimum, and the joins are cut by adaptive execution where it is hot.
+    smaller node. A node with very many links sends one row per map task into its minimum. The minima and
+    each step are stored tables, so a join reads both sides straight from a shuffle and adaptive execution splits
+    such a node.
     """
     ends = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     table = stored(ends.filter(F.col("u") != F.col("v")).distinct(), folder, "links0")
-    mark = None
+
+    def mark_of(links: DataFrame) -> tuple:
+        return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    mark = mark_of(table)
     for turn in range(1, 100):
-        table = stored(_small_star(_large_star(table)), folder, f"links{turn}")
-        row = table.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if (row[0], row[1]) == mark:
+        large = stored(_large_star(table, (folder, f"least{turn}a")), folder, f"large{turn}")
+        table = stored(_small_star(large, (folder, f"least{turn}b")), folder, f"links{turn}")
+        before, mark = mark, mark_of(table)
+        if mark == before:
             return table.withColumnRenamed("v", "root")
-        mark = (row[0], row[1])
     raise RuntimeError("components did not settle")
