@@ -68,6 +68,11 @@ def keyed(df: DataFrame, *columns: Column) -> DataFrame:
     return df.select(file.alias("file"), row.alias("row"), *columns)
 
 
+# Rows of a list up to which Spark may broadcast it, about 50 MB. Row keys compress so well in files that file
+# sizes alone would let far longer lists pass.
+BROADCAST_ROWS = 500_000
+
+
 def without_rows(df: DataFrame, dropped: DataFrame) -> DataFrame:
     """``df`` without the rows that ``dropped`` names by ``file`` and ``row``.
 
@@ -78,6 +83,8 @@ def without_rows(df: DataFrame, dropped: DataFrame) -> DataFrame:
     key = row_key(df)
     marked = df.withColumns(dict(zip(names, key, strict=True)))
     gone = dropped.select(*(F.col(c).alias(n) for c, n in zip(("file", "row"), names, strict=True)))
+    if dropped.count() > BROADCAST_ROWS:
+        gone = gone.hint("merge")
     return marked.join(gone, names, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
 
 

@@ -62,3 +62,15 @@ def test_a_hot_text_is_reduced_in_its_partitions(spark, tmp_path):
     spark.range(4000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'hot', concat('t', id)) AS text").repartition(12).write.parquet(str(tmp_path / "hot"))
     got = exact_dedup(spark, spark.read.parquet(str(tmp_path / "hot")))
     assert got.filter("group_size > 1").selectExpr("min(keep_id)", "max(keep_id)", "max(group_size)", "count(*)", "count_if(kept)").first() == (0, 0, 1334, 1334, 1)
+
+
+def test_a_long_list_of_dropped_rows_is_not_broadcast(spark, tmp_path, monkeypatch):
+    from bazaarlens.llm import shared
+
+    spark.range(100).selectExpr("id AS doc_id", "concat('t', id % 50) AS text").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for most, node in ((500_000, "BroadcastHashJoin"), (10, "SortMergeJoin")):
+        monkeypatch.setattr(shared, "BROADCAST_ROWS", most)
+        kept = drop_copies(spark, docs)
+        assert kept.count() == 50
+        assert node in kept._jdf.queryExecution().executedPlan().toString()
