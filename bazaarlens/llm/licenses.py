@@ -246,30 +246,17 @@ def train(sample: list[str]) -> LicenseModel:
     vocabulary = np.unique(np.concatenate(grams))
     model = LicenseModel(families, vocabulary, np.zeros((len(vocabulary), len(families))), np.zeros(len(families)), known, grams, [f for f, *_ in flat], [f"{families[f]}/{k}" for f, k, _ in flat])
 
-    def like_a_template(segment: str) -> bool:
-        h, _ = word_hashes([segment.encode()])
-        own, _ = _grams(h, np.zeros(len(h), np.int64), known)
-        return max(_closest(model, own, f)[1] for f in range(len(TEMPLATES))) >= LEAST_SHARE / 2
-
-    background = [s for s in sample[:SAMPLE_SEGMENTS] if not like_a_template(s)]
+    holds = np.stack([np.isin(vocabulary, g) for g in grams]).astype(np.float32)
+    share = _presence(sample[:SAMPLE_SEGMENTS], known, vocabulary) @ holds.T / holds.sum(axis=1)
+    background = [s for s, most in zip(sample, share.max(axis=1), strict=False) if most < LEAST_SHARE / 2]
     filler = [w for s in background[:200] for w in s.split()]
     given = [(v, f) for f, _, t in flat for v in _variants(rng, t, filler)]
     given += [(v, len(families) - 1) for t in NEAR_MISSES for v in _variants(rng, t, filler)]
     given += [(s, len(families) - 1) for s in background]
     label = np.array([f for _, f in given])
-    hashes, number = word_hashes([s.encode() for s, _ in given])
-    gram, place = _grams(hashes, number.astype(np.int64), known)
-    has, at = _member(gram, vocabulary)
-    pair = np.unique((number[place[has]].astype(np.int64) << 16) | at[has])
-    row, column = pair >> 16, pair & 0xFFFF
+    every = _presence([s for s, _ in given], known, vocabulary)
     held = rng.random(len(given)) < 0.25
-
-    fit_row = np.flatnonzero(~held)
-    place_of = np.full(len(given), -1)
-    place_of[fit_row] = np.arange(len(fit_row))
-    own = ~held[row]
-    dense = np.zeros((len(fit_row), len(vocabulary)), np.float32)
-    dense[place_of[row[own]], column[own]] = 1
+    fit_row, dense = np.flatnonzero(~held), every[~held]
     target = np.zeros((len(fit_row), len(families)), np.float32)
     target[np.arange(len(fit_row)), label[fit_row]] = 1
     weights, bias = np.zeros((len(vocabulary), len(families)), np.float32), np.zeros(len(families), np.float32)
@@ -287,26 +274,30 @@ def train(sample: list[str]) -> LicenseModel:
     used = np.flatnonzero(np.abs(weights).sum(axis=1) > 0)
     model.grams, model.weights, model.bias = vocabulary[used], weights[used].astype(float), bias.astype(float)
 
-    heat = _temperature(model, row[held[row]], column[held[row]], used, np.flatnonzero(held), label)
+    heat = _temperature(every[held][:, used] @ model.weights + model.bias, label[held])
     model.weights, model.bias = model.weights / heat, model.bias / heat
     return model
 
 
-def _temperature(model: LicenseModel, row: np.ndarray, column: np.ndarray, used: np.ndarray, held: np.ndarray, label: np.ndarray) -> float:
+def _presence(segments: list[str], known: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """Which n-grams of the vocabulary each segment has, as a table of ones and zeros."""
+    hashes, number = word_hashes([s.encode() for s in segments])
+    gram, place = _grams(hashes, number.astype(np.int64), known)
+    has, at = _member(gram, vocabulary)
+    table = np.zeros((len(segments), len(vocabulary)), np.float32)
+    table[number[place[has]], at[has]] = 1
+    return table
+
+
+def _temperature(scores: np.ndarray, label: np.ndarray) -> float:
     """The divisor of the scores under which the held-out labels are likeliest."""
-    keep = np.isin(column, used)
-    place = np.searchsorted(held, row[keep])
-    at = np.searchsorted(used, column[keep])
-    best, least = 1.0, np.inf
-    weights, bias = model.weights, model.bias
-    for heat in np.geomspace(0.25, 8, 41):
-        model.weights, model.bias = weights / heat, bias / heat
-        chance = _scores(model, place, at, len(held))[np.arange(len(held)), label[held]]
-        loss = -np.log(np.maximum(chance, 1e-12)).mean()
-        if loss < least:
-            best, least = float(heat), loss
-    model.weights, model.bias = weights, bias
-    return best
+
+    def loss(heat: float) -> float:
+        z = scores / heat
+        z = z - z.max(axis=1, keepdims=True)
+        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(label)), label]).mean())
+
+    return float(min(np.geomspace(0.25, 8, 41), key=loss))
 
 
 def corpus_sample(docs: DataFrame, text: str = "text") -> list[str]:
