@@ -4,8 +4,8 @@ A source whose target is ``rate`` times its size gets ``floor(rate)`` copies of
 ``share = rate - floor(rate)``, is the chance of one copy more. Documents are ranked by
 odds(u) / (odds(share) * preference) with u a fixed random number of the document, and taken from the front
 until the words of the rest are reached: a sample of fixed size in words, in which a document's chance grows with
-its odds (Pareto order sampling). Then, in ``CLOSING`` rounds, the document whose size comes nearest to what is
-missing is added, or the one nearest to what is too much is left out.
+its odds (Pareto order sampling). Then, in ``CLOSING`` steps, the document whose size comes nearest to what is
+missing is added, or the one nearest to what is too much is left out, and the best of these states is kept.
 
 No source is sorted or gathered: a histogram of the ranks, at most ``BINS`` rows per source, shows the bin
 in which the sample ends, and only that bin's documents are put in order. What decides is then one row per
@@ -98,22 +98,24 @@ def _with_cut(plan: DataFrame, sizes: DataFrame, folder: str) -> DataFrame:
     everything_fits = F.col("bin").isNull()
     missing = F.when(everything_fits, F.col("rest") - F.coalesce(F.col("all_words"), F.lit(0))).otherwise(F.col("rest") - F.coalesce(F.col("upto"), F.col("before")))
     cuts = cuts.select(*plan.columns, F.coalesce("cut", F.when(~everything_fits, edge), everything).alias("cut"), missing.alias("missing"))
-    cuts = stored(cuts.withColumn("closing", F.array().cast(_KEYS)), folder, "cuts")
+    none = F.array().cast(_KEYS)
+    cuts = stored(cuts.withColumns({"closing": none, "best": none, "best_off": F.abs("missing")}), folder, "cuts")
     for turn in range(CLOSING):
-        # What is missing is added, what is too much is taken out: the document whose size comes nearest.
-        wrong_way = F.when(F.col("missing") > 0, _sampled()).otherwise(~_sampled())
-        off = F.abs(F.col("size") - F.abs("missing"))
-        spare = _ranked(sizes, cuts).filter(F.col("rank").isNotNull() & ~wrong_way).withColumn("off", off)
-        spare = spare.filter(F.col("off") < F.abs("missing"))
+        # What is missing is added, what is too much is taken out: the document whose size comes nearest. A step may
+        # overshoot, as the next can make up for it; what counts in the end is the best of all steps.
+        wanted = F.when(F.col("missing") > 0, ~_sampled()).otherwise(_sampled()) & ~_turned()
+        spare = _ranked(sizes, cuts).filter(F.col("rank").isNotNull() & (F.abs("missing") >= 0.5) & wanted)
+        spare = spare.withColumn("off", F.abs(F.col("size") - F.abs("missing")))
         nearest = spare.groupBy("source").agg(F.min("off").alias("least")).withColumnRenamed("source", "of")
         found = spare.join(nearest, same).filter(F.col("off") == F.col("least")).groupBy("source").agg(F.min(F.struct("rank", "file", "row", "size")).alias("next"))
         found = found.withColumnRenamed("source", "of")
-        key = F.struct("next.rank", "next.file", "next.row")
-        closing = F.when(F.col("next").isNull(), F.col("closing")).otherwise(F.array_append("closing", key))
+        closing = F.when(F.col("next").isNull(), F.col("closing")).otherwise(F.array_append("closing", F.struct("next.rank", "next.file", "next.row")))
         left = F.coalesce(F.col("missing") - F.signum("missing") * F.col("next.size"), F.col("missing"))
-        cuts = cuts.join(found, same, "left").withColumns({"closing": closing, "missing": left})
-        cuts = stored(cuts.drop("of", "next"), folder, f"closed{turn}")
-    return cuts
+        cuts = cuts.join(found, same, "left").withColumns({"closing": closing, "missing": left}).drop("of", "next")
+        nearer = F.abs("missing") < F.col("best_off")
+        cuts = cuts.withColumns({"best": F.when(nearer, F.col("closing")).otherwise(F.col("best")), "best_off": F.least("best_off", F.abs("missing"))})
+        cuts = stored(cuts, folder, f"closed{turn}")
+    return cuts.withColumn("closing", F.col("best")).drop("best", "best_off")
 
 
 def _before_cut() -> Column:
@@ -131,6 +133,26 @@ def mixing_plan(spark: SparkSession, sizes: DataFrame, folder: str, cycle: int =
     return _with_cut(stored(plan, folder, "plan"), sizes, folder)
 
 
+def _turned() -> Column:
+    return F.array_contains("closing", F.struct("rank", "file", "row"))
+
+
+def _sampled() -> Column:
+    """Whether a document is in its source's sample: before the cut, unless a later step has turned that round."""
+    return _before_cut() != _turned()
+
+
+def mixing_plan(spark: SparkSession, sizes: DataFrame, folder: str, cycle: int = 3, most: float = MAX_COPIES) -> DataFrame:
+    """What decides about a source's documents, one row per source."""
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    whole = F.floor(rate + 1e-9)
+    rest = F.col("target") - whole * F.col("source_size")
+    plan = source_targets(sizes, cycle, most).select(
+        "*", whole.cast("long").alias("whole"), F.when(rate - whole > 1e-9, rate - whole).otherwise(0.0).alias("share"), F.greatest(rest, F.lit(0.0)).alias("rest")
+    )
+    return _with_cut(stored(plan, folder, "plan"), sizes, folder)
+
+
 def _sampled() -> Column:
     """Whether a document is in its source's sample: before the cut, unless a later round has turned that round."""
     return _before_cut() != F.array_contains("closing", F.struct("rank", "file", "row"))
