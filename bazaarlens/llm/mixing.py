@@ -4,11 +4,13 @@ A source whose target is ``rate`` times its size gets ``floor(rate)`` copies of
 ``share = rate - floor(rate)``, is the chance of one copy more. Documents are ranked by
 odds(u) / (odds(share) * preference) with u a fixed random number of the document, and taken from the front
 until the words of the rest are reached: a sample of fixed size in words, in which a document's chance grows with
-its odds (Pareto order sampling). Then, in ``CLOSING`` steps, the document whose size comes nearest to what is
-missing is added, or the one nearest to what is too much is left out, and the best of these states is kept.
+its odds (Pareto order sampling). A document that does not fit is passed over: in rounds, those larger than what is
+missing are set aside and the others taken on in order, until no free document fits. Then, in ``CLOSING`` steps, the
+document whose size comes nearest to what is missing is added, or the one nearest to what is too much is left out,
+and the best of these states is kept.
 
-No source is sorted or gathered: a histogram of the ranks, at most ``BINS`` rows per source, shows the bin
-in which the sample ends, and only that bin's documents are put in order. What decides is then one row per
+No source is sorted or gathered: in each round a histogram of the ranks, at most ``BINS`` rows per source, shows the
+bin in which the sample ends, and only that bin's documents are put in order. What decides is then one row per
 source, joined to the documents; Spark broadcasts it if its stored size allows, and else splits hot sources.
 """
 
@@ -23,9 +25,11 @@ from bazaarlens.llm.shared import filled, fresh, row_key, shared_folder, stored
 MAX_COPIES = 3
 BINS = 1 << 14
 SEED = 42
-# Documents added to a source's sample, or taken out, at most to come nearer to its target.
+# Documents added to a source's filled sample, or taken out, at most to come nearer to its target.
 CLOSING = 4
-_KEYS = "array<struct<rank:double,file:bigint,row:bigint>>"
+_KEY = "struct<rank:double,file:bigint,row:bigint>"
+_KEYS = f"array<{_KEY}>"
+_CUTS = f"array<struct<most:double,last:{_KEY}>>"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -77,29 +81,57 @@ def _ranked(measured: DataFrame, plan: DataFrame) -> DataFrame:
     return by_source.withColumn("rank", F.when(sampled, rank / (1 + rank)))
 
 
-def _with_cut(plan: DataFrame, sizes: DataFrame, folder: str) -> DataFrame:
-    """The plan with the last document each source's sample takes in rank order, and those that close the gap."""
-    ranked = _ranked(sizes, plan).filter("rank IS NOT NULL").withColumn("bin", F.floor(F.col("rank") * BINS))
+def _filled_on(state: DataFrame, sizes: DataFrame, folder: str, turn: int) -> DataFrame:
+    """One round: the free documents of at most ``limit`` words are taken in rank order, up to the first that does not fit.
+
+    The next limit is what is then missing, or half of it if this round has not halved that. A round with half the
+    limit halves what is missing or takes all it may, so rounds grow with the logarithm of the words. A source
+    is done, its limit 0, when no free document fits.
+    """
+    free = _ranked(sizes, state).filter(F.col("rank").isNotNull() & (F.col("size") <= F.col("limit")) & ~_before_cut())
+    free = free.withColumn("bin", F.floor(F.col("rank") * BINS))
     upto = F.sum("words").over(W.partitionBy("source").orderBy("bin"))
-    bins = ranked.groupBy("source", "bin", "rest").agg(F.sum("size").alias("words"))
-    last = bins.withColumn("upto", upto).filter(F.col("upto") > F.col("rest"))
-    last = last.groupBy("source").agg(F.min("bin").alias("bin"), F.min("upto").alias("upto"), F.min_by("words", "bin").alias("words"))
-    last = stored(last.select(F.col("source").alias("of"), "bin", (F.col("upto") - F.col("words")).alias("before")), folder, "bins")
+    bins = free.groupBy("source", "bin", "missing").agg(F.sum("size").alias("words")).withColumn("upto", upto)
+    over = F.when(F.col("upto") > F.col("missing"), F.struct("bin", (F.col("upto") - F.col("words")).alias("before")))
+    last = bins.groupBy("source").agg(F.sum("words").alias("free_words"), F.min(over).alias("over"))
+    last = stored(last.select(F.col("source").alias("of"), "free_words", "over.bin", "over.before"), folder, f"bins{turn}")
 
     same = F.col("source").eqNullSafe(F.col("of"))
     order = W.partitionBy("source").orderBy("rank", "file", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
-    inside = ranked.join(last, [same, ranked["bin"] == last["bin"]]).withColumn("upto", F.col("before") + F.sum("size").over(order))
-    taken = inside.filter(F.col("upto") <= F.col("rest")).groupBy("source").agg(F.max("upto").alias("upto"), F.max(F.struct("rank", "file", "row")).alias("cut"))
+    inside = free.join(last, [same, free["bin"] == last["bin"]]).withColumn("upto", F.col("before") + F.sum("size").over(order))
+    taken = inside.filter(F.col("upto") <= F.col("missing")).groupBy("source").agg(F.max("upto").alias("upto"), F.max(F.struct("rank", "file", "row")).alias("cut"))
     # Nothing of the last bin fits: the sample ends with the bin before. No last bin: everything fits.
-    words = ranked.groupBy("source").agg(F.sum("size").alias("all_words")).withColumnRenamed("source", "whose")
-    cuts = plan.join(words, F.col("source").eqNullSafe(F.col("whose")), "left").join(last, same, "left").join(taken.withColumnRenamed("source", "from"), F.col("source").eqNullSafe(F.col("from")), "left")
+    found = state.join(last, same, "left").join(taken.withColumnRenamed("source", "from"), F.col("source").eqNullSafe(F.col("from")), "left")
     edge = F.struct((F.col("bin") / BINS).alias("rank"), F.lit(-(1 << 63)).cast("long").alias("file"), F.lit(-1).cast("long").alias("row"))
     everything = F.struct(F.lit(2.0).alias("rank"), F.lit(0).cast("long").alias("file"), F.lit(0).cast("long").alias("row"))
-    everything_fits = F.col("bin").isNull()
-    missing = F.when(everything_fits, F.col("rest") - F.coalesce(F.col("all_words"), F.lit(0))).otherwise(F.col("rest") - F.coalesce(F.col("upto"), F.col("before")))
-    cuts = cuts.select(*plan.columns, F.coalesce("cut", F.when(~everything_fits, edge), everything).alias("cut"), missing.alias("missing"))
+    cut = F.coalesce("cut", F.when(F.col("bin").isNotNull(), edge), everything)
+    took = F.coalesce("upto", "before", "free_words", F.lit(0)).cast("double")
+    found = found.withColumns({"took": took, "step": F.array(F.struct(F.col("limit").alias("most"), cut.alias("last"))).cast(_CUTS)})
+    left = F.col("missing") - F.col("took")
+    whole_limit = F.col("limit") >= F.col("missing")
+    limit = F.when((F.col("limit") < 1) | ((F.col("took") == 0) & whole_limit), 0.0).when((left <= F.col("missing") / 2) | ~whole_limit, left).otherwise(left / 2)
+    return stored(
+        found.select(
+            *(c for c in state.columns if c not in ("missing", "limit", "cuts")),
+            left.alias("missing"),
+            limit.alias("limit"),
+            F.when(F.col("took") > 0, F.concat("cuts", "step")).otherwise(F.col("cuts")).alias("cuts"),
+        ),
+        folder,
+        f"filled{turn}",
+    )
+
+
+def _with_cut(plan: DataFrame, sizes: DataFrame, folder: str) -> DataFrame:
+    """The plan with the documents each source's sample takes: the last one in rank order of each round, and those that close the gap."""
+    cuts = plan.withColumns({"missing": F.col("rest"), "limit": F.col("rest"), "cuts": F.array().cast(_CUTS)})
+    turn = 0
+    while (cuts.agg(F.max("limit")).first()[0] or 0) >= 1:
+        cuts = _filled_on(cuts, sizes, folder, turn)
+        turn += 1
     none = F.array().cast(_KEYS)
-    cuts = stored(cuts.withColumns({"closing": none, "best": none, "best_off": F.abs("missing")}), folder, "cuts")
+    cuts = cuts.drop("limit").withColumns({"closing": none, "best": none, "best_off": F.abs("missing")})
+    same = F.col("source").eqNullSafe(F.col("of"))
     for turn in range(CLOSING):
         # What is missing is added, what is too much is taken out: the document whose size comes nearest. A step may
         # overshoot, as the next can make up for it; what counts in the end is the best of all steps.
@@ -119,18 +151,8 @@ def _with_cut(plan: DataFrame, sizes: DataFrame, folder: str) -> DataFrame:
 
 
 def _before_cut() -> Column:
-    return F.struct("rank", "file", "row") <= F.col("cut")
-
-
-def mixing_plan(spark: SparkSession, sizes: DataFrame, folder: str, cycle: int = 3, most: float = MAX_COPIES) -> DataFrame:
-    """What decides about a source's documents, one row per source."""
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    whole = F.floor(rate + 1e-9)
-    rest = F.col("target") - whole * F.col("source_size")
-    plan = source_targets(sizes, cycle, most).select(
-        "*", whole.cast("long").alias("whole"), F.when(rate - whole > 1e-9, rate - whole).otherwise(0.0).alias("share"), F.greatest(rest, F.lit(0.0)).alias("rest")
-    )
-    return _with_cut(stored(plan, folder, "plan"), sizes, folder)
+    """Whether a round has taken the document: it was small enough for it and not behind its last one."""
+    return F.exists("cuts", lambda c: (F.col("size") <= c["most"]) & (F.struct("rank", "file", "row") <= c["last"]))
 
 
 def _turned() -> Column:
@@ -138,7 +160,7 @@ def _turned() -> Column:
 
 
 def _sampled() -> Column:
-    """Whether a document is in its source's sample: before the cut, unless a later step has turned that round."""
+    """Whether a document is in its source's sample: taken in a round, unless a later step has turned that round."""
     return _before_cut() != _turned()
 
 
@@ -153,11 +175,6 @@ def mixing_plan(spark: SparkSession, sizes: DataFrame, folder: str, cycle: int =
     return _with_cut(stored(plan, folder, "plan"), sizes, folder)
 
 
-def _sampled() -> Column:
-    """Whether a document is in its source's sample: before the cut, unless a later round has turned that round."""
-    return _before_cut() != F.array_contains("closing", F.struct("rank", "file", "row"))
-
-
 def _copies() -> Column:
     more = F.col("rank").isNotNull() & _sampled()
     return F.when(F.col("size") > 0, F.col("whole") + more.cast("long")).otherwise(F.lit(0).cast("long"))

@@ -81,3 +81,11 @@ def test_the_mix_holds_every_copy(spark, tmp_path):
     assert Counter((r["doc_id"], words(r["text"])) for r in out.collect()) == +want
     assert mixed_documents(spark, spark.createDataFrame([], SCHEMA)).count() == 0
     assert mix_sources(spark, spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_very_long_document_does_not_end_the_sample(spark):
+    """Nine sources of 300 documents of 20 to 40 words, each with a document of 5,000 words somewhere in the order."""
+    rows = [(s * 1000 + i, "w " * (5000 if i == 0 else 20 + (i * 7 + s) % 21), None, f"s{s}", 1) for s in range(9) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    off = {r.source: r.d for r in mix_sources(spark, docs).groupBy("source").agg({"taken": "sum", "target": "max"}).selectExpr("source", "abs(`sum(taken)` - `max(target)`) AS d").collect()}
+    assert len(off) == 9 and max(off.values()) <= 20, off
