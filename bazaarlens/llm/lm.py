@@ -6,8 +6,7 @@ hashed to ``CONTEXT`` rows), takes the hyperbolic tangent and gives a softmax ov
 within its class is its share of the class's occurrences in the corpus. Frequent words are classes of their own.
 
 Three passes over all documents: count the words (2^18 hashed counts); train; score. Training runs in numpy where
-the documents are: every task starts from the same weights, learns from one in ``EVERY`` positions of all of its
-documents, and the tasks' weights are averaged, by how much they have learnt from, in a tree of groups
+the documents are: every task starts from the same weights, learns from every position of all of its documents, and the tasks' weights are averaged, by how much they have learnt from, in a tree of groups
 of ``FAN_IN``. What the driver gets is one table of counts and one set of weights, of fixed sizes.
 """
 
@@ -29,7 +28,7 @@ from bazaarlens.llm.words import as_bytes, portions, word_hashes
 REACH = 2
 CONTEXT_BITS, WORD_BITS = 13, 18
 CLASSES, OWN_CLASSES, HIDDEN = 64, 32, 16
-EVERY, BATCH, RATE = 4, 2048, 0.15
+BATCH, RATE = 2048, 0.15
 SCORED = 4096  # words scored at a time: their class scores stay in the processor's cache
 FAN_IN = 32
 SEED = 42
@@ -112,10 +111,10 @@ class Trainer:
         self.weights[name][at] -= RATE * gradient / np.sqrt(self.squares[name][at])
 
     def learn(self, hashes: np.ndarray, text: np.ndarray, words: Words) -> None:
-        every = np.arange(self.learnt % EVERY, len(hashes), EVERY)
-        context, kinds = _hashed(hashes, CONTEXT_BITS), words.kind[_hashed(hashes[every], WORD_BITS)]
-        for first in range(0, len(every), BATCH):
-            at, kind = every[first : first + BATCH], kinds[first : first + BATCH]
+        context, kinds = _hashed(hashes, CONTEXT_BITS), words.kind[_hashed(hashes, WORD_BITS)]
+        for first in range(0, len(hashes), BATCH):
+            at = np.arange(first, min(first + BATCH, len(hashes)))
+            kind = kinds[at]
             near = _neighbours(context, text, at)
             hidden, score = _forward(self.weights, near)
             error = np.exp(score)
@@ -130,7 +129,7 @@ class Trainer:
                 rows = near[k][order]
                 head = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
                 self._step("near", np.add.reduceat(inner[order], head, axis=0), (k, rows[head]))
-        self.learnt += len(every)
+        self.learnt += len(hashes)
 
 
 def log_likelihood(texts: list[bytes], words: Words, weights: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -34,6 +34,14 @@ def test_held_out_words_are_likelier_than_alone(texts):
     assert total.sum() / n.sum() > alone + 0.05
 
 
+def test_every_position_is_learnt(texts):
+    hashes, text = word_hashes(texts[:100])
+    words = words_of(counts_of(texts[:100]))
+    trainer = Trainer(start_weights(words))
+    trainer.learn(hashes, text, words)
+    assert trainer.learnt == len(hashes)
+
+
 def test_both_sides_are_learnt():
     """The middle word is given by its left neighbour alone, or by its right one alone."""
     rng = np.random.default_rng(1)
