@@ -2,8 +2,9 @@
 
 Every word of a document is predicted from the ``REACH`` words on either side of it, itself masked; the sum of the
 log-probabilities scores the document. The network adds a vector for each neighbour (one table per place, words
-hashed to ``CONTEXT`` rows), takes the hyperbolic tangent and gives a softmax over word classes; a word's chance
-within its class is its share of the class's occurrences in the corpus. Frequent words are classes of their own.
+hashed to ``CONTEXT`` rows), takes the hyperbolic tangent and gives a softmax over word classes. Frequent words are
+classes of their own; a word of another class is reached by a binary tree over the class's words, in which every
+fork asks the same hidden layer for the side. Forks start from the sides' shares of the corpus's occurrences.
 
 Three passes over all documents: count the words (2^18 hashed counts); train; score. Training runs in numpy where
 the documents are: every task starts from the same weights, learns from every position of all of its documents, and the tasks' weights are averaged, by how much they have learnt from, in a tree of groups
@@ -35,16 +36,24 @@ SEED = 42
 _BLOCK = 1 << 14  # numbers in a row of weights
 _PLACES = [k for k in range(-REACH, REACH + 1) if k]
 _CONTEXT = 1 << CONTEXT_BITS
-_SHAPES = {"near": (len(_PLACES), _CONTEXT + 1, HIDDEN), "hidden": (HIDDEN,), "out": (HIDDEN, CLASSES), "bias": (CLASSES,)}
+_SHAPES = {"near": (len(_PLACES), _CONTEXT + 1, HIDDEN), "hidden": (HIDDEN,), "out": (HIDDEN, CLASSES), "bias": (CLASSES,), "fork": (1 << WORD_BITS, HIDDEN)}
 
 
 @dataclass
 class Words:
-    """What the corpus says about words: the class of each hashed word and its log share of the class."""
+    """What the corpus says about words: the class of each hashed word, its log share of the class and its way there.
+
+    The forks of word w are ``forks[first[w] : first[w + 1]]``, and ``right`` says which side it is on. ``odds`` of a
+    fork are the log odds of its right side in the corpus.
+    """
 
     kind: np.ndarray
     share: np.ndarray
     prior: np.ndarray  # log share of each class
+    first: np.ndarray
+    forks: np.ndarray
+    right: np.ndarray
+    odds: np.ndarray
 
 
 def words_of(counts: np.ndarray) -> Words:
@@ -60,12 +69,39 @@ def words_of(counts: np.ndarray) -> Words:
     upto = np.cumsum(smooth[rest])
     kind[rest] = OWN_CLASSES + np.minimum(((upto - smooth[rest]) / upto[-1] * (CLASSES - OWN_CLASSES)).astype(np.int64), CLASSES - OWN_CLASSES - 1)
     total = np.bincount(kind, smooth, minlength=CLASSES)
-    return Words(kind, np.log(smooth / total[kind]), np.log(np.maximum(total, 1e-300) / total.sum()))
+    return Words(kind, np.log(smooth / total[kind]), np.log(np.maximum(total, 1e-300) / total.sum()), *_ways(order, kind[order], smooth[order]))
+
+
+def _ways(order: np.ndarray, kind: np.ndarray, smooth: np.ndarray) -> tuple[np.ndarray, ...]:
+    """first, forks, right and odds of words in order of class: each stretch is cut where half of its weight is reached.
+
+    A fork is named by the place in the order of the first word on its right, which no other fork has.
+    """
+    upto = np.concatenate(([0.0], np.cumsum(smooth)))
+    place = np.arange(len(order))
+    low, high = np.searchsorted(kind, kind), np.searchsorted(kind, kind, side="right")
+    odds = np.zeros(len(order), np.float32)
+    of, forks, right = [], [], []
+    inside = np.flatnonzero(high - low > 1)
+    while len(inside):
+        a, b = low[inside], high[inside]
+        cut = np.clip(np.searchsorted(upto, (upto[a] + upto[b]) / 2), a + 1, b - 1)
+        odds[cut] = np.log((upto[b] - upto[cut]) / (upto[cut] - upto[a]))
+        side = place[inside] >= cut
+        of.append(order[inside])
+        forks.append(cut.astype(np.int32))
+        right.append(side)
+        low[inside], high[inside] = np.where(side, cut, a), np.where(side, b, cut)
+        inside = inside[high[inside] - low[inside] > 1]
+    whose = np.concatenate([np.zeros(0, np.int64), *of])
+    by_word = np.argsort(whose, kind="stable")
+    first = np.concatenate(([0], np.cumsum(np.bincount(whose, minlength=len(order)))))
+    return first, np.concatenate([np.zeros(0, np.int32), *forks])[by_word], np.concatenate([np.zeros(0, bool), *right])[by_word], odds
 
 
 def start_weights(words: Words) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    weights = {name: (rng.standard_normal(shape) * 0.1).astype(np.float32) for name, shape in _SHAPES.items()}
+    weights = {name: (rng.standard_normal(shape) * 0.1).astype(np.float32) for name, shape in _SHAPES.items() if name != "fork"}
     weights["hidden"][:] = 0
     weights["bias"][:] = words.prior
     return weights
@@ -98,20 +134,39 @@ def _forward(weights: dict[str, np.ndarray], near: np.ndarray) -> tuple[np.ndarr
     return hidden, score
 
 
+def _at_forks(weights: dict[str, np.ndarray], hidden: np.ndarray, word: np.ndarray, words: Words) -> tuple[np.ndarray, ...]:
+    """Row in ``hidden``, fork, side and log odds of the right side, for every fork on the way to each word."""
+    count = words.first[word + 1] - words.first[word]
+    row = np.repeat(np.arange(len(word)), count)
+    at = np.arange(len(row)) + np.repeat(words.first[word] - (np.cumsum(count) - count), count)
+    fork = words.forks[at]
+    odds = words.odds[fork] + np.einsum("ij,ij->i", hidden[row], weights["fork"][fork])
+    return row, fork, words.right[at], odds
+
+
 class Trainer:
     """AdaGrad on one task's documents."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
-        self.weights = {k: v.copy() for k, v in weights.items()}
-        self.squares = {k: np.full(v.shape, 1e-2, np.float32) for k, v in weights.items()}
+        self.weights = {"fork": np.zeros(_SHAPES["fork"], np.float32)} | {k: v.copy() for k, v in weights.items()}
+        self.squares = {k: np.full(v.shape, 1e-2, np.float32) for k, v in self.weights.items()}
         self.learnt = 0
 
     def _step(self, name: str, gradient: np.ndarray, at=slice(None)) -> None:
         self.squares[name][at] += gradient**2
         self.weights[name][at] -= RATE * gradient / np.sqrt(self.squares[name][at])
 
+    def _step_rows(self, name: str, gradient: np.ndarray, rows: np.ndarray, *of: int) -> None:
+        """A step of the rows named, each by the sum of its gradients."""
+        if len(rows):
+            order = np.argsort(rows, kind="stable")
+            rows = rows[order]
+            head = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+            self._step(name, np.add.reduceat(gradient[order], head, axis=0), (*of, rows[head]))
+
     def learn(self, hashes: np.ndarray, text: np.ndarray, words: Words) -> None:
-        context, kinds = _hashed(hashes, CONTEXT_BITS), words.kind[_hashed(hashes, WORD_BITS)]
+        context, word = _hashed(hashes, CONTEXT_BITS), _hashed(hashes, WORD_BITS)
+        kinds = words.kind[word]
         for first in range(0, len(hashes), BATCH):
             at = np.arange(first, min(first + BATCH, len(hashes)))
             kind = kinds[at]
@@ -120,29 +175,40 @@ class Trainer:
             error = np.exp(score)
             error[np.arange(len(at)), kind] -= 1
             error /= len(at) ** 0.5
-            inner = (error @ self.weights["out"].T) * (1 - hidden**2)
+            row, fork, right, odds = _at_forks(self.weights, hidden, word[at], words)
+            wrong = ((1 / (1 + np.exp(-odds)) - right) / len(at) ** 0.5).astype(np.float32)[:, None]
+            inner = error @ self.weights["out"].T
+            if len(row):
+                head = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+                inner[row[head]] += np.add.reduceat(wrong * self.weights["fork"][fork], head, axis=0)
+            inner *= 1 - hidden**2
+            self._step_rows("fork", wrong * hidden[row], fork)
             self._step("out", hidden.T @ error)
             self._step("bias", error.sum(axis=0))
             self._step("hidden", inner.sum(axis=0))
             for k in range(len(near)):
-                order = np.argsort(near[k], kind="stable")
-                rows = near[k][order]
-                head = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-                self._step("near", np.add.reduceat(inner[order], head, axis=0), (k, rows[head]))
+                self._step_rows("near", inner, near[k], k)
         self.learnt += len(hashes)
 
 
 def log_likelihood(texts: list[bytes], words: Words, weights: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each text, and the sum of the log-probabilities of each given its neighbours."""
+    """Words of each text, and the sum of the log-probabilities of each given its neighbours.
+
+    Weights without forks, those before any training, leave a word its share of its class.
+    """
     hashes, text = word_hashes(texts)
     context, word = _hashed(hashes, CONTEXT_BITS), _hashed(hashes, WORD_BITS)
     kind, share = words.kind[word], words.share[word]
     total = np.zeros(len(texts))
     for first in range(0, len(hashes), SCORED):
         at = np.arange(first, min(first + SCORED, len(hashes)))
-        _, score = _forward(weights, _neighbours(context, text, at))
+        hidden, score = _forward(weights, _neighbours(context, text, at))
         low = text[at[0]]
-        sums = np.bincount(text[at] - low, score[np.arange(len(at)), kind[at]] + share[at])
+        inside = share[at]
+        if "fork" in weights:
+            row, _, right, odds = _at_forks(weights, hidden, word[at], words)
+            inside = -np.bincount(row, np.logaddexp(0, np.where(right, -odds, odds)), minlength=len(at))
+        sums = np.bincount(text[at] - low, score[np.arange(len(at)), kind[at]] + inside)
         total[low : low + len(sums)] += sums
     return np.bincount(text, minlength=len(texts)), total
 

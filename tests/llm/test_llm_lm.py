@@ -118,3 +118,29 @@ def test_odd_rows(spark, tmp_path, on_disk):
         assert (r.mean_log_probability is None) == (r.n_words == 0)
         assert r.log_likelihood < 0 if r.n_words else r.log_likelihood == 0
     assert lm_scores(spark, spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_words_of_one_class_are_told_apart():
+    """400 words, each given by its left neighbour; exchanging two of one class must cost."""
+    rng = np.random.default_rng(1)
+    texts = [f"l{k} m{k} x".encode() for k in rng.integers(0, 400, 6000)]
+    words = words_of(counts_of(texts))
+    trainer = Trainer(start_weights(words))
+    hashes, text = word_hashes(texts)
+    for _ in range(12):
+        trainer.learn(hashes, text, words)
+    kind = lambda w: words.kind[hash_of(w.encode()) >> (64 - lm.WORD_BITS)]
+    alike = [(a, b) for a in range(60) for b in range(a + 1, 60) if kind(f"l{a}") == kind(f"l{b}") >= lm.OWN_CLASSES and kind(f"m{a}") == kind(f"m{b}") >= lm.OWN_CLASSES]
+    assert alike
+    score = lambda *rows: log_likelihood([r.encode() for r in rows], words, trainer.weights)[1].sum()
+    gains = [score(f"l{a} m{a} x", f"l{b} m{b} x") - score(f"l{a} m{b} x", f"l{b} m{a} x") for a, b in alike]
+    assert np.median(gains) > 2, gains
+
+
+def test_ways_without_training_give_the_shares():
+    words = words_of(np.random.default_rng(3).integers(0, 50, 1 << lm.WORD_BITS))
+    some = np.random.default_rng(4).integers(0, 1 << lm.WORD_BITS, 1000)
+    weights = {"fork": np.zeros(lm._SHAPES["fork"], np.float32)}
+    row, _, right, odds = lm._at_forks(weights, np.zeros((len(some), lm.HIDDEN), np.float32), some, words)
+    got = -np.bincount(row, np.logaddexp(0, np.where(right, -odds, odds)), minlength=len(some))
+    assert np.allclose(got, words.share[some], atol=1e-4)
