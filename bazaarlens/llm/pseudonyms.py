@@ -7,12 +7,12 @@ every document. A value is cut into two parts a and b; rounds add a keyed hash o
 the other's range. Ranges need not be powers of two, so no value falls outside its format:
 
 * card numbers: all digits but the last, which is the check digit again;
-* phone numbers: the digits after the country code or, without one, all;
+* phone numbers: the digits after the country code (after "+", or a leading 1) or, without one, all;
 * IPv4 addresses: 16 + 16 bits;
 * dates: the day within its century (36,525 = 75 * 487 or 36,524 = 92 * 397 days);
 * social security numbers: area x (group, serial) in their valid ranges;
-* e-mail names, and secrets after "token", "password", "secret" or "api key": letters and digits, each moved
-  within its class by a hash of the other half.
+* e-mail names, and secrets after "token", "password", "secret" or "api key", to the end of their run: letters and digits, each
+  moved within its class by a hash of the other half. Long secrets are moved in pieces of ``PIECE`` characters.
 
 Everything is a Spark expression on one row: no shuffle, no Python. Separators, capitals and lengths stay.
 """
@@ -27,18 +27,21 @@ from pyspark.sql import functions as F
 from bazaarlens.llm.shared import fresh
 
 ROUNDS = 10
+PIECE = 512
 # Steps after which a walk through dates has ended: each ends it with a chance of 3 in 5.
 _WALK = 64
 _POWERS = [10**n for n in range(19)]
 
+_SECRET_HEAD = r"(?i:token|secret|password|passwd|api[_-]?key)[\x20]{0,4}[=:][\x20]{0,4}[\x22\x27]?"
+
 # The patterns, in the order in which they are tried at a place. All are bounded or possessive.
 PATTERNS: dict[str, str] = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,20}+",
-    "secret": r"(?<![A-Za-z0-9])(?i:token|secret|password|passwd|api[_-]?key)[\x20]{0,4}[=:][\x20]{0,4}[\x22\x27]?[A-Za-z0-9_\x2D]{12,512}+",
+    "secret": r"(?<![A-Za-z0-9])" + _SECRET_HEAD + r"[A-Za-z0-9_.+/=\x2D]{12,}+",
     "date": r"(?<![0-9])(?<![0-9][./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([./-])[0-9]{2}\2[0-9]{4})(?![0-9])(?![./-][0-9])",
     "ip": r"(?<![0-9])(?<![0-9][.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])(?!\.[0-9])",
     "ssn": r"(?<![0-9])(?<![0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])(?!-[0-9])",
-    "phone": r"(?<![0-9+])\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])|(?<![0-9])\([0-9]{3}\)[\x20]?[0-9]{3}[-.\x20][0-9]{4}(?![0-9])|(?<![0-9])(?<![0-9][-.])[0-9]{3}([-.])[0-9]{3}\3[0-9]{4}(?![0-9])(?![-.][0-9])",
+    "phone": r"(?<![0-9+])\+1[\x20.-]?(?:\([0-9]{3}\)|[0-9]{3})[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9](?:[\x20.-]?\(?[0-9]\)?){7,14}(?![0-9])|(?<![0-9])\([0-9]{3}\)[\x20]?[0-9]{3}[-.\x20][0-9]{4}(?![0-9])|(?<![0-9])(?<![0-9][-.])(?:1[-.\x20])?[0-9]{3}([-.\x20])[0-9]{3}\3[0-9]{4}(?![0-9])(?![-.][0-9])",
     "card": r"(?<![0-9])(?<![0-9][.,])(?:[0-9]{13,19}|[0-9]{4}([\x20-])[0-9]{4}\4[0-9]{4}\4[0-9]{4}|[0-9]{4}([\x20-])[0-9]{6}\5[0-9]{5})(?![0-9])(?![.,][0-9])",
 }
 KINDS = tuple(PATTERNS)
@@ -124,7 +127,7 @@ def _card(key: str, value: Column) -> Column:
 
 def _phone(key: str, value: Column) -> Column:
     """The country code of an international number stays."""
-    code = F.when(value.startswith("+"), F.length(F.regexp_extract(value, r"^\+([0-9]{1,3})", 1))).otherwise(0)
+    code = F.when(value.startswith("+"), F.length(F.regexp_extract(value, r"^\+([0-9]{1,3})", 1))).when(value.rlike(r"^1[-.\x20]"), 1).otherwise(0)
 
     def with_digits(d: Column) -> Column:
         rest = F.substring(d, code + 1, F.length(d))
@@ -242,9 +245,12 @@ def _email(key: str, value: Column) -> Column:
 
 
 def _secret(key: str, value: Column) -> Column:
-    given = F.regexp_extract(value, r"[A-Za-z0-9_\x2D]+$", 0)
-    head = F.substring(value, F.lit(1), F.length(value) - F.length(given))
-    return F.concat(head, _moved_letters(key, "secret", given))
+    """The full stop of a sentence, or another mark at the end, takes no part."""
+    start = F.length(F.regexp_extract(value, f"^{_SECRET_HEAD}", 0))
+    given = F.rtrim(F.substring(value, start + 1, F.length(value)), F.lit(".+/"))
+    pieces = F.sequence(F.lit(0), F.floor((F.length(given) - 1) / PIECE).cast("int"))
+    moved = F.array_join(F.transform(pieces, lambda i: _moved_letters(key, "secret", F.substring(given, i * PIECE + 1, F.lit(PIECE)))), "")
+    return F.when(F.length(given) > 0, F.concat(F.substring(value, F.lit(1), start), moved, F.substring(value, start + F.length(given) + 1, F.length(value))))
 
 
 _MOVES = {"email": _email, "secret": _secret, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime
+import random
 import re
 
 import pytest
@@ -108,3 +109,24 @@ def test_planted_values_of_the_documents(spark):
         assert not cards & set(re.findall(r"\d{16}", r.text))
         if not r.pii:
             assert r.old == r.text
+
+
+def test_phones_of_other_groupings(spark):
+    texts = ["+33 1 23 45 67 89", "+81 3 1234 5678", "+61 2 9374 4000", "1-555-123-4567", "555 123 4567", "+49 (30) 1234 5678 90"]
+    got = new_texts(spark, [f"call {t} now" for t in texts])
+    for k, t in enumerate(texts):
+        new, kinds = got[k]
+        inner = new[5:-4]
+        assert kinds == ["phone"] and inner != t and re.sub(r"\d", "9", inner) == re.sub(r"\d", "9", t)
+        assert inner[:2] == t[:2] or t[0] == "5"
+
+
+def test_whole_secrets_are_replaced(spark):
+    long = "".join(random.Random(5).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=1300))
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P+lFUP/0THsR8U=="
+    got = new_texts(spark, [f"secret: {long} end", f"token={token} end", f"It is token={token}.", "token=............ x"])
+    new = got[0][0].removeprefix("secret: ").removesuffix(" end")
+    assert len(new) == len(long) and not any(new[i : i + 12] == long[i : i + 12] for i in range(len(long) - 11))
+    moved = got[1][0].removeprefix("token=").removesuffix(" end")
+    assert all(a != b for a, b in zip(re.split("[./+]", moved), re.split("[./+=]", token)[:5], strict=True))
+    assert got[2][0] == f"It is token={moved}." and got[3] == ("token=............ x", [])
