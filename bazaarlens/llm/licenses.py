@@ -1,6 +1,6 @@
 """Licence notices in documents: a trained paragraph classifier, confirmed against licence templates.
 
-Paragraphs (lines) are cut into segments of ``SEGMENT`` words, overlapping by half. A multinomial logistic regression
+Paragraphs (lines with words that follow each other) are cut into segments of ``SEGMENT`` words, overlapping by half. A multinomial logistic regression
 on sparse word n-grams (one to three words, those of the templates) gives each segment the chance of every
 licence family and of ``unknown``. An L1 penalty leaves few n-grams, so segments without any are unknown by
 their bias alone and need no scoring. The chances are calibrated by a temperature fitted on held-out
@@ -14,6 +14,7 @@ of them, without those that resemble a template. Scoring reads every row and who
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -102,7 +103,7 @@ class LicenseModel:
 
 
 def _grams(hashes: np.ndarray, line: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams of one to three known words in one line: their hash and the place of their first word."""
+    """n-grams of one to three known words in one paragraph: their hash and the place of their first word."""
     found, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     if len(hashes) and len(known):
         at = np.flatnonzero(_member(hashes, known)[0])
@@ -126,8 +127,8 @@ def _member(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return table[at] == values, at
 
 
-def lines_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text and line (counted over all texts) of every word; and each text's lines that have a word."""
+def _words_in_lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text and line (counted in the text, empty ones too) of every word."""
     hashes, numbers, lines = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     seen = np.zeros(len(texts) + 1, np.int64)
     for parts in slices(texts, LETTERS):
@@ -142,10 +143,27 @@ def lines_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
             seen[i] += breaks[first[k] + len(p)] - breaks[first[k]]
         hashes.append(found)
         numbers.append(text)
-    found, number, line = np.concatenate(hashes), np.concatenate(numbers), np.concatenate(lines)
-    new = np.ones(len(found), bool)
-    new[1:] = (line[1:] != line[:-1]) | (number[1:] != number[:-1])
-    return found, number, np.cumsum(new) - 1, np.bincount(number[new], minlength=len(texts))
+    return np.concatenate(hashes), np.concatenate(numbers), np.concatenate(lines)
+
+
+def _numbered(line: np.ndarray, number: np.ndarray, step: int) -> np.ndarray:
+    """Running number over all texts, a new one where a word's line is ``step`` or more after the word before it."""
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] - line[:-1] >= step) | (number[1:] != number[:-1])
+    return np.cumsum(new) - 1
+
+
+def lines_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text and line (counted over all texts) of every word; and each text's lines that have a word."""
+    return _lines_and_paragraphs(texts)[:4]
+
+
+def _lines_and_paragraphs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """What ``lines_of`` gives, and the paragraph of every word: a line without words ends one, a line break does not."""
+    found, number, raw = _words_in_lines(texts)
+    line = _numbered(raw, number, 1)
+    head = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
+    return found, number, line, np.bincount(number[head], minlength=len(texts)), _numbered(raw, number, 2)
 
 
 def _segments(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,9 +191,9 @@ def _scores(model: LicenseModel, rows: np.ndarray, columns: np.ndarray, n: int)
 
 def scan(texts: list[bytes], model: LicenseModel) -> tuple[np.ndarray, list[list[dict]]]:
     """Lines with words of each text, and its confirmed notices."""
-    hashes, text, line, n_lines = lines_of(texts)
-    gram, place = _grams(hashes, line, model.known_words)
-    last, also = _segments(line)
+    hashes, text, line, n_lines, paragraph = _lines_and_paragraphs(texts)
+    gram, place = _grams(hashes, paragraph, model.known_words)
+    last, also = _segments(paragraph)
     segment = np.concatenate((last[place], last[place[also[place]]] - 1))
     gram, place = np.concatenate((gram, gram[also[place]])), np.concatenate((place, place[also[place]]))
     found: list[list[dict]] = [[] for _ in texts]
@@ -309,8 +327,8 @@ def corpus_sample(docs: DataFrame, text: str = "text") -> list[str]:
     texts = [r.text for r in chosen.orderBy("hash").collect()]
     segments = []
     for t in texts:
-        for line in t.split("\n"):
-            words = line.split()
+        for paragraph in re.split(r"\n[^\S\n]*\n", t):
+            words = paragraph.split()
             segments += [" ".join(words[k : k + SEGMENT]) for k in range(0, len(words), SEGMENT)]
     rng = np.random.default_rng(SEED)
     return [segments[k] for k in sorted(rng.permutation(len(segments))[:SAMPLE_SEGMENTS])]

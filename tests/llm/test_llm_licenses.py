@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import textwrap
 
 import pytest
 from rows import SCHEMA, frame, odd_rows
@@ -94,3 +95,15 @@ def test_odd_rows(spark, tmp_path, model, on_disk):
 
 def test_empty(spark):
     assert license_scan(spark, spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("width", [40, 55, 70, 80])
+def test_wrapped_templates(model, width):
+    for family, templates in TEMPLATES.items():
+        for t in templates:
+            text = f"A title\n\n{textwrap.fill(t, width)}\n\nMore."
+            assert {n["family"] for n in scan([text.encode()], model)[1][0]} == {family}, text
+    header = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    assert {n["family"] for n in scan([textwrap.fill(header, width).encode()], model)[1][0]} == {"gpl"}
+    found = scan([b"x\n\nReleased under\nthe MIT License.\n\ny"], model)[1][0]
+    assert [(n["line"], n["word"]) for n in found] == [(1, 0)]
