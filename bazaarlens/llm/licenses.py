@@ -4,8 +4,9 @@ Paragraphs (lines with words that follow each other) are cut into segments of ``
 on sparse word n-grams (one to three words, those of the templates) gives each segment the chance of every
 licence family and of ``unknown``. An L1 penalty leaves few n-grams, so segments without any are unknown by
 their bias alone and need no scoring. The chances are calibrated by a temperature fitted on held-out
-segments. A predicted family counts only if its calibrated chance is at least ``LEAST_CHANCE`` and the segment holds at
-least ``LEAST_SHARE`` of the word n-grams of one of the family's templates.
+segments. A family counts only if its calibrated chance is at least ``LEAST_CHANCE`` and the segment holds at
+least ``LEAST_SHARE`` of the word n-grams of one of the family's templates. Of several the one with the largest share
+is taken, its place is left out and the rest of the segment judged again, until no family counts.
 
 It is trained in numpy on variants of the templates and, as ``unknown``, on a bounded sample of the corpus: segments
 of the ``SAMPLE_ROWS`` documents (of at most ``SAMPLE_BYTES`` each) with the smallest hash, at most ``SAMPLE_SEGMENTS``
@@ -28,9 +29,10 @@ from bazaarlens.llm.words import LETTERS, as_bytes, mixed, portions, runs, slice
 
 SEGMENT, STRIDE = 64, 32
 SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_SEGMENTS = 1000, 1 << 15, 4000
-LEAST_CHANCE, LEAST_SHARE = 0.5, 0.6
+LEAST_CHANCE, LEAST_SHARE = 0.05, 0.6
 VARIANTS, STEPS, RATE, LASSO = 60, 250, 0.1, 2e-4
 SEED = 42
+GAP = 4  # words without an n-gram of its template inside a notice, at most
 
 # Customary notices of the licence families.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -203,9 +205,7 @@ def scan(texts: list[bytes], model: LicenseModel) -> tuple[np.ndarray, list[list
     pair = np.unique((segment[has] << 16) | at[has])
     of, row = np.unique(pair >> 16, return_inverse=True)
     chance = _scores(model, row, pair & 0xFFFF, len(of))
-    best = chance.argmax(axis=1)
-    unknown = len(model.families) - 1
-    hits = np.flatnonzero((best != unknown) & (chance[np.arange(len(of)), best] >= LEAST_CHANCE))
+    hits = np.flatnonzero(chance[:, :-1].max(axis=1) >= LEAST_CHANCE)
     if not len(hits):
         return n_lines, found
     order = np.argsort(segment, kind="stable")
@@ -213,17 +213,15 @@ def scan(texts: list[bytes], model: LicenseModel) -> tuple[np.ndarray, list[list
     for hit in hits:
         low, high = np.searchsorted(sorted_segment, [of[hit], of[hit] + 1])
         own = order[low:high]
-        name, share = _closest(model, gram[own], best[hit])
-        if share >= LEAST_SHARE:
-            p = place[own].min()
+        for family, likely, name, share, p in _notices(model, gram[own], place[own], chance[hit]):
             begin = np.searchsorted(line, line[p])
             i = int(text[p])
             found[i].append(
                 {
                     "line": int(line[p] - line[np.searchsorted(text, i)]),
                     "word": int(p - begin),
-                    "family": model.families[best[hit]],
-                    "chance": float(chance[hit, best[hit]]),
+                    "family": model.families[family],
+                    "chance": likely,
                     "template": name,
                     "share": share,
                 }
@@ -231,6 +229,50 @@ def scan(texts: list[bytes], model: LicenseModel) -> tuple[np.ndarray, list[list
     return n_lines, found
 
 
+def _notices(model: LicenseModel, gram: np.ndarray, place: np.ndarray, chance: np.ndarray) -> Iterator[tuple[int, float, str, float, int]]:
+    """Family, chance, template, share and first place of a segment's notices, each family once."""
+    seen: set[int] = set()
+    first = place.min()
+    while len(gram):
+        likely = np.flatnonzero(chance[:-1] >= LEAST_CHANCE)
+        closest = [(*_closest(model, gram, f), f) for f in likely]
+        name, share, family = max(closest, key=lambda c: (c[1], chance[c[2]]), default=("", 0.0, -1))
+        if share < LEAST_SHARE:
+            return
+        p, last = _span(gram, place, model.template_grams[model.template_names.index(name)])
+        if family not in seen:
+            yield int(family), float(chance[family]), name, share, int(first if not seen else p)
+        seen.add(family)
+        rest = (place < p) | (place > last)
+        gram, place = gram[rest], place[rest]
+        has, at = _member(gram, model.grams)
+        column = np.unique(at[has])
+        chance = _scores(model, np.zeros(len(column), np.int64), column, 1)[0]
+
+
+def _span(gram: np.ndarray, place: np.ndarray, template: np.ndarray) -> tuple[int, int]:
+    """First and last place of the run of words with most of the template's n-grams, the shortest of those."""
+    mine = np.isin(gram, template)
+    gram, place = gram[mine], place[mine]
+    best = (0, 0, 0, 0)
+    for p in np.unique(place):
+        behind = place >= p
+        near = np.sort(_first_places(gram[behind], place[behind]))
+        near = near[near < p + len(template)]
+        # Words far behind the others belong to something else.
+        cut = np.flatnonzero(np.diff(near) > GAP)
+        near = near[: cut[0] + 1] if len(cut) else near
+        best = max(best, (len(near), -int(near[-1] - p), int(p), int(near[-1])))
+    return best[2], best[3]
+
+
+def _first_places(gram: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first place of every distinct n-gram."""
+    order = np.lexsort((place, gram))
+    _, head = np.unique(gram[order], return_index=True)
+    return place[order][head]
+
+
 def _closest(model: LicenseModel, grams: np.ndarray, family: int) -> tuple[str, float]:
     """The family's template of which the segment holds the largest share, and that share."""
     own = np.unique(grams)

@@ -107,3 +107,10 @@ def test_wrapped_templates(model, width):
     assert {n["family"] for n in scan([textwrap.fill(header, width).encode()], model)[1][0]} == {"gpl"}
     found = scan([b"x\n\nReleased under\nthe MIT License.\n\ny"], model)[1][0]
     assert [(n["line"], n["word"]) for n in found] == [(1, 0)]
+
+
+def test_two_notices_in_one_line(model):
+    pairs = [("proprietary", 0, "bsd", 1), ("mit", 1, "apache", 0), ("gpl", 0, "mit", 0), ("cc_by", 0, "mpl", 0)]
+    for one, i, two, k in pairs:
+        for text in (f"{TEMPLATES[one][i]} {TEMPLATES[two][k]}", f"{TEMPLATES[two][k]} {TEMPLATES[one][i]}"):
+            assert {n["family"] for n in scan([text.encode()], model)[1][0]} == {one, two}, text
