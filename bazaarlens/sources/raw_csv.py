@@ -36,6 +36,8 @@ def read_raw(spark: SparkSession, raw_dir: str, table: str) -> DataFrame:
         .option("multiLine", table in MULTI_LINE_TABLES)
         .csv(f"{raw_dir}/{RAW_FILES[table]}")
     )
+    if table in MULTI_LINE_TABLES:
+        text = text.hint("rebalance")
     types = COLUMN_TYPES[table]
     missing = [name for name in types if name not in text.columns]
     if missing:

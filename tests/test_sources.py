@@ -194,3 +194,13 @@ def test_files_are_sorted_by_the_second_date(spark, tmp_path):
         for file in files:
             dates = [d for d in pq.read_table(file, columns=[column], partitioning=None).column(0).to_pylist() if d is not None]
             assert dates == sorted(dates)
+
+
+def test_reviews_are_rebalanced_after_the_read(spark, tmp_path):
+    from bazaarlens.schemas import COLUMN_TYPES
+    from bazaarlens.sources.raw_csv import read_raw
+
+    for table, name in (("order_reviews", "x_order_reviews_dataset.csv"), ("orders", "x_orders_dataset.csv")):
+        (tmp_path / name).write_text(",".join(COLUMN_TYPES[table]) + "\n")
+        plan = read_raw(spark, str(tmp_path), table)._jdf.queryExecution().optimizedPlan().toString()
+        assert ("RebalancePartitions" in plan) == (table == "order_reviews"), plan
