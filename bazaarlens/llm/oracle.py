@@ -1,5 +1,51 @@
 """SQL that DuckDB runs on the same tables, where SQL can express the operator."""
 
+
+
+def _clusters_sql() -> str:
+    """The five rounds one after the other."""
+    steps = [
+        r"""vectors AS MATERIALIZED (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        )""",
+        """first AS (
+            SELECT v, sha256('2:' || vec_id) AS h FROM vectors ORDER BY h LIMIT 40
+        )""",
+        "centroids0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, v AS c FROM first)",
+    ]
+    for i in range(6):
+        steps.append(
+            f"""assigned{i} AS MATERIALIZED (
+            SELECT vec_id, v, cluster, distance FROM (
+                SELECT vec_id, v, cluster, list_sum(list_transform(range(1, 65), lambda k: (v[k] - c[k]) * (v[k] - c[k])))::BIGINT AS distance
+                FROM vectors, centroids{i}
+            ) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1
+        )"""
+        )
+        if i < 5:
+            steps.append(
+                f"""means{i} AS (
+            SELECT cluster, list(m ORDER BY k) AS c FROM (
+                SELECT cluster, k, floor(sum(x) / count(*))::BIGINT AS m
+                FROM (SELECT cluster, unnest(range(1, 65)) AS k, unnest(v) AS x FROM assigned{i}) GROUP BY cluster, k
+            ) GROUP BY cluster
+        )"""
+            )
+            steps.append(
+                f"""centroids{i + 1} AS MATERIALIZED (
+            SELECT o.cluster, coalesce(m.c, o.c) AS c FROM centroids{i} AS o LEFT JOIN means{i} AS m USING (cluster)
+        )"""
+            )
+    return f"""
+        WITH {", ".join(steps)}
+        SELECT vec_id, cluster::INTEGER AS cluster, distance,
+            (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+            sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM assigned5 JOIN centroids5 USING (cluster)
+    """
+
+
 LLM_SQL: dict[str, str] = {
     "op3_exact_dedup": r"""
         WITH texts AS (
@@ -64,4 +110,65 @@ LLM_SQL: dict[str, str] = {
                sha256(learned) AS loss_sha256, formatted_chars
         FROM joined
     """,
+    "op11_phrase_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]')) AS t
+            FROM documents
+        ), words AS (
+            SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM pieces
+        ), phrases AS (
+            SELECT lang, k, w[p : p + k - 1] AS ws
+            FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM words, range(1, 6) AS lengths(k) WHERE len(w) >= k)
+        ), total AS (
+            SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang
+        ), counts AS (
+            SELECT lang, k, ws, count(*) AS f FROM phrases GROUP BY ALL HAVING count(*) >= 100
+        ), cuts AS (
+            SELECT c.lang, c.k, c.ws, c.f AS a, l.f AS l, r.f AS r, n, cut,
+                (1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f) AS score
+            FROM (SELECT *, unnest(range(1, k)) AS cut FROM counts WHERE k > 1) AS c
+            JOIN counts AS l ON l.lang = c.lang AND l.ws = c.ws[1 : cut]
+            JOIN counts AS r ON r.lang = c.lang AND r.ws = c.ws[cut + 1 :]
+            JOIN total ON total.lang = c.lang
+        ), weakest AS (
+            SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, cut) = 1
+        ), inside AS (
+            SELECT lang, ws[p : p + size - 1] AS ws, max(f) AS within
+            FROM (SELECT *, unnest(range(1, k - size + 2)) AS p FROM counts, range(2, 5) AS sizes(size) WHERE size < k)
+            GROUP BY ALL
+        ), left_over AS (
+            SELECT weakest.*, array_to_string(ws, ' ') AS phrase
+            FROM weakest LEFT JOIN inside USING (lang, ws) WHERE within IS NULL OR within < a
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM left_over
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+    """,
+    "op12_centroid_clustering": _clusters_sql(),
+    "op13_embedding_near_dedup": r"""
+        WITH RECURSIVE given AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS v,
+                label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS good
+            FROM embeddings
+        ), unit AS (
+            SELECT vec_id, label, v FROM given WHERE good
+        ), links AS (
+            SELECT a.vec_id AS u, b.vec_id AS v
+            FROM unit AS a JOIN unit AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+        ), reached AS (
+            SELECT vec_id AS u, vec_id AS v FROM given
+            UNION SELECT reached.u, links.v FROM reached JOIN links ON reached.v = links.u
+        ), component AS (
+            SELECT u, min(v) AS component_id FROM reached GROUP BY u
+        ), counted AS (
+            SELECT u, count(*) AS n_links FROM links GROUP BY u
+        )
+        SELECT given.vec_id, coalesce(n_links, 0) AS n_links, component_id, given.vec_id = component_id AS kept
+        FROM given JOIN component ON component.u = given.vec_id LEFT JOIN counted ON counted.u = given.vec_id
+    """,
 }

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bazaarlens.llm.centroids import centroid_clusters
 from bazaarlens.llm.chat import chat_format, conversation_digests, conversation_records
+from bazaarlens.llm.collocations import collocations
 from bazaarlens.llm.decontaminate import decontaminate
+from bazaarlens.llm.embedding_near import embedding_groups
 from bazaarlens.llm.exact_dedup import exact_dedup
 from bazaarlens.llm.licenses import license_scan
 from bazaarlens.llm.lm import lm_scores
@@ -78,6 +81,18 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(spark, _table(spark, sf_dir, "documents")).drop("file", "row")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(spark, _table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(spark, _table(spark, sf_dir, "embeddings")).drop("file", "row")
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(spark, _table(spark, sf_dir, "embeddings")).drop("file", "row")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
@@ -89,4 +104,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_lm_scores": op10_lm_scores,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_embedding_near_dedup": op13_embedding_near_dedup,
 }
