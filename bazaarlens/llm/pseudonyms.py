@@ -245,12 +245,18 @@ def _email(key: str, value: Column) -> Column:
 
 
 def _secret(key: str, value: Column) -> Column:
-    """The full stop of a sentence, or another mark at the end, takes no part."""
-    start = F.length(F.regexp_extract(value, f"^{_SECRET_HEAD}", 0))
-    given = F.rtrim(F.substring(value, start + 1, F.length(value)), F.lit(".+/"))
-    pieces = F.sequence(F.lit(0), F.floor((F.length(given) - 1) / PIECE).cast("int"))
-    moved = F.array_join(F.transform(pieces, lambda i: _moved_letters(key, "secret", F.substring(given, i * PIECE + 1, F.lit(PIECE)))), "")
-    return F.when(F.length(given) > 0, F.concat(F.substring(value, F.lit(1), start), moved, F.substring(value, start + F.length(given) + 1, F.length(value))))
+    """The full stop of a sentence, or another mark at the end, takes no part. Each piece is cut out and moved once."""
+
+    def with_start(start: Column) -> Column:
+        def with_given(given: Column) -> Column:
+            pieces = F.regexp_extract_all(given, F.lit(f".{{1,{PIECE}}}"), F.lit(0))
+            moved = F.array_join(F.transform(pieces, lambda piece: _moved_letters(key, "secret", piece)), "")
+            whole = F.concat(F.substring(value, F.lit(1), start), moved, F.substring(value, start + F.length(given) + 1, F.length(value)))
+            return F.when(F.length(given) > 0, whole)
+
+        return _let(F.rtrim(F.substring(value, start + 1, F.length(value)), F.lit(".+/")), with_given)
+
+    return _let(F.length(F.regexp_extract(value, f"^{_SECRET_HEAD}", 0)), with_start)
 
 
 _MOVES = {"email": _email, "secret": _secret, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
@@ -262,7 +268,7 @@ def _found(key: str, value: Column) -> Column:
     for name in reversed(KINDS):
         is_kind = value.rlike(f"^(?:{_alone(name)})$")
         kind, new = F.when(is_kind, F.lit(name)).otherwise(kind), F.when(is_kind, _MOVES[name](key, value)).otherwise(new)
-    return F.struct(F.when(new.isNotNull(), kind).alias("kind"), new.alias("new"))
+    return _let(F.struct(kind.alias("kind"), new.alias("new")), lambda f: F.struct(F.when(f["new"].isNotNull(), f["kind"]).alias("kind"), f["new"].alias("new")))
 
 
 def _alone(name: str) -> str:
@@ -280,7 +286,10 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", into: str = "tex
 
     Strings that look like a value but are not valid stay as they are, as do texts without any. A null text stays
     null and has no kinds. The result depends on the key and the value alone, so repeated rows, ties and reruns agree.
+    A table that has a column named ``kinds_into`` is refused; all other columns stay as they are, an empty table empty.
     """
+    if kinds_into.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has a column {kinds_into} of its own: name another one in kinds_into")
     hold = fresh(docs, "_found")[0]
     value = F.col(f"`{text}`").cast("string")
     pieces = F.split(value, _ANY, -1)

@@ -88,6 +88,29 @@ def test_very_long_values(spark):
     assert got[3][1] == ["card"] and got[0][1] == ["email"]
 
 
+def test_time_is_linear_in_the_length(spark):
+    import time
+
+    seconds = []
+    for n in (2_000, 20_000, 80_000):
+        start = time.perf_counter()
+        new_texts(spark, ["secret=" + "Zx9" * (n // 3)])
+        seconds.append(time.perf_counter() - start)
+    assert seconds[2] < 30 and seconds[2] < 4 * max(seconds[1], 1.5)
+
+
+def test_pieces_move_as_before(spark):
+    """A piece's pseudonym depends on the piece alone, also behind other pieces."""
+    first, second = "aB3" * 170 + "zz", "Q7" * 100
+    got = new_texts(spark, ["token=" + first + second, "token=" + first, "token=" + second])
+    assert got[0][0] == got[1][0] + got[2][0].removeprefix("token=") and got[0][0] != "token=" + first + second
+
+
+def test_a_clashing_column_is_refused(spark):
+    with pytest.raises(ValueError, match="pii"):
+        pseudonymise(spark.createDataFrame([("a", 1)], "text string, PII int"), "k")
+
+
 def test_other_rows_and_columns_stay(spark, tmp_path):
     rows = odd_rows(12, 20) + [(990, "c 4111111111111111", None, None, None, *("abcdefgh"))]
     docs = frame(spark, rows, tmp_path)
