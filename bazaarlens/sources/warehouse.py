@@ -11,25 +11,26 @@ from pyspark.sql import functions as F
 from bazaarlens.functions.periods import COARSE_FACT_COLUMNS, COARSE_ORDER_COLUMNS, month_start
 from bazaarlens.schemas import FACT_TABLES, FACTS_PARTITION, ORDERS_PARTITION
 from bazaarlens.session import build_session
+from bazaarlens.sources.bucketed import buckets_of, note_layout, open_buckets, spreads_evenly, write_buckets
 from bazaarlens.sources.raw_csv import RAW_FILES, read_raw
 
-
 # Columns by which some jobs choose rows of all months: sorted, most row groups of a file are skipped.
 _SORTED = {"orders": "order_delivered_customer_date", "order_reviews": "review_creation_date"}
 
 
-def store_table(df: DataFrame, warehouse_dir: str, table: str) -> None:
+def store_table(df: DataFrame, warehouse_dir: str, table: str, buckets: int = 0) -> None:
     """Replace one stored table; orders must be stored before the tables with several rows per order.
 
     Orders and those tables are kept by the month of the purchase, so that a job on two quarters opens six
     directories of each. Rows without a known order, or of an order id listed in several months, are kept in
-    a directory of their own, which every job opens.
+    a directory of their own, which every job opens. With ``buckets`` (the same number for all) they are also
+    stored by bucket of the order id, and joins by order then need no shuffle, unless the ids are uneven.
     """
     path = f"{warehouse_dir}/{table}"
     df = df.drop(*COARSE_ORDER_COLUMNS, *COARSE_FACT_COLUMNS)
     if table == "orders":
         month = month_start(F.col("order_purchase_timestamp"))
-        _write_by(df.withColumn(ORDERS_PARTITION, month), ORDERS_PARTITION, path, _SORTED.get(table))
+        _write_by(df.withColumn(ORDERS_PARTITION, month), ORDERS_PARTITION, path, _SORTED.get(table), buckets)
     elif table in FACT_TABLES:
         orders = df.sparkSession.read.parquet(f"{warehouse_dir}/orders")
         month = F.col(ORDERS_PARTITION)
@@ -37,14 +38,20 @@ def store_table(df: DataFrame, warehouse_dir: str, table: str) -> None:
         months = orders.groupBy("order_id").agg(
             F.when(F.min(month) == F.max(month), F.min(month)).alias(FACTS_PARTITION)
         )
-        _write_by(df.join(months, "order_id", "left"), FACTS_PARTITION, path, _SORTED.get(table))
+        _write_by(df.join(months, "order_id", "left"), FACTS_PARTITION, path, _SORTED.get(table), buckets)
     else:
         df.write.mode("overwrite").parquet(path)
 
 
-def _write_by(df: DataFrame, partition: str, path: str, sorted_by: str | None = None) -> None:
+def _write_by(df: DataFrame, partition: str, path: str, sorted_by: str | None = None, buckets: int = 0) -> None:
     """Partitioned write. The rebalance hint sizes the files at run time: a busy month is written by several
     tasks, quiet ones share a task. Files are sorted by a column that jobs filter on besides the month."""
+    warehouse_dir, table = path.rsplit("/", 1)
+    bucketed = buckets if buckets and spreads_evenly(df, buckets) else 0
+    note_layout(df.sparkSession, warehouse_dir, table, bucketed)
+    if bucketed:
+        write_buckets(df, path, partition, bucketed)
+        return
     balanced = df.hint("rebalance", F.col(partition))
     if sorted_by and sorted_by in df.columns:
         balanced = balanced.sortWithinPartitions(partition, sorted_by)
@@ -53,11 +60,15 @@ def _write_by(df: DataFrame, partition: str, path: str, sorted_by: str | None =
 
 
 def load_raw(
-    spark: SparkSession, raw_dir: str, warehouse_dir: str, tables: Iterable[str] = tuple(RAW_FILES)
+    spark: SparkSession,
+    raw_dir: str,
+    warehouse_dir: str,
+    tables: Iterable[str] = tuple(RAW_FILES),
+    buckets: int = 0,
 ) -> None:
     """Full refresh of the tables (all nine unless named) from the raw files."""
     for table in tables:
-        store_table(read_raw(spark, raw_dir, table), warehouse_dir, table)
+        store_table(read_raw(spark, raw_dir, table), warehouse_dir, table, buckets)
 
 
 class StoredMarketplace:
@@ -70,7 +81,11 @@ class StoredMarketplace:
     def __getattr__(self, table: str) -> DataFrame:
         if table not in RAW_FILES:
             raise AttributeError(table)
-        df = self._spark.read.parquet(f"{self._dir}/{table}")
+        path, buckets = f"{self._dir}/{table}", 0
+        partition = ORDERS_PARTITION if table == "orders" else FACTS_PARTITION if table in FACT_TABLES else None
+        if partition:
+            buckets = buckets_of(self._spark, self._dir, table)
+        df = open_buckets(self._spark, path, partition, buckets) if buckets else self._spark.read.parquet(path)
         setattr(self, table, df)
         return df
 
@@ -80,9 +95,10 @@ def main() -> None:
     parser.add_argument("raw_dir")
     parser.add_argument("warehouse_dir")
     parser.add_argument("--shuffle-gb", type=int, help="size of the largest shuffle expected")
+    parser.add_argument("--buckets", type=int, default=0, help="store orders and their facts in so many buckets")
     args = parser.parse_args()
     spark = build_session("bazaarlens-load", shuffle_gb=args.shuffle_gb)
-    load_raw(spark, args.raw_dir, args.warehouse_dir)
+    load_raw(spark, args.raw_dir, args.warehouse_dir, buckets=args.buckets)
 
 
 if __name__ == "__main__":

@@ -36,7 +36,7 @@ from bazaarlens.session import shared_dir
 from bazaarlens.sources.raw_csv import RAW_FILES
 from bazaarlens.sources.results import export_csv
 from bazaarlens.sources.star import STAR_PARAMS, STAR_SCHEMAS, StarMarketplace
-from bazaarlens.sources.warehouse import StoredMarketplace, load_raw
+from bazaarlens.sources.warehouse import StoredMarketplace, load_raw, store_table
 
 MONEY = "decimal(12,2)"
 
@@ -271,6 +271,15 @@ def stored_tables_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sellers' quarters from orders and items stored in buckets of the order id, joined without a shuffle."""
+    folder = f"{shared_dir(spark)}/buckets-{uuid4().hex}"
+    tables = StarMarketplace(spark, sf_dir)
+    for name in ("orders", "order_items"):
+        store_table(getattr(tables, name), folder, name, buckets=8)
+    return Datasets(StoredMarketplace(spark, folder), STAR_PARAMS).seller_quarters
+
+
 def export_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A result written as CSV and read again."""
     folder = f"{shared_dir(spark)}/export-{uuid4().hex}"
@@ -284,6 +293,7 @@ OPERATOR_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "s1_s3_load_round_trip": load_round_trip,
     "s4_stored_orders": stored_tables_query,
     "s5_export_round_trip": export_round_trip,
+    "s6_bucketed_join": bucketed_join,
     "e1_period_bucket": period_bucket_query,
     "e2_order_rules": order_rules,
     "e3_one_per_order": one_per_order,

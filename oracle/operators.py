@@ -28,6 +28,7 @@ OPERATOR_SQL: dict[str, str] = {
         )
     ),
     "s4_stored_orders": with_fixture(f"SELECT order_id, order_status, {_ORDER_TIMES} FROM half_year WHERE delivered"),
+    "s6_bucketed_join": with_fixture("SELECT * FROM seller_quarters"),
     "s5_export_round_trip": with_fixture(f"""
 SELECT purchase_quarter, shipping_type, COUNT(*) AS total_items, COUNT(*) FILTER (WHERE toxic) AS toxic_item,
   {pct('COUNT(*) FILTER (WHERE toxic)', 'COUNT(*)')} AS toxic_item_pct,
