@@ -11,11 +11,11 @@ from bazaarlens.functions.metrics import count_where, pct
 from bazaarlens.functions.periods import moment
 
 
-def started_with(first: DataFrame, main: DataFrame, before: datetime | None = None) -> DataFrame:
+def started_with(first: DataFrame, main: DataFrame, before: datetime | None = None, key: str = "order_id") -> DataFrame:
     """First orders with the main record of each; ``before`` keeps customers who had time to return."""
     if before is not None:
         first = first.filter(F.col("order_purchase_timestamp") < moment(before))
-    return first.join(main, "order_id")
+    return first.join(main, key)
 
 
 def came_back():

@@ -7,10 +7,12 @@ a row or a few per map task, never its whole group, to one reducer.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DateType, IntegerType, LongType, ShortType, TimestampNTZType, TimestampType
 
 
 def conditional_metrics(
@@ -50,19 +52,61 @@ def main_record(df: DataFrame, group: str, order: Sequence[Column]) -> DataFrame
     return df.withColumn("_position", position).filter(F.col("_position") == 1).drop("_position")
 
 
+# A time in microseconds times this, and a whole-number id above zero, fit one DECIMAL(38,0).
+_ID_SPACE = 1 << 65
+_WHOLE = (ByteType, ShortType, IntegerType, LongType)
+
+
+def _micros(df: DataFrame, at: str) -> Column | None:
+    """A time as whole microseconds, or None for a column that is none."""
+    kind, value = df.schema[at].dataType, F.col(at)
+    days = F.unix_date(F.to_date(value)).cast("long") * 86_400_000_000
+    if isinstance(kind, DateType):
+        return days
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(value)
+    if isinstance(kind, TimestampNTZType):
+        seconds = (F.extract(F.lit("SECOND"), value) * 1_000_000).cast("long")
+        return days + (F.hour(value) * 60 + F.minute(value)).cast("long") * 60_000_000 + seconds
+    return None
+
+
 def first_record_with_total(
     records: DataFrame, owner: str, at: str, record: str, total: str = "total_orders"
 ) -> DataFrame:
     """Per owner: the earliest record (ties: lowest id), its time, and how many records there are.
 
     An aggregate rather than a window over each owner's rows: partial results are combined before the
-    shuffle, so the number of rows one owner has does not matter.
+    shuffle, so the number of rows one owner has does not matter. A record without a time comes first, and of these
+    one without an id. Whole-number ids are packed with the time into one decimal, whose minimum Spark keeps in a
+    hash table; for a text id it has to sort.
     """
-    earliest = F.min(F.struct(at, record))
-    return (
-        records.groupBy(owner)
-        .agg(earliest.alias("_first"), F.count(F.lit(1)).alias(total))
-        .select(owner, F.col(f"_first.{record}"), F.col(f"_first.{at}"), total)
+    micros = _micros(records, at)
+    if micros is None or not isinstance(records.schema[record].dataType, _WHOLE):
+        earliest = F.min(F.struct(at, record))
+        return (
+            records.groupBy(owner)
+            .agg(earliest.alias("_first"), F.count(F.lit(1)).alias(total))
+            .select(owner, F.col(f"_first.{record}"), F.col(f"_first.{at}"), total)
+        )
+    wide, space = "decimal(20,0)", F.lit(Decimal(_ID_SPACE))
+    above = F.lit(Decimal((1 << 63) + 1))
+    # No time has -10^17 microseconds: that is 3,000 years before the first year.
+    time = F.coalesce(micros, F.lit(-(10**17))).cast("decimal(18,0)")
+    numbered = F.coalesce(F.col(record).cast(wide) + above, F.lit(Decimal(0)))
+    packed = (time * space).cast("decimal(38,0)") + numbered
+    found = records.groupBy(owner).agg(
+        F.min(packed.cast("decimal(38,0)")).alias("_first"),
+        F.min(at).alias("_at"),
+        F.count(at).alias("_timed"),
+        F.count(F.lit(1)).alias(total),
+    )
+    number = F.pmod(F.col("_first"), space)
+    return found.select(
+        owner,
+        F.when(number > 0, number - above).cast(records.schema[record].dataType).alias(record),
+        F.when(F.col("_timed") == F.col(total), F.col("_at")).alias(at),
+        total,
     )
 
 

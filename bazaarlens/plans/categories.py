@@ -44,7 +44,7 @@ def category_sales(d: Datasets) -> DataFrame:
 
 
 def _repeat(d: Datasets, before: datetime | None = None) -> DataFrame:
-    started = started_with(d.first_orders, d.main_category, before)
+    started = started_with(d.first_orders, d.main_category_by_key, before, key=d.order_ref)
     return cohort_repeat(
         started, "category_name", "first_order_category", d.params.min_category_rows
     ).transform(in_order, F.desc("came_back_pct"), "first_order_category")
@@ -61,9 +61,8 @@ def repeat_six_months(d: Datasets) -> DataFrame:
 
 def _punctual_reviews(d: Datasets) -> DataFrame:
     """One row per order and category of reviewed orders that arrived on time."""
-    punctual = d.reviewed_items(["product_id"]).filter(rules.is_punctual())
-    categories = d.product_categories.select("product_id", "category_name")
-    labeled = punctual.select("order_id", "product_id", "review_score").join(categories, "product_id")
+    punctual = d.reviewed_items([d.category_key]).filter(rules.is_punctual())
+    labeled = d.with_category(punctual.select("order_id", d.category_key, "review_score"))
     return distinct_pairs(labeled, "order_id", "category_name", "review_score")
 
 
@@ -133,8 +132,7 @@ def _sales_and_reviews(d: Datasets) -> DataFrame:
         "freight_cents": F.sum(cents(F.col("freight_value"))),
     }
     sums = {name: F.sum(name) for name in money}
-    items = d.reviewed_items(["product_id"], how="left", totals=money)
-    labeled = items.join(d.product_categories.select("product_id", "category_name"), "product_id")
+    labeled = d.with_category(d.reviewed_items([d.category_key], how="left", totals=money))
     counted = F.col("reviewed") & rules.is_punctual()
     per_order = conditional_metrics(
         labeled,
@@ -168,7 +166,7 @@ def category_scorecard(d: Datasets) -> DataFrame:
         },
     )
     customers = conditional_metrics(
-        started_with(d.first_orders, d.main_category),
+        started_with(d.first_orders, d.main_category_by_key, key=d.order_ref),
         [key],
         {"customers": F.count(F.lit(1)), "returned": came_back()},
     )

@@ -26,7 +26,9 @@ from bazaarlens.operators.grain import (
 )
 from bazaarlens.operators.lookup import category_label, corridor
 from bazaarlens.params import Params, Period
+from bazaarlens.schemas import ORDER_KEY
 from bazaarlens.session import shared_dir
+from bazaarlens.sources.labels import ITEM_LABEL
 
 
 def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
@@ -39,6 +41,11 @@ def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _listed(facts: DataFrame, key: str) -> DataFrame:
+    """Without the rows of unknown orders, which have no number and would else be one group."""
+    return facts.filter(F.col(key).isNotNull()) if key == ORDER_KEY else facts
+
+
 class Datasets:
     """Views over the marketplace tables, with the study's parameters."""
 
@@ -222,20 +229,34 @@ class Datasets:
     @cached_property
     def main_payment(self) -> DataFrame:
         """The payment type with the largest single payment of each order; equal ones by name."""
-        payments = self.tables.order_payments.select("order_id", "payment_type", "payment_value")
+        return self._keep(self._main_payment("order_id"))
+
+    @cached_property
+    def main_payment_by_key(self) -> DataFrame:
+        """The same by ``order_ref``, for orders that are listed."""
+        return self.main_payment if self.order_ref == "order_id" else self._keep(self._main_payment(self.order_ref))
+
+    def _main_payment(self, key: str) -> DataFrame:
+        payments = self.tables.order_payments.select(key, "payment_type", "payment_value")
         order = [F.col("payment_value").desc(), F.col("payment_type").asc()]
-        return self._keep(main_record(payments, "order_id", order))
+        return main_record(_listed(payments, key), key, order)
 
     # --- People -------------------------------------------------------------------------------------
 
-    def _purchases(self) -> DataFrame:
+    @cached_property
+    def order_ref(self) -> str:
+        """The column by which orders of the whole history are told apart: their number where the tables have one."""
+        tables = (self.tables.orders, self.tables.order_items, self.tables.order_payments)
+        return ORDER_KEY if all(ORDER_KEY in table.columns for table in tables) else "order_id"
+
+    def _purchases(self, key: str = "order_id") -> DataFrame:
         """Delivered orders of the whole history with the person who placed them."""
         people = self.tables.customers.select("customer_id", "customer_unique_id")
         return (
             self.tables.orders.filter(rules.is_delivered())
-            .select("order_id", "customer_id", "order_purchase_timestamp")
+            .select(key, "customer_id", "order_purchase_timestamp")
             .join(people, "customer_id")
-            .select("customer_unique_id", "order_id", "order_purchase_timestamp")
+            .select("customer_unique_id", key, "order_purchase_timestamp")
         )
 
     @cached_property
@@ -249,11 +270,10 @@ class Datasets:
 
     @cached_property
     def first_orders(self) -> DataFrame:
-        """Each person's first delivered order and their number of orders."""
+        """Each person's first delivered order, by ``order_ref``, and their number of orders."""
+        purchases = self._purchases(self.order_ref)
         return self._keep(
-            first_record_with_total(
-                self._purchases(), "customer_unique_id", "order_purchase_timestamp", "order_id"
-            )
+            first_record_with_total(purchases, "customer_unique_id", "order_purchase_timestamp", self.order_ref)
         )
 
     def orders_per_person(self) -> DataFrame:
@@ -267,23 +287,36 @@ class Datasets:
         """Products with their category label."""
         return self._keep(category_label(self.tables.products, self.tables.category_translation))
 
-    def _category_of_product(self) -> DataFrame:
-        return self.product_categories.select("product_id", "category_name")
+    @property
+    def category_key(self) -> str:
+        """The items' column that leads to their category: the label where items carry it, else the product."""
+        return ITEM_LABEL if ITEM_LABEL in self.tables.order_items.columns else "product_id"
+
+    def with_category(self, items: DataFrame) -> DataFrame:
+        """Rows with a known category, as ``category_name``."""
+        if ITEM_LABEL in items.columns:
+            return items.filter(F.col(ITEM_LABEL).isNotNull()).withColumnRenamed(ITEM_LABEL, "category_name")
+        return items.join(self.product_categories.select("product_id", "category_name"), "product_id")
 
     def clean_delivered_items(self) -> DataFrame:
         """Items of delivered orders in both quarters with their category."""
-        labeled = self.delivered_items().join(self._category_of_product(), "product_id")
+        labeled = self.with_category(self.delivered_items())
         return labeled.select("order_id", "order_item_id", "product_id", "price", "category_name")
 
     @cached_property
     def main_category(self) -> DataFrame:
         """Category of the priciest item of each order, of any status and date; equal prices by item."""
-        priced = (
-            self.tables.order_items.join(self._category_of_product(), "product_id")
-            .select("order_id", "order_item_id", "price", "category_name")
-        )
+        return self._keep(self._main_category("order_id"))
+
+    @cached_property
+    def main_category_by_key(self) -> DataFrame:
+        """The same by ``order_ref``, for orders that are listed."""
+        return self.main_category if self.order_ref == "order_id" else self._keep(self._main_category(self.order_ref))
+
+    def _main_category(self, key: str) -> DataFrame:
+        priced = self.with_category(self.tables.order_items).select(key, "order_item_id", "price", "category_name")
         order = [F.col("price").desc(), F.col("order_item_id").asc(), F.col("category_name").asc()]
-        return self._keep(main_record(priced, "order_id", order).select("order_id", "category_name", "price"))
+        return main_record(_listed(priced, key), key, order).select(key, "category_name", "price")
 
     @cached_property
     def category_sales(self) -> DataFrame:

@@ -125,7 +125,7 @@ def cohort_revenue(d: Datasets) -> DataFrame:
 
 
 def repeat_by_first_payment(d: Datasets) -> DataFrame:
-    started = started_with(d.first_orders, d.main_payment)
+    started = started_with(d.first_orders, d.main_payment_by_key, key=d.order_ref)
     return cohort_repeat(started, "payment_type", "first_order_payment").transform(
         in_order, F.desc("total_customers"), "first_order_payment"
     )

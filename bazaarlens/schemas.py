@@ -83,3 +83,5 @@ OTHER_TYPES: dict[str, str] = {
 ORDERS_PARTITION = "purchase_month"
 FACTS_PARTITION = "order_month"
 FACT_TABLES = ("order_items", "order_payments", "order_reviews")
+# The number that stands for a text order id, in orders and these tables: a fixed-width key that sorts like the id.
+ORDER_KEY = "order_key"

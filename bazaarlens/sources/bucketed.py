@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from bazaarlens.sources.notes import read_note, write_note
+
 KEY = "order_id"
 # A bucket may have this many times the rows of the mean one, and small tables up to SMALL rows in one.
 UNEVEN, SMALL = 4, 1_000_000
-_LAYOUTS = "layouts"
 
 
 def spreads_evenly(df: DataFrame, buckets: int, uneven: float = UNEVEN, small: int = SMALL) -> bool:
@@ -35,19 +36,14 @@ def write_buckets(df: DataFrame, path: str, partition: str, buckets: int) -> Non
     df.sparkSession.sql(f"DROP TABLE {name}")  # the session's name for it only; the files stay
 
 
-def note_layout(spark: SparkSession, warehouse_dir: str, table: str, buckets: int) -> None:
-    """Write down beside the tables how one is stored; 0 buckets means the plain layout."""
-    row = spark.createDataFrame([(buckets,)], "buckets int").coalesce(1)
-    row.write.mode("overwrite").parquet(f"{warehouse_dir}/{_LAYOUTS}/{table}")
+def note_buckets(spark: SparkSession, warehouse_dir: str, table: str, buckets: int) -> None:
+    """Write down how a table is stored; 0 buckets means the plain layout."""
+    write_note(spark, warehouse_dir, f"buckets_of_{table}", str(buckets))
 
 
 def buckets_of(spark: SparkSession, warehouse_dir: str, table: str) -> int:
     """Buckets a table is stored in; 0 for the plain layout and for tables without a note."""
-    path = f"{warehouse_dir}/{_LAYOUTS}/{table}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        return 0
-    return spark.read.schema("buckets int").parquet(path).first()[0]
+    return int(read_note(spark, warehouse_dir, f"buckets_of_{table}") or 0)
 
 
 def open_buckets(spark: SparkSession, path: str, partition: str, buckets: int) -> DataFrame:

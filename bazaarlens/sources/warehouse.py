@@ -7,11 +7,14 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from bazaarlens.functions.periods import COARSE_FACT_COLUMNS, COARSE_ORDER_COLUMNS, month_start
-from bazaarlens.schemas import FACT_TABLES, FACTS_PARTITION, ORDERS_PARTITION
-from bazaarlens.session import build_session
-from bazaarlens.sources.bucketed import buckets_of, note_layout, open_buckets, spreads_evenly, write_buckets
+from bazaarlens.operators.numbering import dense_numbers
+from bazaarlens.schemas import FACT_TABLES, FACTS_PARTITION, ORDER_KEY, ORDERS_PARTITION
+from bazaarlens.session import build_session, remove_dir
+from bazaarlens.sources.bucketed import buckets_of, note_buckets, open_buckets, spreads_evenly, write_buckets
+from bazaarlens.sources.labels import ITEM_LABEL, LABELLING, note_labels, with_labels, without_stale_labels
 from bazaarlens.sources.raw_csv import RAW_FILES, read_raw
 
 # Columns by which some jobs choose rows of all months: sorted, most row groups of a file are skipped.
@@ -19,7 +22,9 @@ _SORTED = {"orders": "order_delivered_customer_date", "order_reviews": "review_c
 
 
 def store_table(df: DataFrame, warehouse_dir: str, table: str, buckets: int = 0) -> None:
-    """Replace one stored table; orders must be stored before the tables with several rows per order.
+    """Replace one stored table; orders must be stored before the tables with several rows per order. Items are
+    labelled with their category where products and their translation are stored by then. Text order ids also get
+    whole numbers in their order, in all of these tables.
 
     Orders and those tables are kept by the month of the purchase, so that a job on two quarters opens six
     directories of each. Rows without a known order, or of an order id listed in several months, are kept in
@@ -27,20 +32,35 @@ def store_table(df: DataFrame, warehouse_dir: str, table: str, buckets: int = 0)
     stored by bucket of the order id, and joins by order then need no shuffle, unless the ids are uneven.
     """
     path = f"{warehouse_dir}/{table}"
-    df = df.drop(*COARSE_ORDER_COLUMNS, *COARSE_FACT_COLUMNS)
+    df = df.drop(*COARSE_ORDER_COLUMNS, *COARSE_FACT_COLUMNS, ITEM_LABEL, ORDER_KEY)
     if table == "orders":
         month = month_start(F.col("order_purchase_timestamp"))
+        if isinstance(df.schema["order_id"].dataType, StringType):
+            # A table of its own, which also says in one place which number stands for which id.
+            keys = dense_numbers(df, "order_id", ORDER_KEY, lambda placed: _kept(placed, f"{warehouse_dir}/order_places"))
+            df = df.join(_kept(keys, f"{warehouse_dir}/order_keys"), "order_id", "left").select(*df.columns, ORDER_KEY)
+            remove_dir(df.sparkSession, f"{warehouse_dir}/order_places")
         _write_by(df.withColumn(ORDERS_PARTITION, month), ORDERS_PARTITION, path, _SORTED.get(table), buckets)
     elif table in FACT_TABLES:
         orders = df.sparkSession.read.parquet(f"{warehouse_dir}/orders")
         month = F.col(ORDERS_PARTITION)
+        if table == "order_items":
+            df = with_labels(df, warehouse_dir)
         # One row per order id, also where the raw file repeats one, so that the join adds no rows.
+        key = [F.min(ORDER_KEY).alias(ORDER_KEY)] if ORDER_KEY in orders.columns else []
         months = orders.groupBy("order_id").agg(
-            F.when(F.min(month) == F.max(month), F.min(month)).alias(FACTS_PARTITION)
+            *key, F.when(F.min(month) == F.max(month), F.min(month)).alias(FACTS_PARTITION)
         )
         _write_by(df.join(months, "order_id", "left"), FACTS_PARTITION, path, _SORTED.get(table), buckets)
     else:
         df.write.mode("overwrite").parquet(path)
+        if table in LABELLING:
+            note_labels(df.sparkSession, warehouse_dir, table)
+
+
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _write_by(df: DataFrame, partition: str, path: str, sorted_by: str | None = None, buckets: int = 0) -> None:
@@ -48,7 +68,7 @@ def _write_by(df: DataFrame, partition: str, path: str, sorted_by: str | None =
     tasks, quiet ones share a task. Files are sorted by a column that jobs filter on besides the month."""
     warehouse_dir, table = path.rsplit("/", 1)
     bucketed = buckets if buckets and spreads_evenly(df, buckets) else 0
-    note_layout(df.sparkSession, warehouse_dir, table, bucketed)
+    note_buckets(df.sparkSession, warehouse_dir, table, bucketed)
     if bucketed:
         write_buckets(df, path, partition, bucketed)
         return
@@ -66,8 +86,11 @@ def load_raw(
     tables: Iterable[str] = tuple(RAW_FILES),
     buckets: int = 0,
 ) -> None:
-    """Full refresh of the tables (all nine unless named) from the raw files."""
-    for table in tables:
+    """Full refresh of the tables (all nine unless named) from the raw files.
+
+    Tables with several rows per order come last: they take months from orders, and items labels from products.
+    """
+    for table in sorted(tables, key=FACT_TABLES.__contains__):
         store_table(read_raw(spark, raw_dir, table), warehouse_dir, table, buckets)
 
 
@@ -86,6 +109,8 @@ class StoredMarketplace:
         if partition:
             buckets = buckets_of(self._spark, self._dir, table)
         df = open_buckets(self._spark, path, partition, buckets) if buckets else self._spark.read.parquet(path)
+        if table == "order_items":
+            df = without_stale_labels(df, self._dir)
         setattr(self, table, df)
         return df
 
