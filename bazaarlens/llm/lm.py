@@ -6,9 +6,14 @@ hashed to ``CONTEXT`` rows), takes the hyperbolic tangent and gives a softmax ov
 classes of their own; a word of another class is reached by a binary tree over the class's words, in which every
 fork asks the same hidden layer for the side. Forks start from the sides' shares of the corpus's occurrences.
 
-Three passes over all documents: count the words (2^18 hashed counts); train; score. Training runs in numpy where
-the documents are: every task starts from the same weights, learns from every position of all of its documents, and the tasks' weights are averaged, by how much they have learnt from, in a tree of groups
-of ``FAN_IN``. What the driver gets is one table of counts and one set of weights, of fixed sizes.
+Three passes over all documents: count the words (2^18 hashed counts); train; score. Training runs in numpy. Texts are
+dealt by their hash to groups of about ``GROUP_WORDS`` words, and the groups to ``ROUNDS`` rounds. A group starts from the
+round's weights and learns from every position of its texts, in order of hash and text; then every row of weights is
+averaged over the groups that learnt it, by how many positions of theirs did, and the next round starts from that.
+Rows no group learnt stay. So neither files nor tasks nor executors have a part in the result, which depends on the texts
+and ``GROUP_WORDS`` alone (sums of doubles may differ in their last bits). A text with more than ``COPIES`` copies is dealt
+out over several groups by number, so copies never meet in one. The driver gets one table of counts and, every
+round, one set of weights, of fixed sizes.
 """
 
 from __future__ import annotations
@@ -17,23 +22,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.shared import in_tasks, keyed, shared_folder, stored
+from bazaarlens.llm.shared import filled, in_tasks, keyed, shared_folder, stored
 from bazaarlens.llm.words import as_bytes, portions, word_hashes
 
 REACH = 2
 CONTEXT_BITS, WORD_BITS = 13, 18
 CLASSES, OWN_CLASSES, HIDDEN = 64, 32, 16
-BATCH, RATE = 2048, 0.15
+BATCH, RATE = 4096, 0.15
+GROUP_WORDS, ROUNDS, COPIES = 1 << 21, 3, 64
+_CHUNK = 1 << 19  # words learnt from at a time, a multiple of BATCH
 SCORED = 4096  # words scored at a time: their class scores stay in the processor's cache
-FAN_IN = 32
+FAN_IN = 32  # groups whose weights are added up before those of all
 SEED = 42
-_BLOCK = 1 << 14  # numbers in a row of weights
 _PLACES = [k for k in range(-REACH, REACH + 1) if k]
 _CONTEXT = 1 << CONTEXT_BITS
 _SHAPES = {"near": (len(_PLACES), _CONTEXT + 1, HIDDEN), "hidden": (HIDDEN,), "out": (HIDDEN, CLASSES), "bias": (CLASSES,), "fork": (1 << WORD_BITS, HIDDEN)}
@@ -54,6 +58,7 @@ class Words:
     forks: np.ndarray
     right: np.ndarray
     odds: np.ndarray
+    total: float = 0.0  # words of the corpus
 
 
 def words_of(counts: np.ndarray) -> Words:
@@ -69,7 +74,7 @@ def words_of(counts: np.ndarray) -> Words:
     upto = np.cumsum(smooth[rest])
     kind[rest] = OWN_CLASSES + np.minimum(((upto - smooth[rest]) / upto[-1] * (CLASSES - OWN_CLASSES)).astype(np.int64), CLASSES - OWN_CLASSES - 1)
     total = np.bincount(kind, smooth, minlength=CLASSES)
-    return Words(kind, np.log(smooth / total[kind]), np.log(np.maximum(total, 1e-300) / total.sum()), *_ways(order, kind[order], smooth[order]))
+    return Words(kind, np.log(smooth / total[kind]), np.log(np.maximum(total, 1e-300) / total.sum()), *_ways(order, kind[order], smooth[order]), float(counts.sum()))
 
 
 def _ways(order: np.ndarray, kind: np.ndarray, smooth: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -136,37 +141,58 @@ def _forward(weights: dict[str, np.ndarray], near: np.ndarray) -> tuple[np.ndarr
 
 def _at_forks(weights: dict[str, np.ndarray], hidden: np.ndarray, word: np.ndarray, words: Words) -> tuple[np.ndarray, ...]:
     """Row in ``hidden``, fork, side and log odds of the right side, for every fork on the way to each word."""
+    row, fork, right, odds, *_ = _forks(weights, hidden, word, words)
+    return row, fork, right, odds
+
+
+def _forks(weights: dict[str, np.ndarray], hidden: np.ndarray, word: np.ndarray, words: Words) -> tuple[np.ndarray, ...]:
+    """The same, with the hidden layer and the fork's weights at each."""
     count = words.first[word + 1] - words.first[word]
     row = np.repeat(np.arange(len(word)), count)
     at = np.arange(len(row)) + np.repeat(words.first[word] - (np.cumsum(count) - count), count)
     fork = words.forks[at]
-    odds = words.odds[fork] + np.einsum("ij,ij->i", hidden[row], weights["fork"][fork])
-    return row, fork, words.right[at], odds
+    layer, own = hidden[row], weights["fork"][fork]
+    return row, fork, words.right[at], words.odds[fork] + np.einsum("ij,ij->i", layer, own), layer, own
+
+
+def _order(rows: np.ndarray) -> np.ndarray:
+    """Places of the rows in ascending order, equal ones in theirs: by 16 bits at a time, which numpy does in linear time."""
+    low = np.argsort(rows.astype(np.uint16), kind="stable")
+    high = (rows >> 16).astype(np.uint16)
+    return low[np.argsort(high[low], kind="stable")] if high.any() else low
 
 
 class Trainer:
-    """AdaGrad on one task's documents."""
+    """AdaGrad on one group's documents; a row of weights has one step size."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.weights = {"fork": np.zeros(_SHAPES["fork"], np.float32)} | {k: v.copy() for k, v in weights.items()}
-        self.squares = {k: np.full(v.shape, 1e-2, np.float32) for k, v in self.weights.items()}
+        self.squares = {k: np.full(v.shape if k in ("out", "bias", "hidden") else v.shape[:-1], 1e-2, np.float32) for k, v in self.weights.items()}
         self.learnt = 0
+        self.times = {k: np.zeros(self.weights[k].shape[:-1], np.int64) for k in ("near", "fork")}
 
-    def _step(self, name: str, gradient: np.ndarray, at=slice(None)) -> None:
-        self.squares[name][at] += gradient**2
-        self.weights[name][at] -= RATE * gradient / np.sqrt(self.squares[name][at])
+    def _step(self, name: str, gradient: np.ndarray) -> None:
+        self.squares[name] += gradient**2
+        self.weights[name] -= RATE * gradient / np.sqrt(self.squares[name])
 
-    def _step_rows(self, name: str, gradient: np.ndarray, rows: np.ndarray, *of: int) -> None:
-        """A step of the rows named, each by the sum of its gradients."""
+    def _step_rows(self, name: str, gradient: np.ndarray, rows: np.ndarray) -> None:
+        """A step of the rows named, each by the sum of its gradients. Rows are numbered through all places."""
         if len(rows):
-            order = np.argsort(rows, kind="stable")
-            rows = rows[order]
-            head = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-            self._step(name, np.add.reduceat(gradient[order], head, axis=0), (*of, rows[head]))
+            order = _order(rows)
+            ordered = rows[order]
+            head = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+            total, own = np.add.reduceat(gradient[order], head, axis=0), ordered[head]
+            squares = self.squares[name].reshape(-1)
+            size = squares[own] + np.einsum("ij,ij->i", total, total) / HIDDEN
+            squares[own] = size
+            total *= (-RATE / np.sqrt(size))[:, None]
+            self.weights[name].reshape(-1, HIDDEN)[own] += total
+            self.times[name].reshape(-1)[own] += np.diff(head, append=len(rows))
 
     def learn(self, hashes: np.ndarray, text: np.ndarray, words: Words) -> None:
         context, word = _hashed(hashes, CONTEXT_BITS), _hashed(hashes, WORD_BITS)
         kinds = words.kind[word]
+        place = (np.arange(len(_PLACES)) * (_CONTEXT + 1))[:, None]
         for first in range(0, len(hashes), BATCH):
             at = np.arange(first, min(first + BATCH, len(hashes)))
             kind = kinds[at]
@@ -174,20 +200,21 @@ class Trainer:
             hidden, score = _forward(self.weights, near)
             error = np.exp(score)
             error[np.arange(len(at)), kind] -= 1
-            error /= len(at) ** 0.5
-            row, fork, right, odds = _at_forks(self.weights, hidden, word[at], words)
+            error /= np.float32(len(at) ** 0.5)
+            row, fork, right, odds, layer, own = _forks(self.weights, hidden, word[at], words)
             wrong = ((1 / (1 + np.exp(-odds)) - right) / len(at) ** 0.5).astype(np.float32)[:, None]
             inner = error @ self.weights["out"].T
             if len(row):
                 head = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-                inner[row[head]] += np.add.reduceat(wrong * self.weights["fork"][fork], head, axis=0)
+                own *= wrong
+                inner[row[head]] += np.add.reduceat(own, head, axis=0)
             inner *= 1 - hidden**2
-            self._step_rows("fork", wrong * hidden[row], fork)
+            layer *= wrong
+            self._step_rows("fork", layer, fork)
             self._step("out", hidden.T @ error)
             self._step("bias", error.sum(axis=0))
             self._step("hidden", inner.sum(axis=0))
-            for k in range(len(near)):
-                self._step_rows("near", inner, near[k], k)
+            self._step_rows("near", np.concatenate([inner] * len(near)), (near + place).ravel())
         self.learnt += len(hashes)
 
 
@@ -213,19 +240,6 @@ def log_likelihood(texts: list[bytes], words: Words, weights: dict[str, np.ndarr
     return np.bincount(text, minlength=len(texts)), total
 
 
-def _flat(weights: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([weights[k].ravel() for k in _SHAPES]).astype(np.float64)
-
-
-def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for name, shape in _SHAPES.items():
-        size = int(np.prod(shape))
-        out[name] = flat[at : at + size].reshape(shape).astype(np.float32)
-        at += size
-    return out
-
-
 def count_words(rows: DataFrame) -> np.ndarray:
     """Occurrences of every hashed word in all texts."""
 
@@ -241,40 +255,128 @@ def count_words(rows: DataFrame) -> np.ndarray:
     return counts
 
 
-def train(rows: DataFrame, words: Words, folder: str) -> dict[str, np.ndarray]:
-    """Weights learnt from all texts, averaged over the tasks."""
-    first = start_weights(words)
-    given = rows.sparkSession.sparkContext.broadcast((words, first))
+# Names of what is learnt by all positions alike: one row each of HIDDEN numbers, after those of "near" and "fork".
+_TABLES = ("near", "fork")
+_WHOLE = ("hidden", "out", "bias")
 
-    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, weights = given.value
-        trainer = Trainer(weights)
-        for batch in portions(batches):
-            trainer.learn(*word_hashes(as_bytes(batch.column("text"))), words)
-        if trainer.learnt:
-            flat = _flat(trainer.weights).astype(np.float32)
-            blocks = [flat[i : i + _BLOCK].tobytes() for i in range(0, len(flat), _BLOCK)]
-            n = len(blocks)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([TaskContext.get().partitionId()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([float(trainer.learnt)] * n), pa.array(blocks, pa.binary())],
-                names=["task", "block", "learnt", "numbers"],
-            )
 
-    def averaged(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("task")
-        share = (group["learnt"] / group["learnt"].sum()).to_numpy()
-        total = sum(np.frombuffer(b, np.float32).astype(np.float64) * s for b, s in zip(group["numbers"], share, strict=True))
-        return pd.DataFrame({"task": [int(group["task"].iloc[0]) // FAN_IN], "block": [group["block"].iloc[0]], "learnt": [group["learnt"].sum()], "numbers": [total.astype(np.float32).tobytes()]})
-
-    schema = "task long, block int, learnt double, numbers binary"
-    level = stored(in_tasks(rows.select("text"), per_task, schema), folder, "weights0")
-    turn, left = 0, (level.agg(F.max("task")).first()[0] or 0) + 1
-    while left > 1:
-        turn, left = turn + 1, -(-left // FAN_IN)
-        level = level.withColumn("part", F.floor(F.col("task") / FAN_IN)).groupBy("part", "block").applyInPandas(lambda g: averaged(g.drop(columns="part")), schema)
-        level = stored(level, folder, f"weights{turn}")
-    got = level.orderBy("block").collect()
-    return _shaped(np.concatenate([np.frombuffer(r["numbers"], np.float32) for r in got])) if got else first
+def _rows_learnt(trainer: Trainer) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Table, rows, positions that learnt them and weights, of what a group has learnt."""
+    found = []
+    for kind, name in enumerate(_TABLES):
+        times = trainer.times[name].reshape(-1)
+        rows = np.flatnonzero(times)
+        found.append((kind, rows, times[rows], trainer.weights[name].reshape(-1, HIDDEN)[rows]))
+    whole = np.concatenate([trainer.weights[name].ravel() for name in _WHOLE]).reshape(-1, HIDDEN)
+    found.append((len(_TABLES), np.arange(len(whole)), np.full(len(whole), trainer.learnt), whole))
+    return found
+
+
+def _with_rows(weights: dict[str, np.ndarray], kind: np.ndarray, row: np.ndarray, values: np.ndarray) -> dict[str, np.ndarray]:
+    """The weights with the rows given in place of theirs."""
+    new = {"fork": np.zeros(_SHAPES["fork"], np.float32)} | {name: value.copy() for name, value in weights.items()}
+    for k, name in enumerate(_TABLES):
+        new[name].reshape(-1, HIDDEN)[row[kind == k]] = values[kind == k]
+    whole = np.concatenate([new[name].ravel() for name in _WHOLE]).reshape(-1, HIDDEN)
+    whole[row[kind == len(_TABLES)]] = values[kind == len(_TABLES)]
+    at = 0
+    for name in _WHOLE:
+        size = new[name].size
+        new[name] = whole.ravel()[at : at + size].reshape(_SHAPES[name]).copy()
+        at += size
+    return {name: new[name] for name in _SHAPES}
+
+
+def _dealt(rows: DataFrame, groups: int, folder: str) -> DataFrame:
+    """Columns group, h, text, times: every text, with how many of its copies the group learns from.
+
+    Rows of a text with more than ``COPIES`` copies are one row for each of several groups: the copies are counted
+    where they lie, and the text is sent once.
+    """
+    hashed = rows.select(filled(F.col("text")).alias("text")).withColumn("h", F.xxhash64("text"))
+    several = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > COPIES)
+    several = stored(several.select("h", F.lit(True).alias("hot")), folder, "copied")
+    marked = hashed.join(several, "h", "left")
+    once = marked.filter(F.col("hot").isNull()).select(F.pmod("h", F.lit(groups)).cast("int").alias("group"), "h", "text", F.lit(1).cast("long").alias("times"))
+    hot = hashed.join(several, "h", "left_semi").groupBy("h", "text").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.least(F.ceil(F.col("n") / COPIES), F.lit(groups).cast("long"))
+    hot = hot.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    times = F.floor(F.col("n") / F.col("parts")) + F.when(F.col("part") < F.col("n") % F.col("parts"), 1).otherwise(0)
+    return once.union(hot.select(F.pmod(F.pmod("h", F.lit(groups)) + F.col("part"), F.lit(groups)).cast("int"), "h", "text", times.cast("long")))
+
+
+def train(rows: DataFrame, words: Words, folder: str) -> dict[str, np.ndarray]:
+    """Weights learnt from all texts, in rounds."""
+    weights = start_weights(words)
+    total = int(round(words.total))
+    groups = max(1, -(-total // GROUP_WORDS))
+    rounds = min(ROUNDS, groups)
+    dealt = _dealt(rows, groups, folder)
+    numbers = [f"w{i}" for i in range(HIDDEN)]
+    for turn in range(rounds if total else 0):
+        given = rows.sparkSession.sparkContext.broadcast((words, weights))
+
+        def per_task(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
+            words, weights = given.value
+            own, trainer, held, size, texts = None, None, [], 0, 0
+
+            def learn(last: bool) -> None:
+                """From whole chunks of the group's words, and at its end from the rest."""
+                nonlocal held, size
+                if size >= _CHUNK or last:
+                    hashes, text = (np.concatenate([h[i] for h in held] or [np.zeros(0, np.uint64)]) for i in (0, 1))
+                    at = 0
+                    while len(hashes) - at >= _CHUNK or (last and at < len(hashes)):
+                        trainer.learn(hashes[at : at + _CHUNK], text[at : at + _CHUNK], words)
+                        at += _CHUNK
+                    held, size = [(hashes[at:], text[at:])], len(hashes[at:])
+
+            def told() -> Iterator[pa.RecordBatch]:
+                learn(True)
+                if trainer.learnt:
+                    for kind, row, n, values in _rows_learnt(trainer):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(row), x, np.int32)) for x in (own, kind)]
+                            + [pa.array(row.astype(np.int32)), pa.array(n)]
+                            + [pa.array(np.ascontiguousarray(values[:, i])) for i in range(HIDDEN)],
+                            names=["group", "kind", "row", "n", *numbers],
+                        )
+
+            for batch in portions(batches):
+                group, times = batch.column("group").to_numpy(), batch.column("times").to_numpy()
+                raw = as_bytes(batch.column("text"))
+                edges = [0, *(np.flatnonzero(np.diff(group)) + 1), len(group)]
+                for first, last in zip(edges, edges[1:], strict=False):
+                    if trainer is None or group[first] != own:
+                        if trainer is not None:
+                            yield from told()
+                        own, trainer, held, size, texts = int(group[first]), Trainer(weights), [], 0, 0
+                    hashes, text = word_hashes(raw[first:last])
+                    edge = np.searchsorted(text, np.arange(last - first + 1))
+                    for i in range(last - first):
+                        part = hashes[edge[i] : edge[i + 1]]
+                        for _ in range(times[first + i]):
+                            held.append((part, np.full(len(part), texts, np.int64)))
+                            size += len(part)
+                            texts += 1
+                            if size >= _CHUNK:
+                                learn(False)
+            if trainer is not None:
+                yield from told()
+
+        part = dealt.filter(F.col("group") % rounds == turn).withColumn("slot", F.floor(F.col("group") / rounds).cast("int"))
+        part = part.repartitionById(-(-groups // rounds), F.col("slot")).sortWithinPartitions("group", "h", "text").drop("slot")
+        schema = "group int, kind int, row int, n long, " + ", ".join(f"{w} float" for w in numbers)
+        learnt = in_tasks(part, per_task, schema)
+        sums = [F.sum(F.col(w).cast("double") * F.col("n")).alias(w) for w in numbers]
+        learnt = learnt.groupBy("kind", "row", F.floor(F.col("group") / FAN_IN).alias("part")).agg(F.sum("n").alias("n"), *sums)
+        learnt = learnt.groupBy("kind", "row").agg(F.sum("n").alias("n"), *(F.sum(w).alias(w) for w in numbers))
+        got = stored(learnt, folder, f"weights{turn}").toArrow()
+        n = got.column("n").to_numpy()
+        values = np.stack([got.column(w).to_numpy() / n for w in numbers], axis=1).astype(np.float32)
+        weights = _with_rows(weights, got.column("kind").to_numpy(), got.column("row").to_numpy(), values)
+        given.unpersist()
+    return weights
 
 
 def lm_scores(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -144,3 +144,49 @@ def test_ways_without_training_give_the_shares():
     row, _, right, odds = lm._at_forks(weights, np.zeros((len(some), lm.HIDDEN), np.float32), some, words)
     got = -np.bincount(row, np.logaddexp(0, np.where(right, -odds, odds)), minlength=len(some))
     assert np.allclose(got, words.share[some], atol=1e-4)
+
+
+def scores(spark, rows, parts, tmp_path):
+    path = str(tmp_path / f"in{parts}")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(parts).write.parquet(path)
+    return {r.doc_id: r.mean_log_probability for r in lm_scores(spark, spark.read.parquet(path)).collect()}
+
+
+def test_scores_do_not_depend_on_files(spark, tmp_path, texts, monkeypatch):
+    """Several groups and rounds, and a text with many copies, from 1, 8 and 64 files."""
+    monkeypatch.setattr(lm, "GROUP_WORDS", 1 << 14)
+    monkeypatch.setattr(lm, "COPIES", 5)
+    rows = [(i, t.decode()) for i, t in enumerate(texts[:400])] + [(1000 + k, texts[1].decode()) for k in range(150)]
+    one, eight, many = (scores(spark, rows, n, tmp_path) for n in (1, 8, 64))
+    assert one.keys() == eight.keys() == many.keys()
+    known = [i for i, s in one.items() if s is not None]
+    assert max(max(abs(one[i] - eight[i]), abs(one[i] - many[i])) for i in known) < 1e-5
+    assert len({round(one[i], 6) for i in known if i >= 1000}) == 1
+
+
+def test_copies_are_dealt_out_and_none_lost(spark, monkeypatch):
+    monkeypatch.setattr(lm, "COPIES", 4)
+    given = ["a"] * 30 + ["b"] * 4 + ["c", None, "", "d"] * 2
+    rows = spark.createDataFrame([(t,) for t in given], "text string")
+    dealt = lm._dealt(rows, 3, shared_folder(spark)).collect()
+    total = {}
+    for r in dealt:
+        total[r.text] = total.get(r.text, 0) + r.times
+    assert total == {"a": 30, "b": 4, "c": 2, "": 4, "d": 2}
+    assert sorted((r.group, r.times) for r in dealt if r.text == "a") == [(0, 10), (1, 10), (2, 10)]
+
+
+def test_gain_over_word_shares_stays_with_many_groups(spark, texts, monkeypatch):
+    """More groups learn less from the same texts, but rows keep what the groups that met them have learnt."""
+    rows = spark.createDataFrame([(t.decode(),) for t in texts[:2500]], "text string").select("text")
+    words = words_of(counts_of(texts[:2500]))
+    hashes, _ = word_hashes(texts[:2500])
+    place = lm._hashed(hashes, lm.WORD_BITS)
+    alone = (words.share[place] + words.prior[words.kind[place]]).mean()
+    gains = []
+    for size in (1 << 21, 1 << 16, 1 << 14):
+        monkeypatch.setattr(lm, "GROUP_WORDS", size)
+        n, total = log_likelihood(texts[:2500], words, lm.train(rows, words, shared_folder(spark)))
+        gains.append(total.sum() / n.sum() - alone)
+    print(gains)
+    assert gains[1] > 0.5 * gains[0] and gains[2] > 0.25 * gains[0] > 0
