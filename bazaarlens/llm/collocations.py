@@ -4,12 +4,13 @@ The texts are dealt to ``SHARDS`` shards by row, and encoded once: every word as
 as zero. Steps then scan the shards in turn, round and round, and count phrases of all lengths at the same time.
 Single words are counted from step 0. A longer phrase becomes active in the step after both its subphrases (without
 the last, without the first word) have reached the threshold, wherever in the cycle that is, and is counted for one
-full cycle from there; its count is then exact. The steps end when no phrase is active.
+full cycle from there. The steps end when no phrase is active.
 
 In a step the tasks must know which phrases are active. They get two bit tables of bounded size: subphrases that have
 reached the threshold, and those that did so within the last cycle; an occurrence is counted if both its subphrases
-are in the first and one is in the second. Bits shared by chance let through phrases that are not active, which the
-join of the (already summed) counts with the stored state then drops, so the tables cost time only.
+are in the first and one is in the second. What leaves a task is a longer phrase's 64-bit number and a count. Bits or
+numbers shared by chance can only add phrases or raise counts; none that has the threshold is missed. So a last scan
+counts the longer phrases found once more, told apart by all their words, which makes the counts exact.
 
 Numbers of words are hashes. At the end the words of all candidates are looked up in the texts again; if two words that
 share a number are found there, both get other numbers and everything is counted anew.
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bazaarlens.llm.shared import in_tasks, keyed, shared_folder, stored
@@ -35,7 +36,7 @@ NO_LANG = "und"
 # Bits of a table: 32 for each entry, within these bounds (8 KB to 32 MB).
 _BITS = 1 << 16, 1 << 28
 _EACH = 32
-_LOT = 1 << 20  # words counted at once
+_LOT = 1 << 19  # words counted at once
 _BREAK = 2
 _CLASSES = byte_class((0x00, 0xFF)) + byte_class((0x0A, 0x0D), *((c, c) for c in b".,;:!?"))
 _CLASSES[[0x20, 0x09]] = 0
@@ -100,166 +101,201 @@ def _joined(sofar: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed((sofar ^ word) * _STEP)
 
 
+def _named(number: np.ndarray, length: int) -> np.ndarray:
+    """A phrase's number with its length in the upper three bits."""
+    return (number >> np.uint64(3)) | np.uint64(length << 61)
+
+
 def _in(table: np.ndarray, number: np.ndarray) -> np.ndarray:
     """Which numbers have their bit set."""
     at = number & np.uint64(len(table) * 64 - 1)
     return (table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _counted(first: np.ndarray, words: np.ndarray, number: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Place of one occurrence of each phrase of ``length`` words that starts at ``first``, and how often it occurs."""
-    _, at, same, n = np.unique(number, return_index=True, return_inverse=True, return_counts=True)
-    told = np.ones(len(first), bool)
-    for k in range(length):
-        told &= words[first + k] == words[first[at][same] + k]
-    if told.all():
-        return first[at], n
-    lines = np.stack([words[first + k] for k in range(length)], axis=1)  # phrases of one number: compare whole
-    _, at, n = np.unique(lines, axis=0, return_index=True, return_counts=True)
-    return first[at], n
-
-
-def count_active(words: np.ndarray, lang: str, longest: int, singles: bool, reached: np.ndarray, recent: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Length, places and counts of the phrases to count; ``reached`` and ``recent`` are tables of subphrases."""
-    inside = np.flatnonzero(words)
-    number = np.zeros(len(words), np.uint64)
-    number[inside] = _joined(_lang_number(lang), words[inside])
-    if singles:
-        yield 1, *_counted(inside, words, number[inside], 1)
-    at = inside
+def phrases_of(words: np.ndarray, lang: str, longest: int, reached: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """By length: places of the phrases whose subphrases are all in the table ``reached``, their numbers, those of all places before."""
+    at = np.flatnonzero(words)
+    number = np.zeros(len(words) + 1, np.uint64)
+    number[at] = _joined(_lang_number(lang), words[at])
+    yield 1, at, _named(number[at], 1), number
     for length in range(2, longest + 1):
         known = np.zeros(len(words) + 1, bool)
-        fresh = np.zeros(len(words) + 1, bool)
-        known[at] = _in(reached, number[at])
-        fresh[at] = known[at] & _in(recent, number[at])
+        known[at] = _in(reached, _named(number[at], length - 1))
         at = np.flatnonzero(known[:-1] & known[1:])
-        active = at[fresh[at] | fresh[at + 1]]
-        longer = np.zeros(len(words), np.uint64)
+        longer = np.zeros(len(words) + 1, np.uint64)
         longer[at] = _joined(number[at], words[at + length - 1])
-        if len(active):
-            yield length, *_counted(active, words, longer[active], length)
+        yield length, at, _named(longer[at], length), number
         number = longer
 
 
-def _phrases(words: np.ndarray, first: np.ndarray, length: int) -> pa.Array:
-    """The numbers of the phrases' words, 8 bytes each."""
-    raw = words[first[:, None] + np.arange(length)].astype("<u8").tobytes()
-    offsets = np.arange(len(first) + 1, dtype=np.int32) * (8 * length)
-    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
+def count_active(words: np.ndarray, lang: str, longest: int, reached: np.ndarray, recent: np.ndarray, lengths: set[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers and counts of the active phrases of two and more words; ``lengths`` are those of the subphrases in ``recent``."""
+    for length, at, number, subs in phrases_of(words, lang, longest, reached):
+        if length - 1 in lengths and len(at):
+            head, tail = (_in(recent, _named(subs[x], length - 1)) for x in (at, at + 1))
+            yield np.unique(number[head | tail], return_counts=True)
 
 
-def _lots(held: list[bytes]) -> Iterator[np.ndarray]:
-    """The encoded texts, some ``_LOT`` words at a time."""
-    lot, size = [], 0
-    for words in held:
-        lot.append(words)
-        size += len(words) // 8
-        if size >= _LOT:
-            yield np.frombuffer(b"".join(lot), "<u8")
-            lot, size = [], 0
-    if lot:
-        yield np.frombuffer(b"".join(lot), "<u8")
+def _lots(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
+    """Language and words of the encoded texts, some ``_LOT`` words at a time."""
+    langs = batch.column("lang").to_pylist()
+    lots: dict[str, list[bytes]] = {}
+    size: dict[str, int] = {}
+    for lang, words in zip(langs, batch.column("words"), strict=True):
+        lots.setdefault(lang, []).append(words.as_buffer())
+        size[lang] = size.get(lang, 0) + lots[lang][-1].size // 8
+        if size[lang] >= _LOT:
+            yield lang, np.frombuffer(b"".join(lots.pop(lang)), "<u8")
+            size[lang] = 0
+    for lang, lot in lots.items():
+        yield lang, np.frombuffer(b"".join(lot), "<u8")
 
 
-def _counts(shard: DataFrame, longest: int, singles: bool, tables: Broadcast) -> DataFrame:
-    """Columns lang, p, n: phrases counted in a shard."""
+def _tables(state: DataFrame, step: int, count: int, longest: int) -> tuple[np.ndarray, np.ndarray, set[int]]:
+    """Bit tables of the phrases that have reached the threshold, at all and in the last cycle; lengths of the latter.
+
+    Built by the tasks; their size is bounded whatever the number of phrases.
+    """
+    length = F.shiftrightunsigned("number", 61)
+    known = state.filter(F.col("reached").isNotNull() & (length < longest))
+    known = known.select("number", length.alias("length"), (F.col("reached") >= step - count).alias("recent"))
+    numbers = {(r["length"], r["recent"]): r["n"] for r in known.groupBy("length", "recent").agg(F.count(F.lit(1)).alias("n")).collect()}
+    lately = {k: n for (k, recent), n in numbers.items() if recent}
+    return _table(known, sum(numbers.values())), _table(known.filter("recent"), sum(lately.values())), set(lately)
+
+
+def _table(phrases: DataFrame, count: int) -> np.ndarray:
+    bits = _BITS[0]
+    while bits < min(count * _EACH, _BITS[1]):
+        bits *= 2
+    table = np.zeros(bits // 64, np.uint64)
+    if count:
+        at = F.col("number").bitwiseAND(F.lit(bits - 1))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+        got = phrases.groupBy(F.shiftright(at, 6).alias("place")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        table[got.column("place").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return table
+
+
+def _single_counts(shard: DataFrame) -> DataFrame:
+    """Columns lang, w, number, n: the words of a shard."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reached, recent = tables.value
         for batch in batches:
-            by_lang: dict[str, list[bytes]] = {}
-            for lang, words in zip(batch.column("lang").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                by_lang.setdefault(lang, []).append(words)
-            for lang, held in by_lang.items():
-                for words in _lots(held):
-                    for length, first, n in count_active(words, lang, longest, singles, reached, recent):
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), _phrases(words, first, length), pa.array(n)], names=["lang", "p", "n"])
-
-    rows = in_tasks(shard.select("lang", "words"), per_batch, "lang string, p binary, n long")
-    return rows.groupBy("lang", "p").agg(F.sum("n").alias("n"))
-
-
-def _tables(phrases: DataFrame, *marks: Column) -> tuple[list[np.ndarray], list[int]]:
-    """A bit table of the phrases with each mark, and their numbers. Built by the tasks; sizes are bounded whatever the numbers."""
-    marks = [F.coalesce(m, F.lit(False)) for m in marks]
-    counted = phrases.agg(*(F.count_if(m) for m in marks)).first()
-    bits = []
-    for wanted in counted:
-        bits.append(_BITS[0])
-        while bits[-1] < min(wanted * _EACH, _BITS[1]):
-            bits[-1] *= 2
-    tables = [np.zeros(b // 64, np.uint64) for b in bits]
-    if not any(counted):
-        return tables, list(counted)
+            for lang, words in _lots(batch):
+                w, n = np.unique(words[words > 0], return_counts=True)
+                number = _named(_joined(_lang_number(lang), w), 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(w), pa.string()), pa.array(w.view(np.int64)), pa.array(number.view(np.int64)), pa.array(n)], names=["lang", "w", "number", "n"]
+                )
+
+    return in_tasks(shard.select("lang", "words"), per_batch, "lang string, w long, number long, n long")
+
+
+def _longer_counts(shard: DataFrame, longest: int, tables: Broadcast, lengths: set[int]) -> DataFrame:
+    """Columns number, n: the active phrases of two and more words in a shard."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, raw = batch.column("lang").to_pylist(), batch.column("p").to_pylist()
-            own = {x: _lang_number(x) for x in set(lang)}
-            size = np.array([len(p) // 8 for p in raw])
-            number = np.array([own[x] for x in lang], np.uint64)
-            for length in np.unique(size):
-                rows = np.flatnonzero(size == length)
-                words = np.frombuffer(b"".join(raw[i] for i in rows), "<u8").reshape(len(rows), length)
-                for k in range(length):
-                    number[rows] = _joined(number[rows], words[:, k])
-            for which, b in enumerate(bits):
-                at = number[batch.column(f"m{which}").to_numpy(zero_copy_only=False)] & np.uint64(b - 1)
-                place, bit = (at >> np.uint64(6)).astype(np.int64), (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), which, np.int32)), pa.array(place), pa.array(bit)], names=["which", "place", "bit"])
-
-    rows = phrases.select("lang", "p", *(m.alias(f"m{i}") for i, m in enumerate(marks)))
-    rows = rows.filter(" OR ".join(f"m{i}" for i in range(len(marks))))
-    got = in_tasks(rows, per_batch, "which int, place long, bit long").groupBy("which", "place").agg(F.bit_or("bit").alias("bits")).toArrow()
-    which, place, found = (got.column(c).to_numpy() for c in ("which", "place", "bits"))
-    for i, table in enumerate(tables):
-        table[place[which == i]] = found[which == i].view(np.uint64)
-    return tables, list(counted)
-
-
-def _part(p: Column, skip: int, drop: int) -> Column:
-    """A phrase without its first ``skip`` and last ``drop`` words."""
-    return F.substring(p, F.lit(8 * skip + 1), F.octet_length(p) - 8 * (skip + drop))
-
-
-def count_phrases(shards: DataFrame, folder: str, threshold: int = THRESHOLD, longest: int = LONGEST, count: int = SHARDS) -> DataFrame:
-    """Columns lang, p, n: every phrase of up to ``longest`` words with at least ``threshold`` occurrences, and these."""
+            for lang, words in _lots(batch):
+                for number, n in count_active(words, lang, longest, *tables.value, lengths):
+                    yield pa.RecordBatch.from_arrays([pa.array(number.view(np.int64)), pa.array(n)], names=["number", "n"])
+
+    return in_tasks(shard.select("lang", "words"), per_batch, "number long, n long")
+
+
+def _added(state: DataFrame, new: DataFrame, keys: list[str], step: int, threshold: int, count: int) -> DataFrame:
+    """The state after a step. What has not reached the threshold in a full cycle leaves it."""
+    new = new.select(*keys, "n", F.lit(step).alias("start"), F.lit(None).cast("int").alias("reached"))
+    total = state.union(new).groupBy(*keys).agg(F.sum("n").alias("n"), F.min("start").alias("start"), F.min("reached").alias("reached"))
+    total = total.withColumn("reached", F.coalesce("reached", F.when(F.col("n") >= threshold, F.lit(step))))
+    return total.filter(F.col("reached").isNotNull() | (F.col("start") + count - 1 > step))
+
+
+def frequent_phrases(shards: DataFrame, folder: str, threshold: int = THRESHOLD, longest: int = LONGEST, count: int = SHARDS) -> tuple[DataFrame, DataFrame]:
+    """The counting steps. Returns (lang, w, number, n) of words and (number, n) of longer phrases with the threshold.
+
+    A phrase that reached it in step r lets longer ones start at r + 1, and be counted in ``count`` steps. The words'
+    counts are exact. No longer phrase that has the threshold is left out; numbers let through by chance may be added, or
+    their counts be too high.
+    """
     spark = shards.sparkSession
-    schema = "lang string, p binary, n long, start int, reached int"
-    state = spark.createDataFrame([], schema)
+    singles = spark.createDataFrame([], "lang string, w long, number long, n long, start int, reached int")
+    longer = spark.createDataFrame([], "number long, n long, start int, reached int")
     step = 0
     while True:
-        # A phrase that reached the threshold in step r lets longer ones start at r + 1, for count steps.
-        short = F.col("reached").isNotNull() & (F.octet_length("p") < 8 * longest)
-        (reached, recent), (_, left) = _tables(state, short, short & (F.col("reached") >= step - count))
-        singles = step < count
-        if not singles and not left:
-            return state.filter(F.col("reached").isNotNull()).select("lang", "p", "n")
-        tables = spark.sparkContext.broadcast((reached, recent))
-        found = _counts(shards.filter(F.col("shard") == step % count), longest, singles, tables)
-        ends = state.filter(short).select("lang", "p", "reached")
-        ones = found.filter(F.octet_length("p") == 8).withColumn("start", F.lit(0))
-        longer = found.filter(F.octet_length("p") > 8).withColumns({"head": _part(F.col("p"), 0, 1), "tail": _part(F.col("p"), 1, 0)})
-        longer = longer.join(ends.select("lang", F.col("p").alias("head"), F.col("reached").alias("r1")), ["lang", "head"])
-        longer = longer.join(ends.select("lang", F.col("p").alias("tail"), F.col("reached").alias("r2")), ["lang", "tail"])
-        longer = longer.withColumn("start", F.greatest("r1", "r2") + 1).filter(F.col("start") > step - count)
-        none = F.lit(None).cast("int").alias("reached")
-        new = ones.select("lang", "p", "n", "start", none).union(longer.select("lang", "p", "n", "start", none))
-        total = state.union(new).groupBy("lang", "p").agg(F.sum("n").alias("n"), F.max("start").alias("start"), F.min("reached").alias("reached"))
-        total = total.withColumn("reached", F.coalesce("reached", F.when(F.col("n") >= threshold, F.lit(step))))
-        going = F.col("reached").isNotNull() | (F.col("start") + count - 1 > step)
-        state = stored(total.filter(going), folder, f"state{step}")
-        tables.unpersist()
-        if step:
-            remove_dir(spark, f"{folder}/state{step - 1}")
+        known = singles.select(longer.columns).union(longer)
+        reached, recent, lengths = _tables(known, step, count, longest)
+        if step >= count and not lengths:
+            done = F.col("reached").isNotNull()
+            return singles.filter(done).select("lang", "w", "number", "n"), longer.filter(done).select("number", "n")
+        shard = shards.filter(F.col("shard") == step % count)
+        if step < count:
+            new = _added(singles, _single_counts(shard), ["lang", "w", "number"], step, threshold, count)
+            singles = stored(new, folder, f"singles{step}")
+        if lengths:
+            given = spark.sparkContext.broadcast((reached, recent))
+            new = _added(longer, _longer_counts(shard, longest, given, lengths), ["number"], step, threshold, count)
+            longer = stored(new, folder, f"longer{step}")
+            given.unpersist()
+        if 0 < step < count:
+            remove_dir(spark, f"{folder}/singles{step - 1}")
+        if lengths:
+            remove_dir(spark, f"{folder}/longer{step - 1}")
         step += 1
 
 
-def _unlike(raw: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Which words differ in their lower-cased bytes from the word of the same length at place ``other``."""
+def _groups(number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the numbers, where each group of equal ones starts in it, and the group of each place in it."""
+    order = np.argsort(number)
+    ordered = number[order]
+    head = np.concatenate(([True], ordered[1:] != ordered[:-1]))[: len(number)]
+    return order, np.flatnonzero(head), np.cumsum(head) - 1
+
+
+def _same(words: np.ndarray, at: np.ndarray, number: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place of one occurrence of each phrase that starts at one of the places, and how often it occurs."""
+    order, head, group = _groups(number)
+    at = at[order]
+    first = at[head]
+    told = all((words[at + k] == words[first + k][group]).all() for k in range(length))
+    if told:
+        return first, np.bincount(group)
+    lines = np.stack([words[at + k] for k in range(length)], axis=1)  # phrases of one number: compare whole
+    _, head, n = np.unique(lines, axis=0, return_index=True, return_counts=True)
+    return at[head], n
+
+
+def _written(words: np.ndarray, first: np.ndarray, length: int) -> pa.Array:
+    """The numbers of the phrases' words, 8 bytes each, highest first."""
+    raw = words[first[:, None] + np.arange(length)].astype(">u8").tobytes()
+    offsets = np.arange(len(first) + 1, dtype=np.int32) * (8 * length)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
+
+
+def exact_counts(shards: DataFrame, singles: DataFrame, longer: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST) -> DataFrame:
+    """Columns lang, p, n: the words, and the longer phrases with these numbers, told apart by all their words, that occur so often."""
+    numbers = singles.select("number").union(longer.select("number"))
+    table = shards.sparkSession.sparkContext.broadcast(_table(numbers, numbers.count()))
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, words in _lots(batch):
+                for length, at, number, _ in phrases_of(words, lang, longest, table.value):
+                    wanted = _in(table.value, number)
+                    if length > 1 and wanted.any():
+                        first, n = _same(words, at[wanted], number[wanted], length)
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), _written(words, first, length), pa.array(n)], names=["lang", "p", "n"])
+
+    rows = in_tasks(shards.select("lang", "words"), per_batch, "lang string, p binary, n long")
+    found = rows.groupBy("lang", "p").agg(F.sum("n").alias("n")).filter(F.col("n") >= threshold)
+    return found.union(singles.select("lang", F.unhex(F.lpad(F.hex("w"), 16, "0")).alias("p"), "n"))
+
+
+def _unlike(raw: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which words differ in their lower-cased bytes from the word of the same length that starts at ``other``."""
     differs = np.zeros(len(start), bool)
     open_ = np.flatnonzero(start != other)
-    size = end - start
     for k in range(64):
         open_ = open_[size[open_] > k]
         if not len(open_):
@@ -273,8 +309,7 @@ def _unlike(raw: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarr
 
 def _texts_of(docs: DataFrame, text: str, numbers: DataFrame, special: np.ndarray) -> DataFrame:
     """Columns w, word, for the words of the texts that have one of the ``numbers`` (column w)."""
-    phrases = numbers.select(F.lit("").alias("lang"), F.col("w").alias("p"))
-    table = docs.sparkSession.sparkContext.broadcast(_tables(phrases, F.lit(True))[0][0])
+    table = docs.sparkSession.sparkContext.broadcast(_table(numbers.select(F.col("w").alias("number")), numbers.count()))
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: dict[int, set[bytes]] = {}
@@ -282,18 +317,20 @@ def _texts_of(docs: DataFrame, text: str, numbers: DataFrame, special: np.ndarra
         def rows(told: dict[int, set[bytes]]) -> pa.RecordBatch:
             pairs = [(h, w) for h, ws in told.items() for w in ws]
             return pa.RecordBatch.from_arrays(
-                [pa.array([h.to_bytes(8, "little") for h, _ in pairs], pa.binary()), pa.array([w.decode("utf-8", "replace") for _, w in pairs], pa.string())], names=["w", "word"]
+                [pa.array(np.array([h for h, _ in pairs], np.uint64).view(np.int64)), pa.array([w.decode("utf-8", "replace") for _, w in pairs], pa.string())], names=["w", "word"]
             )
 
         for batch in portions(batches):
             for raw, start, end, _, found in _word_numbers(as_bytes(batch.column("text")), special):
-                own, same = np.unique(found, return_inverse=True)
-                wanted = (own > 0) & _in(table.value, _joined(np.full(len(own), _lang_number("")), own))
-                at = np.flatnonzero(wanted[same])
+                at = np.flatnonzero((found > 0) & _in(table.value, found))
+                order, head, group = _groups(found[at])
+                at = at[order]
+                like = at[head][group]
+                size = end[at] - start[at]
                 # One number is one word, so one length and the same bytes; what is not so is told as well.
-                _, first, group = np.unique(same[at] << 32 | end[at] - start[at], return_index=True, return_inverse=True)
-                odd = at[_unlike(raw, start[at], end[at], start[at][first][group])]
-                for i in (*at[first], *odd):
+                odd = size != end[like] - start[like]
+                odd[~odd] = _unlike(raw, start[at[~odd]], size[~odd], start[like[~odd]])
+                for i in (*at[head], *at[odd]):
                     told.setdefault(int(found[i]), set()).add(raw[start[i] : end[i]].tobytes().lower())
             if len(told) > 1 << 17:
                 yield rows(told)
@@ -302,7 +339,7 @@ def _texts_of(docs: DataFrame, text: str, numbers: DataFrame, special: np.ndarra
             yield rows(told)
 
     texts = docs.select(F.col(text).cast("string").alias("text"))
-    return in_tasks(texts, per_task, "w binary, word string").distinct().join(numbers, "w", "left_semi")
+    return in_tasks(texts, per_task, "w long, word string").distinct().join(numbers, "w", "left_semi")
 
 
 def _scored(counts: DataFrame, n: DataFrame) -> DataFrame:
@@ -362,17 +399,18 @@ def collocations(
         encode(docs, text, lang, shards, special).write.partitionBy("shard").parquet(path)
         encoded = spark.read.schema("lang string, n long, words binary, shard int").parquet(path)
         n = encoded.groupBy("lang").agg(F.sum("n").alias("n"))
-        counts = stored(count_phrases(encoded, folder, threshold, longest, shards), folder, "counts")
+        singles, longer = frequent_phrases(encoded, folder, threshold, longest, shards)
+        counts = stored(exact_counts(encoded, singles, longer, threshold, longest), folder, "counts")
         scored = _scored(counts, stored(n, folder, "words"))
         scored = scored.join(_contained(counts, longest), ["lang", "p"], "left").filter(F.col("within").isNull() | (F.col("within") < F.col("a")))
         scored = stored(scored.drop("within"), folder, "scored")
         places = scored.select("lang", "p", F.explode(F.expr("sequence(1, int(octet_length(p) / 8))")).alias("k"))
-        places = places.withColumn("w", F.expr("substring(p, 8 * k - 7, 8)"))
+        places = places.withColumn("w", F.conv(F.hex(F.expr("substring(p, 8 * k - 7, 8)")), 16, -10).cast("long"))
         words = stored(_texts_of(docs, text, places.select("w").distinct(), special), folder, "texts")
         shared = words.groupBy("w").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("w").collect()
         if not shared:
             break
-        special = np.concatenate((special, np.array([int.from_bytes(r["w"], "little") for r in shared], np.uint64)))
+        special = np.concatenate((special, np.array([r["w"] for r in shared], np.int64).view(np.uint64)))
     phrase = places.join(words, "w").groupBy("lang", "p").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     ranked = scored.join(phrase, ["lang", "p"])
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))

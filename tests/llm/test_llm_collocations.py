@@ -99,7 +99,7 @@ def test_words_that_share_a_number_get_others(spark, monkeypatch):
     raw, start, end, found = odd
     same = np.flatnonzero(end - start == 2)
     first = np.full(len(same), start[same[0]])
-    told = co._unlike(raw, start[same], end[same], first)
+    told = co._unlike(raw, start[same], (end - start)[same], first)
     assert (told == [raw[start[i] : end[i]].tobytes().lower() != raw[first[0] : first[0] + 2].tobytes().lower() for i in same]).all()
 
 
@@ -109,17 +109,25 @@ def test_a_phrase_is_counted_for_one_cycle_from_where_both_parts_are_frequent(sp
     a, b, c = (np.uint64(x) for x in (101, 202, 303))
     row = lambda shard, *ws: ("en", len(ws), np.array(ws, np.uint64).tobytes(), shard)
     rows = [row(0, a, b, np.uint64(0)), row(1, a, c, np.uint64(0)), row(2, a, b, c, np.uint64(0), a, b, np.uint64(0))]
-    got = co.count_phrases(spark.createDataFrame(rows, schema), shared_folder(spark), threshold=2, longest=3, count=3).collect()
-    key = lambda *ws: np.array(ws, np.uint64).tobytes()
-    assert {bytes(r.p): r.n for r in got} == {key(a): 4, key(b): 3, key(c): 2, key(a, b): 3}
+    shards, folder = spark.createDataFrame(rows, schema), shared_folder(spark)
+    singles, longer = co.frequent_phrases(shards, folder, threshold=2, longest=3, count=3)
+    assert sorted((r.w, r.n) for r in singles.collect()) == [(101, 4), (202, 3), (303, 2)]
+    assert [r.n for r in longer.collect()] == [3]
+    key = lambda *ws: np.array(ws, ">u8").tobytes()
+    got = {bytes(r.p): r.n for r in co.exact_counts(shards, singles, longer, 2, 3).collect()}
+    assert got == {key(a): 4, key(b): 3, key(c): 2, key(a, b): 3}
 
 
 def test_tables_let_every_entry_through(spark):
-    phrases = [("en", np.array([i, i + 1], np.uint64).tobytes()) for i in range(1, 500)]
-    df = spark.createDataFrame(phrases, "lang string, p binary")
-    from pyspark.sql import functions as F
-
-    (all_, none), (n, zero) = co._tables(df, F.lit(True), F.lit(False))
-    number = co._joined(co._joined(co._lang_number("en"), np.arange(1, 500).astype(np.uint64)), np.arange(2, 501).astype(np.uint64))
-    assert co._in(all_, number).all() and not none.any() and (n, zero) == (499, 0)
-    assert len(all_) * 64 <= co._BITS[1]
+    number = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 5000)
+    table = co._table(spark.createDataFrame([(int(x),) for x in number], "number long"), 5000)
+    assert co._in(table, number.view(np.uint64)).all() and len(table) * 64 == 1 << 18
+    assert co._in(table, np.random.default_rng(2).integers(0, 1 << 63, 5000).astype(np.uint64)).mean() < 0.05
+    assert not co._table(spark.createDataFrame([], "number long"), 0).any()
+
+
+def test_numbers_shared_by_chance_are_told_apart():
+    words = np.array([5, 6, 7, 5, 6, 8], np.uint64)
+    at = np.array([0, 1, 3, 4])
+    first, n = co._same(words, at, np.array([1, 1, 1, 1], np.uint64), 2)
+    assert sorted(zip(map(tuple, (words[f : f + 2].tolist() for f in first)), n.tolist(), strict=True)) == [((5, 6), 2), ((6, 7), 1), ((6, 8), 1)]
