@@ -31,7 +31,7 @@ from bazaarlens.llm.shared import in_tasks, keyed, shared_folder, stored
 from bazaarlens.llm.words import LOWER, as_bytes, byte_class, mixed, portions, runs, slices
 from bazaarlens.session import remove_dir
 
-THRESHOLD, LONGEST, KEPT, SHARDS = 100, 5, 2000, 4
+THRESHOLD, LONGEST, KEPT, SHARDS = 100, 5, 2000, 3
 NO_LANG = "und"
 # Bits of a table: 32 for each entry, within these bounds (8 KB to 32 MB).
 _BITS = 1 << 16, 1 << 28
