@@ -15,7 +15,9 @@ from bazaarlens.schemas import FACT_TABLES, FACTS_PARTITION, ORDER_KEY, ORDERS_P
 from bazaarlens.session import build_session, remove_dir
 from bazaarlens.sources.bucketed import buckets_of, note_buckets, open_buckets, spreads_evenly, write_buckets
 from bazaarlens.sources.labels import ITEM_LABEL, LABELLING, note_labels, with_labels, without_stale_labels
+from bazaarlens.sources.quarantine import good_rows, put_aside, read_text
 from bazaarlens.sources.raw_csv import RAW_FILES, read_raw
+from bazaarlens.sources.versions import current, drop_old, new_version, switch
 
 # Columns by which some jobs choose rows of all months: sorted, most row groups of a file are skipped.
 _SORTED = {"orders": "order_delivered_customer_date", "order_reviews": "review_creation_date"}
@@ -85,21 +87,45 @@ def load_raw(
     warehouse_dir: str,
     tables: Iterable[str] = tuple(RAW_FILES),
     buckets: int = 0,
+    bad_rows: int | None = None,
 ) -> None:
     """Full refresh of the tables (all nine unless named) from the raw files.
 
     Tables with several rows per order come last: they take months from orders, and items labels from products.
+    The first bad value ends the load, unless ``bad_rows`` says how many rows of a table may be put aside under
+    ``quarantine``; that reads the files once more.
     """
     for table in sorted(tables, key=FACT_TABLES.__contains__):
-        store_table(read_raw(spark, raw_dir, table), warehouse_dir, table, buckets)
+        if bad_rows is None:
+            rows = read_raw(spark, raw_dir, table)
+        else:
+            text = read_text(spark, raw_dir, table)
+            put_aside(text, warehouse_dir, table, bad_rows)
+            rows = good_rows(text, table)
+        store_table(rows, warehouse_dir, table, buckets)
+
+
+def refresh(
+    spark: SparkSession, raw_dir: str, warehouse_dir: str, buckets: int = 0, bad_rows: int | None = None, keep: int = 2
+) -> str:
+    """Load all tables as a new version beside the old one, then switch to it; returns its folder.
+
+    Until the switch, and after a load that failed, readers find the old tables. Of the versions the last
+    ``keep`` stay.
+    """
+    version = new_version(warehouse_dir)
+    load_raw(spark, raw_dir, version, buckets=buckets, bad_rows=bad_rows)
+    switch(spark, warehouse_dir, version)
+    drop_old(spark, warehouse_dir, keep)
+    return version
 
 
 class StoredMarketplace:
-    """The stored tables, each opened when first asked for."""
+    """The stored tables, each opened when first asked for, all of the version that counts when this is made."""
 
     def __init__(self, spark: SparkSession, warehouse_dir: str) -> None:
         self._spark = spark
-        self._dir = warehouse_dir
+        self._dir = current(spark, warehouse_dir)
 
     def __getattr__(self, table: str) -> DataFrame:
         if table not in RAW_FILES:
@@ -121,9 +147,15 @@ def main() -> None:
     parser.add_argument("warehouse_dir")
     parser.add_argument("--shuffle-gb", type=int, help="size of the largest shuffle expected")
     parser.add_argument("--buckets", type=int, default=0, help="store orders and their facts in so many buckets")
+    parser.add_argument("--bad-rows", type=int, help="rows of a table that may be put aside; none unless given")
+    parser.add_argument("--versions", type=int, default=0, help="load beside the old tables, and keep so many versions")
     args = parser.parse_args()
     spark = build_session("bazaarlens-load", shuffle_gb=args.shuffle_gb)
-    load_raw(spark, args.raw_dir, args.warehouse_dir, buckets=args.buckets)
+    options = {"buckets": args.buckets, "bad_rows": args.bad_rows}
+    if args.versions:
+        refresh(spark, args.raw_dir, args.warehouse_dir, keep=args.versions, **options)
+    else:
+        load_raw(spark, args.raw_dir, args.warehouse_dir, **options)
 
 
 if __name__ == "__main__":
