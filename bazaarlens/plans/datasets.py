@@ -92,8 +92,8 @@ class Datasets:
     # --- Items with their order ---------------------------------------------------------------------
 
     def items_around(self, period: Period | None = None) -> DataFrame:
-        """Items to be joined to orders of the period."""
-        return facts_around(self.tables.order_items, period or self.params.whole)
+        """Items to be joined to orders of the period, which bring the order's number."""
+        return facts_around(self.tables.order_items, period or self.params.whole).drop(ORDER_KEY)
 
     def delivered_items(self, period: Period | None = None) -> DataFrame:
         """Items of delivered orders with their order.

@@ -69,6 +69,16 @@ def test_same_results_with_text_ids(spark, name, text_ids):
     assert sorted(map(repr, JOBS[name](with_keys).collect())) == sorted(map(repr, JOBS[name](without).collect()))
 
 
+def test_a_report_over_text_ids(spark, text_ids, tmp_path):
+    """Shared datasets are stored once, with every column once."""
+    from bazaarlens.plans.report import write_report
+
+    names = ["j2_1_dispatch_baseline", "j4_6_repeat_by_first_payment", "j5_2_repeat_by_first_category", "j5_3b_multi_category_orders"]
+    write_report(Datasets(text_ids, STAR_PARAMS, keep=stored), str(tmp_path), names)
+    for name in names:
+        assert spark.read.option("header", True).csv(f"{tmp_path}/{name}").count() == JOBS[name](Datasets(text_ids, STAR_PARAMS)).count()
+
+
 def test_no_job_sorts_to_aggregate(spark, text_ids, tmp_path):
     star, folder = StarMarketplace(spark, SF_DIR), str(tmp_path)
     for name in TABLES:
