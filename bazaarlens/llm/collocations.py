@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,6 +38,7 @@ NO_LANG = "und"
 _BITS = 1 << 16, 1 << 28
 _EACH = 32
 _LOT = 1 << 19  # words counted at once
+_ROW = 128  # words stored in a row, and up to the end of a piece
 _BREAK = 2
 _CLASSES = byte_class((0x00, 0xFF)) + byte_class((0x0A, 0x0D), *((c, c) for c in b".,;:!?"))
 _CLASSES[[0x20, 0x09]] = 0
@@ -59,6 +61,10 @@ def _word_numbers(texts: list[bytes], special: np.ndarray) -> Iterator[tuple[np.
         yield raw, start, end, text, found
 
 
+def _binary(raw: bytes, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(raw)])
+
+
 def encode(docs: DataFrame, text: str, lang: str, shards: int, special: np.ndarray) -> DataFrame:
     """Columns lang, shard, n, words: word numbers of the texts, those of a language and shard together."""
 
@@ -75,15 +81,15 @@ def encode(docs: DataFrame, text: str, lang: str, shards: int, special: np.ndarr
                         if not of or of[-1][0] != number[a]:
                             of.append((number[a], []))
                         of[-1][1].append(found[a:b])
-            rows = [(lang, s, np.concatenate([x for _, of in texts for x in (*of, zero)])) for (lang, s), texts in held.items()]
-            if rows:
+            for (lang, s), texts in held.items():
+                words = np.concatenate([x for _, of in texts for x in (*of, zero)])
+                # A row ends at the first end of a piece after _ROW words, so batches of rows are small.
+                breaks = np.flatnonzero(words == 0) + 1
+                cuts = np.unique(breaks[np.searchsorted(breaks, np.arange(_ROW, len(words) + 1, _ROW))])
+                cuts = np.unique(np.concatenate(([0], cuts, [len(words)])))
+                n = np.add.reduceat(words > 0, cuts[:-1], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r[0] for r in rows], pa.string()),
-                        pa.array([r[1] for r in rows], pa.int32()),
-                        pa.array([int(np.count_nonzero(r[2])) for r in rows], pa.int64()),
-                        pa.array([r[2].tobytes() for r in rows], pa.binary()),
-                    ],
+                    [pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), s, np.int32)), pa.array(n), _binary(words.tobytes(), cuts * 8)],
                     names=["lang", "shard", "n", "words"],
                 )
 
@@ -137,18 +143,25 @@ def count_active(words: np.ndarray, lang: str, longest: int, reached: np.ndarray
 
 
 def _lots(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
-    """Language and words of the encoded texts, some ``_LOT`` words at a time."""
-    langs = batch.column("lang").to_pylist()
-    lots: dict[str, list[bytes]] = {}
-    size: dict[str, int] = {}
-    for lang, words in zip(langs, batch.column("words"), strict=True):
-        lots.setdefault(lang, []).append(words.as_buffer())
-        size[lang] = size.get(lang, 0) + lots[lang][-1].size // 8
-        if size[lang] >= _LOT:
-            yield lang, np.frombuffer(b"".join(lots.pop(lang)), "<u8")
-            size[lang] = 0
-    for lang, lot in lots.items():
-        yield lang, np.frombuffer(b"".join(lot), "<u8")
+    """Language and words of the encoded texts, some ``_LOT`` words at a time. Rows end with a break."""
+    size = pc.binary_length(batch.column("words")).to_numpy() // 8
+    upto = np.concatenate(([0], np.cumsum(size)))
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(upto, upto[first] + _LOT)))
+        rows = batch.slice(first, min(last, batch.num_rows) - first)
+        of = rows.column("lang").dictionary_encode()
+        code = np.asarray(of.indices)
+        column = rows.column("words")
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        words = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<u8")
+        if len(of.dictionary) == 1:
+            yield of.dictionary[0].as_py(), words
+        else:
+            each = np.repeat(code, size[first : first + len(code)])
+            for k, lang in enumerate(of.dictionary.to_pylist()):
+                yield lang, words[each == k]
+        first += len(code)
 
 
 def _tables(state: DataFrame, step: int, count: int, longest: int) -> tuple[np.ndarray, np.ndarray, set[int]]:
@@ -268,9 +281,7 @@ def _same(words: np.ndarray, at: np.ndarray, number: np.ndarray, length: int) ->
 
 def _written(words: np.ndarray, first: np.ndarray, length: int) -> pa.Array:
     """The numbers of the phrases' words, 8 bytes each, highest first."""
-    raw = words[first[:, None] + np.arange(length)].astype(">u8").tobytes()
-    offsets = np.arange(len(first) + 1, dtype=np.int32) * (8 * length)
-    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
+    return _binary(words[first[:, None] + np.arange(length)].astype(">u8").tobytes(), np.arange(len(first) + 1) * (8 * length))
 
 
 def exact_counts(shards: DataFrame, singles: DataFrame, longer: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST) -> DataFrame:
