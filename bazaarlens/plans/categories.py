@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from bazaarlens.functions import rules
 from bazaarlens.functions.metrics import amount, cents, count_where, mean, mean_amount, pct, per_100, total_where
-from bazaarlens.operators.cohort import came_back, cohort_repeat, started_with
+from bazaarlens.operators.cohort import cohort_repeat, started_with
 from bazaarlens.operators.grain import conditional_metrics, distinct_pairs, min_support
 from bazaarlens.operators.ranking import cumulative_share, dense_rank_desc, in_order, share_of_total
 from bazaarlens.operators.scorecard import rollup_metric, scorecard
@@ -122,61 +122,63 @@ def freight_by_category(d: Datasets) -> DataFrame:
 
 
 def _sales_and_reviews(d: Datasets) -> DataFrame:
-    """Per category: money of the items sold, and reviews of orders that arrived on time, in one pass.
-
-    Items become one row per order and product, and then per order and category, where a review counts once.
-    """
+    """One row per order and category: money of the items sold, and whether a review counts that arrived on time."""
     money = {
         "priced": F.count("price"),
         "price_cents": F.sum(cents(F.col("price"))),
         "freight_cents": F.sum(cents(F.col("freight_value"))),
     }
-    sums = {name: F.sum(name) for name in money}
     labeled = d.with_category(d.reviewed_items([d.category_key], how="left", totals=money))
     counted = F.col("reviewed") & rules.is_punctual()
     per_order = conditional_metrics(
         labeled,
         ["order_id", "category_name"],
-        {**sums, "counted": F.max(F.when(counted, 1).otherwise(0)), "review_score": F.max("review_score")},
+        {
+            **{name: F.sum(name) for name in money},
+            "reviews": F.max(F.when(counted, 1).otherwise(0)),
+            "review_score": F.max("review_score"),
+        },
     )
-    counted = F.col("counted") == 1
-    reviews = {"reviews": count_where(counted), "one_star": count_where(counted & _one_star())}
-    return conditional_metrics(per_order, ["category_name"], {**sums, **reviews})
+    one_star = F.when((F.col("reviews") == 1) & _one_star(), 1).otherwise(0)
+    return per_order.select("category_name", *money, "reviews", one_star.alias("one_star"), F.lit(1).alias("sold"))
+
+
+def _customers(d: Datasets) -> DataFrame:
+    """One row per customer with the category of the first order, and whether there was another one."""
+    started = started_with(d.first_orders, d.main_category_by_key, key=d.order_ref)
+    again = F.when(F.col("total_orders") > 1, 1).otherwise(0)
+    return started.select("category_name", F.lit(1).alias("customers"), again.alias("returned"))
 
 
 def category_scorecard(d: Datasets) -> DataFrame:
     """Sales, repeat buying, scores and freight of chosen categories against all categories.
 
-    The total row is the ratio of the totals over every category, also those not shown or too small for
-    the other lists.
+    Sales and customers are rows of one long table with the numbers of the other kind left empty, which is added up per
+    category and rolled up once: no rollups are joined. The total row is the ratio of the totals over every
+    category, also those not shown or too small for the other lists; a category without sales is not shown.
     """
     key = "category_name"
-    sums = _sales_and_reviews(d).withColumn("all_cents", F.sum("price_cents").over(W.partitionBy()))
+    rows = _sales_and_reviews(d).unionByName(_customers(d), allowMissingColumns=True)
+    numbers = [name for name in rows.columns if name != key]
+    sums = conditional_metrics(rows, [key], {name: F.sum(name) for name in numbers})
+    sums = sums.withColumn("all_cents", F.sum("price_cents").over(W.partitionBy()))
     price = F.col("price_cents")
     everything = F.when(F.col("is_total") == 1, price).otherwise(F.col("all_cents"))
-    money = rollup_metric(
+    metrics = rollup_metric(
         sums,
         key,
-        ["priced", "price_cents", "freight_cents", "all_cents", "reviews", "one_star"],
+        [*numbers, "all_cents"],
         {
             "gmv_share_pct": per_100(price, everything),
             "avg_item_price": mean_amount(price, F.col("priced")),
             "freight_to_gmv_pct": per_100(F.col("freight_cents"), price),
             "one_star_pct": pct(F.col("one_star"), F.col("reviews")),
+            "came_back_pct": pct(F.col("returned"), F.col("customers")),
+            "sold": F.col("sold"),
         },
     )
-    customers = conditional_metrics(
-        started_with(d.first_orders, d.main_category_by_key, key=d.order_ref),
-        [key],
-        {"customers": F.count(F.lit(1)), "returned": came_back()},
-    )
-    returned = rollup_metric(
-        customers,
-        key,
-        ["customers", "returned"],
-        {"came_back_pct": pct(F.col("returned"), F.col("customers"))},
-    )
-    card = scorecard(money, [returned], key, d.params.scorecard_categories, "ALL CATEGORIES")
+    shown = metrics.filter(F.col("sold").isNotNull() | (F.col("is_total") == 1))
+    card = scorecard(shown, [], key, d.params.scorecard_categories, "ALL CATEGORIES")
     return (
         card.transform(in_order, "is_total", F.desc("gmv_share_pct"), key)
         .select(key, "gmv_share_pct", "avg_item_price", "came_back_pct", "one_star_pct", "freight_to_gmv_pct")

@@ -58,6 +58,12 @@ def test_items_move_once_for_their_main_category(spark, labelled):
         assert "product_category_name" not in plans[name] and "hashpartitioning(product_id" not in plans[name], name
 
 
+def test_the_scorecard_rolls_up_once(spark, labelled):
+    plan = plans_of(spark, labelled, ["j5_5_category_scorecard"])["j5_5_category_scorecard"]
+    assert len(re.findall("Exchange hashpartitioning", plan)) <= 12
+    assert plan.count("Expand") == 1 and "isnull(category_name" not in plan
+
+
 def test_no_exchange_of_items_with_labels_and_buckets(spark, tmp_path):
     both = load(spark, str(tmp_path), TABLES, buckets=4)
     plans = plans_of(spark, both, ["v6_main_category", "j5_3b_multi_category_orders"])
