@@ -54,6 +54,11 @@ def purchased_within(orders: DataFrame, period: Period) -> Column:
     return condition
 
 
+def dated_within(rows: DataFrame, at: str, month: str, period: Period) -> DataFrame:
+    """Rows whose own date is in the period, of a table kept by that date's month."""
+    return rows.filter(within(F.col(at), period) & _reaches(month, "MONTH", period)).drop(month)
+
+
 def facts_around(facts: DataFrame, period: Period) -> DataFrame:
     """Items, payments or reviews without the months whose orders cannot fall in the period.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from bazaarlens.functions import rules
 from bazaarlens.functions.metrics import cents, count_where, sum_where
-from bazaarlens.functions.periods import facts_around, period_bucket, purchased_within, within
+from bazaarlens.functions.periods import dated_within, facts_around, period_bucket, purchased_within, within
 from bazaarlens.marketplace import Marketplace
 from bazaarlens.operators.grain import (
     conditional_metrics,
@@ -26,7 +26,7 @@ from bazaarlens.operators.grain import (
 )
 from bazaarlens.operators.lookup import category_label, corridor
 from bazaarlens.params import Params, Period
-from bazaarlens.schemas import ORDER_KEY
+from bazaarlens.schemas import DATED_TABLES, ORDER_KEY
 from bazaarlens.session import shared_dir
 from bazaarlens.sources.labels import ITEM_LABEL
 
@@ -73,6 +73,16 @@ class Datasets:
     def delivered_orders(self, period: Period | None = None) -> DataFrame:
         return self.orders_in(period).filter(rules.is_delivered())
 
+    def dated(self, table: str, period: Period | None = None) -> DataFrame:
+        """Orders or reviews whose own date (delivery, creation) is in the period, from the layout by that date if
+        there is one."""
+        _, at, month = DATED_TABLES[table]
+        find = getattr(self.tables, "by_own_date", None)
+        rows = find(table) if find else None
+        if rows is None:
+            return getattr(self.tables, table).filter(within(F.col(at), period or self.params.whole))
+        return dated_within(rows, at, month, period or self.params.whole)
+
     # --- Reviews ------------------------------------------------------------------------------------
 
     def _score_per_order(self, reviews: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bazaarlens.functions import rules
 from bazaarlens.functions.metrics import count_where, mean, pct
-from bazaarlens.functions.periods import month_label, month_start, period_bucket, within
+from bazaarlens.functions.periods import month_label, month_start, period_bucket
 from bazaarlens.operators.grain import conditional_metrics
 from bazaarlens.operators.ranking import in_order
 from bazaarlens.plans.datasets import Datasets
@@ -143,7 +143,7 @@ def non_delivered_drag(d: Datasets) -> DataFrame:
 
 def _reviews_received(d: Datasets) -> DataFrame:
     """Raw reviews by their own date, one row per review."""
-    return d.tables.order_reviews.filter(within(F.col("review_creation_date"), d.params.whole))
+    return d.dated("order_reviews")
 
 
 def review_intake_by_quarter(d: Datasets) -> DataFrame:
@@ -174,9 +174,7 @@ def review_intake_by_month(d: Datasets) -> DataFrame:
 
 def late_rate_by_delivery_month(d: Datasets) -> DataFrame:
     delivered = F.col("order_delivered_customer_date")
-    arrived = d.tables.orders.filter(rules.is_delivered() & within(delivered, d.params.whole)).filter(
-        _known("order_estimated_delivery_date")
-    )
+    arrived = d.dated("orders").filter(rules.is_delivered()).filter(_known("order_estimated_delivery_date"))
     return _label_month(
         conditional_metrics(
             arrived,

@@ -83,5 +83,11 @@ OTHER_TYPES: dict[str, str] = {
 ORDERS_PARTITION = "purchase_month"
 FACTS_PARTITION = "order_month"
 FACT_TABLES = ("order_items", "order_payments", "order_reviews")
+# Tables that may be stored a second time, by the month of a date of their own: folder, that date, directory key.
+DATED_TABLES = {
+    "orders": ("orders_by_delivery", "order_delivered_customer_date", "delivery_month"),
+    "order_reviews": ("reviews_by_creation", "review_creation_date", "creation_month"),
+}
+
 # The number that stands for a text order id, in orders and these tables: a fixed-width key that sorts like the id.
 ORDER_KEY = "order_key"

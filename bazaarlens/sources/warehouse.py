@@ -11,10 +11,11 @@ from pyspark.sql.types import StringType
 
 from bazaarlens.functions.periods import COARSE_FACT_COLUMNS, COARSE_ORDER_COLUMNS, month_start
 from bazaarlens.operators.numbering import dense_numbers
-from bazaarlens.schemas import FACT_TABLES, FACTS_PARTITION, ORDER_KEY, ORDERS_PARTITION
+from bazaarlens.schemas import DATED_TABLES, FACT_TABLES, FACTS_PARTITION, ORDER_KEY, ORDERS_PARTITION
 from bazaarlens.session import build_session, remove_dir
 from bazaarlens.sources.bucketed import buckets_of, note_buckets, open_buckets, spreads_evenly, write_buckets
 from bazaarlens.sources.labels import ITEM_LABEL, LABELLING, note_labels, with_labels, without_stale_labels
+from bazaarlens.sources.notes import read_note, write_note
 from bazaarlens.sources.quarantine import good_rows, put_aside, read_text
 from bazaarlens.sources.raw_csv import RAW_FILES, read_raw
 from bazaarlens.sources.versions import current, drop_old, new_version, switch
@@ -23,10 +24,11 @@ from bazaarlens.sources.versions import current, drop_old, new_version, switch
 _SORTED = {"orders": "order_delivered_customer_date", "order_reviews": "review_creation_date"}
 
 
-def store_table(df: DataFrame, warehouse_dir: str, table: str, buckets: int = 0) -> None:
+def store_table(df: DataFrame, warehouse_dir: str, table: str, buckets: int = 0, dated: bool = False) -> None:
     """Replace one stored table; orders must be stored before the tables with several rows per order. Items are
     labelled with their category where products and their translation are stored by then. Text order ids also get
-    whole numbers in their order, in all of these tables.
+    whole numbers in their order, in all of these tables. With ``dated``, delivered orders and reviews are stored once
+    more by the month of their own date, for jobs that choose rows by it.
 
     Orders and those tables are kept by the month of the purchase, so that a job on two quarters opens six
     directories of each. Rows without a known order, or of an order id listed in several months, are kept in
@@ -58,6 +60,25 @@ def store_table(df: DataFrame, warehouse_dir: str, table: str, buckets: int = 0)
         df.write.mode("overwrite").parquet(path)
         if table in LABELLING:
             note_labels(df.sparkSession, warehouse_dir, table)
+    if table in DATED_TABLES:
+        _store_dated(df, warehouse_dir, table, dated)
+
+
+def _store_dated(df: DataFrame, warehouse_dir: str, table: str, dated: bool) -> None:
+    """The second layout of a table, or, where none is wanted, none: a copy of an earlier load must not be read.
+
+    Rows without the date are left out: no range of dates holds them.
+    """
+    folder, at, month = DATED_TABLES[table]
+    spark, path = df.sparkSession, f"{warehouse_dir}/{folder}"
+    write_note(spark, warehouse_dir, f"dated_{table}", "")
+    if dated:
+        known = df.filter(F.col(at).isNotNull()).withColumn(month, month_start(F.col(at)))
+        balanced = known.hint("rebalance", F.col(month)).sortWithinPartitions(month, at)
+        balanced.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(month).parquet(path)
+        write_note(spark, warehouse_dir, f"dated_{table}", "yes")
+    else:
+        remove_dir(spark, path)
 
 
 def _kept(df: DataFrame, path: str) -> DataFrame:
@@ -88,6 +109,7 @@ def load_raw(
     tables: Iterable[str] = tuple(RAW_FILES),
     buckets: int = 0,
     bad_rows: int | None = None,
+    dated: bool = False,
 ) -> None:
     """Full refresh of the tables (all nine unless named) from the raw files.
 
@@ -102,11 +124,17 @@ def load_raw(
             text = read_text(spark, raw_dir, table)
             put_aside(text, warehouse_dir, table, bad_rows)
             rows = good_rows(text, table)
-        store_table(rows, warehouse_dir, table, buckets)
+        store_table(rows, warehouse_dir, table, buckets, dated)
 
 
 def refresh(
-    spark: SparkSession, raw_dir: str, warehouse_dir: str, buckets: int = 0, bad_rows: int | None = None, keep: int = 2
+    spark: SparkSession,
+    raw_dir: str,
+    warehouse_dir: str,
+    buckets: int = 0,
+    bad_rows: int | None = None,
+    dated: bool = False,
+    keep: int = 2,
 ) -> str:
     """Load all tables as a new version beside the old one, then switch to it; returns its folder.
 
@@ -114,7 +142,7 @@ def refresh(
     ``keep`` stay.
     """
     version = new_version(warehouse_dir)
-    load_raw(spark, raw_dir, version, buckets=buckets, bad_rows=bad_rows)
+    load_raw(spark, raw_dir, version, buckets=buckets, bad_rows=bad_rows, dated=dated)
     switch(spark, warehouse_dir, version)
     drop_old(spark, warehouse_dir, keep)
     return version
@@ -141,6 +169,14 @@ class StoredMarketplace:
         return df
 
 
+    def by_own_date(self, table: str) -> DataFrame | None:
+        """Delivered orders or reviews as stored by the month of their own date, if they are."""
+        folder, *_ = DATED_TABLES[table]
+        if not read_note(self._spark, self._dir, f"dated_{table}"):
+            return None
+        return self._spark.read.parquet(f"{self._dir}/{folder}")
+
+
 def main() -> None:
     parser = argparse.ArgumentParser(description="Load the raw CSV files into Parquet tables.")
     parser.add_argument("raw_dir")
@@ -149,9 +185,10 @@ def main() -> None:
     parser.add_argument("--buckets", type=int, default=0, help="store orders and their facts in so many buckets")
     parser.add_argument("--bad-rows", type=int, help="rows of a table that may be put aside; none unless given")
     parser.add_argument("--versions", type=int, default=0, help="load beside the old tables, and keep so many versions")
+    parser.add_argument("--dated", action="store_true", help="store orders and reviews by their own date as well")
     args = parser.parse_args()
     spark = build_session("bazaarlens-load", shuffle_gb=args.shuffle_gb)
-    options = {"buckets": args.buckets, "bad_rows": args.bad_rows}
+    options = {"buckets": args.buckets, "bad_rows": args.bad_rows, "dated": args.dated}
     if args.versions:
         refresh(spark, args.raw_dir, args.warehouse_dir, keep=args.versions, **options)
     else:

@@ -93,11 +93,11 @@ def test_a_load_killed_half_way_leaves_the_old_tables(spark, tmp_path, monkeypat
     refresh(spark, raw_files(tmp_path / "a"), store)
     real = warehouse.store_table
 
-    def killed(df, folder, table, buckets=0):
+    def killed(df, folder, table, *layout):
         if table == "order_items":
             df.limit(1).write.parquet(f"{folder}/{table}")
             raise KeyboardInterrupt
-        real(df, folder, table, buckets)
+        real(df, folder, table, *layout)
 
     monkeypatch.setattr(warehouse, "store_table", killed)
     with pytest.raises(KeyboardInterrupt):
