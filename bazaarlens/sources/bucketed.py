@@ -29,9 +29,10 @@ def spreads_evenly(df: DataFrame, buckets: int, uneven: float = UNEVEN, small: i
 
 
 def write_buckets(df: DataFrame, path: str, partition: str, buckets: int) -> None:
-    """Replace the files at ``path``. Rows are dealt by the bucket's own hash, so a bucket is one file per month."""
+    """Replace the files at ``path``. A task gets one bucket, by the bucket's own hash, which is one file per month."""
     name = f"bazaarlens_write_{uuid4().hex}"
-    writer = df.repartition(buckets, KEY).write.mode("overwrite").partitionBy(partition)
+    dealt = df.repartitionById(buckets, F.pmod(F.hash(KEY), F.lit(buckets)))
+    writer = dealt.write.mode("overwrite").partitionBy(partition)
     writer.bucketBy(buckets, KEY).sortBy(KEY).option("path", path).saveAsTable(name)
     df.sparkSession.sql(f"DROP TABLE {name}")  # the session's name for it only; the files stay
 
