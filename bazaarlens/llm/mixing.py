@@ -1,17 +1,21 @@
 """Mixing sources to target weights: certain whole copies, and Pareto order sampling for the rest.
 
-A source whose target is ``rate`` times its size gets ``floor(rate)`` copies of every document for certain; the rest,
-``share = rate - floor(rate)``, is the chance of one copy more. Documents are ranked by
-odds(u) / (odds(share) * preference) with u a fixed random number of the document, and taken from the front
-until the words of the rest are reached: a sample of fixed size in words, in which a document's chance grows with
-its odds (Pareto order sampling). A document that does not fit is passed over: in rounds, those larger than what is
-missing are set aside and the others taken on in order, until no free document fits. Then, in ``CLOSING`` steps, the
-document whose size comes nearest to what is missing is added, or the one nearest to what is too much is left out,
-and the best of these states is kept.
-
-No source is sorted or gathered: in each round a histogram of the ranks, at most ``BINS`` rows per source, shows the
-bin in which the sample ends, and only that bin's documents are put in order. What decides is then one row per
-source, joined to the documents; Spark broadcasts it if its stored size allows, and else splits hot sources.
+A document is wanted ``level * weight`` times, at most ``most`` times, where the weight is 2 to the power of its grade
+and the level of its source is such that the wanted words are the source's target. The grade, in steps of an eighth,
+is the preference given by the caller and one by length: half the logarithm of mean length over length, between -1 and 1,
+so that a few very long documents do not make up a source's sample. The whole part of that number is certain copies;
+the fraction, ``share``, is the chance of one copy more. Documents are ranked by odds(u) / odds(share) with u a fixed
+random number of the document, and taken from the front until the words of the rest are reached: Pareto order sampling
+of unequal chances, of a size fixed in words. A document that does not fit is passed over: in rounds, those
+larger than what is missing are set aside and the others taken on in order, until no free document fits. Then, in
+``CLOSING`` steps, a document whose size comes nearest to what is missing is added, or one nearest to what is
+too much is left out, and the best of these states is kept.
+
+No source is sorted or gathered. The end of the sample is found by histograms of the ranks: of ``BINS`` bins, and of
+as many inside the bin in which the sample ends; the documents of that inner bin, one in 2^28 of the source, are put in order.
+A histogram is added up in two steps, so no task gets more than 128 rows of a source. Rounds after the first
+read only the documents still free that fit. What decides is then one row per source, joined to the documents;
+Spark broadcasts it if its stored size allows, and else splits hot sources.
 """
 
 from __future__ import annotations
@@ -24,12 +28,17 @@ from bazaarlens.llm.shared import filled, fresh, row_key, shared_folder, stored
 
 MAX_COPIES = 3
 BINS = 1 << 14
+_COARSE = 128  # bins of a histogram that are added up together first
 SEED = 42
 # Documents added to a source's filled sample, or taken out, at most to come nearer to its target.
 CLOSING = 4
+# Grades of preference to a doubling, and how many doublings a preference counts at most.
+GRADES = 8
+MOST_DOUBLINGS = 8
 _KEY = "struct<rank:double,file:bigint,row:bigint>"
 _KEYS = f"array<{_KEY}>"
 _CUTS = f"array<struct<most:double,last:{_KEY}>>"
+_TURNED = "array<struct<sampled:boolean,rank:double,size:bigint>>"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -49,24 +58,59 @@ def _measures(df: DataFrame, doc_id: str, text: str, source: str, preference: Co
 
 
 def source_targets(sizes: DataFrame, cycle: int = 3, most: float = MAX_COPIES) -> DataFrame:
-    """Columns source, source_size, target: shares of all words by weight 1, 2, ... ``cycle``, 1, ... in order of source.
+    """Columns place, source, source_size, mean, target: shares of all words by weight 1, 2, ... ``cycle``, 1, ... in order of source.
 
     A target stops at ``most`` times the source's size, and what it leaves is shared by weight among the others.
     Sources are taken by how soon they stop: each stops if the level of those left would exceed its limit, so one
-    sorted pass over one row per source settles it.
+    sorted pass over one row per source settles it. ``mean`` is the words of a document that has any.
     """
     total = F.sum("source_size").over(W.partitionBy())
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.avg(F.when(F.col("size") > 0, F.col("size"))).alias("mean"))
     place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
-    weighed = sources.withColumn("weight", (F.pmod(place - 1, F.lit(cycle)) + 1).cast("double")).withColumn("limit", most * F.col("source_size"))
-    by_limit = W.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
+    placed = sources.withColumn("place", place.cast("long"))
+    weighed = placed.withColumn("weight", (F.pmod(F.col("place") - 1, F.lit(cycle)) + 1).cast("double")).withColumn("limit", most * F.col("source_size"))
+    by_limit = W.orderBy(F.col("limit") / F.col("weight"), "place")
     before = by_limit.rowsBetween(W.unboundedPreceding, -1)
     left = total - F.coalesce(F.sum("limit").over(before), F.lit(0.0))
     heavy = F.sum("weight").over(W.partitionBy()) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     levels = weighed.withColumn("level", left / heavy).withColumn("stops", F.col("weight") * F.col("level") >= F.col("limit"))
-    open_level = F.min(F.when(~F.col("stops"), F.struct(F.col("limit") / F.col("weight"), F.col("level").alias("level")))).over(W.partitionBy())
+    open_level = F.min(F.when(~F.col("stops"), F.struct(F.col("limit") / F.col("weight"), "place", F.col("level").alias("level")))).over(W.partitionBy())
     target = F.when(F.col("stops"), F.col("limit")).otherwise(F.col("weight") * open_level["level"])
-    return levels.select("source", "source_size", target.cast("double").alias("target"))
+    return levels.select("place", "source", "source_size", "mean", target.cast("double").alias("target"))
+
+
+def _grade() -> Column:
+    """The document's preference in steps: that of its length in its source, and the caller's (null or none: the least)."""
+    by_length = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.log2(F.col("mean") / F.col("size")) / 2))
+    given = F.log2(F.least(F.lit(2.0**MOST_DOUBLINGS), F.greatest(F.lit(2.0**-MOST_DOUBLINGS), F.col("preference"))))
+    return F.when(F.col("size") > 0, F.round((by_length + given) * GRADES).cast("int"))
+
+
+def _of_source(measured: DataFrame, plan: DataFrame) -> DataFrame:
+    return measured.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+
+
+def _chances(targets: DataFrame, sizes: DataFrame, most: float) -> DataFrame:
+    """With ``chances``, by grade the certain copies and the share of one more, and ``rest``, the words to sample.
+
+    Grades are taken from the most wanted down, as sources are in ``source_targets``: each stops at ``most`` copies if
+    the level of those left would exceed that. A source has at most 145 grades.
+    """
+    grades = _of_source(sizes, targets).withColumn("grade", _grade()).filter("size > 0")
+    grades = grades.groupBy("place", "target", "grade").agg(F.sum("size").alias("words")).withColumn("weight", F.pow(F.lit(2.0), F.col("grade") / GRADES))
+    order = W.partitionBy("place").orderBy(F.col("grade").desc())
+    before = F.coalesce(F.sum("words").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    behind = F.sum(F.col("words") * F.col("weight")).over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
+    levels = grades.withColumn("level", (F.col("target") - most * before) / behind)
+    levels = levels.withColumn("stops", F.col("weight") * F.col("level") >= most * (1 - 1e-12))
+    level = F.min(F.when(~F.col("stops"), F.struct(-F.col("grade"), F.col("level").alias("level")))).over(W.partitionBy("place"))["level"]
+    copies = levels.withColumn("copies", F.when(F.col("stops"), F.lit(float(most))).otherwise(F.col("weight") * level))
+    copies = copies.withColumn("whole", F.floor(F.col("copies") + 1e-9))
+    share = F.when(F.col("copies") - F.col("whole") > 1e-9, F.col("copies") - F.col("whole")).otherwise(0.0)
+    entry = F.struct("grade", F.struct("whole", share.alias("share")).alias("chance"))
+    found = copies.groupBy("place").agg(F.map_from_entries(F.collect_list(entry)).alias("chances"), F.sum(F.col("whole") * F.col("words")).alias("certain"))
+    rest = F.greatest(F.coalesce(F.col("target") - F.col("certain"), F.lit(0.0)), F.lit(0.0))
+    return targets.join(found, "place", "left").withColumn("rest", rest).drop("certain")
 
 
 def _odds(chance: Column) -> Column:
@@ -74,80 +118,71 @@ def _odds(chance: Column) -> Column:
 
 
 def _ranked(measured: DataFrame, plan: DataFrame) -> DataFrame:
-    """With the source's plan and the document's rank, mapped from (0, inf) to (0, 1) in the same order."""
-    by_source = measured.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    sampled = (F.col("share") > 0) & (F.col("size") > 0) & (F.col("preference") > 0)
-    rank = _odds(F.col("u")) / (_odds(F.col("share")) * F.col("preference"))
-    return by_source.withColumn("rank", F.when(sampled, rank / (1 + rank)))
+    """With the source's plan, certain copies and the document's rank, mapped from (0, inf) to (0, 1) in the same order."""
+    graded = _of_source(measured, plan).withColumn("chance", F.try_element_at("chances", _grade())).drop("chances")
+    rank = _odds(F.col("u")) / _odds(F.col("chance.share"))
+    return graded.withColumns(
+        {
+            "whole": F.coalesce(F.col("chance.whole"), F.lit(0).cast("long")),
+            "rank": F.when((F.col("chance.share") > 0) & (F.col("size") > 0), rank / (1 + rank)),
+        }
+    ).drop("chance")
 
 
-def _filled_on(state: DataFrame, sizes: DataFrame, folder: str, turn: int) -> DataFrame:
-    """One round: the free documents of at most ``limit`` words are taken in rank order, up to the first that does not fit.
+def _crossing(bins: DataFrame) -> DataFrame:
+    """From place, missing, bin, words: each source's first bin with which the words exceed ``missing``, and those before it.
+
+    Columns place, all_words, bin, before; the last two are null if everything fits.
+    """
+
+    def first_over(parts: DataFrame, part: str, base: Column) -> DataFrame:
+        order = W.partitionBy("place").orderBy(part)
+        upto = parts.withColumn("upto", base + F.sum("words").over(order))
+        over = F.when(F.col("upto") > F.col("missing"), F.struct(F.col(part).alias("bin"), (F.col("upto") - F.col("words")).alias("before")))
+        return upto.groupBy("place").agg(F.sum("words").alias("all_words"), F.min(over).alias("over"))
+
+    part = F.floor(F.col("bin") / _COARSE)
+    coarse = first_over(bins.groupBy("place", "missing", part.alias("part")).agg(F.sum("words").alias("words")), "part", F.lit(0.0))
+    coarse = coarse.select("place", "all_words", F.col("over.bin").alias("part"), F.col("over.before").alias("base"))
+    fine = bins.withColumn("part", part).join(coarse.select("place", "part", "base"), ["place", "part"])
+    fine = first_over(fine, "bin", F.col("base")).select("place", "over.*")
+    return coarse.select("place", "all_words").join(fine, "place", "left")
+
+
+def _filled_on(state: DataFrame, free: DataFrame, folder: str, turn: int) -> DataFrame:
+    """One round: the free documents, of at most ``limit`` words, are taken in rank order, up to the first that does not fit.
 
     The next limit is what is then missing, or half of it if this round has not halved that. A round with half the
     limit halves what is missing or takes all it may, so rounds grow with the logarithm of the words. A source
     is done, its limit 0, when no free document fits.
     """
-    free = _ranked(sizes, state).filter(F.col("rank").isNotNull() & (F.col("size") <= F.col("limit")) & ~_before_cut())
-    free = free.withColumn("bin", F.floor(F.col("rank") * BINS))
-    upto = F.sum("words").over(W.partitionBy("source").orderBy("bin"))
-    bins = free.groupBy("source", "bin", "missing").agg(F.sum("size").alias("words")).withColumn("upto", upto)
-    over = F.when(F.col("upto") > F.col("missing"), F.struct("bin", (F.col("upto") - F.col("words")).alias("before")))
-    last = bins.groupBy("source").agg(F.sum("words").alias("free_words"), F.min(over).alias("over"))
-    last = stored(last.select(F.col("source").alias("of"), "free_words", "over.bin", "over.before"), folder, f"bins{turn}")
-
-    same = F.col("source").eqNullSafe(F.col("of"))
-    order = W.partitionBy("source").orderBy("rank", "file", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
-    inside = free.join(last, [same, free["bin"] == last["bin"]]).withColumn("upto", F.col("before") + F.sum("size").over(order))
-    taken = inside.filter(F.col("upto") <= F.col("missing")).groupBy("source").agg(F.max("upto").alias("upto"), F.max(F.struct("rank", "file", "row")).alias("cut"))
-    # Nothing of the last bin fits: the sample ends with the bin before. No last bin: everything fits.
-    found = state.join(last, same, "left").join(taken.withColumnRenamed("source", "from"), F.col("source").eqNullSafe(F.col("from")), "left")
-    edge = F.struct((F.col("bin") / BINS).alias("rank"), F.lit(-(1 << 63)).cast("long").alias("file"), F.lit(-1).cast("long").alias("row"))
+    scaled = F.col("rank") * BINS
+    binned = free.withColumn("bin", F.floor(scaled)).withColumn("inner", F.floor((scaled - F.col("bin")) * BINS))
+    missing = state.select("place", "missing")
+    bins = binned.groupBy("place", "bin").agg(F.sum("size").alias("words")).join(missing, "place")
+    outer = stored(_crossing(stored(bins, folder, f"bins{turn}")), folder, f"outer{turn}")
+    inside = stored(binned.join(outer.select("place", "bin", "before"), ["place", "bin"]), folder, f"inside{turn}")
+    bins = inside.groupBy("place", "before", F.col("inner").alias("bin")).agg(F.sum("size").alias("words")).join(missing, "place")
+    bins = stored(bins.withColumn("missing", F.col("missing") - F.col("before")), folder, f"inner{turn}")
+    inner = _crossing(bins).select("place", F.col("bin").alias("inner"), F.col("before").alias("more"))
+    inner = stored(inner, folder, f"edge{turn}")
+
+    order = W.partitionBy("place").orderBy("rank", "file", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = inside.join(inner, ["place", "inner"]).join(missing, "place").withColumn("upto", F.col("before") + F.col("more") + F.sum("size").over(order))
+    taken = last.filter(F.col("upto") <= F.col("missing")).groupBy("place").agg(F.max("upto").alias("upto"), F.max(F.struct("rank", "file", "row")).alias("cut"))
+    # Nothing of the inner bin fits: the sample ends where that bin begins. No such bin: everything fits.
+    found = state.join(outer, "place", "left").join(inner, "place", "left").join(taken, "place", "left")
+    begin = (F.col("bin") + F.col("inner") / BINS) / BINS
+    edge = F.struct(begin.alias("rank"), F.lit(-(1 << 63)).cast("long").alias("file"), F.lit(-1).cast("long").alias("row"))
     everything = F.struct(F.lit(2.0).alias("rank"), F.lit(0).cast("long").alias("file"), F.lit(0).cast("long").alias("row"))
     cut = F.coalesce("cut", F.when(F.col("bin").isNotNull(), edge), everything)
-    took = F.coalesce("upto", "before", "free_words", F.lit(0)).cast("double")
+    took = F.coalesce(F.col("upto"), F.col("before") + F.col("more"), F.col("all_words"), F.lit(0)).cast("double")
     found = found.withColumns({"took": took, "step": F.array(F.struct(F.col("limit").alias("most"), cut.alias("last"))).cast(_CUTS)})
     left = F.col("missing") - F.col("took")
     whole_limit = F.col("limit") >= F.col("missing")
     limit = F.when((F.col("limit") < 1) | ((F.col("took") == 0) & whole_limit), 0.0).when((left <= F.col("missing") / 2) | ~whole_limit, left).otherwise(left / 2)
-    return stored(
-        found.select(
-            *(c for c in state.columns if c not in ("missing", "limit", "cuts")),
-            left.alias("missing"),
-            limit.alias("limit"),
-            F.when(F.col("took") > 0, F.concat("cuts", "step")).otherwise(F.col("cuts")).alias("cuts"),
-        ),
-        folder,
-        f"filled{turn}",
-    )
-
-
-def _with_cut(plan: DataFrame, sizes: DataFrame, folder: str) -> DataFrame:
-    """The plan with the documents each source's sample takes: the last one in rank order of each round, and those that close the gap."""
-    cuts = plan.withColumns({"missing": F.col("rest"), "limit": F.col("rest"), "cuts": F.array().cast(_CUTS)})
-    turn = 0
-    while (cuts.agg(F.max("limit")).first()[0] or 0) >= 1:
-        cuts = _filled_on(cuts, sizes, folder, turn)
-        turn += 1
-    none = F.array().cast(_KEYS)
-    cuts = cuts.drop("limit").withColumns({"closing": none, "best": none, "best_off": F.abs("missing")})
-    same = F.col("source").eqNullSafe(F.col("of"))
-    for turn in range(CLOSING):
-        # What is missing is added, what is too much is taken out: the document whose size comes nearest. A step may
-        # overshoot, as the next can make up for it; what counts in the end is the best of all steps.
-        wanted = F.when(F.col("missing") > 0, ~_sampled()).otherwise(_sampled()) & ~_turned()
-        spare = _ranked(sizes, cuts).filter(F.col("rank").isNotNull() & (F.abs("missing") >= 0.5) & wanted)
-        spare = spare.withColumn("off", F.abs(F.col("size") - F.abs("missing")))
-        nearest = spare.groupBy("source").agg(F.min("off").alias("least")).withColumnRenamed("source", "of")
-        found = spare.join(nearest, same).filter(F.col("off") == F.col("least")).groupBy("source").agg(F.min(F.struct("rank", "file", "row", "size")).alias("next"))
-        found = found.withColumnRenamed("source", "of")
-        closing = F.when(F.col("next").isNull(), F.col("closing")).otherwise(F.array_append("closing", F.struct("next.rank", "next.file", "next.row")))
-        left = F.coalesce(F.col("missing") - F.signum("missing") * F.col("next.size"), F.col("missing"))
-        cuts = cuts.join(found, same, "left").withColumns({"closing": closing, "missing": left}).drop("of", "next")
-        nearer = F.abs("missing") < F.col("best_off")
-        cuts = cuts.withColumns({"best": F.when(nearer, F.col("closing")).otherwise(F.col("best")), "best_off": F.least("best_off", F.abs("missing"))})
-        cuts = stored(cuts, folder, f"closed{turn}")
-    return cuts.withColumn("closing", F.col("best")).drop("best", "best_off")
+    cuts = F.when(F.col("took") > 0, F.concat("cuts", "step")).otherwise(F.col("cuts"))
+    return stored(found.select("place", left.alias("missing"), limit.alias("limit"), cuts.alias("cuts")), folder, f"filled{turn}")
 
 
 def _before_cut() -> Column:
@@ -155,24 +190,57 @@ def _before_cut() -> Column:
     return F.exists("cuts", lambda c: (F.col("size") <= c["most"]) & (F.struct("rank", "file", "row") <= c["last"]))
 
 
-def _turned() -> Column:
-    return F.array_contains("closing", F.struct("rank", "file", "row"))
-
-
 def _sampled() -> Column:
     """Whether a document is in its source's sample: taken in a round, unless a later step has turned that round."""
-    return _before_cut() != _turned()
+    return _before_cut() != F.array_contains("closing", F.struct("rank", "file", "row"))
+
+
+def _closed(state: DataFrame, ranked: DataFrame, folder: str) -> DataFrame:
+    """``closing``: the documents of each source that closing steps add or leave out.
+
+    One document of every size, in the sample and outside, is there to choose from: one pass over the documents, and the
+    steps themselves read a row per size. A step may overshoot, as the next can make up for it.
+    """
+    marked = ranked.join(state.select("place", "cuts"), "place").withColumn("sampled", _before_cut()).drop("cuts")
+    pool = stored(marked.groupBy("place", "sampled", "size").agg(F.min("rank").alias("rank")), folder, "pool")
+    none = F.array().cast(_TURNED)
+    steps = state.select("place", "missing", none.alias("turned"), none.alias("best"), F.abs("missing").alias("best_off"))
+    one = F.struct("sampled", "rank", "size")
+    for turn in range(CLOSING):
+        spare = pool.join(steps, "place").filter((F.abs("missing") >= 0.5) & (F.col("sampled") == (F.col("missing") < 0)) & ~F.array_contains("turned", one))
+        nearest = F.min(F.struct(F.abs(F.col("size") - F.abs("missing")), "rank", "sampled", "size"))
+        steps = steps.join(spare.groupBy("place").agg(nearest.alias("next")), "place", "left")
+        more = F.concat("turned", F.array(F.struct("next.sampled", "next.rank", "next.size")).cast(_TURNED))
+        left = F.coalesce(F.col("missing") - F.signum("missing") * F.col("next.size"), F.col("missing"))
+        steps = steps.withColumns({"turned": F.when(F.col("next").isNull(), F.col("turned")).otherwise(more), "missing": left}).drop("next")
+        nearer = F.abs("missing") < F.col("best_off")
+        steps = steps.withColumns({"best": F.when(nearer, F.col("turned")).otherwise(F.col("best")), "best_off": F.least("best_off", F.abs("missing"))})
+        steps = stored(steps, folder, f"closed{turn}")
+    # Equal rows have equal ranks: of those, one is turned.
+    chosen = steps.select("place", F.explode("best").alias("one")).select("place", "one.*")
+    rows = marked.join(chosen, ["place", "sampled", "rank", "size"]).groupBy("place", "sampled", "rank", "size").agg(F.min(F.struct("file", "row")).alias("at"))
+    return rows.groupBy("place").agg(F.collect_list(F.struct("rank", "at.file", "at.row")).alias("closing"))
 
 
 def mixing_plan(spark: SparkSession, sizes: DataFrame, folder: str, cycle: int = 3, most: float = MAX_COPIES) -> DataFrame:
-    """What decides about a source's documents, one row per source."""
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    whole = F.floor(rate + 1e-9)
-    rest = F.col("target") - whole * F.col("source_size")
-    plan = source_targets(sizes, cycle, most).select(
-        "*", whole.cast("long").alias("whole"), F.when(rate - whole > 1e-9, rate - whole).otherwise(0.0).alias("share"), F.greatest(rest, F.lit(0.0)).alias("rest")
-    )
-    return _with_cut(stored(plan, folder, "plan"), sizes, folder)
+    """What decides about a source's documents, one row per source: chances by grade, where its sample ends, and what closes it."""
+    targets = stored(source_targets(sizes, cycle, most), folder, "targets")
+    plan = stored(_chances(targets, sizes, most), folder, "plan")
+    ranked = stored(_ranked(sizes, plan).filter(F.col("rank").isNotNull()).select("place", "size", "rank", "file", "row"), folder, "ranked")
+    state = plan.select("place", F.col("rest").alias("missing"), F.col("rest").alias("limit"), F.array().cast(_CUTS).alias("cuts"))
+    free = ranked.join(state.select("place", "limit"), "place").filter("size <= limit").drop("limit")
+    turn = 0
+    while True:
+        state = _filled_on(state, free, folder, turn)
+        if (state.agg(F.max("limit")).first()[0] or 0) < 1:
+            break
+        left = free.join(state.select("place", "limit", "cuts"), "place").filter((F.col("size") <= F.col("limit")) & ~_before_cut())
+        free = stored(left.select("place", "size", "rank", "file", "row"), folder, f"free{turn}")
+        turn += 1
+    closing = _closed(state, ranked, folder)
+    plan = plan.join(state.select("place", "cuts"), "place").join(closing, "place", "left")
+    plan = plan.withColumn("closing", F.coalesce("closing", F.array().cast(_KEYS)))
+    return stored(plan.drop("rest", "place"), folder, "decided")
 
 
 def _copies() -> Column:
@@ -194,7 +262,7 @@ def mix_sources(
 
     Sizes are words (runs without ASCII white space); null text has none. A null source is a source, the last one.
     Documents without words are never taken; a source without words has target 0. ``preference`` (a positive
-    column, 1 by default) multiplies a document's odds of the copy beyond the certain ones. Equal rows have
+    column, 1 by default; null, zero and less count as the least, 1/256) multiplies the copies wanted of a document. Equal rows have
     equal rank; which of them is taken does not change the result. An empty table gives an empty result, and other
     columns are not read. Columns: file, row, doc_id, source, size, source_size, target, taken (words) and copies.
     """

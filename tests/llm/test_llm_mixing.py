@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -89,3 +90,43 @@ def test_a_very_long_document_does_not_end_the_sample(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     off = {r.source: r.d for r in mix_sources(spark, docs).groupBy("source").agg({"taken": "sum", "target": "max"}).selectExpr("source", "abs(`sum(taken)` - `max(target)`) AS d").collect()}
     assert len(off) == 9 and max(off.values()) <= 20, off
+
+
+def test_inclusion_follows_the_chances(spark):
+    """200 sources of the same 400 documents are 200 draws: each document is taken as often as its chance says."""
+    lengths = [15 + (i * i) % 97 for i in range(400)]
+    docs = spark.range(80_000).selectExpr(
+        "id AS doc_id", "repeat('w ', cast(15 + (id % 400) * (id % 400) % 97 AS int)) AS text", "concat('s', lpad(id div 400, 3, '0')) AS source"
+    )
+    got = mix_sources(spark, docs).toPandas()
+    got["turn"] = (got["doc_id"] // 400) % 3
+    assert got["source"].nunique() == 200 and len(got) == 80_000
+    mean = sum(lengths) / len(lengths)
+    for turn, weight in enumerate((1, 2, 3)):  # 67, 67 and 66 sources
+        target = 200 * sum(lengths) * weight / (67 + 2 * 67 + 3 * 66)
+        wanted = [2 ** (round(8 * min(1, max(-1, 0.5 * math.log2(mean / n)))) / 8) for n in lengths]
+        level = target / sum(n * w for n, w in zip(lengths, wanted, strict=True))
+        assert max(level * w for w in wanted) < 3
+        mine = got[got["turn"] == turn]
+        assert (mine.groupby("source")["taken"].sum() - target).abs().max() <= 15  # the shortest document
+        by_document = mine.assign(place=mine["doc_id"] % 400).groupby("place")["copies"]
+        z = []
+        for i, (n, w) in enumerate(zip(lengths, wanted, strict=True)):
+            copies = by_document.get_group(i)
+            assert set(copies) <= {int(level * w), int(level * w) + 1}, (i, level * w)
+            p = level * w % 1
+            off = copies.mean() - level * w
+            if n >= 40:
+                z.append(off / max((p * (1 - p) / len(copies)) ** 0.5, 0.02))
+            else:  # the gap at the end of a sample is filled with short documents, so they are taken more often
+                assert -0.25 < off < 0.4, (i, n, off)
+        assert len(z) > 250 and max(map(abs, z)) < 4.5 and sum(x * x for x in z) / len(z) < 1.4, (turn, z)
+
+
+def test_the_histogram_inside_the_last_bin(spark, monkeypatch):
+    """With two bins, and one of them split, the ends are the same as with many."""
+    rows = [(i, "w " * (3 + i % 11), f"s{i % 4}") for i in range(400)] + [(9, "w " * 3, "s1")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    many = Counter((r.doc_id, r.source, r.taken) for r in mix_sources(spark, docs).collect())
+    monkeypatch.setattr(mixing, "BINS", 2)
+    assert many == Counter((r.doc_id, r.source, r.taken) for r in mix_sources(spark, docs).collect())
