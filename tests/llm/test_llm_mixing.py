@@ -105,17 +105,20 @@ def test_inclusion_follows_the_chances(spark):
     for turn, weight in enumerate((1, 2, 3)):  # 67, 67 and 66 sources
         target = 200 * sum(lengths) * weight / (67 + 2 * 67 + 3 * 66)
         wanted = [2 ** (round(8 * min(1, max(-1, 0.5 * math.log2(mean / n)))) / 8) for n in lengths]
-        level = target / sum(n * w for n, w in zip(lengths, wanted, strict=True))
-        assert max(level * w for w in wanted) < 3
+        low, high = 0.0, 100.0
+        for _ in range(80):  # no document is wanted more than three times
+            level = (low + high) / 2
+            low, high = (low, level) if sum(n * min(3, level * w) for n, w in zip(lengths, wanted, strict=True)) > target else (level, high)
+        wanted = [min(3, level * w) for w in wanted]
         mine = got[got["turn"] == turn]
         assert (mine.groupby("source")["taken"].sum() - target).abs().max() <= 15  # the shortest document
         by_document = mine.assign(place=mine["doc_id"] % 400).groupby("place")["copies"]
         z = []
         for i, (n, w) in enumerate(zip(lengths, wanted, strict=True)):
             copies = by_document.get_group(i)
-            assert set(copies) <= {int(level * w), int(level * w) + 1}, (i, level * w)
-            p = level * w % 1
-            off = copies.mean() - level * w
+            assert set(copies) <= {int(w + 1e-9), int(w + 1e-9) + 1}, (i, w)
+            p = w % 1
+            off = copies.mean() - w
             if n >= 40:
                 z.append(off / max((p * (1 - p) / len(copies)) ** 0.5, 0.02))
             else:  # the gap at the end of a sample is filled with short documents, so they are taken more often
