@@ -4,9 +4,12 @@ Paragraphs (lines with words that follow each other) are cut into segments of ``
 on sparse word n-grams (one to three words, those of the templates) gives each segment the chance of every
 licence family and of ``unknown``. An L1 penalty leaves few n-grams, so segments without any are unknown by
 their bias alone and need no scoring. The chances are calibrated by a temperature fitted on held-out
-segments. A family counts only if its calibrated chance is at least ``LEAST_CHANCE`` and the segment holds at
-least ``LEAST_SHARE`` of the word n-grams of one of the family's templates. Of several the one with the largest share
-is taken, its place is left out and the rest of the segment judged again, until no family counts.
+segments. A segment is judged only where ``unknown`` is not the likelier side. A family counts if its calibrated chance is
+at least ``LEAST_CHANCE`` and the segment confirms one of its templates: it holds ``LEAST_SHARE`` of the template's word
+n-grams and ``LEAST_RUNS`` of those of three words (the words in order, not just the words), and the stretch where they
+stand has the same ``NAMING`` words as the template, so a stricter licence never passes for a laxer one. Of several the one
+with the largest share is taken, its place is left out and the rest of the segment judged again, until no family
+counts. What two segments share is found in both: of notices that overlap, the one with most of its template stays.
 
 It is trained in numpy on variants of the templates and, as ``unknown``, on a bounded sample of the corpus: segments
 of the ``SAMPLE_ROWS`` documents (of at most ``SAMPLE_BYTES`` each) with the smallest hash, at most ``SAMPLE_SEGMENTS``
@@ -16,6 +19,7 @@ of them, without those that resemble a template. Scoring reads every row and who
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +33,8 @@ from bazaarlens.llm.words import LETTERS, as_bytes, mixed, portions, runs, slice
 
 SEGMENT, STRIDE = 64, 32
 SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_SEGMENTS = 1000, 1 << 15, 4000
-LEAST_CHANCE, LEAST_SHARE = 0.05, 0.6
+MOST_UNKNOWN, LEAST_CHANCE = 0.5, 0.05
+LEAST_SHARE, LEAST_RUNS = 0.6, 0.4
 VARIANTS, STEPS, RATE, LASSO = 60, 250, 0.1, 2e-4
 SEED = 42
 GAP = 4  # words without an n-gram of its template inside a notice, at most
@@ -39,44 +44,98 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "agpl": (
         "This work is licensed under the GNU Affero General Public License, version 3.",
         "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
     ),
     "apache": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS",
+        "SPDX-License-Identifier: Apache-2.0",
     ),
     "bsd": (
         "Released under the BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause",
     ),
     "cc0": (
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
         "Dedicated to the public domain under CC0 1.0.",
     ),
-    "cc_by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "cc_by_nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "cc_by_sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "cc_by": (
+        "Licensed under CC BY 4.0.",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    ),
+    "cc_by_nc": (
+        "Licensed under CC BY-NC 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License.",
+    ),
+    "cc_by_nc_nd": (
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License.",
+    ),
+    "cc_by_nc_sa": (
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License.",
+    ),
+    "cc_by_nd": (
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivs 3.0 Unported License.",
+    ),
+    "cc_by_sa": (
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
+    ),
+    "epl": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+    ),
+    "isc": (
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
     ),
     "lgpl": (
         "This library is licensed under the GNU Lesser General Public License, version 3.",
         "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
     ),
     "mit": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
+        "SPDX-License-Identifier: MIT",
     ),
     "mpl": (
         "Licensed under the Mozilla Public License, version 2.0.",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
     ),
     "proprietary": ("All rights reserved.", "No part of this publication may be reproduced without the prior written permission of the publisher."),
 }
+# Words that tell licences apart. A notice has exactly those of its template.
+NAMING = (
+    "affero agpl apache bsd cc0 eclipse epl gpl isc lesser lgpl mit mozilla mpl nc nd noderivatives noderivs noncommercial sa sharealike"
+).split()
 # Sentences that share words with notices and are none.
 NEAR_MISSES: tuple[str, ...] = (
     "She renewed her driving license at the public office under the new law.",
@@ -89,6 +148,9 @@ NEAR_MISSES: tuple[str, ...] = (
     "The conditions in this part of the country are general and the public is free to use it.",
     "You may use this form to apply for a work license or a fishing license.",
     "The rights of the author were reserved for the second version of the book.",
+    "The company reserved all rights to use its logo under the terms of the sale.",
+    "The eclipse was seen by the public under the open sky, and materials of the program were made available.",
+    "The lesser known works of the author are provided without fee for any purpose.",
 )
 
 
@@ -102,6 +164,8 @@ class LicenseModel:
     template_grams: list[np.ndarray]  # distinct n-grams of each template
     template_family: list[int]
     template_names: list[str]
+    template_runs: list[np.ndarray]  # the n-grams of three words among them
+    naming: np.ndarray  # sorted n-grams of one word, those of NAMING
 
 
 def _grams(hashes: np.ndarray, line: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,44 +269,58 @@ def scan(texts: list[bytes], model: LicenseModel) -> tuple[np.ndarray, list[list
     pair = np.unique((segment[has] << 16) | at[has])
     of, row = np.unique(pair >> 16, return_inverse=True)
     chance = _scores(model, row, pair & 0xFFFF, len(of))
-    hits = np.flatnonzero(chance[:, :-1].max(axis=1) >= LEAST_CHANCE)
+    hits = np.flatnonzero(chance[:, -1] <= MOST_UNKNOWN)
     if not len(hits):
         return n_lines, found
     order = np.argsort(segment, kind="stable")
     sorted_segment = segment[order]
+    notices = []
     for hit in hits:
         low, high = np.searchsorted(sorted_segment, [of[hit], of[hit] + 1])
         own = order[low:high]
-        for family, likely, name, share, p in _notices(model, gram[own], place[own], chance[hit]):
-            begin = np.searchsorted(line, line[p])
-            i = int(text[p])
-            found[i].append(
-                {
-                    "line": int(line[p] - line[np.searchsorted(text, i)]),
-                    "word": int(p - begin),
-                    "family": model.families[family],
-                    "chance": likely,
-                    "template": name,
-                    "share": share,
-                }
-            )
+        notices += _notices(model, gram[own], place[own], chance[hit])
+    for family, likely, template, share, p, _ in _apart(notices):
+        begin = np.searchsorted(line, line[p])
+        i = int(text[p])
+        found[i].append(
+            {
+                "line": int(line[p] - line[np.searchsorted(text, i)]),
+                "word": int(p - begin),
+                "family": model.families[family],
+                "chance": likely,
+                "template": model.template_names[template],
+                "share": share,
+            }
+        )
     return n_lines, found
 
 
-def _notices(model: LicenseModel, gram: np.ndarray, place: np.ndarray, chance: np.ndarray) -> Iterator[tuple[int, float, str, float, int]]:
-    """Family, chance, template, share and first place of a segment's notices, each family once."""
-    seen: set[int] = set()
-    first = place.min()
-    while len(gram):
-        likely = np.flatnonzero(chance[:-1] >= LEAST_CHANCE)
-        closest = [(*_closest(model, gram, f), f) for f in likely]
-        name, share, family = max(closest, key=lambda c: (c[1], chance[c[2]]), default=("", 0.0, -1))
-        if share < LEAST_SHARE:
+_Notice = tuple[int, float, int, float, int, int]  # family, chance, template, share, first and last place
+
+
+def _apart(notices: list[_Notice]) -> list[_Notice]:
+    """In order of place, of notices that overlap the one with the largest share, then the longest, then the first."""
+    kept: list[_Notice] = []
+    best = sorted(notices, key=lambda n: (-n[3], n[4] - n[5], n[4], n[0], n[2], -n[1]))
+    firsts: list[int] = []
+    for notice in best:
+        at = bisect(firsts, notice[5])
+        # Those kept do not overlap, so of the ones that begin before its end only the last can reach into it.
+        if at and kept[at - 1][5] >= notice[4]:
+            continue
+        firsts.insert(at, notice[4])
+        kept.insert(at, notice)
+    return kept
+
+
+def _notices(model: LicenseModel, gram: np.ndarray, place: np.ndarray, chance: np.ndarray) -> Iterator[_Notice]:
+    """The notices of a segment, the one with the largest share first."""
+    while len(gram) and chance[-1] <= MOST_UNKNOWN:
+        taken = _closest(model, gram, place, chance)
+        if taken is None:
             return
-        p, last = _span(gram, place, model.template_grams[model.template_names.index(name)])
-        if family not in seen:
-            yield int(family), float(chance[family]), name, share, int(first if not seen else p)
-        seen.add(family)
+        yield taken
+        p, last = taken[4:]
         rest = (place < p) | (place > last)
         gram, place = gram[rest], place[rest]
         has, at = _member(gram, model.grams)
@@ -273,16 +351,22 @@ def _first_places(gram: np.ndarray, place: np.ndarray) -> np.ndarray:
     return place[order][head]
 
 
-def _closest(model: LicenseModel, grams: np.ndarray, family: int) -> tuple[str, float]:
-    """The family's template of which the segment holds the largest share, and that share."""
-    own = np.unique(grams)
-    shares = [
-        (float(np.isin(t, own).mean()), name)
-        for t, f, name in zip(model.template_grams, model.template_family, model.template_names, strict=True)
-        if f == family
-    ]
-    share, name = max(shares, key=lambda s: (s[0], s[1]))
-    return name, share
+def _closest(model: LicenseModel, gram: np.ndarray, place: np.ndarray, chance: np.ndarray) -> _Notice | None:
+    """The notice whose template the segment confirms with the largest share, of the families that are likely enough."""
+    own = np.unique(gram)
+    likely = []
+    for t, family in enumerate(model.template_family):
+        if chance[family] >= LEAST_CHANCE:
+            share = float(np.isin(model.template_grams[t], own).mean())
+            if share >= LEAST_SHARE and np.isin(model.template_runs[t], own).mean() >= LEAST_RUNS:
+                likely.append((share, float(chance[family]), t))
+    # Of templates held alike the longer one says more.
+    for share, own_chance, t in sorted(likely, key=lambda c: (c[0], len(model.template_grams[c[2]]), c[1], -c[2]), reverse=True):
+        p, last = _span(gram, place, model.template_grams[t])
+        names = np.unique(gram[(place >= p) & (place <= last)])
+        if np.array_equal(names[np.isin(names, model.naming)], model.naming[np.isin(model.naming, model.template_grams[t])]):
+            return model.template_family[t], own_chance, t, share, p, last
+    return None
 
 
 def _variants(rng: np.random.Generator, template: str, filler: list[str]) -> Iterator[str]:
@@ -300,11 +384,15 @@ def train(sample: list[str]) -> LicenseModel:
     rng = np.random.default_rng(SEED)
     families = [*TEMPLATES, "unknown"]
     flat = [(f, k, t) for f, name in enumerate(TEMPLATES) for k, t in enumerate(TEMPLATES[name])]
-    every, _ = word_hashes([t.encode() for *_, t in flat])
-    known = np.unique(every)
-    grams = [np.unique(_grams(h := word_hashes([t.encode()])[0], np.zeros(len(h), np.int64), known)[0]) for *_, t in flat]
+    named = word_hashes([" ".join(NAMING).encode()])[0]
+    known = np.unique(np.concatenate((word_hashes([t.encode() for *_, t in flat])[0], named)))
+    in_order = [_grams(h := word_hashes([t.encode()])[0], np.zeros(len(h), np.int64), known)[0] for *_, t in flat]
+    grams = [np.unique(g) for g in in_order]
+    # n words have n n-grams of one word, n - 1 of two and n - 2 of three, in this order.
+    of_three = [np.unique(g[-(len(g) // 3 - 1) :]) for g in in_order]
+    naming = np.unique(mixed(named + np.uint64(1)))
     vocabulary = np.unique(np.concatenate(grams))
-    model = LicenseModel(families, vocabulary, np.zeros((len(vocabulary), len(families))), np.zeros(len(families)), known, grams, [f for f, *_ in flat], [f"{families[f]}/{k}" for f, k, _ in flat])
+    model = LicenseModel(families, vocabulary, np.zeros((len(vocabulary), len(families))), np.zeros(len(families)), known, grams, [f for f, *_ in flat], [f"{families[f]}/{k}" for f, k, _ in flat], of_three, naming)
 
     holds = np.stack([np.isin(vocabulary, g) for g in grams]).astype(np.float32)
     share = _presence(sample[:SAMPLE_SEGMENTS], known, vocabulary) @ holds.T / holds.sum(axis=1)

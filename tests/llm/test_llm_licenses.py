@@ -52,7 +52,7 @@ def test_a_notice_anywhere_in_a_long_paragraph(model):
     for before in (0, 1, 31, 32, 40, 63, 64, 65, 1000, 200_000):
         n, found = scan([b"", ("cat " * before + "Released under the MIT License." + " dog" * 70).encode()], model)
         assert n.tolist() == [0, 1]
-        assert {f["family"] for f in found[1]} == {"mit"} and {f["line"] for f in found[1]} == {0}
+        assert [(f["family"], f["line"], f["word"]) for f in found[1]] == [("mit", 0, before)]
 
 
 def test_segments_cover_every_word_and_window(model):
@@ -114,3 +114,46 @@ def test_two_notices_in_one_line(model):
     for one, i, two, k in pairs:
         for text in (f"{TEMPLATES[one][i]} {TEMPLATES[two][k]}", f"{TEMPLATES[two][k]} {TEMPLATES[one][i]}"):
             assert {n["family"] for n in scan([text.encode()], model)[1][0]} == {one, two}, text
+
+
+def test_each_notice_once_and_at_its_place(model):
+    mit, bsd = TEMPLATES["mit"][2], TEMPLATES["bsd"][1]
+    for before in range(0, 70, 3):
+        for between in (0, 1, 20, 60):
+            text = f"{'cat ' * before}{mit} {'dog ' * between}{bsd} {'cow ' * 9}{mit} end"
+            places = [before, before + len(mit.split()) + between]
+            places.append(places[1] + len(bsd.split()) + 9)
+            got = [(n["family"], n["word"]) for n in scan([text.encode()], model)[1][0]]
+            assert got == list(zip(("mit", "bsd", "mit"), places, strict=True)), (before, between)
+
+
+@pytest.mark.parametrize(
+    ("text", "families"),
+    [
+        ("The company reserved all rights to use its logo under the terms of the sale.", set()),
+        ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", {"cc_by_nd"}),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", {"cc_by_nc_sa"}),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License.", {"cc_by_nc_nd"}),
+        ("Licensed under CC BY-ND 4.0.", {"cc_by_nd"}),
+        ("Licensed under CC BY-SA 3.0.", {"cc_by_sa"}),
+        ("// SPDX-License-Identifier: ISC", {"isc"}),
+        ("# SPDX-License-Identifier: Apache-2.0", {"apache"}),
+        ("SPDX-License-Identifier: Zlib", set()),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", {"lgpl"}),
+    ],
+)
+def test_near_licences_are_told_apart(model, text, families):
+    assert {n["family"] for n in scan([f"Some words.\n\n{text}\n".encode()], model)[1][0]} == families
+
+
+def test_notices_that_overlap():
+    from bazaarlens.llm.licenses import _apart
+
+    rng = random.Random(3)
+    for _ in range(300):
+        notices = [(rng.randrange(3), 0.9, 0, rng.randrange(6, 11) / 10, p := rng.randrange(60), p + rng.randrange(1, 9)) for _ in range(rng.randrange(12))]
+        left, kept = sorted(notices, key=lambda n: (-n[3], n[4] - n[5], n[4], n[0])), []
+        for n in left:
+            if all(n[5] < k[4] or k[5] < n[4] for k in kept):
+                kept.append(n)
+        assert _apart(notices) == sorted(kept, key=lambda n: n[4])
