@@ -40,6 +40,8 @@ FAN_IN = 32  # groups whose weights are added up before those of all
 SEED = 42
 _PLACES = [k for k in range(-REACH, REACH + 1) if k]
 _CONTEXT = 1 << CONTEXT_BITS
+_ONES = np.ones(CLASSES, np.float32)
+_FAR = 60  # e to the power of minus this is still well above the smallest single
 _SHAPES = {"near": (len(_PLACES), _CONTEXT + 1, HIDDEN), "hidden": (HIDDEN,), "out": (HIDDEN, CLASSES), "bias": (CLASSES,), "fork": (1 << WORD_BITS, HIDDEN)}
 
 
@@ -128,31 +130,39 @@ def _neighbours(context: np.ndarray, text: np.ndarray, at: np.ndarray) -> np.nda
 
 
 def _forward(weights: dict[str, np.ndarray], near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden layer and log-probabilities of the classes."""
-    total = weights["hidden"] + weights["near"][0][near[0]]
+    """Hidden layer, and scores of the classes, moved row by row so that none is above 0 and not all are far below."""
+    total = weights["near"][0].take(near[0], axis=0)
     for k in range(1, len(near)):
-        total += weights["near"][k][near[k]]
-    hidden = np.tanh(total)
-    score = hidden @ weights["out"] + weights["bias"]
-    score -= score.max(axis=1, keepdims=True)
-    score -= np.log(np.exp(score).sum(axis=1, keepdims=True))
+        total += weights["near"][k].take(near[k], axis=0)
+    total += weights["hidden"]
+    hidden = np.tanh(total, out=total)
+    score = hidden @ weights["out"]
+    # The hidden layer is between -1 and 1: that bounds the largest score without a look at every row.
+    reach = np.abs(weights["out"]).sum(axis=0)
+    most = (weights["bias"] + reach).max()
+    if most - (weights["bias"] - reach).max() < _FAR:
+        score += weights["bias"] - most
+    else:
+        score += weights["bias"]
+        score -= score.max(axis=1, keepdims=True)
     return hidden, score
 
 
-def _at_forks(weights: dict[str, np.ndarray], hidden: np.ndarray, word: np.ndarray, words: Words) -> tuple[np.ndarray, ...]:
-    """Row in ``hidden``, fork, side and log odds of the right side, for every fork on the way to each word."""
-    row, fork, right, odds, *_ = _forks(weights, hidden, word, words)
-    return row, fork, right, odds
+def _soft(x: np.ndarray) -> np.ndarray:
+    """log(1 + e^x), to the precision of its type and without overflow."""
+    return np.maximum(x, 0) + np.log1p(np.exp(-np.abs(x)))
 
 
-def _forks(weights: dict[str, np.ndarray], hidden: np.ndarray, word: np.ndarray, words: Words) -> tuple[np.ndarray, ...]:
-    """The same, with the hidden layer and the fork's weights at each."""
+def _levels(words: Words, word: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Places of the words by number of forks, most first; and level by level fork and side of those that have so many.
+
+    The words with a fork on a level are the first so many of that order, so a level needs no index of its rows.
+    """
     count = words.first[word + 1] - words.first[word]
-    row = np.repeat(np.arange(len(word)), count)
-    at = np.arange(len(row)) + np.repeat(words.first[word] - (np.cumsum(count) - count), count)
-    fork = words.forks[at]
-    layer, own = hidden[row], weights["fork"][fork]
-    return row, fork, words.right[at], words.odds[fork] + np.einsum("ij,ij->i", layer, own), layer, own
+    by_depth = np.argsort((255 - count).astype(np.uint8), kind="stable")
+    way = words.first[word[by_depth]]
+    deep = len(word) - np.cumsum(np.bincount(count))[:-1]
+    return by_depth, [(words.forks[at], words.right[at]) for at in (way[:n] + level for level, n in enumerate(deep))]
 
 
 def _order(rows: np.ndarray) -> np.ndarray:
@@ -162,6 +172,28 @@ def _order(rows: np.ndarray) -> np.ndarray:
     return low[np.argsort(high[low], kind="stable")] if high.any() else low
 
 
+_SHORT = 8  # rows up to which a sum is made place by place, for all sums at once
+
+
+def _sums(values: np.ndarray, row: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Sums over ``values[row]`` from each head to the next."""
+    size = np.diff(head, append=len(row))
+    total = values.take(row[head], axis=0)
+    some = np.arange(len(head))
+    for k in range(1, _SHORT):
+        some = some[size[some] > k]
+        if not len(some):
+            return total
+        total[some] += values.take(row[head[some] + k], axis=0)
+    some = some[size[some] > _SHORT]
+    if len(some):
+        left = size[some] - _SHORT
+        starts = np.cumsum(left) - left
+        at = np.arange(left.sum()) + np.repeat(head[some] + _SHORT - starts, left)
+        total[some] += np.add.reduceat(values.take(row[at], axis=0), starts, axis=0)
+    return total
+
+
 class Trainer:
     """AdaGrad on one group's documents; a row of weights has one step size."""
 
@@ -176,18 +208,23 @@ class Trainer:
         self.weights[name] -= RATE * gradient / np.sqrt(self.squares[name])
 
     def _step_rows(self, name: str, gradient: np.ndarray, rows: np.ndarray) -> None:
-        """A step of the rows named, each by the sum of its gradients. Rows are numbered through all places."""
+        """A step of the rows named, each by the sum of its gradients. Rows are numbered through all places.
+
+        Of more rows than gradients, every next lot of as many has the same gradients again.
+        """
         if len(rows):
             order = _order(rows)
             ordered = rows[order]
             head = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-            total, own = np.add.reduceat(gradient[order], head, axis=0), ordered[head]
+            total, own, times = _sums(gradient, order % len(gradient), head), ordered[head], np.diff(head, append=len(rows))
             squares = self.squares[name].reshape(-1)
             size = squares[own] + np.einsum("ij,ij->i", total, total) / HIDDEN
             squares[own] = size
             total *= (-RATE / np.sqrt(size))[:, None]
-            self.weights[name].reshape(-1, HIDDEN)[own] += total
-            self.times[name].reshape(-1)[own] += np.diff(head, append=len(rows))
+            weights = self.weights[name].reshape(-1, HIDDEN)
+            total += weights.take(own, axis=0)
+            weights[own] = total
+            self.times[name].reshape(-1)[own] += times
 
     def learn(self, hashes: np.ndarray, text: np.ndarray, words: Words) -> None:
         context, word = _hashed(hashes, CONTEXT_BITS), _hashed(hashes, WORD_BITS)
@@ -198,23 +235,33 @@ class Trainer:
             kind = kinds[at]
             near = _neighbours(context, text, at)
             hidden, score = _forward(self.weights, near)
-            error = np.exp(score)
-            error[np.arange(len(at)), kind] -= 1
-            error /= np.float32(len(at) ** 0.5)
-            row, fork, right, odds, layer, own = _forks(self.weights, hidden, word[at], words)
-            wrong = ((1 / (1 + np.exp(-odds)) - right) / len(at) ** 0.5).astype(np.float32)[:, None]
+            scale = np.float32(len(at) ** -0.5)
+            error = np.exp(score, out=score)
+            error *= (scale / (error @ _ONES))[:, None]
+            error[np.arange(len(at)), kind] -= scale
             inner = error @ self.weights["out"].T
-            if len(row):
-                head = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-                own *= wrong
-                inner[row[head]] += np.add.reduceat(own, head, axis=0)
+            by_depth, levels = _levels(words, word[at])
+            if levels:
+                deepest = by_depth[: len(levels[0][0])]
+                layer, back = hidden.take(deepest, axis=0), np.zeros((len(deepest), HIDDEN), np.float32)
+                moves = np.empty((sum(len(fork) for fork, _ in levels), HIDDEN), np.float32)
+                done = 0
+                for fork, right in levels:
+                    n = len(fork)
+                    own = self.weights["fork"].take(fork, axis=0)
+                    odds = words.odds[fork] + np.einsum("ij,ij->i", layer[:n], own)
+                    wrong = ((1 / (1 + np.exp(-odds)) - right) * scale)[:, None]
+                    np.multiply(layer[:n], wrong, out=moves[done : done + n])
+                    own *= wrong
+                    back[:n] += own
+                    done += n
+                inner[deepest] += back
+                self._step_rows("fork", moves, np.concatenate([fork for fork, _ in levels]))
             inner *= 1 - hidden**2
-            layer *= wrong
-            self._step_rows("fork", layer, fork)
             self._step("out", hidden.T @ error)
             self._step("bias", error.sum(axis=0))
             self._step("hidden", inner.sum(axis=0))
-            self._step_rows("near", np.concatenate([inner] * len(near)), (near + place).ravel())
+            self._step_rows("near", inner, (near + place).ravel())
         self.learnt += len(hashes)
 
 
@@ -231,11 +278,19 @@ def log_likelihood(texts: list[bytes], words: Words, weights: dict[str, np.ndarr
         at = np.arange(first, min(first + SCORED, len(hashes)))
         hidden, score = _forward(weights, _neighbours(context, text, at))
         low = text[at[0]]
-        inside = share[at]
+        inside = share[at].copy()
         if "fork" in weights:
-            row, _, right, odds = _at_forks(weights, hidden, word[at], words)
-            inside = -np.bincount(row, np.logaddexp(0, np.where(right, -odds, odds)), minlength=len(at))
-        sums = np.bincount(text[at] - low, score[np.arange(len(at)), kind[at]] + inside)
+            by_depth, levels = _levels(words, word[at])
+            layer = hidden.take(by_depth, axis=0)
+            sorted_inside = np.zeros(len(at))
+            for fork, right in levels:
+                n = len(fork)
+                odds = words.odds[fork] + np.einsum("ij,ij->i", layer[:n], weights["fork"].take(fork, axis=0))
+                sorted_inside[:n] -= _soft(np.where(right, -odds, odds))
+            inside = np.empty(len(at))
+            inside[by_depth] = sorted_inside
+        inside += score[np.arange(len(at)), kind[at]] - np.log(np.exp(score, out=score) @ _ONES)
+        sums = np.bincount(text[at] - low, inside)
         total[low : low + len(sums)] += sums
     return np.bincount(text, minlength=len(texts)), total
 

@@ -141,8 +141,11 @@ def test_ways_without_training_give_the_shares():
     words = words_of(np.random.default_rng(3).integers(0, 50, 1 << lm.WORD_BITS))
     some = np.random.default_rng(4).integers(0, 1 << lm.WORD_BITS, 1000)
     weights = {"fork": np.zeros(lm._SHAPES["fork"], np.float32)}
-    row, _, right, odds = lm._at_forks(weights, np.zeros((len(some), lm.HIDDEN), np.float32), some, words)
-    got = -np.bincount(row, np.logaddexp(0, np.where(right, -odds, odds)), minlength=len(some))
+    got = np.zeros(len(some))
+    by_depth, levels = lm._levels(words, some)
+    for fork, right in levels:
+        odds = words.odds[fork] + np.einsum("ij,ij->i", np.zeros((len(fork), lm.HIDDEN), np.float32), weights["fork"][fork])
+        got[by_depth[: len(fork)]] -= np.logaddexp(0, np.where(right, -odds, odds))
     assert np.allclose(got, words.share[some], atol=1e-4)
 
 
@@ -190,3 +193,23 @@ def test_gain_over_word_shares_stays_with_many_groups(spark, texts, monkeypatch)
         gains.append(total.sum() / n.sum() - alone)
     print(gains)
     assert gains[1] > 0.5 * gains[0] and gains[2] > 0.25 * gains[0] > 0
+
+
+def test_sums_and_scores_agree_with_plain_ones(monkeypatch):
+    rng = np.random.default_rng(8)
+    values = rng.standard_normal((50, lm.HIDDEN)).astype(np.float32)
+    for rows in (rng.integers(0, 5, 200), rng.integers(0, 1000, 200), np.zeros(200, np.int64), np.arange(1)):
+        order = np.argsort(rows, kind="stable")
+        own, head = np.unique(rows[order], return_index=True)
+        got = lm._sums(values, order % 50, head)
+        for w, total in zip(own, got, strict=True):
+            assert np.allclose(total, values[np.flatnonzero(rows == w) % 50].sum(axis=0), atol=1e-4)
+    texts = [b"a b c d e " * 30, b"", b"f", b"b a " * 70]
+    words = words_of(counts_of(texts))
+    trainer = Trainer(start_weights(words))
+    trainer.learn(*word_hashes(texts), words)
+    near = log_likelihood(texts, words, trainer.weights)[1]
+    monkeypatch.setattr(lm, "_FAR", 0)  # every row by its own largest score
+    assert np.allclose(near, log_likelihood(texts, words, trainer.weights)[1], rtol=1e-5)
+    x = np.float32([-200, -5, 0, 5, 200])
+    assert np.allclose(lm._soft(x), np.logaddexp(0, x.astype(float)), rtol=1e-6)
