@@ -425,12 +425,12 @@ def train(rows: DataFrame, words: Words, folder: str) -> dict[str, np.ndarray]:
         learnt = in_tasks(part, per_task, schema)
         sums = [F.sum(F.col(w).cast("double") * F.col("n")).alias(w) for w in numbers]
         learnt = learnt.groupBy("kind", "row", F.floor(F.col("group") / FAN_IN).alias("part")).agg(F.sum("n").alias("n"), *sums)
-        learnt = learnt.groupBy("kind", "row").agg(F.sum("n").alias("n"), *(F.sum(w).alias(w) for w in numbers))
-        got = stored(learnt, folder, f"weights{turn}").toArrow()
-        n = got.column("n").to_numpy()
-        values = np.stack([got.column(w).to_numpy() / n for w in numbers], axis=1).astype(np.float32)
+        means = [(F.sum(w) / F.sum("n")).cast("float").alias(w) for w in numbers]
+        got = stored(learnt.groupBy("kind", "row").agg(*means), folder, f"weights{turn}").toArrow()
+        values = np.stack([got.column(w).to_numpy() for w in numbers], axis=1)
         weights = _with_rows(weights, got.column("kind").to_numpy(), got.column("row").to_numpy(), values)
-        given.unpersist()
+        given.destroy()  # the round's result is a stored table, so nothing asks for these weights again
+        del got, values
     return weights
 
 
