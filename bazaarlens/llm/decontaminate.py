@@ -256,6 +256,10 @@ def decontaminate(
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold a passage of the benchmark."""
+    """``docs`` without the rows that hold a passage of the benchmark.
+
+    Texts without words, null ones included, hold none and stay; equal texts are judged alike. Without a benchmark
+    every row stays. An empty table stays empty; all columns pass as they are, whatever their names.
+    """
     dropped = decontaminate(spark, docs, benchmark).filter("contaminated").select("file", "row")
     return without_rows(docs, stored(dropped, shared_folder(spark), "dropped"))

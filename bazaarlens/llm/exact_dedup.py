@@ -84,6 +84,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", te
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts."""
+    """``docs`` with one row of each group of equal texts.
+
+    Null, empty and white-space-only texts follow ``exact_dedup``: null counts as empty. Of rows with the same text and id,
+    repeated ones included, one stays. An empty table stays empty; all columns pass as they are, whatever their names.
+    """
     dropped = exact_dedup(spark, docs).filter(~F.col("kept")).select("file", "row")
     return without_rows(docs, stored(dropped, shared_folder(spark), "dropped"))

@@ -280,6 +280,8 @@ def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     A document's copies follow from its own row and its source's row of the plan, so the texts are not joined to
     the decisions: they are measured again in the scan and, unless there are very many sources, never shuffled.
+    Texts without words, null ones included, are never taken; a null source is a source. An empty table stays empty; all
+    columns pass as they are, and the two new ones get underscores in front where their names are taken.
     """
     folder = shared_folder(spark)
     measures = [c.alias(n) for n, c in _measures(docs, "doc_id", "text", "source", F.lit(1.0)).items()]

@@ -206,7 +206,11 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows the model rejects."""
+    """``docs`` without the rows the model rejects.
+
+    Null, empty and white texts are rejected, copies and repeated rows alike. With labels of fewer than two grades, or
+    none, every row stays. An empty table stays empty; all columns pass as they are, whatever their names.
+    """
     model = train(docs, graded(labels), 3)
     rejected = quality_grades(docs, model).filter(~F.col("kept")).select("file", "row")
     return without_rows(docs, stored(rejected, shared_folder(spark), "rejected"))

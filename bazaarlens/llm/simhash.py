@@ -245,6 +245,10 @@ def simhash_groups(
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near copies."""
+    """``docs`` with one row of each group of near copies.
+
+    Texts without words, null ones included, have fingerprint zero and are grouped by it like any other. Of rows with
+    the same text and id one stays. An empty table stays empty; all columns pass as they are, whatever their names.
+    """
     dropped = simhash_groups(spark, docs).filter(~F.col("kept")).select("file", "row")
     return without_rows(docs, stored(dropped, shared_folder(spark), "dropped"))
