@@ -158,6 +158,7 @@ class Datasets:
                 self.dispatched_items(),
                 ["seller_id"],
                 {
+                    # Names of published result columns.
                     "q1_total_items": count_where(earlier),
                     "q1_breaches": count_where(earlier & breach),
                     "q2_total_items": count_where(later),
