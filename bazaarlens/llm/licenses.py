@@ -7,7 +7,7 @@ their bias alone and need no scoring. The chances are calibrated by a temperatur
 segments. A segment is judged only where ``unknown`` is not the likelier side. A family counts if its calibrated chance is
 at least ``LEAST_CHANCE`` and the segment confirms one of its templates: it holds ``LEAST_SHARE`` of the template's word
 n-grams and ``LEAST_RUNS`` of those of three words (the words in order, not just the words), and the stretch where they
-stand has the same ``NAMING`` words as the template, so a stricter licence never passes for a laxer one. Of several the one
+stand has the same ``NAMING`` words as the template, so a notice with one more of them is not taken for the laxer licence. Of several the one
 with the largest share is taken, its place is left out and the rest of the segment judged again, until no family
 counts. What two segments share is found in both: of notices that overlap, the one with most of its template stays.
 
