@@ -31,6 +31,7 @@ def _seller_record(quarter: str) -> str:
 FROM dispatched WHERE purchase_quarter = '{quarter}' GROUP BY seller_id HAVING COUNT(*) >= 10"""
 
 
+# The labels of the published segments.
 _SEGMENT = """CASE WHEN n = 1 THEN '01_Single_Purchase_Buyer (1x)'
   WHEN n = 2 THEN '02_Repeat_Purchase_Buyer (2x)' ELSE '03_Loyal_Customer (3x+)' END"""
 _CAME_BACK = "COUNT(*) FILTER (WHERE total_orders > 1)"
