@@ -8,9 +8,11 @@ full cycle from there. The steps end when no phrase is active.
 
 In a step the tasks must know which phrases are active. They get two bit tables of bounded size: subphrases that have
 reached the threshold, and those that did so within the last cycle; an occurrence is counted if both its subphrases
-are in the first and one is in the second. What leaves a task is a longer phrase's 64-bit number and a count. Bits or
-numbers shared by chance can only add phrases or raise counts; none that has the threshold is missed. So a last scan
-counts the longer phrases found once more, told apart by all their words, which makes the counts exact.
+are in the first and one is in the second. Both tables have one size in all steps, so a bit once set stays set, and
+whatever set it, a phrase is counted for a full cycle from the step after its subphrases' bits were. What leaves a task
+is a longer phrase's 64-bit number and a count. Bits or numbers shared by chance can only add phrases or raise counts;
+none that has the threshold is missed. So a last scan counts the longer phrases found once more, told apart by all
+their words, which makes the counts exact.
 
 Numbers of words are hashes. At the end the words of all candidates are looked up in the texts again; if two words that
 share a number are found there, both get other numbers and everything is counted anew.
@@ -34,10 +36,11 @@ from bazaarlens.session import remove_dir
 
 THRESHOLD, LONGEST, KEPT, SHARDS = 100, 5, 2000, 3
 NO_LANG = "und"
-# Bits of a table: 32 for each entry, within these bounds (8 KB to 32 MB).
+# Bits of a table: 32 for each entry it is made for, within these bounds (8 KB to 32 MB).
 _BITS = 1 << 16, 1 << 28
 _EACH = 32
 _LOT = 1 << 19  # words counted at once
+_HELD = 1 << 19  # phrases a task holds before it adds up and, if that helps little, hands on their counts
 _ROW = 128  # words stored in a row, and up to the end of a piece
 _BREAK = 2
 _CLASSES = byte_class((0x00, 0xFF)) + byte_class((0x0A, 0x0D), *((c, c) for c in b".,;:!?"))
@@ -134,10 +137,10 @@ def phrases_of(words: np.ndarray, lang: str, longest: int, reached: np.ndarray)
         number = longer
 
 
-def count_active(words: np.ndarray, lang: str, longest: int, reached: np.ndarray, recent: np.ndarray, lengths: set[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Numbers and counts of the active phrases of two and more words; ``lengths`` are those of the subphrases in ``recent``."""
+def count_active(words: np.ndarray, lang: str, longest: int, reached: np.ndarray, recent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers and counts of the active phrases of two and more words: what the bits alone say, of every length."""
     for length, at, number, subs in phrases_of(words, lang, longest, reached):
-        if length - 1 in lengths and len(at):
+        if length > 1 and len(at):
             head, tail = (_in(recent, _named(subs[x], length - 1)) for x in (at, at + 1))
             yield np.unique(number[head | tail], return_counts=True)
 
@@ -164,17 +167,13 @@ def _lots(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
         first += len(code)
 
 
-def _tables(state: DataFrame, step: int, count: int, longest: int) -> tuple[np.ndarray, np.ndarray, set[int]]:
-    """Bit tables of the phrases that have reached the threshold, at all and in the last cycle; lengths of the latter.
+def _tables(state: DataFrame, step: int, count: int, longest: int, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bit tables of the phrases that have reached the threshold, at all and in the last cycle, both made for ``room`` entries.
 
     Built by the tasks; their size is bounded whatever the number of phrases.
     """
-    length = F.shiftrightunsigned("number", 61)
-    known = state.filter(F.col("reached").isNotNull() & (length < longest))
-    known = known.select("number", length.alias("length"), (F.col("reached") >= step - count).alias("recent"))
-    numbers = {(r["length"], r["recent"]): r["n"] for r in known.groupBy("length", "recent").agg(F.count(F.lit(1)).alias("n")).collect()}
-    lately = {k: n for (k, recent), n in numbers.items() if recent}
-    return _table(known, sum(numbers.values())), _table(known.filter("recent"), sum(lately.values())), set(lately)
+    known = state.filter(F.col("reached").isNotNull() & (F.shiftrightunsigned("number", 61) < longest))
+    return _table(known, room), _table(known.filter(F.col("reached") >= step - count), room)
 
 
 def _table(phrases: DataFrame, count: int) -> np.ndarray:
@@ -205,13 +204,13 @@ def _single_counts(shard: DataFrame) -> DataFrame:
     return in_tasks(shard.select("lang", "words"), per_batch, "lang string, w long, number long, n long")
 
 
-def _longer_counts(shard: DataFrame, longest: int, tables: Broadcast, lengths: set[int]) -> DataFrame:
+def _longer_counts(shard: DataFrame, longest: int, tables: Broadcast) -> DataFrame:
     """Columns number, n: the active phrases of two and more words in a shard."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, words in _lots(batch):
-                for number, n in count_active(words, lang, longest, *tables.value, lengths):
+                for number, n in count_active(words, lang, longest, *tables.value):
                     yield pa.RecordBatch.from_arrays([pa.array(number.view(np.int64)), pa.array(n)], names=["number", "n"])
 
     return in_tasks(shard.select("lang", "words"), per_batch, "number long, n long")
@@ -233,27 +232,31 @@ def frequent_phrases(shards: DataFrame, folder: str, threshold: int = THRESHOLD,
     their counts be too high.
     """
     spark = shards.sparkSession
+    # Of each length at most so many phrases have the threshold; texts have far fewer, so a quarter of it is room enough.
+    words = shards.agg(F.sum("n")).first()[0] or 0
+    room = max(1, (longest - 1) * words // threshold // 4)
     singles = spark.createDataFrame([], "lang string, w long, number long, n long, start int, reached int")
     longer = spark.createDataFrame([], "number long, n long, start int, reached int")
     step = 0
     while True:
         known = singles.select(longer.columns).union(longer)
-        reached, recent, lengths = _tables(known, step, count, longest)
-        if step >= count and not lengths:
+        reached, recent = _tables(known, step, count, longest, room)
+        active = recent.any()
+        if step >= count and not active:
             done = F.col("reached").isNotNull()
             return singles.filter(done).select("lang", "w", "number", "n"), longer.filter(done).select("number", "n")
         shard = shards.filter(F.col("shard") == step % count)
         if step < count:
             new = _added(singles, _single_counts(shard), ["lang", "w", "number"], step, threshold, count)
             singles = stored(new, folder, f"singles{step}")
-        if lengths:
+        if active:
             given = spark.sparkContext.broadcast((reached, recent))
-            new = _added(longer, _longer_counts(shard, longest, given, lengths), ["number"], step, threshold, count)
+            new = _added(longer, _longer_counts(shard, longest, given), ["number"], step, threshold, count)
             longer = stored(new, folder, f"longer{step}")
             given.unpersist()
         if 0 < step < count:
             remove_dir(spark, f"{folder}/singles{step - 1}")
-        if lengths:
+        if active:
             remove_dir(spark, f"{folder}/longer{step - 1}")
         step += 1
 
@@ -266,17 +269,50 @@ def _groups(number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.flatnonzero(head), np.cumsum(head) - 1
 
 
-def _same(words: np.ndarray, at: np.ndarray, number: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Place of one occurrence of each phrase that starts at one of the places, and how often it occurs."""
+def _same(words: np.ndarray, at: np.ndarray, number: np.ndarray, length: int, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Place of one occurrence of each phrase that starts at one of the places, and how often it occurs: once or ``times`` a place."""
     order, head, group = _groups(number)
     at = at[order]
     first = at[head]
     told = all((words[at + k] == words[first + k][group]).all() for k in range(length))
-    if told:
+    if not told:
+        lines = np.stack([words[at + k] for k in range(length)], axis=1)  # phrases of one number: compare whole
+        _, head, group = np.unique(lines, axis=0, return_index=True, return_inverse=True)
+        first, group = at[head], group.reshape(-1)
+    if times is None:
         return first, np.bincount(group)
-    lines = np.stack([words[at + k] for k in range(length)], axis=1)  # phrases of one number: compare whole
-    _, head, n = np.unique(lines, axis=0, return_index=True, return_counts=True)
-    return at[head], n
+    n = np.zeros(len(first), np.int64)
+    np.add.at(n, group, times[order])
+    return first, n
+
+
+class _Held:
+    """Phrases a task has counted, by language and length: numbers, words one after another, and counts."""
+
+    def __init__(self) -> None:
+        self.parts: dict[tuple[str, int], list[tuple[np.ndarray, ...]]] = {}
+        self.rows = 0
+
+    def add(self, lang: str, length: int, number: np.ndarray, words: np.ndarray, n: np.ndarray) -> None:
+        self.parts.setdefault((lang, length), []).append((number, words, n))
+        self.rows += len(n)
+
+    def add_up(self) -> None:
+        """One entry for each phrase."""
+        for (_, length), parts in self.parts.items():
+            if len(parts) > 1:
+                number, words, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+                first, n = _same(words, np.arange(len(number)) * length, number, length, times)
+                parts[:] = [(number[first // length], words[first[:, None] + np.arange(length)].ravel(), n)]
+        self.rows = sum(len(n) for parts in self.parts.values() for *_, n in parts)
+
+    def handed_on(self) -> Iterator[pa.RecordBatch]:
+        for (lang, length), parts in self.parts.items():
+            for _, words, n in parts:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(n), pa.string()), _written(words, np.arange(len(n)) * length, length), pa.array(n)], names=["lang", "p", "n"]
+                )
+        self.parts, self.rows = {}, 0
 
 
 def _written(words: np.ndarray, first: np.ndarray, length: int) -> pa.Array:
@@ -289,16 +325,24 @@ def exact_counts(shards: DataFrame, singles: DataFrame, longer: DataFrame, thres
     numbers = singles.select("number").union(longer.select("number"))
     table = shards.sparkSession.sparkContext.broadcast(_table(numbers, numbers.count()))
 
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
         for batch in batches:
             for lang, words in _lots(batch):
                 for length, at, number, _ in phrases_of(words, lang, longest, table.value):
                     wanted = _in(table.value, number)
                     if length > 1 and wanted.any():
                         first, n = _same(words, at[wanted], number[wanted], length)
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), _written(words, first, length), pa.array(n)], names=["lang", "p", "n"])
-
-    rows = in_tasks(shards.select("lang", "words"), per_batch, "lang string, p binary, n long")
+                        place = np.searchsorted(at, first)
+                        held.add(lang, length, number[place], words[first[:, None] + np.arange(length)].ravel(), n)
+            if held.rows > _HELD:
+                held.add_up()
+                if held.rows > _HELD // 2:
+                    yield from held.handed_on()
+        held.add_up()
+        yield from held.handed_on()
+
+    rows = in_tasks(shards.select("lang", "words"), per_task, "lang string, p binary, n long")
     found = rows.groupBy("lang", "p").agg(F.sum("n").alias("n")).filter(F.col("n") >= threshold)
     return found.union(singles.select("lang", F.unhex(F.lpad(F.hex("w"), 16, "0")).alias("p"), "n"))
 

@@ -131,3 +131,34 @@ def test_numbers_shared_by_chance_are_told_apart():
     at = np.array([0, 1, 3, 4])
     first, n = co._same(words, at, np.array([1, 1, 1, 1], np.uint64), 2)
     assert sorted(zip(map(tuple, (words[f : f + 2].tolist() for f in first)), n.tolist(), strict=True)) == [((5, 6), 2), ((6, 7), 1), ((6, 8), 1)]
+
+
+def test_bits_set_by_chance_lose_no_phrase(spark, monkeypatch):
+    """b becomes frequent late. If its bit was set by another word before, 'a b' must still be counted for a whole cycle."""
+    monkeypatch.setattr(co, "_BITS", (1 << 6, 1 << 28))
+    monkeypatch.setattr(co, "_EACH", 4)
+    rng = random.Random(3)
+    units = [u for i in range(400) for u in [f"a{i} b{i}"] * rng.randint(10, 13) + [f"a{i}"] * rng.randint(0, 30)]
+    rng.shuffle(units)
+    rows = [("en", ". ".join(units[at : at + 50])) for at in range(0, len(units), 50)]
+    assert mined(spark, rows, threshold=10) == brute(rows, 10)
+
+
+def test_a_task_hands_on_each_phrase_once(spark, monkeypatch):
+    """Counts of many batches and languages are added up in the task; few or many phrases held give the same rows."""
+    schema = "lang string, n long, words binary, shard int"
+    rng = np.random.default_rng(4)
+    rows = [(lang, 9, np.append(rng.integers(1, 4, 9), 0).astype(np.uint64).tobytes(), 0) for lang in ["en", "de"] * 300]
+    shards = spark.createDataFrame(rows, schema).coalesce(1)
+    singles, longer = co.frequent_phrases(shards, shared_folder(spark), threshold=20, longest=3, count=1)
+    got = []
+    for held in (1 << 19, 8):
+        monkeypatch.setattr(co, "_HELD", held)
+        got.append(sorted((r.lang, bytes(r.p), r.n) for r in co.exact_counts(shards, singles, longer, 20, 3).collect()))
+    assert got[0] == got[1] and len(got[0]) == 2 * (3 + 9 + 27)
+    parts = co._Held()
+    for n in (1, 2):
+        parts.add("en", 2, np.array([7, 7, 9], np.uint64), np.array([1, 2, 3, 4, 1, 2], np.uint64), np.array([n, n, n]))
+    parts.add_up()
+    ((number, words, n),) = parts.parts["en", 2]
+    assert sorted(zip(map(tuple, words.reshape(-1, 2).tolist()), n.tolist(), strict=True)) == [((1, 2), 6), ((3, 4), 3)]
