@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 
@@ -60,6 +63,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIRS[application]
 
 
+# Jobs run side by side: enough that one's last tasks and planning leave no cores idle.
+_AT_ONCE = 4
+
+
+def at_once(spark: SparkSession, calls: Iterable[Callable[[], None]]) -> None:
+    """Run jobs that need nothing of each other side by side. All end before the first error, in the order given, is raised."""
+    with ThreadPoolExecutor(_AT_ONCE) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(call)) for call in calls]
+    for job in started:
+        job.result()
+
+
 def remove_dir(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

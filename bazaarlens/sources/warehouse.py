@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Iterable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql.types import StringType
 from bazaarlens.functions.periods import COARSE_FACT_COLUMNS, COARSE_ORDER_COLUMNS, month_start
 from bazaarlens.operators.numbering import dense_numbers
 from bazaarlens.schemas import DATED_TABLES, FACT_TABLES, FACTS_PARTITION, ORDER_KEY, ORDERS_PARTITION
-from bazaarlens.session import build_session, remove_dir
+from bazaarlens.session import at_once, build_session, remove_dir
 from bazaarlens.sources.bucketed import buckets_of, note_buckets, open_buckets, spreads_evenly, write_buckets
 from bazaarlens.sources.labels import ITEM_LABEL, LABELLING, note_labels, with_labels, without_stale_labels
 from bazaarlens.sources.notes import read_note, write_note
@@ -113,18 +114,28 @@ def load_raw(
 ) -> None:
     """Full refresh of the tables (all nine unless named) from the raw files.
 
-    Tables with several rows per order come last: they take months from orders, and items labels from products.
-    The first bad value ends the load, unless ``bad_rows`` says how many rows of a table may be put aside under
+    Tables with several rows per order come last: they take months from orders, and items labels from products, and
+    are not touched if another table fails. Otherwise tables are loaded side by side, but for products and their
+    translation, which note their labels together. The first bad value ends the load, unless ``bad_rows`` says how many rows of a table may be put aside under
     ``quarantine``; that reads the files once more.
     """
-    for table in sorted(tables, key=FACT_TABLES.__contains__):
-        if bad_rows is None:
-            rows = read_raw(spark, raw_dir, table)
-        else:
-            text = read_text(spark, raw_dir, table)
-            put_aside(text, warehouse_dir, table, bad_rows)
-            rows = good_rows(text, table)
-        store_table(rows, warehouse_dir, table, buckets, dated)
+
+    def load(*tables: str) -> None:
+        for table in tables:
+            if bad_rows is None:
+                rows = read_raw(spark, raw_dir, table)
+            else:
+                text = read_text(spark, raw_dir, table)
+                put_aside(text, warehouse_dir, table, bad_rows)
+                rows = good_rows(text, table)
+            store_table(rows, warehouse_dir, table, buckets, dated)
+
+    wanted = list(tables)
+    alone = [t for t in wanted if t not in FACT_TABLES and t not in LABELLING]
+    # Orders take longest of the first, so they start first.
+    first = [(t,) for t in sorted(alone, key="orders".__ne__)] + [tuple(t for t in wanted if t in LABELLING)]
+    for groups in (first, [(t,) for t in wanted if t in FACT_TABLES]):
+        at_once(spark, [partial(load, *group) for group in groups])
 
 
 def refresh(

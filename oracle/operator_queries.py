@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 from decimal import Decimal
-from functools import reduce
+from functools import partial, reduce
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,7 +32,7 @@ from bazaarlens.operators.skew import salted_join
 from bazaarlens.params import Period
 from bazaarlens.plans.datasets import Datasets
 from bazaarlens.plans.freight import toxic_freight_split
-from bazaarlens.session import shared_dir
+from bazaarlens.session import at_once, shared_dir
 from bazaarlens.sources.raw_csv import RAW_FILES
 from bazaarlens.sources.results import export_csv
 from bazaarlens.sources.star import STAR_PARAMS, STAR_SCHEMAS, StarMarketplace
@@ -236,8 +236,8 @@ def _raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def load_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw CSV files to stored tables: rows per table, and the total of each table's amount if it has one."""
     folder = f"{shared_dir(spark)}/load-{uuid4().hex}"
-    for name, df in _raw_tables(spark, sf_dir).items():
-        df.write.option("header", True).csv(f"{folder}/raw/{RAW_FILES[name].replace('*', 'shop_')}")
+    raw = {f"{folder}/raw/{RAW_FILES[name].replace('*', 'shop_')}": df for name, df in _raw_tables(spark, sf_dir).items()}
+    at_once(spark, [partial(df.write.option("header", True).csv, path) for path, df in raw.items()])
     load_raw(spark, f"{folder}/raw", f"{folder}/tables")
     stored = StoredMarketplace(spark, f"{folder}/tables")
     amounts = {"order_items": "price", "order_payments": "payment_value"}

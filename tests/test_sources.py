@@ -204,3 +204,38 @@ def test_reviews_are_rebalanced_after_the_read(spark, tmp_path):
         (tmp_path / name).write_text(",".join(COLUMN_TYPES[table]) + "\n")
         plan = read_raw(spark, str(tmp_path), table)._jdf.queryExecution().optimizedPlan().toString()
         assert ("RebalancePartitions" in plan) == (table == "order_reviews"), plan
+
+
+def test_tables_that_need_nothing_of_each_other_load_side_by_side(spark, raw_dir, tmp_path, monkeypatch):
+    """Orders, customers and sellers meet; the facts meet as well, after all others; after a failure they are left alone."""
+    from threading import Barrier
+
+    from bazaarlens.schemas import FACT_TABLES
+    from bazaarlens.sources import warehouse
+
+    real, done = warehouse.store_table, []
+    meet = {t: b for ts in (("orders", "customers", "sellers"), FACT_TABLES) for b in [Barrier(3)] for t in ts}
+
+    def store(df, folder, table, *rest):
+        if table in meet:
+            meet[table].wait(120)
+        real(df, folder, table, *rest)
+        done.append(table)
+
+    monkeypatch.setattr(warehouse, "store_table", store)
+    folder = str(tmp_path / "tables")
+    load_raw(spark, str(raw_dir), folder)
+    assert sorted(done) == sorted(RAW_FILES) and set(done[-3:]) == set(FACT_TABLES)
+    assert done.index("products") < done.index("category_translation")
+    assert StoredMarketplace(spark, folder).order_items.count() == 2
+
+    def failing(df, folder, table, *rest):
+        if table == "sellers":
+            raise ValueError("sellers")
+        done.append(table)
+
+    done.clear()
+    monkeypatch.setattr(warehouse, "store_table", failing)
+    with pytest.raises(ValueError, match="sellers"):
+        load_raw(spark, str(raw_dir), folder)
+    assert not set(done) & set(FACT_TABLES)
