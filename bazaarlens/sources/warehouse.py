@@ -165,6 +165,7 @@ class StoredMarketplace:
     def __init__(self, spark: SparkSession, warehouse_dir: str) -> None:
         self._spark = spark
         self._dir = current(spark, warehouse_dir)
+        self._by_date: dict[str, DataFrame | None] = {}
 
     def __getattr__(self, table: str) -> DataFrame:
         if table not in RAW_FILES:
@@ -182,10 +183,11 @@ class StoredMarketplace:
 
     def by_own_date(self, table: str) -> DataFrame | None:
         """Delivered orders or reviews as stored by the month of their own date, if they are."""
-        folder, *_ = DATED_TABLES[table]
-        if not read_note(self._spark, self._dir, f"dated_{table}"):
-            return None
-        return self._spark.read.parquet(f"{self._dir}/{folder}")
+        if table not in self._by_date:
+            folder, *_ = DATED_TABLES[table]
+            there = read_note(self._spark, self._dir, f"dated_{table}")
+            self._by_date[table] = self._spark.read.parquet(f"{self._dir}/{folder}") if there else None
+        return self._by_date[table]
 
 
 def main() -> None:
