@@ -13,16 +13,18 @@ averaged over the groups that learnt it, by how many positions of theirs did, an
 Rows no group learnt stay. So neither files nor tasks nor executors have a part in the result, which depends on the texts
 and ``GROUP_WORDS`` alone (sums of doubles may differ in their last bits). A text with more than ``COPIES`` copies is dealt
 out over several groups by number, so copies never meet in one. The driver gets one table of counts and, every
-round, one set of weights, of fixed sizes.
+round, one set of weights, of fixed sizes. It sends the counts once and each round's weights; the words' ways are worked
+out by the tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,38 +47,47 @@ _FAR = 60  # e to the power of minus this is still well above the smallest singl
 _SHAPES = {"near": (len(_PLACES), _CONTEXT + 1, HIDDEN), "hidden": (HIDDEN,), "out": (HIDDEN, CLASSES), "bias": (CLASSES,), "fork": (1 << WORD_BITS, HIDDEN)}
 
 
-@dataclass
 class Words:
     """What the corpus says about words: the class of each hashed word, its log share of the class and its way there.
 
-    The forks of word w are ``forks[first[w] : first[w + 1]]``, and ``right`` says which side it is on. ``odds`` of a
-    fork are the log odds of its right side in the corpus.
+    Each of the most frequent words is a class; the others, by frequency, are cut into classes of about equal weight.
+    Every hashed word counts once more than it occurs, so words of other corpora have a chance. ``prior`` has the log
+    share of each class, ``total`` the words of the corpus. The ways, ten times as large as the counts, are worked out
+    where they are first asked for; what is sent to a task is the counts.
     """
 
-    kind: np.ndarray
-    share: np.ndarray
-    prior: np.ndarray  # log share of each class
-    first: np.ndarray
-    forks: np.ndarray
-    right: np.ndarray
-    odds: np.ndarray
-    total: float = 0.0  # words of the corpus
+    def __init__(self, counts: np.ndarray):
+        self.counts, self.total = counts, float(counts.sum())
+        smooth = counts + 1.0
+        self.order = np.argsort(-smooth, kind="stable")
+        self.kind = np.empty(len(counts), np.int64)
+        self.kind[self.order[:OWN_CLASSES]] = np.arange(OWN_CLASSES)
+        rest = self.order[OWN_CLASSES:]
+        upto = np.cumsum(smooth[rest])
+        self.kind[rest] = OWN_CLASSES + np.minimum(((upto - smooth[rest]) / upto[-1] * (CLASSES - OWN_CLASSES)).astype(np.int64), CLASSES - OWN_CLASSES - 1)
+        total = np.bincount(self.kind, smooth, minlength=CLASSES)
+        self.share, self.prior = np.log(smooth / total[self.kind]), np.log(np.maximum(total, 1e-300) / total.sum())
+
+    def __reduce__(self) -> tuple:
+        return Words, (self.counts,)
+
+    @cached_property
+    def ways(self) -> tuple[np.ndarray, ...]:
+        """first, forks, right and odds.
+
+        The forks of word w are ``forks[first[w] : first[w + 1]]``, and ``right`` says which side it is on. ``odds`` of a
+        fork are the log odds of its right side in the corpus.
+        """
+        return _ways(self.order, self.kind[self.order], self.counts[self.order] + 1.0)
 
+    first = property(lambda self: self.ways[0])
+    forks = property(lambda self: self.ways[1])
+    right = property(lambda self: self.ways[2])
+    odds = property(lambda self: self.ways[3])
 
-def words_of(counts: np.ndarray) -> Words:
-    """Each of the most frequent words is a class; the others, by frequency, are cut into classes of about equal weight.
 
-    Every hashed word counts once more than it occurs, so words of other corpora have a chance.
-    """
-    smooth = counts + 1.0
-    order = np.argsort(-smooth, kind="stable")
-    kind = np.empty(len(counts), np.int64)
-    kind[order[:OWN_CLASSES]] = np.arange(OWN_CLASSES)
-    rest = order[OWN_CLASSES:]
-    upto = np.cumsum(smooth[rest])
-    kind[rest] = OWN_CLASSES + np.minimum(((upto - smooth[rest]) / upto[-1] * (CLASSES - OWN_CLASSES)).astype(np.int64), CLASSES - OWN_CLASSES - 1)
-    total = np.bincount(kind, smooth, minlength=CLASSES)
-    return Words(kind, np.log(smooth / total[kind]), np.log(np.maximum(total, 1e-300) / total.sum()), *_ways(order, kind[order], smooth[order]), float(counts.sum()))
+def words_of(counts: np.ndarray) -> Words:
+    return Words(counts)
 
 
 def _ways(order: np.ndarray, kind: np.ndarray, smooth: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -85,25 +96,32 @@ def _ways(order: np.ndarray, kind: np.ndarray, smooth: np.ndarray) -> tuple[np.n
     A fork is named by the place in the order of the first word on its right, which no other fork has.
     """
     upto = np.concatenate(([0.0], np.cumsum(smooth)))
-    place = np.arange(len(order))
-    low, high = np.searchsorted(kind, kind), np.searchsorted(kind, kind, side="right")
+    low, high = (np.searchsorted(kind, kind, side=side).astype(np.int32) for side in ("left", "right"))
     odds = np.zeros(len(order), np.float32)
-    of, forks, right = [], [], []
-    inside = np.flatnonzero(high - low > 1)
+    depth = np.zeros(len(order), np.int32)
+    levels = []
+    inside = np.flatnonzero(high - low > 1).astype(np.int32)
     while len(inside):
         a, b = low[inside], high[inside]
-        cut = np.clip(np.searchsorted(upto, (upto[a] + upto[b]) / 2), a + 1, b - 1)
-        odds[cut] = np.log((upto[b] - upto[cut]) / (upto[cut] - upto[a]))
-        side = place[inside] >= cut
-        of.append(order[inside])
-        forks.append(cut.astype(np.int32))
-        right.append(side)
+        head = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))  # a stretch's words lie side by side
+        left, end = a[head], b[head]
+        cut = np.clip(np.searchsorted(upto, (upto[left] + upto[end]) / 2), left + 1, end - 1).astype(np.int32)
+        odds[cut] = np.log((upto[end] - upto[cut]) / (upto[cut] - upto[left]))
+        cut = np.repeat(cut, np.diff(head, append=len(a)))
+        side = inside >= cut
+        levels.append((inside, cut, side))
+        depth[inside] += 1
         low[inside], high[inside] = np.where(side, cut, a), np.where(side, b, cut)
         inside = inside[high[inside] - low[inside] > 1]
-    whose = np.concatenate([np.zeros(0, np.int64), *of])
-    by_word = np.argsort(whose, kind="stable")
-    first = np.concatenate(([0], np.cumsum(np.bincount(whose, minlength=len(order)))))
-    return first, np.concatenate([np.zeros(0, np.int32), *forks])[by_word], np.concatenate([np.zeros(0, bool), *right])[by_word], odds
+    count = np.zeros(len(order), np.int64)
+    count[order] = depth
+    first = np.concatenate(([0], np.cumsum(count)))
+    start = first[order]
+    forks, right = np.empty(first[-1], np.int32), np.empty(first[-1], bool)
+    for level, (inside, cut, side) in enumerate(levels):
+        at = start[inside] + level
+        forks[at], right[at] = cut, side
+    return first, forks, right, odds
 
 
 def start_weights(words: Words) -> dict[str, np.ndarray]:
@@ -327,19 +345,20 @@ def _rows_learnt(trainer: Trainer) -> list[tuple[int, np.ndarray, np.ndarray, np
     return found
 
 
-def _with_rows(weights: dict[str, np.ndarray], kind: np.ndarray, row: np.ndarray, values: np.ndarray) -> dict[str, np.ndarray]:
-    """The weights with the rows given in place of theirs."""
-    new = {"fork": np.zeros(_SHAPES["fork"], np.float32)} | {name: value.copy() for name, value in weights.items()}
-    for k, name in enumerate(_TABLES):
-        new[name].reshape(-1, HIDDEN)[row[kind == k]] = values[kind == k]
-    whole = np.concatenate([new[name].ravel() for name in _WHOLE]).reshape(-1, HIDDEN)
-    whole[row[kind == len(_TABLES)]] = values[kind == len(_TABLES)]
+def _put_rows(weights: dict[str, np.ndarray], learnt: pa.Table) -> None:
+    """Put the rows learnt, columns kind, row and their numbers, in place of the weights' own."""
+    weights.setdefault("fork", np.zeros(_SHAPES["fork"], np.float32))
+    whole = np.concatenate([weights[name].ravel() for name in _WHOLE]).reshape(-1, HIDDEN)
+    tables = [*(weights[name].reshape(-1, HIDDEN) for name in _TABLES), whole]
+    for batch in learnt.to_batches(max_chunksize=1 << 15):
+        kind, row = batch.column("kind").to_numpy(), batch.column("row").to_numpy()
+        values = np.stack([batch.column(f"w{i}").to_numpy() for i in range(HIDDEN)], axis=1)
+        for k, table in enumerate(tables):
+            table[row[kind == k]] = values[kind == k]
     at = 0
     for name in _WHOLE:
-        size = new[name].size
-        new[name] = whole.ravel()[at : at + size].reshape(_SHAPES[name]).copy()
-        at += size
-    return {name: new[name] for name in _SHAPES}
+        weights[name] = whole.ravel()[at : at + weights[name].size].reshape(_SHAPES[name]).copy()
+        at += weights[name].size
 
 
 def _dealt(rows: DataFrame, groups: int, folder: str) -> DataFrame:
@@ -360,19 +379,20 @@ def _dealt(rows: DataFrame, groups: int, folder: str) -> DataFrame:
     return once.union(hot.select(F.pmod(F.pmod("h", F.lit(groups)) + F.col("part"), F.lit(groups)).cast("int"), "h", "text", times.cast("long")))
 
 
-def train(rows: DataFrame, words: Words, folder: str) -> dict[str, np.ndarray]:
-    """Weights learnt from all texts, in rounds."""
+def train(rows: DataFrame, words: Words, folder: str, sent: Broadcast | None = None) -> dict[str, np.ndarray]:
+    """Weights learnt from all texts, in rounds. ``sent``: the words, if tasks have them already."""
     weights = start_weights(words)
+    known = sent or rows.sparkSession.sparkContext.broadcast(words)
     total = int(round(words.total))
     groups = max(1, -(-total // GROUP_WORDS))
     rounds = min(ROUNDS, groups)
     dealt = _dealt(rows, groups, folder)
     numbers = [f"w{i}" for i in range(HIDDEN)]
     for turn in range(rounds if total else 0):
-        given = rows.sparkSession.sparkContext.broadcast((words, weights))
+        given = rows.sparkSession.sparkContext.broadcast(weights)
 
         def per_task(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            words, weights = given.value
+            words, weights = known.value, given.value
             own, trainer, held, size, texts = None, None, [], 0, 0
 
             def learn(last: bool) -> None:
@@ -426,11 +446,12 @@ def train(rows: DataFrame, words: Words, folder: str) -> dict[str, np.ndarray]:
         sums = [F.sum(F.col(w).cast("double") * F.col("n")).alias(w) for w in numbers]
         learnt = learnt.groupBy("kind", "row", F.floor(F.col("group") / FAN_IN).alias("part")).agg(F.sum("n").alias("n"), *sums)
         means = [(F.sum(w) / F.sum("n")).cast("float").alias(w) for w in numbers]
-        got = stored(learnt.groupBy("kind", "row").agg(*means), folder, f"weights{turn}").toArrow()
-        values = np.stack([got.column(w).to_numpy() for w in numbers], axis=1)
-        weights = _with_rows(weights, got.column("kind").to_numpy(), got.column("row").to_numpy(), values)
+        learnt = stored(learnt.groupBy("kind", "row").agg(*means), folder, f"weights{turn}")
         given.destroy()  # the round's result is a stored table, so nothing asks for these weights again
-        del got, values
+        _put_rows(weights, learnt.toArrow())
+        pa.default_memory_pool().release_unused()
+    if sent is None:
+        known.destroy()
     return weights
 
 
@@ -444,12 +465,13 @@ def lm_scores(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text
     folder = shared_folder(spark)
     rows = keyed(docs, F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     words = words_of(count_words(rows))
-    model = spark.sparkContext.broadcast((words, train(rows, words, folder)))
+    known = spark.sparkContext.broadcast(words)
+    model = spark.sparkContext.broadcast(train(rows, words, folder, known))
     kind = dict(rows.dtypes)["doc_id"]
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
-            n, total = log_likelihood(as_bytes(batch.column("text")), *model.value)
+            n, total = log_likelihood(as_bytes(batch.column("text")), known.value, model.value)
             mean = pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0), mask=n == 0)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("file", "row", "doc_id")), pa.array(n.astype(np.int64)), pa.array(total), mean],

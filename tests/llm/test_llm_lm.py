@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
@@ -213,3 +214,29 @@ def test_sums_and_scores_agree_with_plain_ones(monkeypatch):
     assert np.allclose(near, log_likelihood(texts, words, trainer.weights)[1], rtol=1e-5)
     x = np.float32([-200, -5, 0, 5, 200])
     assert np.allclose(lm._soft(x), np.logaddexp(0, x.astype(float)), rtol=1e-6)
+
+
+def test_the_driver_sends_counts_and_keeps_no_ways(spark, texts):
+    """Ways of words are worked out by the tasks: what is sent of the words is their counts, and the same ways come of them."""
+    counts = counts_of(texts[:200])
+    words = words_of(counts)
+    sent = pickle.dumps(words)
+    assert len(sent) < 1.1 * counts.nbytes
+    rows = spark.createDataFrame([(t.decode(),) for t in texts[:200]], "text string")
+    weights = lm.train(rows, words, shared_folder(spark))
+    assert weights.keys() == lm._SHAPES.keys() and all(weights[k].shape == shape for k, shape in lm._SHAPES.items())
+    assert "ways" not in vars(words) and len(pickle.dumps(words)) == len(sent)
+    there = pickle.loads(sent)
+    assert all((getattr(there, k) == getattr(words, k)).all() for k in ("kind", "share", "prior", "first", "forks", "right", "odds")) and there.total == words.total
+    # Each word's way through the stretches of its class, one word after another.
+    order, upto = np.argsort(-(counts + 1.0), kind="stable"), np.concatenate(([0.0], np.cumsum(np.sort(counts + 1.0)[::-1])))
+    kind = words.kind[order]
+    for place in (0, lm.OWN_CLASSES, 500, 70_000, len(order) - 1):
+        low, high = np.searchsorted(kind, kind[place]), np.searchsorted(kind, kind[place], side="right")
+        way = []
+        while high - low > 1:
+            cut = int(np.clip(np.searchsorted(upto, (upto[low] + upto[high]) / 2), low + 1, high - 1))
+            way.append((cut, place >= cut))
+            low, high = (cut, high) if place >= cut else (low, cut)
+        at = slice(*words.first[order[place] : order[place] + 2])
+        assert [*zip(words.forks[at].tolist(), words.right[at].tolist(), strict=True)] == way
