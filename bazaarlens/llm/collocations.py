@@ -39,7 +39,9 @@ NO_LANG = "und"
 # Bits of a table: 32 for each entry it is made for, within these bounds (8 KB to 32 MB).
 _BITS = 1 << 16, 1 << 28
 _EACH = 32
+_OTHER = 28  # a table has no more than 2^28 bits, so a number without its last 28 is another to it
 _LOT = 1 << 19  # words counted at once
+_SCANNED = 1 << 25  # words a task of the last scan reads, if that makes more than two tasks for each core
 _HELD = 1 << 19  # phrases a task holds before it adds up and, if that helps little, hands on their counts
 _ROW = 128  # words stored in a row, and up to the end of a piece
 _BREAK = 2
@@ -321,16 +323,25 @@ def _written(words: np.ndarray, first: np.ndarray, length: int) -> pa.Array:
 
 
 def exact_counts(shards: DataFrame, singles: DataFrame, longer: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST) -> DataFrame:
-    """Columns lang, p, n: the words, and the longer phrases with these numbers, told apart by all their words, that occur so often."""
+    """Columns lang, p, n: the words, and the longer phrases with these numbers, told apart by all their words, that occur so often.
+
+    Every task gives a row for each frequent phrase it meets, so there are few tasks, whose number does not follow that
+    of the files. Rare phrases let through by a chance bit would be as many rows again: a second table, of other bits of
+    the numbers, keeps nearly all of them back.
+    """
+    context = shards.sparkSession.sparkContext
     numbers = singles.select("number").union(longer.select("number"))
-    table = shards.sparkSession.sparkContext.broadcast(_table(numbers, numbers.count()))
+    count = numbers.count()
+    others = numbers.select(F.shiftrightunsigned("number", _OTHER).alias("number"))
+    table = context.broadcast((_table(numbers, count), _table(others, count)))
+    tasks = max(2 * context.defaultParallelism, (shards.agg(F.sum("n")).first()[0] or 0) // _SCANNED)
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held()
+        held, (one, other) = _Held(), table.value
         for batch in batches:
             for lang, words in _lots(batch):
-                for length, at, number, _ in phrases_of(words, lang, longest, table.value):
-                    wanted = _in(table.value, number)
+                for length, at, number, _ in phrases_of(words, lang, longest, one):
+                    wanted = _in(one, number) & _in(other, number >> np.uint64(_OTHER))
                     if length > 1 and wanted.any():
                         first, n = _same(words, at[wanted], number[wanted], length)
                         place = np.searchsorted(at, first)
@@ -342,7 +353,7 @@ def exact_counts(shards: DataFrame, singles: DataFrame, longer: DataFrame, thres
         held.add_up()
         yield from held.handed_on()
 
-    rows = in_tasks(shards.select("lang", "words"), per_task, "lang string, p binary, n long")
+    rows = in_tasks(shards.select("lang", "words").coalesce(tasks), per_task, "lang string, p binary, n long")
     found = rows.groupBy("lang", "p").agg(F.sum("n").alias("n")).filter(F.col("n") >= threshold)
     return found.union(singles.select("lang", F.unhex(F.lpad(F.hex("w"), 16, "0")).alias("p"), "n"))
 

@@ -162,3 +162,32 @@ def test_a_task_hands_on_each_phrase_once(spark, monkeypatch):
     parts.add_up()
     ((number, words, n),) = parts.parts["en", 2]
     assert sorted(zip(map(tuple, words.reshape(-1, 2).tolist()), n.tolist(), strict=True)) == [((1, 2), 6), ((3, 4), 3)]
+
+
+def test_rows_of_the_last_scan(spark, monkeypatch):
+    """A frequent phrase is one row for each of a few tasks, however many files there are, and hardly a rare one is told."""
+    monkeypatch.setattr(co, "_BITS", (1 << 6, 1 << 28))
+    schema = "lang string, n long, words binary, shard int"
+    rng = np.random.default_rng(5)
+    often, zero = np.arange(1, 401, dtype=np.uint64), np.zeros(1, np.uint64)
+    rows = []
+    for _ in range(400):
+        # Some 480 times each of 400 words, in pairs of any two, all of them rare; and 40 pairs that always stay together.
+        words = np.concatenate([np.append(rng.choice(often, 8), zero) for _ in range(60)] + [np.array([500 + 2 * k, 501 + 2 * k, 0], np.uint64) for k in range(40)])
+        rows.append(("en", int((words > 0).sum()), words.tobytes(), 0))
+    shards = spark.createDataFrame(rows, schema).repartition(40)
+    singles, longer = co.frequent_phrases(shards, shared_folder(spark), threshold=100, longest=2, count=1)
+    given, real = [], co.in_tasks
+
+    def told(df, per_task, schema):
+        given.append(real(df, per_task, schema))
+        return given[-1]
+
+    monkeypatch.setattr(co, "in_tasks", told)
+    got = {tuple(np.frombuffer(r.p, ">u8").tolist()): r.n for r in co.exact_counts(shards, singles, longer, 100, 2).collect()}
+    pairs = [p for p in got if len(p) == 2]
+    assert sorted(pairs) == [(500 + 2 * k, 501 + 2 * k) for k in range(40)] and all(got[p] == 400 for p in pairs) and len(got) == 40 + 480
+    rows_told = given[0].groupBy("p").count().collect()
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    assert sum(r["count"] for r in rows_told if bytes(r.p) in {np.array(p, ">u8").tobytes() for p in pairs}) <= tasks * 40
+    assert len(rows_told) < 40 + 0.005 * 160_000
