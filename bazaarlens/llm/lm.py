@@ -38,6 +38,8 @@ BATCH, RATE = 4096, 0.15
 GROUP_WORDS, ROUNDS, COPIES = 1 << 21, 3, 64
 _CHUNK = 1 << 19  # words learnt from at a time, a multiple of BATCH
 SCORED = 4096  # words scored at a time: their class scores stay in the processor's cache
+TOP = 6  # levels of a class's tree whose forks are asked by one product for all of the class's words in a batch
+_NODES = (1 << TOP) - 1
 FAN_IN = 32  # groups whose weights are added up before those of all
 SEED = 42
 _PLACES = [k for k in range(-REACH, REACH + 1) if k]
@@ -73,17 +75,32 @@ class Words:
 
     @cached_property
     def ways(self) -> tuple[np.ndarray, ...]:
-        """first, forks, right and odds.
+        """first, forks, right, odds and spans.
 
         The forks of word w are ``forks[first[w] : first[w + 1]]``, and ``right`` says which side it is on. ``odds`` of a
-        fork are the log odds of its right side in the corpus.
+        fork are the log odds of its right side in the corpus, its span the places in the order of its first word and after
+        its last.
         """
         return _ways(self.order, self.kind[self.order], self.counts[self.order] + 1.0)
 
+    @cached_property
+    def top(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forks of each tree class's first ``TOP`` levels, as numbered in a heap (0, which is no fork, where there is none);
+        and of every word the number of its forks among them, and its sides there as bits, the first one highest."""
+        depth = np.minimum(np.diff(self.first), TOP).astype(np.uint8)
+        side, forks = np.zeros(len(depth), np.uint8), np.zeros((CLASSES - OWN_CLASSES, _NODES), np.int64)
+        for level in range(TOP):
+            there = np.flatnonzero(depth > level)
+            at = self.first[there] + level
+            forks[self.kind[there] - OWN_CLASSES, (1 << level) - 1 + (side[there] >> (TOP - level))] = self.forks[at]
+            side[there] |= self.right[at].astype(np.uint8) << (TOP - 1 - level)
+        return forks, depth, side
+
     first = property(lambda self: self.ways[0])
     forks = property(lambda self: self.ways[1])
     right = property(lambda self: self.ways[2])
     odds = property(lambda self: self.ways[3])
+    spans = property(lambda self: self.ways[4])
 
 
 def words_of(counts: np.ndarray) -> Words:
@@ -91,13 +108,13 @@ def words_of(counts: np.ndarray) -> Words:
 
 
 def _ways(order: np.ndarray, kind: np.ndarray, smooth: np.ndarray) -> tuple[np.ndarray, ...]:
-    """first, forks, right and odds of words in order of class: each stretch is cut where half of its weight is reached.
+    """first, forks, right, odds and spans of words in order of class: each stretch is cut where half of its weight is reached.
 
     A fork is named by the place in the order of the first word on its right, which no other fork has.
     """
     upto = np.concatenate(([0.0], np.cumsum(smooth)))
     low, high = (np.searchsorted(kind, kind, side=side).astype(np.int32) for side in ("left", "right"))
-    odds = np.zeros(len(order), np.float32)
+    odds, spans = np.zeros(len(order), np.float32), np.zeros((2, len(order)), np.int32)
     depth = np.zeros(len(order), np.int32)
     levels = []
     inside = np.flatnonzero(high - low > 1).astype(np.int32)
@@ -107,6 +124,7 @@ def _ways(order: np.ndarray, kind: np.ndarray, smooth: np.ndarray) -> tuple[np.n
         left, end = a[head], b[head]
         cut = np.clip(np.searchsorted(upto, (upto[left] + upto[end]) / 2), left + 1, end - 1).astype(np.int32)
         odds[cut] = np.log((upto[end] - upto[cut]) / (upto[cut] - upto[left]))
+        spans[:, cut] = left, end
         cut = np.repeat(cut, np.diff(head, append=len(a)))
         side = inside >= cut
         levels.append((inside, cut, side))
@@ -121,7 +139,7 @@ def _ways(order: np.ndarray, kind: np.ndarray, smooth: np.ndarray) -> tuple[np.n
     for level, (inside, cut, side) in enumerate(levels):
         at = start[inside] + level
         forks[at], right[at] = cut, side
-    return first, forks, right, odds
+    return first, forks, right, odds, spans
 
 
 def start_weights(words: Words) -> dict[str, np.ndarray]:
@@ -136,14 +154,14 @@ def _hashed(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _neighbours(context: np.ndarray, text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Context rows of the words around each position; the last row stands for the text's edge."""
-    found = np.full((len(_PLACES), len(at)), _CONTEXT, np.int64)
+def _neighbours(context: np.ndarray, text: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Context rows of the words around each position from first to last; the last row stands for the text's edge."""
+    found = np.full((len(_PLACES), last - first), _CONTEXT, np.int64)
     for k, place in enumerate(_PLACES):
-        other = at + place
-        inside = (other >= 0) & (other < len(context))
-        inside[inside] = text[other[inside]] == text[at[inside]]
-        found[k, inside] = context[other[inside]]
+        low, high = max(first, -place), min(last, len(context) - place)
+        if low < high:
+            other = slice(low + place, high + place)
+            found[k, low - first : high - first] = np.where(text[other] == text[low:high], context[other], _CONTEXT)
     return found
 
 
@@ -171,8 +189,8 @@ def _soft(x: np.ndarray) -> np.ndarray:
     return np.maximum(x, 0) + np.log1p(np.exp(-np.abs(x)))
 
 
-def _levels(words: Words, word: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Places of the words by number of forks, most first; and level by level fork and side of those that have so many.
+def _levels(words: Words, word: np.ndarray, top: int = 0) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Places of the words by number of forks, most first; and level by level, from ``top`` on, fork and side of those that have so many.
 
     The words with a fork on a level are the first so many of that order, so a level needs no index of its rows.
     """
@@ -180,7 +198,45 @@ def _levels(words: Words, word: np.ndarray) -> tuple[np.ndarray, list[tuple[np.n
     by_depth = np.argsort((255 - count).astype(np.uint8), kind="stable")
     way = words.first[word[by_depth]]
     deep = len(word) - np.cumsum(np.bincount(count))[:-1]
-    return by_depth, [(words.forks[at], words.right[at]) for at in (way[:n] + level for level, n in enumerate(deep))]
+    return by_depth, [(words.forks.take(at), words.right.take(at)) for at in (way[:n] + level for level, n in enumerate(deep) if level >= top)]
+
+
+class _Top:
+    """The forks of a batch's words on the first ``TOP`` levels: all of a class's forks are asked for all of its words
+    at once, which is one product of two small matrices, and each word keeps the answers on its way.
+
+    ``at`` has the batch's words of tree classes, by class, and ``there``, level by level, which of them have it.
+    """
+
+    def __init__(self, words: Words, word: np.ndarray, kind: np.ndarray, hidden: np.ndarray, forks: np.ndarray):
+        """``forks``: weights of the classes' forks, by class and number."""
+        own = np.bincount(kind, minlength=CLASSES)
+        ends = np.cumsum(own[OWN_CLASSES:])
+        self.stretches = [(c, slice(end - n, end)) for c, (n, end) in enumerate(zip(own[OWN_CLASSES:].tolist(), ends.tolist(), strict=True)) if n]
+        self.at = np.argsort(kind.astype(np.uint8), kind="stable")[len(kind) - ends[-1] :]
+        word = word[self.at]
+        levels = np.arange(TOP, dtype=np.uint8)[:, None]
+        fork_of, depth, side = words.top
+        side = side.take(word)
+        node = ((1 << levels) - 1).astype(np.uint8) + (side >> (TOP - levels))
+        self.there, self.right = depth.take(word) > levels, (side >> (TOP - 1 - levels)) & 1
+        self.place = np.arange(len(word)) * _NODES + node
+        self.layer, self.forks = hidden.take(self.at, axis=0), forks
+        self.scores = np.empty((len(word), _NODES), np.float32)
+        for c, some in self.stretches:
+            np.matmul(self.layer[some], forks[c].T, out=self.scores[some])
+        self.odds = words.odds[fork_of].ravel().take((kind[self.at] - OWN_CLASSES) * _NODES + node) + self.scores.ravel().take(self.place)
+
+    def back(self, wrong: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the errors of the words' answers mean to their hidden layer, and to the forks."""
+        errors = self.scores
+        errors[:] = 0
+        errors.reshape(-1)[self.place] = wrong
+        layer, forks = np.empty_like(self.layer), np.zeros_like(self.forks)
+        for c, some in self.stretches:
+            np.matmul(errors[some], self.forks[c], out=layer[some])
+            np.matmul(errors[some].T, self.layer[some], out=forks[c])
+        return layer, forks
 
 
 def _order(rows: np.ndarray) -> np.ndarray:
@@ -195,21 +251,32 @@ _SHORT = 8  # rows up to which a sum is made place by place, for all sums at onc
 
 def _sums(values: np.ndarray, row: np.ndarray, head: np.ndarray) -> np.ndarray:
     """Sums over ``values[row]`` from each head to the next."""
+    total, by_size = _sums_by_size(values, row, head)
+    found = np.empty_like(total)
+    found[by_size] = total
+    return found
+
+
+def _sums_by_size(values: np.ndarray, row: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over ``values[row]`` from each head to the next, those of most rows first, and the places of their heads."""
     size = np.diff(head, append=len(row))
-    total = values.take(row[head], axis=0)
-    some = np.arange(len(head))
+    lack = np.maximum(_SHORT + 1 - size, 0).astype(np.uint8)
+    by_size = np.argsort(lack, kind="stable")  # those with a next row are the first so many
+    upto = np.cumsum(np.bincount(lack, minlength=_SHORT + 1))
+    first = head[by_size]
+    total = values.take(row[first], axis=0)
     for k in range(1, _SHORT):
-        some = some[size[some] > k]
-        if not len(some):
-            return total
-        total[some] += values.take(row[head[some] + k], axis=0)
-    some = some[size[some] > _SHORT]
-    if len(some):
-        left = size[some] - _SHORT
+        n = upto[_SHORT - k]
+        if not n:
+            break
+        total[:n] += values.take(row[first[:n] + k], axis=0)
+    n = upto[0]
+    if n:
+        left = size[by_size[:n]] - _SHORT
         starts = np.cumsum(left) - left
-        at = np.arange(left.sum()) + np.repeat(head[some] + _SHORT - starts, left)
-        total[some] += np.add.reduceat(values.take(row[at], axis=0), starts, axis=0)
-    return total
+        at = np.arange(left.sum()) + np.repeat(first[:n] + _SHORT - starts, left)
+        total[:n] += np.add.reduceat(values.take(row[at], axis=0), starts, axis=0)
+    return total, by_size
 
 
 class Trainer:
@@ -219,7 +286,8 @@ class Trainer:
         self.weights = {"fork": np.zeros(_SHAPES["fork"], np.float32)} | {k: v.copy() for k, v in weights.items()}
         self.squares = {k: np.full(v.shape if k in ("out", "bias", "hidden") else v.shape[:-1], 1e-2, np.float32) for k, v in self.weights.items()}
         self.learnt = 0
-        self.times = {k: np.zeros(self.weights[k].shape[:-1], np.int64) for k in ("near", "fork")}
+        # Positions that learnt a row of "near", and occurrences of words, of which those of the forks follow.
+        self.times = {"near": np.zeros(_SHAPES["near"][:-1], np.int64), "word": np.zeros(1 << WORD_BITS, np.int64)}
 
     def _step(self, name: str, gradient: np.ndarray) -> None:
         self.squares[name] += gradient**2
@@ -234,31 +302,35 @@ class Trainer:
             order = _order(rows)
             ordered = rows[order]
             head = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-            total, own, times = _sums(gradient, order % len(gradient), head), ordered[head], np.diff(head, append=len(rows))
+            total, by_size = _sums_by_size(gradient, order % len(gradient), head)
+            own = ordered[head[by_size]]
             squares = self.squares[name].reshape(-1)
-            size = squares[own] + np.einsum("ij,ij->i", total, total) / HIDDEN
+            size = squares.take(own) + np.einsum("ij,ij->i", total, total) / HIDDEN
             squares[own] = size
             total *= (-RATE / np.sqrt(size))[:, None]
             weights = self.weights[name].reshape(-1, HIDDEN)
             total += weights.take(own, axis=0)
             weights[own] = total
-            self.times[name].reshape(-1)[own] += times
 
     def learn(self, hashes: np.ndarray, text: np.ndarray, words: Words) -> None:
         context, word = _hashed(hashes, CONTEXT_BITS), _hashed(hashes, WORD_BITS)
         kinds = words.kind[word]
         place = (np.arange(len(_PLACES)) * (_CONTEXT + 1))[:, None]
+        all_of = np.ones(BATCH, np.float32)
+        fork_of = words.top[0]
+        forks, squares = self.weights["fork"][fork_of], self.squares["fork"][fork_of]
         for first in range(0, len(hashes), BATCH):
-            at = np.arange(first, min(first + BATCH, len(hashes)))
-            kind = kinds[at]
-            near = _neighbours(context, text, at)
+            last = min(first + BATCH, len(hashes))
+            kind = kinds[first:last]
+            near = _neighbours(context, text, first, last)
             hidden, score = _forward(self.weights, near)
-            scale = np.float32(len(at) ** -0.5)
+            scale = np.float32((last - first) ** -0.5)
             error = np.exp(score, out=score)
             error *= (scale / (error @ _ONES))[:, None]
-            error[np.arange(len(at)), kind] -= scale
+            error[np.arange(last - first), kind] -= scale
             inner = error @ self.weights["out"].T
-            by_depth, levels = _levels(words, word[at])
+            top = _Top(words, word[first:last], kind, hidden, forks)
+            by_depth, levels = _levels(words, word[first:last], TOP)
             if levels:
                 deepest = by_depth[: len(levels[0][0])]
                 layer, back = hidden.take(deepest, axis=0), np.zeros((len(deepest), HIDDEN), np.float32)
@@ -267,7 +339,7 @@ class Trainer:
                 for fork, right in levels:
                     n = len(fork)
                     own = self.weights["fork"].take(fork, axis=0)
-                    odds = words.odds[fork] + np.einsum("ij,ij->i", layer[:n], own)
+                    odds = words.odds.take(fork) + np.einsum("ij,ij->i", layer[:n], own)
                     wrong = ((1 / (1 + np.exp(-odds)) - right) * scale)[:, None]
                     np.multiply(layer[:n], wrong, out=moves[done : done + n])
                     own *= wrong
@@ -275,11 +347,21 @@ class Trainer:
                     done += n
                 inner[deepest] += back
                 self._step_rows("fork", moves, np.concatenate([fork for fork, _ in levels]))
+            back, moves = top.back((1 / (1 + np.exp(-top.odds)) - top.right) * top.there * scale)
+            inner[top.at] += back
+            squares += np.einsum("ijk,ijk->ij", moves, moves) / HIDDEN
+            moves *= (RATE / np.sqrt(squares))[:, :, None]
+            forks -= moves
             inner *= 1 - hidden**2
             self._step("out", hidden.T @ error)
-            self._step("bias", error.sum(axis=0))
-            self._step("hidden", inner.sum(axis=0))
+            self._step("bias", all_of[: last - first] @ error)
+            self._step("hidden", all_of[: last - first] @ inner)
             self._step_rows("near", inner, (near + place).ravel())
+        some = fork_of > 0
+        self.weights["fork"][fork_of[some]], self.squares["fork"][fork_of[some]] = forks[some], squares[some]
+        for times, near in zip(self.times["near"], _neighbours(context, text, 0, len(hashes)), strict=True):
+            times += np.bincount(near, minlength=_CONTEXT + 1)
+        self.times["word"] += np.bincount(word, minlength=1 << WORD_BITS)
         self.learnt += len(hashes)
 
 
@@ -292,22 +374,26 @@ def log_likelihood(texts: list[bytes], words: Words, weights: dict[str, np.ndarr
     context, word = _hashed(hashes, CONTEXT_BITS), _hashed(hashes, WORD_BITS)
     kind, share = words.kind[word], words.share[word]
     total = np.zeros(len(texts))
+    forks = weights["fork"][words.top[0]] if "fork" in weights and len(hashes) else None
     for first in range(0, len(hashes), SCORED):
-        at = np.arange(first, min(first + SCORED, len(hashes)))
-        hidden, score = _forward(weights, _neighbours(context, text, at))
-        low = text[at[0]]
+        at = slice(first, min(first + SCORED, len(hashes)))
+        hidden, score = _forward(weights, _neighbours(context, text, at.start, at.stop))
+        low = text[first]
         inside = share[at].copy()
-        if "fork" in weights:
-            by_depth, levels = _levels(words, word[at])
-            layer = hidden.take(by_depth, axis=0)
-            sorted_inside = np.zeros(len(at))
-            for fork, right in levels:
-                n = len(fork)
-                odds = words.odds[fork] + np.einsum("ij,ij->i", layer[:n], weights["fork"].take(fork, axis=0))
-                sorted_inside[:n] -= _soft(np.where(right, -odds, odds))
-            inside = np.empty(len(at))
-            inside[by_depth] = sorted_inside
-        inside += score[np.arange(len(at)), kind[at]] - np.log(np.exp(score, out=score) @ _ONES)
+        if forks is not None:
+            top = _Top(words, word[at], kind[at], hidden, forks)
+            inside[:] = 0
+            inside[top.at] = -(_soft(np.where(top.right, -top.odds, top.odds)) * top.there).sum(axis=0, dtype=np.float64)
+            by_depth, levels = _levels(words, word[at], TOP)
+            if levels:
+                deepest = by_depth[: len(levels[0][0])]
+                layer, below = hidden.take(deepest, axis=0), np.zeros(len(deepest))
+                for fork, right in levels:
+                    n = len(fork)
+                    odds = words.odds.take(fork) + np.einsum("ij,ij->i", layer[:n], weights["fork"].take(fork, axis=0))
+                    below[:n] -= _soft(np.where(right, -odds, odds))
+                inside[deepest] += below
+        inside += score[np.arange(len(inside)), kind[at]] - np.log(np.exp(score, out=score) @ _ONES)
         sums = np.bincount(text[at] - low, inside)
         total[low : low + len(sums)] += sums
     return np.bincount(text, minlength=len(texts)), total
@@ -333,11 +419,14 @@ _TABLES = ("near", "fork")
 _WHOLE = ("hidden", "out", "bias")
 
 
-def _rows_learnt(trainer: Trainer) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Table, rows, positions that learnt them and weights, of what a group has learnt."""
+def _rows_learnt(trainer: Trainer, words: Words) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Table, rows, positions that learnt them and weights, of what a group has learnt.
+
+    A fork has learnt from every occurrence of the words of its span.
+    """
+    upto = np.concatenate(([0], np.cumsum(trainer.times["word"][words.order])))
     found = []
-    for kind, name in enumerate(_TABLES):
-        times = trainer.times[name].reshape(-1)
+    for kind, (name, times) in enumerate(zip(_TABLES, (trainer.times["near"].ravel(), upto[words.spans[1]] - upto[words.spans[0]]), strict=True)):
         rows = np.flatnonzero(times)
         found.append((kind, rows, times[rows], trainer.weights[name].reshape(-1, HIDDEN)[rows]))
     whole = np.concatenate([trainer.weights[name].ravel() for name in _WHOLE]).reshape(-1, HIDDEN)
@@ -409,7 +498,7 @@ def train(rows: DataFrame, words: Words, folder: str, sent: Broadcast | None = N
             def told() -> Iterator[pa.RecordBatch]:
                 learn(True)
                 if trainer.learnt:
-                    for kind, row, n, values in _rows_learnt(trainer):
+                    for kind, row, n, values in _rows_learnt(trainer, words):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.full(len(row), x, np.int32)) for x in (own, kind)]
                             + [pa.array(row.astype(np.int32)), pa.array(n)]

@@ -34,6 +34,7 @@ LETTERS = byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 _VALUE = np.random.default_rng(20240607).integers(1, _MASK, 256, dtype=np.uint64, endpoint=True)
+_LOWERED = _VALUE[LOWER]
 
 
 @lru_cache(2)
@@ -81,8 +82,8 @@ def runs(parts: list[tuple[int, bytes]], classes: np.ndarray) -> tuple[np.ndarra
     """Runs of one class in the parts: buffer, start, end, class, text number, hash of the lower-cased run."""
     joined = b" ".join(p for _, p in parts)
     raw = np.frombuffer(joined, np.uint8)
-    kind = classes[raw]
-    edge = np.flatnonzero(np.diff(kind)) + 1
+    kind = classes.take(raw)
+    edge = np.flatnonzero(kind[1:] != kind[:-1]) + 1
     start = np.concatenate(([0], edge)) if len(raw) else np.zeros(0, np.int64)
     end = np.concatenate((edge, [len(raw)])) if len(raw) else np.zeros(0, np.int64)
     inside = kind[start] > 0
@@ -90,14 +91,16 @@ def runs(parts: list[tuple[int, bytes]], classes: np.ndarray) -> tuple[np.ndarra
     size = max(SLICE * 2, 1 << max(1, len(raw) - 1).bit_length())
     power, inverse = _powers(size)
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_VALUE[LOWER[raw]] * power[: len(raw)], out=total[1:])
+    value = _LOWERED.take(raw)
+    value *= power[: len(raw)]
+    np.cumsum(value, out=total[1:])
     found = mixed((total[end] - total[start]) * inverse[start])
     for i in np.flatnonzero(end - start > _LONG):
         found[i] = xxhash.xxh64_intdigest(joined[start[i] : end[i]].lower(), 7)
     lengths = np.fromiter((len(p) + 1 for _, p in parts), np.int64, len(parts))
     first = np.cumsum(lengths) - lengths
     number = np.fromiter((i for i, _ in parts), np.int32, len(parts))
-    text = number[np.searchsorted(first, start, side="right") - 1]
+    text = np.repeat(number, np.diff(np.searchsorted(start, first), append=len(start)))
     return raw, start, end, kind[start], text, found
 
 

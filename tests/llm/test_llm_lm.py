@@ -240,3 +240,94 @@ def test_the_driver_sends_counts_and_keeps_no_ways(spark, texts):
             low, high = (cut, high) if place >= cut else (low, cut)
         at = slice(*words.first[order[place] : order[place] + 2])
         assert [*zip(words.forks[at].tolist(), words.right[at].tolist(), strict=True)] == way
+
+
+def plainly_learnt(start, hashes, text, words, batch):
+    """Weights and positions that learnt a row, one position after another."""
+    weights = {k: v.astype(float) for k, v in start.items()}
+    squares = {k: np.full(v.shape if k in ("out", "bias", "hidden") else v.shape[:-1], 1e-2) for k, v in weights.items()}
+    times = {k: np.zeros(weights[k].shape[:-1], int) for k in ("near", "fork")}
+    for first in range(0, len(hashes), batch):
+        at = range(first, min(first + batch, len(hashes)))
+        gradient = {k: np.zeros(v.shape) for k, v in weights.items()}
+        for i in at:
+            rows = [int(hashes[i + p]) >> (64 - lm.CONTEXT_BITS) if 0 <= i + p < len(text) and text[i + p] == text[i] else lm._CONTEXT for p in lm._PLACES]
+            hidden = np.tanh(weights["hidden"] + sum(weights["near"][k][r] for k, r in enumerate(rows)))
+            score = hidden @ weights["out"] + weights["bias"]
+            word = int(hashes[i]) >> (64 - lm.WORD_BITS)
+            error = np.exp(score - score.max()) / np.exp(score - score.max()).sum() - (np.arange(lm.CLASSES) == words.kind[word])
+            inner = weights["out"] @ error
+            for fork, right in zip(*(t[words.first[word] : words.first[word + 1]] for t in (words.forks, words.right)), strict=True):
+                wrong = 1 / (1 + np.exp(-words.odds[fork] - hidden @ weights["fork"][fork])) - right
+                gradient["fork"][fork] += wrong * hidden
+                inner += wrong * weights["fork"][fork]
+                times["fork"][fork] += 1
+            inner *= 1 - hidden**2
+            gradient["out"] += np.outer(hidden, error)
+            gradient["bias"] += error
+            gradient["hidden"] += inner
+            for k, r in enumerate(rows):
+                gradient["near"][k, r] += inner
+                times["near"][k, r] += 1
+        for k, g in gradient.items():
+            g /= len(at) ** 0.5
+            squares[k] += g**2 if k in ("out", "bias", "hidden") else (g**2).mean(axis=-1)
+            weights[k] -= lm.RATE * g / np.sqrt(squares[k] if k in ("out", "bias", "hidden") else squares[k][..., None])
+    return weights, times
+
+
+def test_learning_agrees_with_a_plain_one(texts, monkeypatch):
+    """Ways of all lengths, several batches, and two calls, between which the first forks are put back into their table."""
+    monkeypatch.setattr(lm, "BATCH", 128)
+    words = words_of(counts_of(texts[:500]) + counts_of([b"often " * 40_000]))
+    hashes, text = word_hashes([texts[0][:2000], b"", b"often", texts[1][:2000], b"not seen before, often"])
+    depth = np.diff(words.first)[lm._hashed(hashes, lm.WORD_BITS)]
+    assert depth.min() == 0 and ((depth > 0) & (depth < lm.TOP)).any() and depth.max() > lm.TOP and len(hashes) > 2 * lm.BATCH
+    rng = np.random.default_rng(5)
+    start = {k: (rng.standard_normal(shape) * 0.3).astype(np.float32) for k, shape in lm._SHAPES.items()}
+    trainer = Trainer(start)
+    for some in (slice(0, 2 * lm.BATCH), slice(2 * lm.BATCH, None)):
+        trainer.learn(hashes[some], text[some], words)
+    # The second call does not see the words before it, so the plain one learns from the two as from two texts.
+    apart = text + 1000 * (np.arange(len(text)) >= 2 * lm.BATCH)
+    weights, times = plainly_learnt(start, hashes, apart, words, lm.BATCH)
+    for k in lm._SHAPES:
+        assert np.allclose(trainer.weights[k], weights[k], atol=2e-5), k
+    learnt = {kind: (rows, n) for kind, rows, n, _ in lm._rows_learnt(trainer, words)}
+    for kind, name in enumerate(lm._TABLES):
+        want = times[name].reshape(-1)
+        assert (learnt[kind][0] == np.flatnonzero(want)).all() and (learnt[kind][1] == want[want > 0]).all()
+
+
+def test_first_forks_are_not_learnt_row_by_row(texts, monkeypatch):
+    """Row by row go only the forks below the first levels, less than half of all."""
+    words = words_of(counts_of(texts[:2500]))
+    hashes, text = word_hashes(texts[:300])
+    depth = np.diff(words.first)[lm._hashed(hashes, lm.WORD_BITS)]
+    given, step = [], Trainer._step_rows
+
+    def counted(self, name, gradient, rows):
+        given.append((name, len(rows)))
+        step(self, name, gradient, rows)
+
+    monkeypatch.setattr(Trainer, "_step_rows", counted)
+    Trainer(start_weights(words)).learn(hashes, text, words)
+    below = sum(n for name, n in given if name == "fork")
+    assert below == np.maximum(depth - lm.TOP, 0).sum() < 0.5 * depth.sum()
+
+
+def test_a_word_that_fills_a_batch(monkeypatch):
+    """All positions in one class of the tree, all in an own one, and none."""
+    words = words_of(np.random.default_rng(3).integers(1, 50, 1 << lm.WORD_BITS))
+    rare = int(np.flatnonzero(words.kind == lm.CLASSES - 1)[0])
+    own = int(np.flatnonzero(words.kind == 0)[0])
+    for word in (rare, own):
+        hashes = np.full(lm.BATCH + 5, word << (64 - lm.WORD_BITS), np.uint64)
+        trainer = Trainer(start_weights(words))
+        trainer.learn(hashes, np.zeros(len(hashes), np.int64), words)
+        rows = {kind: n for kind, _, n, _ in lm._rows_learnt(trainer, words)}
+        assert (rows[1] == len(hashes)).all() and len(rows[1]) == np.diff(words.first)[word]
+    trainer = Trainer(start_weights(words))
+    trainer.learn(np.zeros(0, np.uint64), np.zeros(0, np.int64), words)
+    assert not trainer.learnt and not trainer.times["near"].any()
+    assert log_likelihood([b"", b"..."], words, trainer.weights)[1].tolist() == [0, 0]
