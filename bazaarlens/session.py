@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
@@ -75,6 +76,24 @@ def at_once(spark: SparkSession, calls: Iterable[Callable[[], None]]) -> None:
         job.result()
 
 
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within, what a job shuffled leaves the disks when the job ends. Else it stays until the driver happens to collect
+    its garbage, which a driver with little to do may not for half an hour. The session's setting is put back after."""
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_DROP_SHUFFLES)
+        else:
+            spark.conf.set(_DROP_SHUFFLES, before)
+
+
 def remove_dir(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

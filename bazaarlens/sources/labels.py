@@ -36,14 +36,17 @@ def note_labels(spark: SparkSession, warehouse_dir: str, table: str) -> None:
     write_note(spark, warehouse_dir, _CURRENT, "" if most is None or most > 1 else f"{rows} {total}")
 
 
-def with_labels(items: DataFrame, warehouse_dir: str) -> DataFrame:
-    """Items with the label of their product, NULL where it is not known; unchanged where no labels are stored yet."""
-    spark = items.sparkSession
+def labels_for_items(spark: SparkSession, warehouse_dir: str) -> DataFrame | None:
+    """The labels that items are about to get, of which a note is made; None where no labels are stored yet."""
     current = read_note(spark, warehouse_dir, _CURRENT)
     write_note(spark, warehouse_dir, _USED, current or "")
-    if not current:
+    return _labels(spark, warehouse_dir).withColumnRenamed("category_name", ITEM_LABEL) if current else None
+
+
+def with_labels(items: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Items with the label of their product, NULL where it is not known; unchanged without labels."""
+    if labels is None:
         return items
-    labels = _labels(spark, warehouse_dir).withColumnRenamed("category_name", ITEM_LABEL)
     return items.join(labels, "product_id", "left").select(*items.columns, ITEM_LABEL)
 
 

@@ -24,6 +24,13 @@ RAW_FILES: dict[str, str] = {
 MULTI_LINE_TABLES = frozenset({"order_reviews"})
 
 
+def raw_bytes(spark: SparkSession, raw_dir: str, table: str) -> int:
+    """Size of a table's raw files as they are stored."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{raw_dir}/{RAW_FILES[table]}")
+    files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sum(files.getContentSummary(found.getPath()).getLength() for found in files.globStatus(pattern) or [])
+
+
 def read_raw(spark: SparkSession, raw_dir: str, table: str) -> DataFrame:
     """One raw table, columns found by header name and cast to their declared types.
 

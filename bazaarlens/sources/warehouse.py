@@ -13,19 +13,25 @@ from pyspark.sql.types import StringType
 from bazaarlens.functions.periods import COARSE_FACT_COLUMNS, COARSE_ORDER_COLUMNS, month_start
 from bazaarlens.operators.numbering import dense_numbers
 from bazaarlens.schemas import DATED_TABLES, FACT_TABLES, FACTS_PARTITION, ORDER_KEY, ORDERS_PARTITION
-from bazaarlens.session import at_once, build_session, remove_dir
+from bazaarlens.session import at_once, build_session, remove_dir, shuffles_dropped
 from bazaarlens.sources.bucketed import buckets_of, note_buckets, open_buckets, spreads_evenly, write_buckets
-from bazaarlens.sources.labels import ITEM_LABEL, LABELLING, note_labels, with_labels, without_stale_labels
+from bazaarlens.sources.labels import ITEM_LABEL, LABELLING, labels_for_items, note_labels, with_labels, without_stale_labels
 from bazaarlens.sources.notes import read_note, write_note
 from bazaarlens.sources.quarantine import good_rows, put_aside, read_text
-from bazaarlens.sources.raw_csv import RAW_FILES, read_raw
+from bazaarlens.sources.raw_csv import RAW_FILES, raw_bytes, read_raw
 from bazaarlens.sources.versions import current, drop_old, new_version, switch
 
 # Columns by which some jobs choose rows of all months: sorted, most row groups of a file are skipped.
 _SORTED = {"orders": "order_delivered_customer_date", "order_reviews": "review_creation_date"}
 
+# A load stores orders and their facts in portions of so many bytes of raw files, but in no more portions than this.
+_PORTION_BYTES, _PORTIONS = 256 * 1024**2, 8
+_PORTION = "_portion"
 
-def store_table(df: DataFrame, warehouse_dir: str, table: str, buckets: int = 0, dated: bool = False) -> None:
+
+def store_table(
+    df: DataFrame, warehouse_dir: str, table: str, buckets: int = 0, dated: bool = False, portions: int = 1
+) -> None:
     """Replace one stored table; orders must be stored before the tables with several rows per order. Items are
     labelled with their category where products and their translation are stored by then. Text order ids also get
     whole numbers in their order, in all of these tables. With ``dated``, delivered orders and reviews are stored once
@@ -35,28 +41,20 @@ def store_table(df: DataFrame, warehouse_dir: str, table: str, buckets: int = 0,
     directories of each. Rows without a known order, or of an order id listed in several months, are kept in
     a directory of their own, which every job opens. With ``buckets`` (the same number for all) they are also
     stored by bucket of the order id, and joins by order then need no shuffle, unless the ids are uneven.
+
+    With ``portions``, orders and those tables are read once, dealt by order id and then joined and written one portion
+    after the other, so that what is shuffled takes the disk of one portion; months have a file or more of each.
+    Buckets are written in one go.
     """
     path = f"{warehouse_dir}/{table}"
     df = df.drop(*COARSE_ORDER_COLUMNS, *COARSE_FACT_COLUMNS, ITEM_LABEL, ORDER_KEY)
-    if table == "orders":
-        month = month_start(F.col("order_purchase_timestamp"))
-        if isinstance(df.schema["order_id"].dataType, StringType):
-            # A table of its own, which also says in one place which number stands for which id.
-            keys = dense_numbers(df, "order_id", ORDER_KEY, lambda placed: _kept(placed, f"{warehouse_dir}/order_places"))
-            df = df.join(_kept(keys, f"{warehouse_dir}/order_keys"), "order_id", "left").select(*df.columns, ORDER_KEY)
-            remove_dir(df.sparkSession, f"{warehouse_dir}/order_places")
-        _write_by(df.withColumn(ORDERS_PARTITION, month), ORDERS_PARTITION, path, _SORTED.get(table), buckets)
-    elif table in FACT_TABLES:
-        orders = df.sparkSession.read.parquet(f"{warehouse_dir}/orders")
-        month = F.col(ORDERS_PARTITION)
-        if table == "order_items":
-            df = with_labels(df, warehouse_dir)
-        # One row per order id, also where the raw file repeats one, so that the join adds no rows.
-        key = [F.min(ORDER_KEY).alias(ORDER_KEY)] if ORDER_KEY in orders.columns else []
-        months = orders.groupBy("order_id").agg(
-            *key, F.when(F.min(month) == F.max(month), F.min(month)).alias(FACTS_PARTITION)
-        )
-        _write_by(df.join(months, "order_id", "left"), FACTS_PARTITION, path, _SORTED.get(table), buckets)
+    if table == "orders" or table in FACT_TABLES:
+        if portions > 1 and not buckets:
+            _store_dealt(df, warehouse_dir, table, portions)
+        else:
+            labels = labels_for_items(df.sparkSession, warehouse_dir) if table == "order_items" else None
+            placed = _placed(with_labels(df, labels), table, _known_orders(df, warehouse_dir, table))
+            _write_by(placed, table, path, buckets)
     else:
         df.write.mode("overwrite").parquet(path)
         if table in LABELLING:
@@ -65,6 +63,63 @@ def store_table(df: DataFrame, warehouse_dir: str, table: str, buckets: int = 0,
         _store_dated(df, warehouse_dir, table, dated)
 
 
+def _store_dealt(df: DataFrame, warehouse_dir: str, table: str, portions: int) -> None:
+    """Orders or facts, one portion after the other. The rows are stored by portion first, so a value that does not fit
+    its type ends the load before the table is touched; a portion goes when it is in the table."""
+    spark, folder = df.sparkSession, f"{warehouse_dir}/portions_of_{table}"
+
+    def dealt(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.withColumn(_PORTION, F.pmod(F.xxhash64("order_id"), F.lit(portions)).cast("int"))
+        written = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        written.partitionBy(_PORTION).parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    def only(rows: DataFrame, portion: int) -> DataFrame:
+        return rows.filter(F.col(_PORTION) == portion).drop(_PORTION)
+
+    try:
+        rows = dealt(df, "rows")
+        known = _known_orders(rows, warehouse_dir, table)
+        # Ids of another type may be equal and yet hash apart.
+        alike = known is not None and known.schema["order_id"].dataType == rows.schema["order_id"].dataType
+        known = dealt(known, "orders") if alike else known
+        labels = labels_for_items(spark, warehouse_dir) if table == "order_items" else None
+        for portion in range(portions):
+            of_these = only(known, portion) if alike else known
+            placed = _placed(with_labels(only(rows, portion), labels), table, of_these)
+            _write_by(placed, table, f"{warehouse_dir}/{table}", more=portion > 0)
+            remove_dir(spark, f"{folder}/rows/{_PORTION}={portion}")
+    finally:
+        remove_dir(spark, folder)
+
+
+def _known_orders(df: DataFrame, warehouse_dir: str, table: str) -> DataFrame | None:
+    """What rows get by their order's id, with one row an id: the order's number, and for facts its month. Nothing for
+    orders whose ids are numbers already."""
+    spark = df.sparkSession
+    if table == "orders":
+        if not isinstance(df.schema["order_id"].dataType, StringType):
+            return None
+        # A table of its own, which also says in one place which number stands for which id.
+        keys = dense_numbers(df, "order_id", ORDER_KEY, lambda placed: _kept(placed, f"{warehouse_dir}/order_places"))
+        keys = _kept(keys, f"{warehouse_dir}/order_keys")
+        remove_dir(spark, f"{warehouse_dir}/order_places")
+        return keys
+    orders, month = spark.read.parquet(f"{warehouse_dir}/orders"), F.col(ORDERS_PARTITION)
+    # One row per order id, also where the raw file repeats one, so that the join adds no rows.
+    key = [F.min(ORDER_KEY).alias(ORDER_KEY)] if ORDER_KEY in orders.columns else []
+    return orders.groupBy("order_id").agg(*key, F.when(F.min(month) == F.max(month), F.min(month)).alias(FACTS_PARTITION))
+
+
+def _placed(df: DataFrame, table: str, known: DataFrame | None) -> DataFrame:
+    """Rows with the number and the month of their order."""
+    if table != "orders":
+        return df.join(known, "order_id", "left")
+    if known is not None:
+        df = df.join(known, "order_id", "left").select(*df.columns, ORDER_KEY)
+    return df.withColumn(ORDERS_PARTITION, month_start(F.col("order_purchase_timestamp")))
+
+
 def _store_dated(df: DataFrame, warehouse_dir: str, table: str, dated: bool) -> None:
     """The second layout of a table, or, where none is wanted, none: a copy of an earlier load must not be read.
 
@@ -87,20 +142,23 @@ def _kept(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _write_by(df: DataFrame, partition: str, path: str, sorted_by: str | None = None, buckets: int = 0) -> None:
-    """Partitioned write. The rebalance hint sizes the files at run time: a busy month is written by several
-    tasks, quiet ones share a task. Files are sorted by a column that jobs filter on besides the month."""
-    warehouse_dir, table = path.rsplit("/", 1)
+def _write_by(df: DataFrame, table: str, path: str, buckets: int = 0, more: bool = False) -> None:
+    """Partitioned write, which replaces what is there unless the rows are some ``more`` of the table. The rebalance hint
+    sizes the files at run time: a busy month is written by several tasks, quiet ones share a task. Files are
+    sorted by a column that jobs filter on besides the month."""
+    warehouse_dir, _ = path.rsplit("/", 1)
+    partition, sorted_by = ORDERS_PARTITION if table == "orders" else FACTS_PARTITION, _SORTED.get(table)
     bucketed = buckets if buckets and spreads_evenly(df, buckets) else 0
-    note_buckets(df.sparkSession, warehouse_dir, table, bucketed)
+    if not more:
+        note_buckets(df.sparkSession, warehouse_dir, table, bucketed)
     if bucketed:
         write_buckets(df, path, partition, bucketed)
         return
     balanced = df.hint("rebalance", F.col(partition))
     if sorted_by and sorted_by in df.columns:
         balanced = balanced.sortWithinPartitions(partition, sorted_by)
-    replaced = balanced.write.mode("overwrite").option("partitionOverwriteMode", "static")
-    replaced.partitionBy(partition).parquet(path)
+    written = balanced.write.mode("append" if more else "overwrite").option("partitionOverwriteMode", "static")
+    written.partitionBy(partition).parquet(path)
 
 
 def load_raw(
@@ -118,6 +176,9 @@ def load_raw(
     are not touched if another table fails. Otherwise tables are loaded side by side, but for products and their
     translation, which note their labels together. The first bad value ends the load, unless ``bad_rows`` says how many rows of a table may be put aside under
     ``quarantine``; that reads the files once more.
+
+    Large tables are stored in portions, and what was shuffled goes with each job, so that the disk wanted besides the
+    tables is a fraction of what all rows take when shuffled.
     """
 
     def load(*tables: str) -> None:
@@ -128,14 +189,16 @@ def load_raw(
                 text = read_text(spark, raw_dir, table)
                 put_aside(text, warehouse_dir, table, bad_rows)
                 rows = good_rows(text, table)
-            store_table(rows, warehouse_dir, table, buckets, dated)
+            portions = min(_PORTIONS, 1 + raw_bytes(spark, raw_dir, table) // _PORTION_BYTES)
+            store_table(rows, warehouse_dir, table, buckets, dated, portions)
 
     wanted = list(tables)
     alone = [t for t in wanted if t not in FACT_TABLES and t not in LABELLING]
     # Orders take longest of the first, so they start first.
     first = [(t,) for t in sorted(alone, key="orders".__ne__)] + [tuple(t for t in wanted if t in LABELLING)]
-    for groups in (first, [(t,) for t in wanted if t in FACT_TABLES]):
-        at_once(spark, [partial(load, *group) for group in groups])
+    with shuffles_dropped(spark):
+        for groups in (first, [(t,) for t in wanted if t in FACT_TABLES]):
+            at_once(spark, [partial(load, *group) for group in groups])
 
 
 def refresh(

@@ -32,7 +32,8 @@ from bazaarlens.operators.skew import salted_join
 from bazaarlens.params import Period
 from bazaarlens.plans.datasets import Datasets
 from bazaarlens.plans.freight import toxic_freight_split
-from bazaarlens.session import at_once, shared_dir
+from bazaarlens.schemas import FACT_TABLES
+from bazaarlens.session import at_once, remove_dir, shared_dir, shuffles_dropped
 from bazaarlens.sources.raw_csv import RAW_FILES
 from bazaarlens.sources.results import export_csv
 from bazaarlens.sources.star import STAR_PARAMS, STAR_SCHEMAS, StarMarketplace
@@ -233,12 +234,25 @@ def _raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {**raw, "geolocation": places}
 
 
+def _write_raw(df: DataFrame, raw_dir: str, table: str) -> None:
+    """Raw files of one table, packed: a task reads a whole packed file, so each has a bounded number of rows."""
+    packed = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": 1_000_000}
+    df.write.options(header=True, **packed).csv(f"{raw_dir}/{RAW_FILES[table].replace('*', 'shop_')}")
+
+
+# Tables that are written, loaded and dropped as raw files together, so that the raw files of all are never there at once.
+_LOADED_TOGETHER = ([t for t in RAW_FILES if t not in FACT_TABLES], ["order_items"], ["order_payments", "order_reviews"])
+
+
 def load_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw CSV files to stored tables: rows per table, and the total of each table's amount if it has one."""
     folder = f"{shared_dir(spark)}/load-{uuid4().hex}"
-    raw = {f"{folder}/raw/{RAW_FILES[name].replace('*', 'shop_')}": df for name, df in _raw_tables(spark, sf_dir).items()}
-    at_once(spark, [partial(df.write.option("header", True).csv, path) for path, df in raw.items()])
-    load_raw(spark, f"{folder}/raw", f"{folder}/tables")
+    tables = _raw_tables(spark, sf_dir)
+    for names in _LOADED_TOGETHER:
+        with shuffles_dropped(spark):
+            at_once(spark, [partial(_write_raw, tables[name], f"{folder}/raw", name) for name in names])
+        load_raw(spark, f"{folder}/raw", f"{folder}/tables", names)
+        remove_dir(spark, f"{folder}/raw")
     stored = StoredMarketplace(spark, f"{folder}/tables")
     amounts = {"order_items": "price", "order_payments": "payment_value"}
     counts = [
@@ -255,9 +269,9 @@ def load_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_tables_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders read back from the stored table by month directory."""
     folder = f"{shared_dir(spark)}/stored-{uuid4().hex}"
-    raw = _raw_tables(spark, sf_dir)["orders"]
-    raw.write.option("header", True).csv(f"{folder}/raw/{RAW_FILES['orders'].replace('*', 'shop_')}")
+    _write_raw(_raw_tables(spark, sf_dir)["orders"], f"{folder}/raw", "orders")
     load_raw(spark, f"{folder}/raw", f"{folder}/tables", ["orders"])
+    remove_dir(spark, f"{folder}/raw")
     stored = StoredMarketplace(spark, f"{folder}/tables")
     orders = Datasets(stored, STAR_PARAMS).delivered_orders()
     return orders.select(
